@@ -4,7 +4,7 @@ import importlib
 
 from murmura.llm import registry
 
-MODULES = ("mixing",)
+MODULES = ("mixing", "quality")
 
 
 def _load() -> None:
