@@ -4,7 +4,7 @@ import importlib
 
 from murmura.llm import registry
 
-MODULES = ("mixing", "quality")
+MODULES = ("mixing", "quality", "token_counts")
 
 
 def _load() -> None:
