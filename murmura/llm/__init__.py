@@ -4,7 +4,7 @@ import importlib
 
 from murmura.llm import registry
 
-MODULES = ("mixing", "quality", "token_counts")
+MODULES = ("byte_bpe", "mixing", "quality", "secrets", "simhash", "token_counts")
 
 
 def _load() -> None:
