@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from murmura.llm import mixing
+from murmura.llm import byte_bpe, mixing, quality, secrets, simhash
 from murmura.llm.shared import shared_dir
 
-STAGES = [("mixing sources to target weights", mixing.stage)]
+STAGES = [
+    ("quality rules", quality.stage),
+    ("simhash near-dedup", simhash.stage),
+    ("secret scans", secrets.stage),
+    ("mixing sources to target weights", mixing.stage),
+    ("byte-level BPE", byte_bpe.stage),
+]
 
 #: SQL can't express byte-level BPE; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None

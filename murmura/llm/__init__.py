@@ -4,7 +4,7 @@ import importlib
 
 from murmura.llm import registry
 
-MODULES = ("byte_bpe", "embeddings", "language", "mixing", "quality", "secrets", "simhash", "suffix", "token_counts")
+MODULES = ("byte_bpe", "embeddings", "language", "lm_score", "mixing", "quality", "secrets", "simhash", "suffix", "token_counts")
 
 
 def _load() -> None:
