@@ -79,7 +79,7 @@ def with_counts(df: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + [f"{c} long" for c in COUNTS])
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.parts(batches):
             rows = [measure(t) for t in shared.texts_of(batch.column("text"))]
             counts = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64()) for _ in COUNTS]
             yield pa.RecordBatch.from_arrays([*shared.columns_of(batch, keep), *counts], names=[*keep, *COUNTS])

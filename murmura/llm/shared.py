@@ -43,6 +43,13 @@ def columns_of(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(n) for n in names]
 
 
+def parts(batches, rows: int = 500):
+    """The batches in slices of a few rows, so that only so many texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def letters_lower(column):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

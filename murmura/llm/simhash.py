@@ -60,7 +60,7 @@ def with_fingerprints(df: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + ["fp long"])
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.parts(batches):
             fps = pa.array([fingerprint(t) for t in shared.texts_of(batch.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*shared.columns_of(batch, keep), fps], names=[*keep, "fp"])
 
