@@ -37,8 +37,8 @@ from murmura.llm.registry import query, read
 SPAN = 100
 K = 32
 #: Bytes of text that one batch indexes, and that one range of the index stands for.
-BATCH = 2_000_000
-RANGE = 24_000_000
+BATCH = 1_000_000
+RANGE = 8_000_000
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
 ENTRY = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("sum", "<u4"), ("at", "<u4")])
@@ -151,7 +151,7 @@ def indexed(docs: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in shared.parts(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), shared.texts_of(batch.column("text")), strict=True):
                 if len(text) >= SPAN:
                     held.append(entries(NO_ID if doc is None else doc, text))
@@ -186,7 +186,7 @@ def matches(index: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches):
         family, place = IndexFamily(), None
-        for batch in batches:
+        for batch in shared.parts(batches, 50):
             for bucket, settled, blob in zip(batch.column("bucket").to_pylist(), batch.column("settled").to_pylist(), batch.column("entries").to_pylist(), strict=True):
                 if bucket != place:
                     yield from close(family)
