@@ -42,12 +42,15 @@ def threshold(base: float, scale: float) -> float:
     return base if base > 1 else min(base * scale, 1.0)
 
 
+def reaching(found: DataFrame, before: int, after: int) -> DataFrame:
+    """A row per detection and gap that it can serve, so that a band join is an equi-join."""
+    return found.select("sample_id", F.col("type").alias("as"), F.col("gap").alias("found"), "prob", F.explode(F.sequence(F.col("gap") - after, F.col("gap") + before)).alias("gap"))
+
+
 def banded(events: DataFrame, found: DataFrame, before: int, after: int) -> DataFrame:
     """Pairs of an event and a detection of its type whose gap is at most before earlier or after later."""
-    g, d = events.alias("g"), found.alias("d")
-    near = (F.col("d.gap") - F.col("g.gap")).between(-before, after)
-    joined = g.join(d, (F.col("g.sample_id") == F.col("d.sample_id")) & (F.col("g.type") == F.col("d.type")) & near)
-    return joined.select("g.sample_id", "g.type", "g.e", F.col("g.gap").alias("gap"), F.col("d.gap").alias("found"), F.col("d.prob").alias("prob"))
+    near = reaching(found, before, after).withColumnRenamed("as", "type")
+    return events.select("sample_id", "type", "e", "gap").join(near, ["sample_id", "type", "gap"])
 
 
 def matched(events: DataFrame, found: DataFrame, before: int, after: int) -> DataFrame:
@@ -71,10 +74,7 @@ def matched(events: DataFrame, found: DataFrame, before: int, after: int) -> Dat
 def judged(events: DataFrame, found: DataFrame, before: int, after: int) -> DataFrame:
     """Every event with hit, offset and reason: ok, wrong_type, wrong_position or missing, in this order of precedence."""
     hits = matched(events, found, before, after).select("sample_id", "e", "offset")
-    e, d = events.alias("e"), found.alias("d")
-    inside = (F.col("d.gap") - F.col("e.gap")).between(-before, after)
-    same = F.col("d.type") == F.col("e.type")
-    near = e.join(d, (F.col("e.sample_id") == F.col("d.sample_id")) & inside & ~same, "left_semi").select("sample_id", "e").withColumn("near_other", F.lit(True))
+    near = events.join(reaching(found, before, after), ["sample_id", "gap"]).where(F.col("as") != F.col("type")).select("sample_id", "e").distinct().withColumn("near_other", F.lit(True))
     kinds = found.groupBy("sample_id", "type").agg(F.min("gap").alias("low"), F.max("gap").alias("high"))
     far = events.join(kinds, ["sample_id", "type"]).where((F.col("low") < F.col("gap") - before) | (F.col("high") > F.col("gap") + after)).select("sample_id", "e").withColumn("far_same", F.lit(True))
     joined = events.join(hits, ["sample_id", "e"], "left").join(near, ["sample_id", "e"], "left").join(far, ["sample_id", "e"], "left")

@@ -2,9 +2,13 @@
 
 import importlib
 
-MODULES = ()
+MODULES = ("transcripts", "placement")
 
 
 def load() -> None:
     for name in MODULES:
         importlib.import_module(f"murmura.plans.{name}")
+
+
+def read(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
