@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from murmura.functions import text as T
 
@@ -55,7 +56,7 @@ def trace(ref: list, hyp: list) -> list[tuple[int | None, int | None]]:
     return out[::-1]
 
 
-@F.pandas_udf("struct<sub: int, del: int, ins: int>")
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("sub", "del", "ins")]))
 def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(ref, hyp, strict=True):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("transcripts", "placement")
+MODULES = ("transcripts", "placement", "ratings", "statistics", "corpus")
 
 
 def load() -> None:
