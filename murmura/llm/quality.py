@@ -171,9 +171,8 @@ def evaluate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with the columns that they had."""
-    labels = read(spark, sf_dir, "labels")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = fit(with_counts(labelled.select("doc_id", F.col("lang").alias("stratum"), "text")), labels)
+    numbers = shared.stored(with_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text")))  # so that no text is shuffled
+    cutoffs = fit(numbers, read(spark, sf_dir, "labels"))
     counted = with_counts(docs.select(F.struct("*").alias("_row"), F.col("lang").alias("stratum"), "text"))
     return judge(counted, cutoffs).where("kept").select("_row.*")
 
