@@ -153,7 +153,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = shared.stored(grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").count())
     packed = docs.select(F.struct("*").alias("_row"), "doc_id").alias("d")
     single = kept.groupBy("doc_id").agg(F.sum("count").alias("n")).alias("k")
-    joined = packed.join(single, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("_row", "n")
+    joined = packed.join(single.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("_row", "n")
     again = joined.where("n > 1").select("_row.*")
     return joined.where("n = 1").select("_row.*").unionByName(again.dropDuplicates(["doc_id"]))
 
