@@ -164,7 +164,8 @@ def indexed(docs: DataFrame, ranges: int) -> DataFrame:
 
     def flush(held):
         run, later = settle(np.concatenate(held))
-        of = lambda x: ((x["gram"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        # Anchors have low hashes, so the hash is spread again.
+        of = lambda x: ((x["gram"] * np.uint64(MULTIPLIER) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         rows = []
         for part, done in ((run, False), (later, True)):
             bucket = of(part)
