@@ -5,21 +5,26 @@ displaces: each bucket of keys has one displacement under which its keys fall on
 name their slot. A slot's stored token is compared, so strangers never match. Second tier: what misses is merged as a
 linked list of bytes, with a heap of adjacent pairs by (rank, position) and stale entries skipped when they surface.
 
-Encoded pre-tokens are kept per Python worker in a memo of at most MEMO entries. Nothing is shuffled or broadcast; the
-rank file is read on each worker from its (parameter) path and has a fixed size.
+A text is cut at its single spaces before the pattern is applied: where no space is followed by white space or the end, a
+pre-token of a pattern that takes a space only as its first character never crosses such a cut. Encoded words and pre-tokens
+are kept per Python worker in memos of at most MEMO entries each. Nothing is shuffled or broadcast; the rank file is read on
+each worker from its (parameter) path and has a fixed size.
 
 Defined results: null or empty text has no ids and decodes to no bytes; strings that look like special tokens are
-ordinary text; ids out of the vocabulary make decode() fail.
+ordinary text; null ids stand for no bytes; ids out of the vocabulary make decode() fail.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,9 +34,12 @@ from murmura.llm import shared
 from murmura.llm.registry import query, read
 
 MEMO = 300_000
-#: Pre-tokens of more bytes are not remembered.
-MEMO_BYTES = 64
-KEYS_PER_BUCKET = 4
+#: Words and pre-tokens of more characters are not remembered.
+MEMO_CHARS = 64
+#: With so few, a seventh of the slots is left for buckets of one key, so displacements are found in a few dozen trials.
+KEYS_PER_BUCKET = 2
+#: Where this is found, a text is not cut into words.
+UNCUT = regex.compile(r" (?:\s|\Z)")
 
 
 class PerfectHash:
@@ -75,6 +83,21 @@ class PerfectHash:
         return i if self.slots[i] == key else -1
 
 
+class Memo(dict):
+    """make's results by key, at most MEMO of them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
     """Encoder and decoder for one rank file and pre-token pattern."""
 
@@ -86,56 +109,78 @@ class Codec:
         self.rank_at = [ranks[key] for key in self.whole.slots]
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.base = max(ranks.values()) + 1
-        self.tokens = [b""] * self.base
+        tokens = [b""] * self.base
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     self.pairs[a * self.base + b] = rank
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.first = [self.pairs.get(a * self.base + b, -1) for a in self.byte for b in self.byte]
+        self.tokens = pa.array(tokens, pa.large_binary())
+        self.pieces, self.words = Memo(self.piece), Memo(lambda word: self.cut(" " + word))
 
-    def merged(self, piece: bytes) -> tuple[int, ...]:
+    def merged(self, piece: bytes) -> list[int]:
         """Tokens of a pre-token that is none itself."""
-        ids = [self.byte[b] for b in piece]
-        n, get, base = len(ids), self.pairs.get, self.base
-        heap = [(r << 32) | i for i in range(n - 1) if (r := get(ids[i] * base + ids[i + 1])) is not None]
+        ids, n, get, base = [self.byte[b] for b in piece], len(piece), self.pairs.get, self.base
+        best = [self.first[a << 8 | b] for a, b in pairwise(piece)] + [-1]  # rank of the pair that starts here, or -1
+        bits = 14 if n < 1 << 14 else 32  # so that a short piece's heap holds small integers
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(best) if r >= 0]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heapq.heappop(heap)
-            i, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
-            if ids[i] < 0 or j >= n or get(ids[i] * base + ids[j]) != rank:
+            i, rank = top & low, top >> bits
+            if best[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], best[i], best[j] = rank, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (r := get(rank * base + ids[k])) is not None:
-                    heapq.heappush(heap, (r << 32) | i)
+                r = best[i] = get(rank * base + ids[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << bits | i)
             h = before[i]
-            if h >= 0 and (r := get(ids[h] * base + rank)) is not None:
-                heapq.heappush(heap, (r << 32) | h)
-        return tuple(x for x in ids if x >= 0)
-
-    def piece(self, text: str) -> tuple[int, ...]:
+            if h >= 0:
+                r = best[h] = get(ids[h] * base + rank, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << bits | h)
+        return [x for x in ids if x >= 0]
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a pre-token, four bytes each."""
         raw = text.encode()
         slot = self.whole.find(raw)
-        ids = (self.rank_at[slot],) if slot >= 0 else self.merged(raw)
-        if len(raw) <= MEMO_BYTES:
-            self.memo[text] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        get, piece = self.memo.get, self.piece
-        return list(chain.from_iterable(get(p) or piece(p) for p in self.split(text)))
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return array("i", [self.rank_at[slot]] if slot >= 0 else self.merged(raw)).tobytes()
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
+        if UNCUT.search(text):
+            return self.cut(text)
+        first, *words = text.split(" ")
+        return self.cut(first) + b"".join(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        packed = [self.packed(t) for t in texts]
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+
+    def decode(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The tokens of all ids lie one after another, so a row's bytes are a slice of them."""
+        flat = ids.flatten()
+        if not len(flat):
+            return pa.array([b""] * len(ids), pa.binary())
+        _, token_ends, data = self.tokens.take(flat).buffers()
+        rows = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_numpy()])
+        ends = np.frombuffer(token_ends, np.int64)[rows]
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), data]).cast(pa.binary())
 
 
 @lru_cache(2)
@@ -150,11 +195,9 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = pa.array([own.encode(t or "") for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*shared.columns_of(part, keep), ids], names=[*keep, "token_ids"])
+        for part in shared.parts(batches):
+            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*shared.columns_of(part, keep), ids], names=[*keep, "token_ids"])
 
     return df.mapInArrow(run, schema)
 
@@ -166,11 +209,8 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = pa.array([own.decode(x or ()) for x in part.column("token_ids").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*shared.columns_of(part, keep), texts], names=[*keep, "decoded"])
+        for part in shared.parts(batches):
+            yield pa.RecordBatch.from_arrays([*shared.columns_of(part, keep), own.decode(part.column("token_ids"))], names=[*keep, "decoded"])
 
     return df.mapInArrow(run, schema)
 

@@ -192,6 +192,23 @@ def test_byte_bpe(docs):
     assert sorted((str(r.doc_id), r.token_ids, bytes(r.decoded)) for r in got) == sorted((str(r[0]), known.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in hostile())
 
 
+def test_byte_bpe_cuts_at_spaces():
+    """White space of all kinds, contractions, digits and long runs, where a text is cut into words and where not; slices decode alike."""
+    import tiktoken
+
+    path, pattern = byte_bpe.vocabulary()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own, rng = byte_bpe.codec(path, pattern), random.Random(9)
+    texts = ["".join(rng.choice([" ", " ", "a", "b'", "'s", "\n", "\t", "é", "1", "!", "\u00a0", "\u3000", "\r"]) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    texts += ["ab" * 10_000, "- " * 300, " " * 999, "<|endoftext|>"]
+    ids = own.encode(texts)
+    assert ids.to_pylist() == [known.encode_ordinary(t) for t in texts]
+    assert own.decode(ids.slice(7, 50)).to_pylist() == [t.encode() for t in texts[7:57]]
+    assert all(own.whole.find(key) == own.whole.slots.index(key) for key in list(ranks)[::997]) and own.whole.find(b"no token") == -1
+
+
 @pytest.mark.parametrize("filter_bytes", [lm_score.FILTER_BYTES, 0])
 def test_lm_score(docs, empty, filter_bytes):
     held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 7 == 2
