@@ -13,7 +13,10 @@ entry as a repeat. What matches in the gram alone is a border: these entries' co
 each string through the gram is compared.
 
 At most one entry a batch, gram and context leaves its batch unsettled, so a passage that a third of all texts share meets
-no task as a third of all rows. Borders of one gram meet in one task, once per distinct context.
+no task as a third of all rows. Borders of one gram meet in one task while the gram has at most GROUP distinct contexts.
+A gram of more (the ends of a passage that many texts share) is no group: where its contexts are read, CROWD of them at a
+time are compared with each other, and what is then the earliest of its string goes on alone, dealt by the hash of gram,
+offset and string; of each hash all but the earliest are repeats. So a string meets in one task once per CROWD contexts.
 
 Defined results: null counts as empty; texts shorter than SPAN lose nothing and are indexed nowhere; a null doc_id comes
 after all others; rows with one doc_id are ordered by their text's checksum, equal rows are one text and lose the same.
@@ -39,6 +42,11 @@ K = 32
 #: Bytes of text that one batch indexes, and that one range of the index stands for.
 BATCH = 1_000_000
 RANGE = 8_000_000
+#: Distinct contexts up to which a gram is one group, and how many contexts of larger ones are compared where they are read.
+GROUP = 2048
+CROWD = 4096
+#: Kinds of rows that borders are settled by, in the order in which a task takes them.
+GRAM, WINDOW, KNOWN = range(3)
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
 ENTRY = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("sum", "<u4"), ("at", "<u4")])
@@ -177,13 +185,14 @@ def indexed(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, settled boolean, entries binary")
 
 
-def matches(index: DataFrame, ranges: int) -> DataFrame:
-    """doc, sum, at, gram: entries that repeat an earlier one (gram is null) and entries that share their gram with others."""
-    names = ["doc", "sum", "at", "gram"]
+def matches(index: DataFrame, ranges: int, group: int = GROUP) -> DataFrame:
+    """doc, sum, at, gram, many: entries that repeat an earlier one (gram is null) and entries that share their gram with others (many: with more than group)."""
+    names = ["doc", "sum", "at", "gram", "many"]
 
-    def rows(run, border):
-        gram = pa.array(run["gram"].view(np.int64) if border else np.zeros(len(run), np.int64), mask=np.full(len(run), not border))
-        return pa.RecordBatch.from_arrays([pa.array(run["doc"]), pa.array(run["sum"].astype(np.int64)), pa.array(run["at"].astype(np.int64)), gram], names=names)
+    def rows(run, many=None):
+        settled = np.full(len(run), many is None)
+        gram = pa.array(run["gram"].astype(np.int64), mask=settled)
+        return pa.RecordBatch.from_arrays([pa.array(run["doc"]), pa.array(run["sum"].astype(np.int64)), pa.array(run["at"].astype(np.int64)), gram, pa.array(~settled if many is None else many, mask=settled)], names=names)
 
     def run(batches):
         family, place = IndexFamily(), None
@@ -194,86 +203,158 @@ def matches(index: DataFrame, ranges: int) -> DataFrame:
                     place = bucket
                 part = unpacked(blob)
                 if settled:
-                    yield rows(part, False)
+                    yield rows(part)
                 else:
                     for later in family.add(part):
-                        yield rows(later, False)
+                        yield rows(later)
         yield from close(family)
 
     def close(family):
         whole, found = family.close()
         for later in found:
-            yield rows(later, False)
+            yield rows(later)
         same = whole["gram"][1:] == whole["gram"][:-1]
         if same.any():
-            yield rows(whole[np.r_[False, same] | np.r_[same, False]], True)
+            edges = np.r_[0, np.flatnonzero(~same) + 1, len(whole)]
+            size = np.repeat(np.diff(edges), np.diff(edges))
+            yield rows(whole[size > 1], size[size > 1] > group)
 
-    return index.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, sum long, at long, gram long")
+    return index.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, sum long, at long, gram long, many boolean")
 
 
-def fetched(texts: DataFrame, border: DataFrame) -> DataFrame:
-    """gram, doc, sum, at, left and context of each border entry."""
-    asked = border.groupBy("doc", "sum").agg(F.collect_list(F.struct("at", "gram")).alias("asked"))
+def fetched(texts: DataFrame, border: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Three kinds of rows, for the border entries.
+
+    GRAM: gram, doc, sum, at, left and context of an entry. WINDOW, for entries of many: a string that no earlier entry of
+    its crowd has, with its hash as gram and its bytes before the entry as left. KNOWN: of those, what is a repeat already,
+    as at (start) and left (end).
+    """
+    asked = border.groupBy("doc", "sum").agg(F.collect_list(F.struct("at", "gram", "many")).alias("asked"))
     joined = texts.join(asked, ["doc", "sum"])
     side = SPAN - K
 
+    def batch_of(kind, gram, doc, total, at, left, context=None):
+        n = len(gram)
+        own = pa.nulls(n, pa.binary()) if context is None else pa.array(context, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), *[pa.array(c, pa.int64()) for c in (gram, doc, total, at, left)], own], names=["kind", "gram", "doc", "sum", "at", "left", "context"])
+
+    def crowded(held):
+        gram, doc, total, at, left = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:5])
+        whole, fits, order = strings(doc, total, at, left, [x[5] for x in held])
+        gram, doc, total, at = gram[order], doc[order], total[order], at[order]
+        lead = leaders(keyed(gram, whole), fits)
+        hit = later(lead, fits, doc, total, at)
+        row, low, high = stretches(hit)
+        start = at[row] - (high - 1)
+        yield batch_of(KNOWN, mixed(doc[row] ^ at[row]), doc[row], total[row], start, at[row] - low + SPAN)
+        row, offset = np.nonzero(fits & (lead == np.arange(len(order))[:, None]))
+        key = keyed(gram, whole)[row, offset].view(np.int64)
+        for a in range(0, len(row), 50_000):
+            r = row[a : a + 50_000]
+            yield batch_of(WINDOW, key[a : a + 50_000], doc[r], total[r], at[r], offset[a : a + 50_000])
+
     def run(batches):
+        held = []
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                rows = {k: [] for k in ("gram", "doc", "sum", "at", "left", "context")}
+                rows = []
                 for doc, total, text, asked in zip(part.column("doc").to_pylist(), part.column("sum").to_pylist(), shared.texts_of(part.column("text")), part.column("asked").to_pylist(), strict=True):
                     for x in asked:
                         p = x["at"]
-                        for k, v in (("gram", x["gram"]), ("doc", doc), ("sum", total), ("at", p), ("left", min(p, side)), ("context", text[max(0, p - side) : p + SPAN])):
-                            rows[k].append(v)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "context" else pa.int64()) for k, v in rows.items()})
+                        (held if x["many"] else rows).append((x["gram"], doc, total, p, min(p, side), text[max(0, p - side) : p + SPAN]))
+                if rows:
+                    yield batch_of(GRAM, *zip(*rows, strict=True))
+                while len(held) >= crowd:
+                    yield from crowded(held[:crowd])
+                    held = held[crowd:]
+        if held:
+            yield from crowded(held)
 
-    return joined.mapInArrow(run, "gram long, doc long, sum long, at long, left long, context binary")
+    return joined.mapInArrow(run, "kind long, gram long, doc long, sum long, at long, left long, context binary")
 
 
-def repeated(doc, total, at, left, contexts: list[bytes]) -> np.ndarray:
-    """entries x offsets: does an earlier entry have the same string that begins so many bytes before the gram."""
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Whole numbers whose bits depend on all bits of the given ones."""
+    h = values.astype(np.int64).view(np.uint64) * np.uint64(MULTIPLIER)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def keyed(gram: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """entries x offsets: hash of gram, offset and string."""
+    offset = np.arange(whole.shape[1], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = (mixed(gram).view(np.uint64)[:, None] + offset[None, :]) * np.uint64(MULTIPLIER) ^ whole
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def strings(doc, total, at, left, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """entries x offsets: hash of the string that begins so many bytes before the gram, and if there is one; and the order of the entries, by place."""
     side = SPAN - K
     order = np.lexsort((at, total, doc))
     table = np.zeros((len(order), side + SPAN), np.uint8)
     for row, i in enumerate(order.tolist()):
         table[row, side - left[i] : side - left[i] + len(contexts[i])] = np.frombuffer(contexts[i], np.uint8)
-    own = (doc[order], total[order], at[order])
     ends = side - left[order] + np.array([len(contexts[i]) for i in order.tolist()])
     h = {1: table.astype(np.uint64) + np.uint64(1)}
     factor = MULTIPLIER
     for m in (1, 2, 4, 8, 16, 32):
         h[2 * m] = h[m][:, :-m] * np.uint64(factor) + h[m][:, m:]
         factor = factor * factor % (1 << 64)
-    out = np.zeros((len(order), side + 1), bool)
     odd = np.uint64(0xBF58476D1CE4E5B9)
-    for offset in range(side + 1):
-        a = side - offset
-        whole = ((h[64][:, a] * odd + h[32][:, a + 64]) ^ (h[32][:, a + 64] >> np.uint64(7))) * odd + h[4][:, a + 96]
-        fits = (left[order] >= offset) & (ends >= a + SPAN)
-        rows = np.flatnonzero(fits)
-        _, first, back = np.unique(whole[rows], return_index=True, return_inverse=True)
-        lead = rows[first][back]
-        out[rows, offset] = (own[0][lead] != own[0][rows]) | (own[1][lead] != own[1][rows]) | (own[2][lead] != own[2][rows])
-    result = np.empty_like(out)
-    result[order] = out
+    a = side - np.arange(side + 1)
+    whole = ((h[64][:, a] * odd + h[32][:, a + 64]) ^ (h[32][:, a + 64] >> np.uint64(7))) * odd + h[4][:, a + 96]
+    fits = (left[order][:, None] >= np.arange(side + 1)[None, :]) & (ends[:, None] >= a[None, :] + SPAN)
+    return whole, fits, order
+
+
+def leaders(whole: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """entries x offsets: the first entry that has the same string."""
+    out = np.zeros(whole.shape, np.int64)
+    for offset in range(whole.shape[1]):
+        rows = np.flatnonzero(fits[:, offset])
+        _, first, back = np.unique(whole[rows, offset], return_index=True, return_inverse=True)
+        out[rows, offset] = rows[first][back]
+    return out
+
+
+def later(lead: np.ndarray, fits: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """entries x offsets: is the first entry with the same string another one."""
+    out = np.zeros(lead.shape, bool)
+    for column in place:
+        out |= column[lead] != column[:, None]
+    return out & fits
+
+
+def repeated(doc, total, at, left, contexts: list[bytes]) -> np.ndarray:
+    """entries x offsets: does an earlier entry have the same string that begins so many bytes before the gram."""
+    whole, fits, order = strings(doc, total, at, left, contexts)
+    result = np.empty(fits.shape, bool)
+    result[order] = later(leaders(whole, fits), fits, doc[order], total[order], at[order])
     return result
 
 
+def stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, first and end of each run of offsets that are hit."""
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, low = np.nonzero(edge == 1)
+    return row, low, np.nonzero(edge == -1)[1]
+
+
 def resolved(contexts: DataFrame, chunk: int = 8192) -> DataFrame:
     """doc, sum, start, end: bytes that the borders' repeats cover."""
     names = ["doc", "sum", "start", "end"]
 
+    def covered(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
     def cover(table: pa.Table):
         doc, total, at, left = (table.column(c).to_numpy() for c in ("doc", "sum", "at", "left"))
-        hit = repeated(doc, total, at, left, table.column("context").to_pylist())
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, low = np.nonzero(edge == 1)
-        _, high = np.nonzero(edge == -1)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(total[row]), pa.array(at[row] - (high - 1)), pa.array(at[row] - low + SPAN)], names=names)
+        row, low, high = stretches(repeated(doc, total, at, left, table.column("context").to_pylist()))
+        return covered(doc[row], total[row], at[row] - (high - 1), at[row] - low + SPAN)
 
-    def run(batches):
+    def grams(batches):
         held = []
         for batch in batches:
             held.append(batch)
@@ -291,16 +372,53 @@ def resolved(contexts: DataFrame, chunk: int = 8192) -> DataFrame:
         if held:
             yield cover(pa.Table.from_batches(held))
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, sum long, start long, end long")
+    def windows(batch, first):
+        """The repeats among rows sorted by hash and place; first is the hash and place that leads the last hash so far."""
+        rows = np.stack([batch.column(c).to_numpy() for c in ("gram", "doc", "sum", "at")])
+        offset = batch.column("left").to_numpy()
+        if first is not None:
+            rows, offset = np.c_[first, rows], np.r_[0, offset]
+        opens = np.r_[True, rows[0, 1:] != rows[0, :-1]]
+        lead = rows[:, np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))]
+        own = np.flatnonzero((lead != rows).any(0))
+        start = rows[3, own] - offset[own]
+        return covered(rows[1, own], rows[2, own], start, start + SPAN), lead[:, -1]
 
-
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def run(batches):
+        first = None
+
+        def others():
+            """Of each batch the GRAM rows, which come first; the other kinds' results are put aside until they are asked for."""
+            for batch in batches:
+                kind = batch.column("kind").to_numpy()
+                n = int(np.searchsorted(kind, WINDOW))
+                if n:
+                    yield batch.slice(0, n)
+                if n < batch.num_rows:
+                    rest.append(batch.slice(n))
+                    return
+
+        rest = []
+        yield from grams(others())
+        for batch in (b for source in (rest, batches) for b in source):
+            n = int(np.searchsorted(batch.column("kind").to_numpy(), KNOWN))
+            if n:
+                found, first = windows(batch.slice(0, n), first)
+                yield found
+            if n < batch.num_rows:
+                part = batch.slice(n)
+                yield covered(*[part.column(c) for c in ("doc", "sum", "at", "left")])
+
+    return contexts.repartition("gram").sortWithinPartitions("kind", "gram", "doc", "sum", "at").mapInArrow(run, "doc long, sum long, start long, end long")
+
+
+def repeats(docs: DataFrame, group: int = GROUP, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """doc, sum and text of every row of docs; and, per doc and sum, the covered stretches (start, end) as ranges."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, size // RANGE)
-    found = shared.stored(matches(indexed(docs, ranges), ranges))
+    found = shared.stored(matches(indexed(docs, ranges), ranges, group))
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("sum"), "text")
-    border = resolved(fetched(texts, found.where("gram IS NOT NULL")))
+    border = resolved(fetched(texts, found.where("gram IS NOT NULL"), crowd))
     whole = found.where("gram IS NULL").select("doc", "sum", F.greatest(F.col("at") - (SPAN - K), F.lit(0)).alias("start"), (F.col("at") + SPAN).alias("end"))
     return texts, border.union(whole).groupBy("doc", "sum").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
@@ -318,9 +436,9 @@ def kept_of(text: bytes, ranges) -> tuple[bytes, int]:
     return b"".join(parts), spans
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, group: int = GROUP, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row of docs (doc_id, text)."""
-    texts, covered = repeats(docs)
+    texts, covered = repeats(docs, group, crowd)
     joined = texts.join(covered, ["doc", "sum"], "left")
 
     def run(batches):
