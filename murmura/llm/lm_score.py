@@ -6,7 +6,8 @@ floor(log2 c) and is put in once for every level up to its own, so blocks hold q
 levels upwards until one is missing gives its level back; a wrong one needs a false positive at each step.
 
 The blocks are broadcast while they have FILTER_BYTES together, a bound that is checked on their sum. Beyond it they stay
-where they are, and each batch asks the ranges for the levels of its distinct pairs; both ways probe the same bits.
+where they are, and each batch asks the ranges for the levels of its distinct words and pairs (the start mark's level is read
+once); both ways probe the same bits, so scores don't depend on the filter's size.
 
 The base score needs exact counts of all words, known to no single machine at scale: each batch asks the ranges for the
 counts of its distinct words and gets them back by a shuffle. Equal words of a batch are asked for once, so a word of
@@ -218,10 +219,13 @@ def asked(docs: DataFrame, ranges: int, with_pairs: bool) -> DataFrame:
 
 
 def answered(requests: DataFrame, model: DataFrame, ranges: int, with_pairs: bool) -> DataFrame:
-    """batch and answers: for each kind and range, exact counts of words or levels of pairs."""
+    """batch and answers: for each kind and range, exact counts of words (kind 0), levels of pairs (1) and, with pairs, levels of words (2)."""
     known = model.select(F.lit(-1).cast("long").alias("batch"), "range", F.lit(0).cast("long").alias("kind"), F.col("words").alias("grams"), "n", F.col("block") if with_pairs else F.lit(None).cast("binary").alias("block"))
     wanted = requests.where("range >= 0").select("batch", "range", "kind", "grams", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("block"))
 
+    def levels(r, block, grams):
+        return Filter({r: block} if block else {}, ranges).levels(grams)
+
     def run(batches):
         place, words, counts, block = None, np.empty(0, np.uint64), np.empty(0, np.uint64), None
         for part in batches:
@@ -236,8 +240,10 @@ def answered(requests: DataFrame, model: DataFrame, ranges: int, with_pairs: boo
                     at = np.minimum(np.searchsorted(words, grams), max(0, len(words) - 1))
                     answer = np.where(words[at] == grams, counts[at], 0) if len(words) else np.zeros(len(grams), np.uint64)
                     rows.append((batch, kind, r, packed(answer)))
+                    if with_pairs:
+                        rows.append((batch, 2, r, packed(levels(r, block, grams))))
                 else:
-                    rows.append((batch, kind, r, packed(Filter({r: block} if block else {}, ranges).levels(grams))))
+                    rows.append((batch, kind, r, packed(levels(r, block, grams))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["batch", "kind", "range", "answer"])
 
@@ -259,8 +265,12 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU) ->
     model = train(docs, ranges)
     n_tokens, n_words, filter_size = (x or 0 for x in model.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.length("block"))).first())
     scattered = filter_size > filter_bytes
-    shipped = None
-    if not scattered:  # at most filter_bytes
+    shipped = start = None
+    if scattered:  # one block
+        r = int(range_of(np.array([START]), ranges)[0])
+        block = model.where(F.col("range") == r).select("block").first()
+        start = Filter({r: bytes(block[0])} if block else {}, ranges).levels(np.array([START]))
+    else:  # at most filter_bytes
         table = model.select("range", "block").toArrow()
         shipped = spark.sparkContext.broadcast(Filter(dict(zip(table.column("range").to_pylist(), table.column("block").to_pylist(), strict=True)), ranges))
     requests = asked(docs, ranges, scattered)
@@ -280,23 +290,19 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU) ->
                 if scattered:
                     distinct, back = np.unique(grams, return_inverse=True)
                     level = np.concatenate([unpacked(x["answer"]) for x in answers if x["kind"] == 1])[back]
-                    own = np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0)
-                    of_word = count_of(own)[place]
-                    of_before = np.r_[0.0, of_word[:-1]]
-                    texts = max(1, int(n_texts))
-                    of_before[first] = count_of(np.array([np.floor(np.log2(texts)) + 1]))[0]
+                    own = np.concatenate([unpacked(x["answer"]) for x in answers if x["kind"] == 2])
+                    opening = start
                 else:
                     known = shipped.value
-                    level = known.levels(grams)
-                    of_word = count_of(known.levels(words))[place]
-                    of_before = np.r_[0.0, of_word[:-1]]
-                    of_before[first] = count_of(known.levels(np.array([START])))[0]
+                    level, own, opening = known.levels(grams), known.levels(words), known.levels(np.array([START]))
+                of_word = count_of(own)[place]
+                of_before = np.r_[0.0, of_word[:-1]]
+                of_before[first] = count_of(opening)[0]
                 both = np.minimum(count_of(level), of_before)
                 chance = (both + mu * (of_word + 1) / (n_tokens + n_words + 1)) / (of_before + mu)
                 out = [held.column("doc_id"), held.column("held_out"), held.column("n"), pa.array(np.add.reduceat((counts > 0)[place].astype(np.int64), first)), pa.array(np.full(len(n), n_tokens, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(chance), first))]
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    n_texts = docs.where("NOT held_out").count() if scattered else 0
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 
-from murmura.llm import suffix
+from murmura.llm import lm_score, suffix
 
 
 def test_suffix_crowded_grams(spark):
@@ -36,3 +36,13 @@ def test_suffix_crowded_grams(spark):
     entries = collections.Counter(r.gram for r in found.where("gram IS NOT NULL").collect())
     assert max(entries.values()) > 100
     assert max(collections.Counter((r.kind, r.gram) for r in parts if r.kind != suffix.KNOWN).values()) < 60
+
+
+def test_lm_score_is_one_in_both_modes(spark):
+    """Unknown and rare words enough for false positives of single words in the filter."""
+    rng = random.Random(12)
+    rows = [(i, i % 3 == 0, " ".join(f"w{min(rng.randrange(1, 6000), rng.randrange(1, 6000))}" for _ in range(60))) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, False, None)], "doc_id long, held_out boolean, text string")
+    for own in (docs, docs.where("held_out")):
+        whole, scattered = ({r.doc_id: r for r in lm_score.score(own, b).collect()} for b in (lm_score.FILTER_BYTES, -1))
+        assert len(whole) == own.count() and whole == scattered
