@@ -132,11 +132,15 @@ def links(fps: DataFrame, link: int = LINK, cell: int = CELL) -> DataFrame:
     return pairs.union(found)
 
 
+def rooted(fps: DataFrame, link: int = LINK) -> DataFrame:
+    """fps (distinct fingerprints, column fp) with c, the component's own fingerprint."""
+    joined = shared.components(links(fps.select("fp"), link))
+    return fps.join(joined, fps["fp"] == joined["node"], "left").select(*[fps[c] for c in fps.columns], F.coalesce("component", "fp").alias("c"))
+
+
 def classes(marked: DataFrame, link: int = LINK) -> DataFrame:
     """fp and component_id (the smallest doc_id reachable) of every fingerprint of marked (doc_id, fp)."""
-    fps = shared.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = shared.components(links(fps.select("fp"), link))
-    named = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = rooted(shared.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), link)
     smallest = named.groupBy("c").agg(F.min("least").alias("component_id"))
     return named.join(smallest, "c").select("fp", "component_id")
 
@@ -148,14 +152,20 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (of rows that share it, any one)."""
-    grouped = shared.stored(group(docs))
-    kept = shared.stored(grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").count())
-    packed = docs.select(F.struct("*").alias("_row"), "doc_id").alias("d")
-    single = kept.groupBy("doc_id").agg(F.sum("count").alias("n")).alias("k")
-    joined = packed.join(single.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("_row", "n")
-    again = joined.where("n > 1").select("_row.*")
-    return joined.where("n = 1").select("_row.*").unionByName(again.dropDuplicates(["doc_id"]))
+    """One row of each component: the first by doc_id (null last), fingerprint and checksum of the text (of rows equal in these, any one).
+
+    A row goes only for sharing a component: ids may be null or repeated, so rows are known by id and checksum.
+    """
+    total = F.xxhash64("text")
+    marked = with_fingerprints(docs.select("doc_id", total.alias("sum"), "text")).groupBy("doc_id", "sum", "fp").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "sum", "n")).alias("first")
+    fps = shared.stored(marked.groupBy("fp").agg(first))
+    kept = shared.stored(rooted(fps).groupBy("c").agg(F.min("first").alias("first")).select("first.doc_id", "first.sum", "first.n")).alias("k")
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", total.alias("sum")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.sum") == F.col("k.sum"))
+    joined = packed.join(kept.hint("merge"), same).select("_row", "d.doc_id", "d.sum", "n")
+    again = joined.where("n > 1").dropDuplicates(["doc_id", "sum"])
+    return joined.where("n = 1").select("_row.*").unionByName(again.select("_row.*"))
 
 
 @query("op1_simhash")

@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 
-from murmura.llm import lm_score, suffix
+from murmura.llm import lm_score, simhash, suffix
 
 
 def test_suffix_crowded_grams(spark):
@@ -46,3 +46,19 @@ def test_lm_score_is_one_in_both_modes(spark):
     for own in (docs, docs.where("held_out")):
         whole, scattered = ({r.doc_id: r for r in lm_score.score(own, b).collect()} for b in (lm_score.FILTER_BYTES, -1))
         assert len(whole) == own.count() and whole == scattered
+
+
+def test_simhash_stage_keeps_one_row_a_component(spark):
+    """Unrelated texts without an id or with one id all stay; of one component, one row does, whatever its ids."""
+    rng = random.Random(13)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(80))
+    a, b, c, *others = (text() for _ in range(12))
+    rows = [(None, t) for t in others] + [(1, a), (5, a), (5, b), (7, c), (7, text()), (8, c), (8, c), (None, c), (None, None), (None, ""), (9, others[0]), (9, others[0])]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, sum long")
+    kept = simhash.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    want = [(None, t) for t in others[1:]] + [(9, others[0]), (1, a), (5, b), (7, c), (7, rows[len(others) + 4][1])]
+    assert sorted(t for _, t in got if t) == sorted(t for _, t in want)
+    assert {t: d for d, t in got if t} == {t: d for d, t in want}
+    assert sum(not t for _, t in got) == 1
