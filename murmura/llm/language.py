@@ -7,8 +7,9 @@ moves. It is the model, and is broadcast: its size is languages times BUCKETS, c
 A word's scores are the logarithms of its n-grams' smoothed probabilities, summed and clipped. A language is a candidate
 for a word if the word's main script makes up at least SCRIPT_SHARE of the letters the language was seen with; others are
 out (unless no language is a candidate). A text's words then go through Viterbi with a penalty for each change of language.
-Most texts are of one language, which can be proved without the tables: if no stretch of words gains more than the
-penalty by any other language, staying is optimal; only the other texts go through all steps.
+Most texts are of one language, which can be proved without the tables: a path that uses the best language somewhere has a
+change for each stretch of another one, so it loses if no stretch gains the penalty; one that never does has a change less
+than stretches, so its first and last stretch together must not gain the penalty either. Only the other texts go through all steps.
 
 lang_pred is the language with most letters among the spans; score is their share. The text is all that a prediction sees.
 
@@ -169,7 +170,8 @@ class Model:
         gain = np.cumsum(score - score[:, best : best + 1], 0)
         least = np.minimum(np.minimum.accumulate(gain, 0), 0.0)
         rise = gain - np.concatenate([np.zeros((1, k)), least[:-1]])
-        if rise.max() < penalty:
+        ends = gain[:-1].max(initial=0.0) + (gain[-1] - gain[:-1]).max(initial=0.0)
+        if rise.max() < penalty and ends < penalty:
             return np.full(n, best)
         values, floors = [score[0].tolist()], []
         for row in score[1:].tolist():

@@ -5,7 +5,8 @@ import random
 import re
 import zlib
 
-from murmura.llm import lm_score, simhash, suffix
+import numpy as np
+from murmura.llm import language, lm_score, simhash, suffix
 
 
 def test_suffix_crowded_grams(spark):
@@ -62,3 +63,22 @@ def test_simhash_stage_keeps_one_row_a_component(spark):
     assert sorted(t for _, t in got if t) == sorted(t for _, t in want)
     assert {t: d for d, t in got if t} == {t: d for d, t in want}
     assert sum(not t for _, t in got) == 1
+
+
+def test_viterbi_never_skips_a_better_path():
+    """Halves of two languages and a third that is close to both: the best in total is on no word of the best path."""
+    rng = np.random.default_rng(14)
+    model = language.Model(["a", "b", "c"], np.ones((3, language.BUCKETS + language.N_SCRIPTS), np.int64))
+    halves = np.array([[0, -12, -5.5], [0, -12, -5.5], [-12, 0, -5.5], [-12, 0, -5.5]])
+    assert model.spans(halves, 20.0).tolist() == [0, 0, 1, 1]
+    cases = [(halves, 20.0), (halves[:1], 20.0)]
+    for _ in range(2000):
+        parts = [np.where(np.arange(3) == rng.integers(3), 0.0, -rng.uniform(0, 12, 3)) * np.ones((rng.integers(1, 12), 1)) for _ in range(rng.integers(1, 5))]
+        cases.append((np.concatenate(parts) - rng.exponential(0.5, (sum(map(len, parts)), 3)), float(rng.uniform(2, 40))))
+    for score, penalty in cases:
+        best = score[0].copy()
+        for row in score[1:]:
+            best = np.maximum(best, best.max() - penalty) + row
+        path = model.spans(score, penalty)
+        got = score[np.arange(len(path)), path].sum() - penalty * (path[1:] != path[:-1]).sum()
+        assert abs(got - best.max()) < 1e-9
