@@ -4,14 +4,16 @@ Base spans come from three patterns. The method adds spans of kind entropy: cand
 that keys are made of; each candidate has a character class, which sets how much entropy a window must have. A fold goes
 over the candidate's characters and keeps the counts of the window and the sum of c * log2(c); one character enters
 and one leaves, so each step changes two counts and four terms. The span goes from the first window that reaches the
-class's threshold to the last. Candidates that the allow list names (words and paths, UUIDs, placeholders, ladders of digits
-or letters) are suppressed; base spans never are.
+class's threshold to the last. The allow list suppresses candidates that are words or paths as a whole, and inside others it
+blanks UUIDs, placeholders and ladders of digits or letters, so that a key beside them is still found; base spans are never
+suppressed.
 
 Everything happens where a text is read: no shuffle, no broadcast, no Python. A text costs one pass per pattern, and one
-step per character of its candidates.
+step per character of its candidates. Results of folds are copied at every step, so hits are placed in groups of about the
+square root of their number; no pattern repeats a group, which the JVM's matcher would do by recursion.
 
 Defined results: a null text counts as empty and has no spans; overlapping spans of several kinds are all listed; rows are
-independent, so repeated rows give equal results and extra columns are left alone.
+independent, so repeated rows give equal results; extra columns are left alone, but for one named _spans, which is replaced.
 """
 
 from __future__ import annotations
@@ -37,29 +39,60 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Character classes: pattern of the whole candidate and bits that a window must have; the first that fits counts.
 CLASSES = {"digits": (r"^[0-9+/_=-]+$", math.inf), "hex": (r"^[0-9A-Fa-f]+$", 3.2), "alnum": (r"^[A-Za-z0-9]+$", 3.8), "base64": (r"", 3.9)}
-ALLOW = (
-    r"^[A-Z]?[a-z]+([/_=+-]+[A-Z]?[a-z]+)*[/_=+-]*$",
-    r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6}",
-    r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"(.)\1{7}",
-)
+#: A candidate with none of these is made of words, each of small letters with a capital at most at its head, and separators.
+NO_WORDS = r"[0-9]|[A-Z](?![a-z])|[a-z][A-Z]|^[/_=+-]"
+#: What is blanked inside a candidate, and its length.
+ALLOW = {
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}": 36,
+    **{rf"(?i){w}": len(w) for w in ("example", "sample", "dummy", "placeholder", "changeme", "redacted", "0123456789", "abcdefghij", "qwertyuiop")},
+}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MARK = "[SECRET]"
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def walked(items: Column, carry: Column, kind: str, step) -> Column:
+    """struct<carry, out>: step(carry, x) gives the next carry and an array of type kind; out has all arrays' elements.
+
+    Folds copy their state at each step, so items are taken in groups of about the square root of their number.
+    """
+
+    def inside(state, x):
+        after, more = step(state["carry"], x)
+        return F.struct(after.alias("carry"), F.concat(state["out"], more).alias("out"))
+
+    def outside(items, width):
+        def group(state, k):
+            part = F.aggregate(F.slice(items, k + 1, width), F.struct(state["carry"].alias("carry"), none_of(kind).alias("out")), inside)
+            return bound(part, lambda p: F.struct(p["carry"].alias("carry"), F.concat(state["out"], F.array(p["out"])).alias("out")))
+
+        places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, width)).otherwise(none_of("array<int>"))
+        start = F.struct(carry.alias("carry"), none_of(f"array<{kind}>").alias("out"))
+        return F.aggregate(places, start, group, lambda s: F.struct(s["carry"].alias("carry"), F.flatten(s["out"]).alias("out")))
+
+    return bound(items, lambda x: outside(x, F.ceil(F.sqrt(F.size(x) + 1)).cast("int")))
+
+
 def located(pieces: Column, hits: Column, span) -> Column:
     """The spans of an array of hits, given the texts between them; span(start of the hit, hit) gives one or null."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def step(state, x):
-        start = state["at"] + F.length(x["piece"])
-        own = F.array_compact(F.array(span(start, x["hit"])))
-        moved = F.struct((start + F.length(x["hit"]["whole"])).alias("at"), F.concat(state["out"], own).alias("out"))
-        return F.when(x["hit"].isNull(), state).otherwise(moved)
+    def step(at, x):
+        start = at + x["skip"]
+        return start + F.length(x["hit"]["whole"]), F.array_compact(F.array(span(start, x["hit"])))
 
-    pairs = F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    pairs = F.zip_with(F.transform(pieces, F.length), hits, lambda n, h: F.struct(n.alias("skip"), h.alias("hit")))
+    return walked(F.filter(pairs, lambda x: x["hit"].isNotNull()), F.lit(0), SPANS, step)["out"]
 
 
 def windowed(candidate: Column) -> Column:
@@ -93,37 +126,41 @@ def windowed(candidate: Column) -> Column:
     return F.aggregate(moves, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
+def blanked(candidate: Column) -> Column:
+    """The candidate with a run of one character in place of what the allow list names."""
+    out = candidate
+    for pattern, size in ALLOW.items():
+        out = F.regexp_replace(out, pattern, "-" * size)
+    return F.when(reduce(or_, [candidate.rlike(p) for p in ALLOW]), out).otherwise(candidate)
+
+
+def spans_of(text: Column) -> Column:
+    """All spans of a text, in order."""
+
+    def base(k, pattern, group, least):
+        value = (lambda x: F.regexp_extract(x, pattern, group)) if group else lambda x: x
+        hit = lambda x: F.struct(x.alias("whole"), F.length(value(x)).alias("size"))
+        span = lambda start, h: F.when(h["size"] >= least, F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + F.length(h["whole"])).alias("end")))
+        return pattern, hit, span
+
+    def hit(x):
+        return F.struct(x.alias("whole"), F.when(x.rlike(NO_WORDS), bound(blanked(x), windowed)).alias("w"))
+
+    def span(start, h):
+        own = F.struct((start + h["w"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (start + h["w"]["last"]).alias("end"))
+        return F.when(h["w"]["last"].isNotNull(), own)
+
+    def found(pattern, of_hit, of_span):
+        place = lambda hits: located(F.split(text, pattern, -1), F.transform(hits, of_hit), of_span)
+        return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, place(hits)).otherwise(none_of(SPANS)))
+
+    parts = [found(*base(k, *x)) for k, x in enumerate(BASE.values())] + [found(CANDIDATE, hit, span)]
+    return F.array_sort(F.concat(*parts))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs with _spans, array<struct<start, kind, end>> in order (code points, end exclusive; kind by its place in KINDS)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs
-    for kind, (pattern, _, _) in BASE.items():
-        out = out.withColumn(f"_{kind}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    out = out.withColumn("_entropy", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    for kind, (pattern, group, _) in BASE.items():
-        value = (lambda x, p=pattern, g=group: F.regexp_extract(x, p, g)) if group else lambda x: x
-        out = out.withColumn(f"_{kind}_hits", F.transform(f"_{kind}", lambda x: F.struct(x.alias("whole"), F.length(value(x)).alias("size"))))
-    suppressed = lambda x: reduce(or_, [x.rlike(p) for p in ALLOW])
-    out = out.withColumn("_entropy_hits", F.transform("_entropy", lambda x: F.struct(x.alias("whole"), F.when(~suppressed(x), windowed(x)).alias("w"))))
-
-    def span(k, kind):
-        def base(start, hit):
-            own = F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + F.length(hit["whole"])).alias("end"))
-            return F.when(hit["size"] >= BASE[kind][2], own)
-
-        def entropy(start, hit):
-            own = F.struct((start + hit["w"]["first"]).alias("start"), F.lit(k).alias("kind"), (start + hit["w"]["last"]).alias("end"))
-            return F.when(hit["w"]["last"].isNotNull(), own)
-
-        return base if kind in BASE else entropy
-
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    parts = []
-    for k, kind in enumerate(KINDS):
-        pattern = BASE[kind][0] if kind in BASE else CANDIDATE
-        places = located(F.split(text, pattern, -1), F.col(f"_{kind}_hits"), span(k, kind))
-        parts.append(F.when(F.size(f"_{kind}_hits") > 0, places).otherwise(none))
-    return out.withColumn("_spans", F.array_sort(F.concat(*parts))).select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_spans"], spans_of(F.coalesce(F.col("text"), F.lit(""))).alias("_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -134,14 +171,31 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """text with MARK in place of each run of overlapping spans."""
+    run = "struct<start:int,end:int>"
+
+    def step(open_, s):
+        inside = (open_["end"] > s["start"]) & (open_["start"] >= 0)
+        grown = F.struct(open_["start"].alias("start"), F.greatest(open_["end"], s["end"]).alias("end"))
+        return F.when(inside, grown).otherwise(F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.when(inside, none_of(f"array<{run}>")).otherwise(F.array(open_))
+
+    def kept(text, runs):
+        """The parts between the runs; each group of parts is cut out of the text at once, as a cut costs its distance."""
+        width = F.ceil(F.sqrt(F.size(runs))).cast("int")
+
+        def group(k):
+            part = F.slice(runs, k + 1, width + 1)  # the next group's first run ends this one's last part
+            return bound(part, lambda p: bound(p[0]["end"], lambda first: bound(text.substr(first + 1, F.element_at(p, -1)["start"] - first), lambda own: cuts(own, first, p))))
+
+        def cuts(own, first, p):
+            pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.struct(a["end"].alias("a"), b["start"].alias("b")))
+            return F.transform(pairs, lambda x: own.substr(x["a"] - first + 1, x["b"] - x["a"]))
 
-    def step(state, s):
-        more = F.concat(state["out"], text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(MARK))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when((state["at"] > s["start"]) & (state["out"] != ""), inside).otherwise(F.struct(s["end"].alias("at"), more.alias("out")))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs) - 2, width), group)), MARK)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    before = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("end"))
+    after = F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end")))
+    merged = walked(spans, before, f"array<{run}>", step)
+    return bound(text, lambda t: bound(merged, lambda m: bound(F.concat(m["out"], F.array(m["carry"]), after), lambda runs: kept(t, runs))))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

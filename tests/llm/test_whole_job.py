@@ -1,12 +1,15 @@
 """Cases where an operator once did less than the whole job."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
 
 import numpy as np
-from murmura.llm import language, lm_score, simhash, suffix
+from pyspark.sql import functions as F
+
+from murmura.llm import language, lm_score, secrets, simhash, suffix
 
 
 def test_suffix_crowded_grams(spark):
@@ -82,3 +85,42 @@ def test_viterbi_never_skips_a_better_path():
         path = model.spans(score, penalty)
         got = score[np.arange(len(path)), path].sum() - penalty * (path[1:] != path[:-1]).sum()
         assert abs(got - best.max()) < 1e-9
+
+
+def test_secrets_on_long_paths_and_many_hits(spark):
+    """Paths of 100,000 segments, 20,000 hits in one text, long runs of one character; every hit is found, placed and cut out."""
+    rng = random.Random(15)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    hits = [f"é{'x' * (i % 5)} " + hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    texts = ["ab/" * 100_000, " ".join(hits), "é" * 1_000_000, "A" * 1_000_000, "a-" * 500_000 + key(40), f"path/sample/{key(40)}", f"id={uuid}/{key(40)}", f"id={uuid}/small"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, _spans string")
+    rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    spans = lambda i, k: [tuple(s) for s in rows[i]._spans if s["kind"] == k]
+    assert not rows[0]._spans and not rows[2]._spans and not rows[3]._spans and not rows[7]._spans
+    at, want = 0, []
+    for h in hits:
+        want.append((at + len(h) - 32, 2, at + len(h)))
+        at += len(h) + 1
+    assert spans(1, 2) == want
+    assert all(len(spans(i, 3)) == 1 and spans(i, 3)[0][2] > len(texts[i]) - 20 for i in (4, 5, 6))
+    kept = {r.doc_id: r.text for r in docs.select("doc_id", secrets.redacted(F.col("text"), secrets.spans_of(F.col("text"))).alias("text")).collect()}
+    assert kept[0] == texts[0] and kept[1] == " ".join(h[:-32] + secrets.MARK for h in hits)
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng, cases = random.Random(16), []
+    for i in range(300):
+        text = "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 80)))
+        spans = sorted((a, 0, min(len(text), a + rng.randrange(1, 12))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(0, 12))))
+        cases.append((i, text, spans))
+    rows = spark.createDataFrame(cases, "i long, text string, spans array<struct<start:int,kind:int,end:int>>")
+    for r in rows.select("i", secrets.redacted(F.col("text"), F.col("spans")).alias("out")).collect():
+        _, text, spans = cases[r.i]
+        out, at, open_ = "", 0, False
+        for a, _, b in spans:
+            if open_ and a < at:
+                at = max(at, b)
+            else:
+                out, at, open_ = out + text[at:a] + secrets.MARK, b, True
+        assert r.out == out + text[at:]
