@@ -1,15 +1,14 @@
 """SimHash near-duplicates, linked by pivot distance tables.
 
-Fingerprints are computed where a text is read. Only distinct fingerprints go on, so copies cost nothing. Two
-fingerprints that differ in at most LINK bits agree on at least BLOCKS - LINK of BLOCKS bit blocks, so each is put into one
-cell per choice of that many blocks; every link lies in a cell. Inside a cell the pivot tables work: each member's
-Hamming distances to the PIVOTS reference fingerprints are computed once, pairs whose distances to any pivot differ by
-more than LINK are discarded (the triangle inequality), and what survives is verified on the fingerprints themselves.
+Fingerprints are computed where a text is read. Only distinct fingerprints go on, so copies cost nothing. A pivot table
+discards pairs but finds none, so fingerprints first meet in coarse cells: two that differ in at most LINK bits agree on at
+least BLOCKS - LINK of BLOCKS bit blocks, and each is put into one cell per choice of that many blocks. A cell is let grow to
+STRANGERS unrelated members, and there the pivot tables do the work: each member's Hamming distances to the PIVOTS reference
+fingerprints are computed once as a row of small integers, pairs whose rows differ by more than LINK in any coordinate are
+discarded (the triangle inequality), and only what survives is verified on the fingerprints themselves.
 A cell never emits its pairs: it returns a spanning forest of its verified links. Cells of more than CELL members are
 cut into blocks, and each pair of blocks is a group of its own, so no group is unbounded and no pair is lost.
 
-The number of blocks grows with the number of distinct fingerprints, so that cells hold a few strangers at most.
-
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and link like any other; rows with
 one doc_id are one document with several fingerprints' links; a null doc_id is no component's name unless all are
 null; an empty table gives no row.
@@ -32,8 +31,12 @@ SHINGLE = 4
 LINK = 4
 SEED = 42
 CELL = 2048
-#: Reference fingerprints: as far apart as random ones are.
-PIVOTS = tuple(xxhash.xxh64_intdigest(f"pivot {k}") for k in range(8))
+#: Unrelated fingerprints that a cell may hold: what the pivot tables are there to discard.
+STRANGERS = 256
+#: Reference fingerprints: as far apart as random ones are. Of random pairs one pivot leaves 57 %, eight leave 1.5 %.
+PIVOTS = tuple(xxhash.xxh64_intdigest(f"pivot {k}") for k in range(32))
+#: Pivots by which all pairs of a cell are looked at; the others look at what these leave.
+FIRST = 6
 
 
 def fingerprint(text: bytes) -> int:
@@ -79,9 +82,9 @@ def signed(bits: int) -> int:
 
 
 def blocks_for(n: int, link: int = LINK) -> int:
-    """link + 3 blocks, or one or two more where a cell's key would have fewer bits than n needs, and three."""
-    blocks = link + 3
-    while blocks < link + 5 and 64 * (blocks - link) // blocks < n.bit_length() + 3:
+    """The least number of blocks, link + 1 to link + 5, whose cells hold at most STRANGERS of n unrelated fingerprints."""
+    blocks = link + 1
+    while blocks < link + 5 and n >> (64 // blocks * (blocks - link)) > STRANGERS:
         blocks += 1
     return blocks
 
@@ -100,14 +103,20 @@ def forest_of(link: int):
         own = np.unique(table.column("fp").to_numpy().view(np.uint64))
         n = len(own)
         tables = np.bitwise_count(own[:, None] ^ pivots[None, :]).astype(np.int8)
+        coordinates = np.ascontiguousarray(tables.T)
         root = np.arange(n)
-        for at in range(0, n, 256):
-            part = tables[at : at + 256]
-            alive = np.arange(n)[None, :] > np.arange(at, at + len(part))[:, None]
-            for k in range(len(pivots)):
-                alive &= np.abs(part[:, k][:, None] - tables[None, :, k]) <= link
+        for at in range(0, n - 1, 256):
+            end = min(n, at + 256)
+            alive = np.arange(at, n)[None, :] > np.arange(at, end)[:, None]
+            for row in coordinates[:FIRST]:
+                alive &= np.abs(row[at:end, None] - row[None, at:]) <= link
             a, b = np.nonzero(alive)
-            a += at
+            a, b = a + at, b + at
+            for k in range(FIRST, len(pivots), FIRST):
+                if not len(a):
+                    break
+                left = np.abs(tables[a, k : k + FIRST] - tables[b, k : k + FIRST]).max(1) <= link
+                a, b = a[left], b[left]
             linked = np.bitwise_count(own[a] ^ own[b]) <= link
             root = shared.roots(n, a[linked], b[linked], root)
         far = np.flatnonzero(root != np.arange(n))
