@@ -2,15 +2,19 @@
 
 Sparse suffix arrays. Every SPAN-byte string contains K-byte grams; the one with the least hash (leftmost among equals) is
 its anchor, so equal strings have their anchor at the same place, and about one byte in twenty begins an anchor. Only
-suffixes that begin at anchors are indexed, sorted by hash of the anchor's gram and hash of its context, the bytes
-that any SPAN-byte string through the gram can have.
+suffixes that begin at anchors are indexed, in the order of their first K bytes, which entries carry as four big-endian words;
+among suffixes that agree in all of these a hash of the context stands for the bytes before and behind, all that any
+SPAN-byte string through the gram can have.
 
 Logarithmic index family. Each batch of texts gets its suffix array where it is read; entries with one gram and context
 inside a batch are settled at once: all but the earliest are repeats. Arrays are then dealt by ranges of the gram's hash. In
-each range a family of arrays takes them in turn: a new array is merge-scanned against the level of its size, matches
-drop out, and equal-sized levels merge geometrically, until one is left. A matching gram and context settles the later
-entry as a repeat. What matches in the gram alone is a border: these entries' contexts are fetched from the texts, and
-each string through the gram is compared.
+each range a family of arrays takes them in turn: a new array is merge-scanned against the level of its size, neighbours that
+have a long match (the K bytes and the context) drop out, and equal-sized levels merge geometrically, until one is left.
+Neighbours with a common prefix of K bytes but another context are borders: these entries' contexts are fetched from the texts,
+and each string through the gram is compared.
+
+A batch deals to at most FAN places at once. With more ranges than that, FAN batches' arrays of one place merge there first and
+are dealt on from it, so the number of arrays that are shuffled grows with the data and not with its square.
 
 At most one entry a batch, gram and context leaves its batch unsettled, so a passage that a third of all texts share meets
 no task as a third of all rows. Borders of one gram meet in one task while the gram has at most GROUP distinct contexts.
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +45,12 @@ from murmura.llm.registry import query, read
 SPAN = 100
 K = 32
 #: Bytes of text that one batch indexes, and that one range of the index stands for.
-BATCH = 1_000_000
+BATCH = 3_000_000
 RANGE = 8_000_000
+#: Bytes of a text whose hashes are in memory at once.
+PIECE = 1_000_000
+#: Places that a batch deals its array to at once.
+FAN = 256
 #: Distinct contexts up to which a gram is one group, and how many contexts of larger ones are compared where they are read.
 GROUP = 2048
 CROWD = 4096
@@ -49,7 +58,8 @@ CROWD = 4096
 GRAM, WINDOW, KNOWN = range(3)
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
-ENTRY = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("sum", "<u4"), ("at", "<u4")])
+PREFIX = ("s0", "s1", "s2", "s3")
+ENTRY = np.dtype([*[(s, "<u8") for s in PREFIX], ("context", "<u8"), ("doc", "<i8"), ("sum", "<u4"), ("at", "<u4")])
 
 
 def gram_hashes(raw: np.ndarray, k: int = K) -> np.ndarray:
@@ -64,7 +74,7 @@ def gram_hashes(raw: np.ndarray, k: int = K) -> np.ndarray:
     return h
 
 
-def anchors(text: bytes, span: int = SPAN, k: int = K, piece: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: bytes, span: int = SPAN, k: int = K, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all span-byte strings of a text, and the hashes of their grams."""
     width, found, hashes = span - k + 1, [], []
     for a in range(0, len(text) - span + 1, piece):
@@ -87,26 +97,45 @@ def anchors(text: bytes, span: int = SPAN, k: int = K, piece: int = BATCH) -> tu
 
 def entries(doc: int, text: bytes, span: int = SPAN, k: int = K) -> np.ndarray:
     """The suffix array's entries of one text, not sorted."""
-    at, gram = anchors(text, span, k)
+    at, _ = anchors(text, span, k)
     out = np.empty(len(at), ENTRY)
+    raw = np.frombuffer(text, np.uint8)
+    for i, name in enumerate(PREFIX):
+        out[name] = raw[at[:, None] + np.arange(8 * i, 8 * i + 8)].view(">u8")[:, 0]
     side, digest = span - k, xxhash.xxh64_intdigest
-    out["gram"], out["doc"], out["sum"], out["at"] = gram, doc, zlib.crc32(text), at
+    out["doc"], out["sum"], out["at"] = doc, zlib.crc32(text), at
     out["context"] = [digest(text[p - side : p + span], side) if p >= side else digest(text[: p + span], p) for p in at.tolist()]
     return out
 
 
+def grams_of(run: np.ndarray) -> np.ndarray:
+    """A hash of the entries' grams."""
+    h = np.zeros(len(run), np.uint64)
+    for name in PREFIX:
+        h = mixed((h ^ run[name]).view(np.int64)).view(np.uint64)
+    return h
+
+
+def as_neighbour(run: np.ndarray, fields) -> np.ndarray:
+    """Is each entry but the first equal in the fields to the one before."""
+    same = np.ones(max(0, len(run) - 1), bool)
+    for f in fields:
+        same &= run[f][1:] == run[f][:-1]
+    return same
+
+
 def settle(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts entries; gives those that stay and, of each gram and context, the later ones."""
+    """Puts entries into suffix order; gives those that stay and, of each gram and context, the later ones."""
     if not len(run):
         return run, run
-    run = run[np.argsort(run["gram"], kind="stable")]  # stable: linear where two sorted arrays meet
-    same = run["gram"][1:] == run["gram"][:-1]
+    run = run[np.argsort(run["s0"], kind="stable")]  # stable: linear where two sorted arrays meet
+    same = as_neighbour(run, ["s0"])
     ties = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
     if len(ties):
         own = run[ties]
-        run[ties] = own[np.lexsort((own["at"], own["sum"], own["doc"], own["context"], own["gram"]))]
-    alike = np.r_[False, (run["gram"][1:] == run["gram"][:-1]) & (run["context"][1:] == run["context"][:-1])]
-    moved = np.r_[False, (run["doc"][1:] != run["doc"][:-1]) | (run["sum"][1:] != run["sum"][:-1]) | (run["at"][1:] != run["at"][:-1])]
+        run[ties] = own[np.lexsort([own[f] for f in ("at", "sum", "doc", "context", "s3", "s2", "s1", "s0")])]
+    alike = np.r_[False, as_neighbour(run, [*PREFIX, "context"])]
+    moved = np.r_[False, ~as_neighbour(run, ["doc", "sum", "at"])]
     return run[~alike], run[alike & moved]
 
 
@@ -140,49 +169,89 @@ UNPACK = zstandard.ZstdDecompressor()
 
 
 def packed(run: np.ndarray) -> bytes:
-    return PACK.compress(b"".join(run[f].tobytes() for f in ENTRY.names))
+    """Entries as compressed bytes, field by field and byte by byte."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(run[f]).view(np.uint8).reshape(len(run), -1).T) for f in ENTRY.names]
+    return PACK.compress(b"".join(x.tobytes() for x in planes))
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    raw = UNPACK.decompress(blob)
+    raw = np.frombuffer(UNPACK.decompress(blob), np.uint8)
     n, at = len(raw) // ENTRY.itemsize, 0
     out = np.empty(n, ENTRY)
     for f in ENTRY.names:
-        size = ENTRY[f].itemsize * n
-        out[f] = np.frombuffer(raw[at : at + size], ENTRY[f])
-        at += size
+        size = ENTRY[f].itemsize
+        out[f] = np.ascontiguousarray(raw[at : at + size * n].reshape(size, n).T).view(ENTRY[f])[:, 0]
+        at += size * n
     return out
 
 
-def indexed(docs: DataFrame, ranges: int) -> DataFrame:
-    """bucket, settled, entries: the batches' suffix arrays by range of the gram's hash; settled ones are repeats already."""
+def dealt(parts, batch: int, ranges: int, unit: int) -> pa.RecordBatch:
+    """bucket, batch, settled, entries: (entries, are they settled) by range of the gram's hash, unit ranges being one bucket."""
+    rows = []
+    for part, done in parts:
+        bucket = ((grams_of(part) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64) // unit
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        rows += [(int(bucket[order[a]]), batch, done, packed(part[order[a:b]])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "batch", "settled", "entries"])
 
-    def run(batches):
-        held, size = [], 0
-        for batch in shared.parts(batches):
+
+DEALT = "bucket long, batch long, settled boolean, entries binary"
+
+
+def indexed(docs: DataFrame, ranges: int, batches: int = 1, fan: int = FAN) -> DataFrame:
+    """bucket, batch, settled, entries: the batches' suffix arrays by range of the gram's hash; settled ones are repeats already."""
+    units = [1]
+    while units[-1] * fan < ranges:
+        units.append(units[-1] * fan)
+
+    def run(rows):
+        held, size, k = [], 0, TaskContext.get().partitionId() << 32
+        for batch in shared.parts(rows):
             for doc, text in zip(batch.column("doc_id").to_pylist(), shared.texts_of(batch.column("text")), strict=True):
                 if len(text) >= SPAN:
                     held.append(entries(NO_ID if doc is None else doc, text))
                     size += len(text)
                 if size >= BATCH:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield flush(held, k)
+                    held, size, k = [], 0, k + 1
         if held:
-            yield from flush(held)
-
-    def flush(held):
-        run, later = settle(np.concatenate(held))
-        # Anchors have low hashes, so the hash is spread again.
-        of = lambda x: ((x["gram"] * np.uint64(MULTIPLIER) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        rows = []
-        for part, done in ((run, False), (later, True)):
-            bucket = of(part)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(ranges + 1))
-            rows += [(b, done, packed(part[order[cuts[b] : cuts[b + 1]]])) for b in range(ranges) if cuts[b + 1] > cuts[b]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "settled", "entries"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, settled boolean, entries binary")
+            yield flush(held, k)
+
+    def flush(held, k):
+        own, later = settle(np.concatenate(held))
+        return dealt([(own, False), (later, True)], k, ranges, units[-1])
+
+    def merged(unit):
+        def close(place, family, done):
+            own, found = family.close()
+            return dealt([(own, False), (np.concatenate([np.empty(0, ENTRY), *done, *found]), True)], place[1], ranges, unit)
+
+        def run(rows):
+            place, family, done = None, IndexFamily(), []
+            for batch in shared.parts(rows, 50):
+                for bucket, group, settled, blob in zip(*[batch.column(c).to_pylist() for c in ("bucket", "batch", "settled", "entries")], strict=True):
+                    if (bucket, group) != place:
+                        if place is not None:
+                            yield close(place, family, done)
+                        place, family, done = (bucket, group), IndexFamily(), []
+                    if settled:
+                        done.append(unpacked(blob))
+                    else:
+                        done += family.add(unpacked(blob))
+            if place is not None:
+                yield close(place, family, done)
+
+        return run
+
+    arrays = docs.select("doc_id", "text").mapInArrow(run, DEALT)
+    for unit in reversed(units[:-1]):
+        batches = -(-batches // fan)
+        grouped = arrays.withColumn("batch", F.pmod(F.xxhash64("batch"), F.lit(batches)))
+        arrays = grouped.repartition(ranges, "bucket", "batch").sortWithinPartitions("bucket", "batch").mapInArrow(merged(unit), DEALT)
+    return arrays
 
 
 def matches(index: DataFrame, ranges: int, group: int = GROUP) -> DataFrame:
@@ -191,7 +260,7 @@ def matches(index: DataFrame, ranges: int, group: int = GROUP) -> DataFrame:
 
     def rows(run, many=None):
         settled = np.full(len(run), many is None)
-        gram = pa.array(run["gram"].astype(np.int64), mask=settled)
+        gram = pa.array(grams_of(run).view(np.int64), mask=settled)
         return pa.RecordBatch.from_arrays([pa.array(run["doc"]), pa.array(run["sum"].astype(np.int64)), pa.array(run["at"].astype(np.int64)), gram, pa.array(~settled if many is None else many, mask=settled)], names=names)
 
     def run(batches):
@@ -213,7 +282,7 @@ def matches(index: DataFrame, ranges: int, group: int = GROUP) -> DataFrame:
         whole, found = family.close()
         for later in found:
             yield rows(later)
-        same = whole["gram"][1:] == whole["gram"][:-1]
+        same = as_neighbour(whole, PREFIX)
         if same.any():
             edges = np.r_[0, np.flatnonzero(~same) + 1, len(whole)]
             size = np.repeat(np.diff(edges), np.diff(edges))
@@ -412,11 +481,11 @@ def resolved(contexts: DataFrame, chunk: int = 8192) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("kind", "gram", "doc", "sum", "at").mapInArrow(run, "doc long, sum long, start long, end long")
 
 
-def repeats(docs: DataFrame, group: int = GROUP, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, group: int = GROUP, crowd: int = CROWD, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """doc, sum and text of every row of docs; and, per doc and sum, the covered stretches (start, end) as ranges."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, size // RANGE)
-    found = shared.stored(matches(indexed(docs, ranges), ranges, group))
+    found = shared.stored(matches(indexed(docs, ranges, -(-size // BATCH), fan), ranges, group))
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("sum"), "text")
     border = resolved(fetched(texts, found.where("gram IS NOT NULL"), crowd))
     whole = found.where("gram IS NULL").select("doc", "sum", F.greatest(F.col("at") - (SPAN - K), F.lit(0)).alias("start"), (F.col("at") + SPAN).alias("end"))
@@ -436,9 +505,9 @@ def kept_of(text: bytes, ranges) -> tuple[bytes, int]:
     return b"".join(parts), spans
 
 
-def dedup(docs: DataFrame, group: int = GROUP, crowd: int = CROWD) -> DataFrame:
+def dedup(docs: DataFrame, group: int = GROUP, crowd: int = CROWD, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row of docs (doc_id, text)."""
-    texts, covered = repeats(docs, group, crowd)
+    texts, covered = repeats(docs, group, crowd, fan)
     joined = texts.join(covered, ["doc", "sum"], "left")
 
     def run(batches):

@@ -30,8 +30,8 @@ def test_suffix_crowded_grams(spark):
             seen.add(text[p : p + 100])
         kept = bytes(x for x, c in zip(text, covered, strict=True) if not c)
         want[None if doc == suffix.NO_ID else doc, len(text)] = (sum(covered), len(re.findall(b"\1+", bytes(covered))), kept)
-    for group, crowd in ((suffix.GROUP, suffix.CROWD), (20, 16), (1, 1000)):
-        got = suffix.dedup(docs, group, crowd).collect()
+    for group, crowd, fan in ((suffix.GROUP, suffix.CROWD, suffix.FAN), (20, 16, 3), (1, 1000, 2)):
+        got = suffix.dedup(docs, group, crowd, fan).collect()
         assert len(got) == len(rows)
         assert all((r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id, r.n_bytes] for r in got)
     found = suffix.matches(suffix.indexed(docs, 8), 8, 20)
