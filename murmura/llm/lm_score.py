@@ -6,13 +6,16 @@ floor(log2 c) and is put in once for every level up to its own, so blocks hold q
 levels upwards until one is missing gives its level back; a wrong one needs a false positive at each step.
 
 The blocks are broadcast while they have FILTER_BYTES together, a bound that is checked on their sum. Beyond it they stay
-where they are, and each batch asks the ranges for the levels of its distinct words and pairs (the start mark's level is read
-once); both ways probe the same bits, so scores don't depend on the filter's size.
+where they are, and each batch asks them, in groups of neighbouring ranges with about GROUP_BYTES of blocks, for the levels of its
+distinct words and pairs (the start mark's level is read once); both ways probe the same bits, so scores don't depend on
+the filter's size.
 
-The base score needs exact counts of all words, known to no single machine at scale: each batch asks the ranges for the
-counts of its distinct words and gets them back by a shuffle. Equal words of a batch are asked for once, so a word of
-every text is one row a batch. Words are known by 64-bit hashes; two of a billion distinct words share one with a
-probability of about 3 in 100.
+The base score needs exact counts of all words, known to no single machine at scale: each batch's distinct words are joined
+with the words' counts. A word of every text is one row a batch, and a join that adaptive execution can split. Words are known by
+64-bit hashes; two of a billion distinct words share one with a probability of about 3 in 100.
+
+A batch deals its counts to at most FAN places at once. With more ranges than that, FAN batches' counts of one place are summed
+there first and dealt on from it, so what is shuffled grows with the data and not with its square.
 
 P(w | h) = (min(c(hw), c(h)) + MU * (c(w) + 1) / (N + V + 1)) / (c(h) + MU), with quantised counts; a text begins after a
 start mark and ends with one end token.
@@ -34,10 +37,14 @@ from pyspark.sql import functions as F
 from murmura.llm import shared
 from murmura.llm.registry import query, read
 
-BATCH = 3_000_000
+BATCH = 6_000_000
 #: Bytes of training text that one range of the hashes stands for.
 RANGE = 8_000_000
 FILTER_BYTES = 160_000_000
+#: Bytes of blocks that one task answers from.
+GROUP_BYTES = 64_000_000
+#: Places that a batch deals its counts to at once.
+FAN = 256
 BITS, PROBES = 8, 5
 LEVELS = 40
 MU = 4.0
@@ -84,10 +91,11 @@ def gaps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.uint64(0))
 
 
-def slices(grams: np.ndarray, ranges: int):
-    """(range, first, end) of the parts of sorted hashes."""
-    cuts = np.searchsorted(range_of(grams, ranges), np.arange(ranges + 1))
-    return [(r, int(cuts[r]), int(cuts[r + 1])) for r in range(ranges) if cuts[r + 1] > cuts[r]]
+def slices(grams: np.ndarray, ranges: int, unit: int = 1):
+    """(range, first, end) of the parts of sorted hashes, unit ranges being one."""
+    places = range_of(grams, ranges) // unit
+    cuts = np.flatnonzero(np.diff(places, prepend=-1, append=-1))
+    return [(int(places[a]), int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def bits_of(grams: np.ndarray, level: int, size) -> list[np.ndarray]:
@@ -151,105 +159,142 @@ def starts(held) -> np.ndarray:
     return np.r_[0, np.cumsum([len(t) for _, _, t in held])[:-1]].astype(np.int64)
 
 
-def train(docs: DataFrame, ranges: int) -> DataFrame:
+WORD, PAIR, MARK = range(3)
+COUNTED = "range long, batch long, kind long, grams binary, n binary"
+
+
+def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    """Rows of the columns of ddl, all long or binary."""
+    fields = [f.split() for f in ddl.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.binary()) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def total(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and the sums of their counts."""
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    return grams[first], np.add.reduceat(n, first)
+
+
+def train(docs: DataFrame, ranges: int, batches: int = 1, fan: int = FAN) -> DataFrame:
     """A row per range: its words' hashes and counts, its block, and its numbers of tokens and words."""
+    units = [1]
+    while units[-1] * fan < ranges:
+        units.append(units[-1] * fan)
 
-    def count(batches):
-        for held in batched(batches):
+    def sliced(kind, grams, n, batch, unit):
+        return [(r, batch, kind, packed(gaps(grams[a:b])), packed(n[a:b])) for r, a, b in slices(grams, ranges, unit)]
+
+    def count(rows):
+        task = TaskContext.get().partitionId() << 32
+        for k, held in enumerate(batched(rows)):
             ids = np.concatenate([t for _, _, t in held])
-            rows = []
-            for kind, grams in enumerate((ids, pairs(ids, starts(held))[1])):
-                grams, n = np.unique(grams, return_counts=True)
-                rows += [(r, kind, packed(gaps(grams[a:b])), packed(n[a:b])) for r, a, b in slices(grams, ranges)]
+            out = [x for kind, grams in ((WORD, ids), (PAIR, pairs(ids, starts(held))[1])) for x in sliced(kind, *np.unique(grams, return_counts=True), task + k, units[-1])]
             # One start mark a text, a word of the model but no token.
-            rows.append((int(range_of(np.array([START]), ranges)[0]), 2, packed(np.array([START])), packed(np.array([len(held)]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "kind", "grams", "n"])
-
-    def add(batches):
-        place, held = None, {}
-        for batch in batches:
-            for r, kind, grams, n in zip(*[batch.column(c).to_pylist() for c in ("range", "kind", "grams", "n")], strict=True):
-                if r != place:
-                    if held:
-                        yield close(place, held)
-                    place, held = r, {}
-                held.setdefault(kind, []).append((np.cumsum(unpacked(grams)), unpacked(n)))
-        if held:
-            yield close(place, held)
+            yield batch_of(out + sliced(MARK, np.array([START]), np.array([len(held)]), task + k, units[-1]), COUNTED)
+
+    def grouped(keys, close):
+        """A function over rows sorted by keys: close(their values, counts by kind) gives each group's rows."""
+
+        def run(rows):
+            place, held = None, {}
+            for part in rows:
+                for *here, kind, grams, n in zip(*[part.column(c).to_pylist() for c in (*keys, "kind", "grams", "n")], strict=True):
+                    if here != place:
+                        if held:
+                            yield close(place, held)
+                        place, held = here, {}
+                    held.setdefault(kind, []).append((np.cumsum(unpacked(grams)), unpacked(n)))
+            if held:
+                yield close(place, held)
 
-    def total(parts):
-        if not parts:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(grams, kind="stable")
-        grams, n = grams[order], n[order]
-        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        return grams[first], np.add.reduceat(n, first)
+        return run
 
-    def close(r, held):
-        words, n = total(held.get(0, []))
-        both, times = total([(words, n), total(held.get(1, [])), total(held.get(2, []))])
-        columns = [(r, pa.int64()), (packed(gaps(words)), pa.binary()), (packed(n), pa.binary()), (block_of(both, times), pa.binary()), (int(n.sum()), pa.int64()), (len(words), pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["range", "words", "n", "block", "n_tokens", "n_words"])
+    def passed_on(unit):
+        return lambda place, held: batch_of([x for kind in sorted(held) for x in sliced(kind, *total(held[kind]), place[1], unit)], COUNTED)
 
-    dealt = docs.where("NOT held_out").mapInArrow(count, "range long, kind long, grams binary, n binary").repartition(ranges, "range").sortWithinPartitions("range")
-    return shared.stored(dealt.mapInArrow(add, "range long, words binary, n binary, block binary, n_tokens long, n_words long"))
+    def finished(place, held):
+        words, n = total(held.get(WORD, []))
+        both, times = total([(words, n), total(held.get(PAIR, [])), total(held.get(MARK, []))])
+        return batch_of([(place[0], packed(gaps(words)), packed(n), block_of(both, times), int(n.sum()), len(words))], MODEL)
 
+    counted = docs.where("NOT held_out").mapInArrow(count, COUNTED)
+    for unit in reversed(units[:-1]):
+        batches = -(-batches // fan)
+        joint = counted.withColumn("batch", F.pmod(F.xxhash64("batch"), F.lit(batches)))
+        counted = joint.repartition(ranges, "range", "batch").sortWithinPartitions("range", "batch").mapInArrow(grouped(("range", "batch"), passed_on(unit)), COUNTED)
+    return shared.stored(counted.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(grouped(("range",), finished), MODEL))
 
-def asked(docs: DataFrame, ranges: int, with_pairs: bool) -> DataFrame:
-    """Per batch: one row with its texts as places in its list of distinct words, and a row per range and kind of gram with what it asks for."""
+
+MODEL = "range long, words binary, n binary, block binary, n_tokens long, n_words long"
+#: Kinds of rows about a batch, in the order in which they are taken: its texts, counts of its words, levels of pairs and of words.
+TEXTS, COUNT, OF_PAIRS, OF_WORDS = range(4)
+ASKED = "batch long, kind long, place long, n long, blob binary, docs binary"
+
+
+def known_words(model: DataFrame) -> DataFrame:
+    """gram and n: the training words' hashes and counts."""
+
+    def run(batches):
+        for part in batches:
+            for grams, n in zip(part.column("words").to_pylist(), part.column("n").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpacked(grams)).view(np.int64)), pa.array(unpacked(n).view(np.int64))], names=["gram", "n"])
+
+    return model.select("words", "n").mapInArrow(run, "gram long, n long")
+
+
+def asked(docs: DataFrame, groups: int) -> DataFrame:
+    """Per batch: a row with its texts as places in its list of distinct words, a row per word, and per group of ranges (if any) what it asks for."""
 
     def run(batches):
         task = TaskContext.get().partitionId() << 32
         for k, held in enumerate(batched(batches)):
             ids = np.concatenate([t for _, _, t in held])
-            words, place = np.unique(ids, return_inverse=True)
+            words, place = np.unique(ids.view(np.int64), return_inverse=True)
             docs_ = pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in held], pa.int64()), pa.array([o for _, o, _ in held], pa.bool_()), pa.array([len(t) for _, _, t in held], pa.int64())], names=["doc_id", "held_out", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs_.schema) as out:
                 out.write_batch(docs_)
-            rows = [(task + k, -1, -1, packed(gaps(words)), packed(place), sink.getvalue().to_pybytes())]
-            kinds = [words, np.unique(pairs(ids, starts(held))[1])] if with_pairs else [words]
-            for kind, grams in enumerate(kinds):
-                rows += [(task + k, r, kind, packed(gaps(grams[a:b])), None, None) for r, a, b in slices(grams, ranges)]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["batch", "range", "kind", "grams", "place", "docs"])
-
-    return shared.stored(docs.mapInArrow(run, "batch long, range long, kind long, grams binary, place binary, docs binary"))
+            rows = [(task + k, TEXTS, 0, 0, packed(place), sink.getvalue().to_pybytes())]
+            if groups:
+                for kind, grams in ((OF_PAIRS, np.unique(pairs(ids, starts(held))[1])), (OF_WORDS, np.unique(ids))):
+                    rows += [(task + k, kind, r, 0, packed(gaps(grams[a:b])), None) for r, a, b in slices(grams, groups)]
+            yield batch_of(rows, ASKED)
+            own = [pa.array(np.full(len(words), task + k)), pa.array(np.full(len(words), COUNT)), pa.array(words), pa.array(np.zeros(len(words), np.int64)), pa.nulls(len(words), pa.binary()), pa.nulls(len(words), pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=["batch", "kind", "place", "n", "blob", "docs"])
 
+    return shared.stored(docs.mapInArrow(run, ASKED))
 
-def answered(requests: DataFrame, model: DataFrame, ranges: int, with_pairs: bool) -> DataFrame:
-    """batch and answers: for each kind and range, exact counts of words (kind 0), levels of pairs (1) and, with pairs, levels of words (2)."""
-    known = model.select(F.lit(-1).cast("long").alias("batch"), "range", F.lit(0).cast("long").alias("kind"), F.col("words").alias("grams"), "n", F.col("block") if with_pairs else F.lit(None).cast("binary").alias("block"))
-    wanted = requests.where("range >= 0").select("batch", "range", "kind", "grams", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("block"))
 
-    def levels(r, block, grams):
-        return Filter({r: block} if block else {}, ranges).levels(grams)
+def levels_of(requests: DataFrame, model: DataFrame, ranges: int, groups: int) -> DataFrame:
+    """The requests for levels, answered. A group of ranges is answered in one task, which holds the group's blocks."""
+    blocks = model.select(F.lit(-1).cast("long").alias("batch"), F.col("range").alias("kind"), F.floor(F.col("range") * groups / ranges).alias("place"), F.lit(0).cast("long").alias("n"), F.col("block").alias("blob"), F.lit(None).cast("binary").alias("docs"))
+    # A range that two groups share is known to both.
+    last = F.floor((F.col("kind") * groups + groups - 1) / F.lit(ranges))
+    blocks = blocks.select("batch", "kind", F.explode(F.sequence("place", last)).alias("place"), "n", "blob", "docs")
 
     def run(batches):
-        place, words, counts, block = None, np.empty(0, np.uint64), np.empty(0, np.uint64), None
+        place, held, known = None, {}, None
         for part in batches:
             rows = []
-            for batch, r, kind, grams, n, own in zip(*[part.column(c).to_pylist() for c in ("batch", "range", "kind", "grams", "n", "block")], strict=True):
-                if r != place:
-                    place, words, counts, block = r, np.empty(0, np.uint64), np.empty(0, np.uint64), None
-                grams = np.cumsum(unpacked(grams))
+            for batch, kind, group, blob in zip(*[part.column(c).to_pylist() for c in ("batch", "kind", "place", "blob")], strict=True):
+                if group != place:
+                    place, held, known = group, {}, None
                 if batch < 0:
-                    words, counts, block = grams, unpacked(n), own
-                elif kind == 0:
-                    at = np.minimum(np.searchsorted(words, grams), max(0, len(words) - 1))
-                    answer = np.where(words[at] == grams, counts[at], 0) if len(words) else np.zeros(len(grams), np.uint64)
-                    rows.append((batch, kind, r, packed(answer)))
-                    if with_pairs:
-                        rows.append((batch, 2, r, packed(levels(r, block, grams))))
+                    held[kind] = blob
                 else:
-                    rows.append((batch, kind, r, packed(levels(r, block, grams))))
+                    known = known or Filter(held, ranges)
+                    rows.append((batch, kind, group, 0, packed(known.levels(np.cumsum(unpacked(blob)))), None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["batch", "kind", "range", "answer"])
+                yield batch_of(rows, ASKED)
 
-    dealt = known.union(wanted).repartition(ranges, "range").sortWithinPartitions("range", "batch")
-    found = dealt.mapInArrow(run, "batch long, kind long, range long, answer binary")
-    return found.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("kind", "range", "answer"))).alias("answers"))
+    dealt = blocks.union(requests.where(F.col("kind").isin(OF_PAIRS, OF_WORDS))).repartition(groups, "place").sortWithinPartitions("place", "batch")
+    return dealt.mapInArrow(run, ASKED)
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
@@ -257,53 +302,69 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (1.5 * 2.0 ** (level.astype(np.float64) - 1) - 0.5), 0.0)
 
 
-def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU, fan: int = FAN, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Of every row of docs (doc_id, held_out, text): n_tokens, n_known, train_tokens, base_score and score. Rows with held_out don't train."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, size // RANGE)
-    model = train(docs, ranges)
+    model = train(docs, ranges, -(-size // BATCH), fan)
     n_tokens, n_words, filter_size = (x or 0 for x in model.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.length("block"))).first())
-    scattered = filter_size > filter_bytes
+    groups = max(2, filter_size // group_bytes) if filter_size > filter_bytes else 0
     shipped = start = None
-    if scattered:  # one block
+    if groups:  # one block
         r = int(range_of(np.array([START]), ranges)[0])
         block = model.where(F.col("range") == r).select("block").first()
         start = Filter({r: bytes(block[0])} if block else {}, ranges).levels(np.array([START]))
     else:  # at most filter_bytes
         table = model.select("range", "block").toArrow()
         shipped = spark.sparkContext.broadcast(Filter(dict(zip(table.column("range").to_pylist(), table.column("block").to_pylist(), strict=True)), ranges))
-    requests = asked(docs, ranges, scattered)
-    joined = requests.where("range = -1").select("batch", "grams", "place", "docs").join(answered(requests, model, ranges, scattered), "batch")
+    requests = asked(docs, groups)
+    exact = requests.where(F.col("kind") == COUNT).select("batch", "kind", "place").join(known_words(model).withColumnRenamed("gram", "place"), "place", "left")
+    none = F.lit(None).cast("binary")
+    about = requests.where(F.col("kind") == TEXTS).union(exact.select("batch", "kind", "place", F.coalesce("n", F.lit(0)).alias("n"), none, none))
+    if groups:
+        about = about.union(levels_of(requests, model, ranges, groups))
 
     def run(batches):
+        own, held = None, {}
         for part in batches:
-            for grams, place, rows, answers in zip(*[part.column(c).to_pylist() for c in ("grams", "place", "docs", "answers")], strict=True):
-                words, place = np.cumsum(unpacked(grams)), unpacked(place).astype(np.int64)
-                held = pa.ipc.open_stream(rows).read_all()
-                n = held.column("n").to_numpy()
-                first = np.r_[0, np.cumsum(n)[:-1]]
-                counts = np.concatenate([unpacked(x["answer"]) for x in answers if x["kind"] == 0]).astype(np.float64)
-                base = np.log10((counts + 1) / (n_tokens + n_words + 1))[place]
-                ids = words[place]
-                before, grams = pairs(ids, first)
-                if scattered:
-                    distinct, back = np.unique(grams, return_inverse=True)
-                    level = np.concatenate([unpacked(x["answer"]) for x in answers if x["kind"] == 1])[back]
-                    own = np.concatenate([unpacked(x["answer"]) for x in answers if x["kind"] == 2])
-                    opening = start
-                else:
-                    known = shipped.value
-                    level, own, opening = known.levels(grams), known.levels(words), known.levels(np.array([START]))
-                of_word = count_of(own)[place]
-                of_before = np.r_[0.0, of_word[:-1]]
-                of_before[first] = count_of(opening)[0]
-                both = np.minimum(count_of(level), of_before)
-                chance = (both + mu * (of_word + 1) / (n_tokens + n_words + 1)) / (of_before + mu)
-                out = [held.column("doc_id"), held.column("held_out"), held.column("n"), pa.array(np.add.reduceat((counts > 0)[place].astype(np.int64), first)), pa.array(np.full(len(n), n_tokens, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(chance), first))]
-                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            batch, kind = part.column("batch").to_numpy(), part.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(batch) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if batch[a] != own:
+                    if held:
+                        yield scored(held)
+                    own, held = batch[a], {}
+                held.setdefault(int(kind[a]), []).append(part.slice(a, b - a))
+        if held:
+            yield scored(held)
+
+    def scored(held):
+        column = lambda kind, c: [x for part in held.get(kind, []) for x in part.column(c).to_pylist()]
+        numbers = lambda c: np.concatenate([part.column(c).to_numpy() for part in held[COUNT]])
+        words, counts = numbers("place").view(np.uint64), numbers("n").astype(np.float64)
+        place, texts = unpacked(column(TEXTS, "blob")[0]).astype(np.int64), pa.ipc.open_stream(column(TEXTS, "docs")[0]).read_all()
+        n = texts.column("n").to_numpy()
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        base = np.log10((counts + 1) / (n_tokens + n_words + 1))[place]
+        before, grams = pairs(words[place], first)
+        if groups:
+            level = np.concatenate([unpacked(x) for x in column(OF_PAIRS, "blob")])[np.unique(grams, return_inverse=True)[1]]
+            own, opening = np.empty(len(words), np.uint64), start
+            own[np.argsort(words)] = np.concatenate([unpacked(x) for x in column(OF_WORDS, "blob")])
+        else:
+            known = shipped.value
+            level, own, opening = known.levels(grams), known.levels(words), known.levels(np.array([START]))
+        of_word = count_of(own)[place]
+        of_before = np.r_[0.0, of_word[:-1]]
+        of_before[first] = count_of(opening)[0]
+        both = np.minimum(count_of(level), of_before)
+        chance = (both + mu * (of_word + 1) / (n_tokens + n_words + 1)) / (of_before + mu)
+        out = [texts.column("doc_id"), texts.column("held_out"), texts.column("n"), pa.array(np.add.reduceat((counts > 0)[place].astype(np.int64), first)), pa.array(np.full(len(n), n_tokens, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(chance), first))]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    together = about.repartition("batch").sortWithinPartitions("batch", "kind", "place")
+    return together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 @query("op7_lm_score")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -48,8 +49,32 @@ def test_lm_score_is_one_in_both_modes(spark):
     rows = [(i, i % 3 == 0, " ".join(f"w{min(rng.randrange(1, 6000), rng.randrange(1, 6000))}" for _ in range(60))) for i in range(200)]
     docs = spark.createDataFrame([*rows, (None, False, None)], "doc_id long, held_out boolean, text string")
     for own in (docs, docs.where("held_out")):
-        whole, scattered = ({r.doc_id: r for r in lm_score.score(own, b).collect()} for b in (lm_score.FILTER_BYTES, -1))
-        assert len(whole) == own.count() and whole == scattered
+        whole, *others = ({r.doc_id: r for r in lm_score.score(own, *x).collect()} for x in ((lm_score.FILTER_BYTES,), (-1,), (-1, lm_score.MU, 2, 3000), (lm_score.FILTER_BYTES, lm_score.MU, 3)))
+        assert len(whole) == own.count() and all(whole == x for x in others)
+
+
+def test_lm_score_by_the_formula(spark):
+    """Scores from quantised counts, in plain Python; a few differ, by the filter's false positives."""
+    rng = random.Random(17)
+    rows = [(i, i % 4 == 0, " ".join(f"w{min(rng.randrange(1, 300), rng.randrange(1, 300))}" for _ in range(rng.randrange(40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string")
+    one, two = collections.Counter(), collections.Counter()
+    for _, out, text in rows:
+        if not out:
+            words = ["<s>", *text.split(), "</s>"]
+            one.update(words)
+            two.update(zip(words, words[1:], strict=False))
+    n, v = sum(one.values()) - one["<s>"], len(one) - 1
+    level = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    close = 0
+    for r in lm_score.score(docs).collect():
+        words, want = ["<s>", *rows[r.doc_id][2].split(), "</s>"], 0.0
+        for a, b in zip(words, words[1:], strict=False):
+            before = level(one[a])
+            want += math.log10((min(level(two[a, b]), before) + lm_score.MU * (level(one[b]) + 1) / (n + v + 1)) / (before + lm_score.MU))
+        close += abs(r.score - want) < 1e-9
+        assert abs(r.score - want) < 0.1 * abs(want) + 2
+    assert close > 80
 
 
 def test_simhash_stage_keeps_one_row_a_component(spark):
