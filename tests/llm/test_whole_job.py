@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from murmura.llm import language, lm_score, secrets, simhash, suffix
+from murmura.llm import embeddings, language, lm_score, secrets, shared, simhash, suffix
 
 
 def test_suffix_crowded_grams(spark):
@@ -149,3 +149,30 @@ def test_redaction_of_overlapping_spans(spark):
             else:
                 out, at, open_ = out + text[at:a] + secrets.MARK, b, True
         assert r.out == out + text[at:]
+
+
+def test_embedding_counts_of_large_components(spark):
+    """A tight group, a chain round the circle and a loose cloud in one table: counts by centres, by radii and by meeting runs."""
+    rng = np.random.default_rng(18)
+    base, turn = rng.standard_normal((3, 12)), np.linspace(0, 6, 700)
+    tight = base[0] + 0.02 * rng.standard_normal((500, 12))
+    chain = np.outer(np.cos(turn), [1, *[0] * 11]) + np.outer(np.sin(turn), [0, 1, *[0] * 10])
+    cloud = base[1] + 0.35 * np.linalg.norm(base[1]) / np.sqrt(12) * rng.standard_normal((900, 12))
+    both = base[2] + np.r_[0.01, 0.3][rng.integers(2, size=500)][:, None] * rng.standard_normal((500, 12))
+    all_ = np.concatenate([tight, chain, cloud, both, tight[:5]])
+    unit = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    alike = unit @ unit.T >= 0.95
+    np.fill_diagonal(alike, False)
+    root = shared.roots(len(all_), *np.nonzero(alike))
+    rows = spark.createDataFrame([(i, x.tolist(), "c", 1) for i, x in enumerate(all_)], "vec_id long, embedding array<double>, component string, key int")
+    for run in (32, 300):
+        got = {r.vec_id: r for r in embeddings.near_duplicates(rows.repartition(5), run=run).collect()}
+        assert [got[i].n_links for i in range(len(all_))] == alike.sum(1).tolist()
+        assert [got[i].component_id for i in range(len(all_))] == root.tolist()
+    twice = {r.vec_id: r.n_links for r in embeddings.near_duplicates(rows.where("vec_id < 40").union(rows.where("vec_id < 40")), run=16).collect()}
+    assert twice[0] == 2 * int(alike[0, :40].sum()) + 1
+
+
+def test_embedding_passes_grow():
+    known = [embeddings.passes_for(n, 0.95, 512) for n in (0, 10**4, 10**6, 10**9, 10**11)]
+    assert known == sorted(known) and known[0] == embeddings.PASSES and known[3] > 30
