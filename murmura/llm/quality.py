@@ -110,10 +110,29 @@ def steps() -> dict:
 
 
 def binomial_cdf(x: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= x), summed exactly term by term."""
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(x + 1)]
-    top = max(log)
-    return min(1.0, math.exp(top) * sum(math.exp(v - top) for v in log))
+    """P(Bin(n, p) <= x), as the incomplete beta function I(1 - p; n - x, x + 1) by its continued fraction: no list of terms."""
+    if x >= n:
+        return 1.0
+    a, b, z = n - x, x + 1, 1 - p
+    if z > (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
+        return 1.0 - beta_share(b, a, p)
+    return beta_share(a, b, z)
+
+
+def beta_share(a: int, b: int, z: float) -> float:
+    tiny = 1e-300
+    d = 1.0 / (1.0 - (a + b) * z / (a + 1) or tiny)
+    c, out, m = 1.0, d, 0
+    while m < 100_000:
+        m += 1
+        change = 1.0
+        for term in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 / (1.0 + term * d or tiny), 1.0 + term / c or tiny
+            change = d * c
+            out *= change
+        if abs(change - 1.0) < 1e-15:
+            break
+    return min(1.0, max(0.0, math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(z) + b * math.log1p(-z)) * out / a))
 
 
 def certified(good: list[int], bad: list[int], alpha: float, delta: float, weight: float = GOOD_WEIGHT) -> int | None:

@@ -292,6 +292,15 @@ def test_quality(docs, empty, spark):
     assert quality.evaluate(empty, labels).count() == 0
 
 
+def test_binomial_cdf():
+    for n in (1, 7, 60, 400):
+        for p in (0.002, 0.05, 0.4, 0.9):
+            terms = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+            for x in {0, 1, n // 20, n // 2, n - 1, n}:
+                assert quality.binomial_cdf(x, n, p) == pytest.approx(sum(terms[: x + 1]), rel=1e-9, abs=1e-12)
+    assert quality.binomial_cdf(10**7, 10**9, 0.01) == pytest.approx(0.5, abs=1e-3)
+
+
 def test_certified_is_exact():
     assert quality.binomial_cdf(2, 10, 0.3) == pytest.approx(sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(3)))
     assert quality.certified([0, 0, 500], [50, 10, 5], 0.05, 0.01) == 2
