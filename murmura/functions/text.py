@@ -1,20 +1,43 @@
-"""Column functions on transcripts: normalisation, tags, words."""
+"""Column functions on transcripts: normalisation, tags, words, and tagged text as words and events."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from murmura.functions.arrays import bound
+
+#: The bracket grammar of tags, and the Unicode classes that count as punctuation and white space.
 TAG = r"\[[^\[\]]*\]|[^\s\[\]]+"
+BRACKETED = r"\[[^\[\]]*\]"
+MARKS = r"[\p{P}\p{S}]"
+BLANKS = r"[\s\p{Z}]+"
+#: What a token that begins a word starts with.
+WORD_START = "[ ▁]"
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode normal form C, which Spark has no function for."""
+    return text.str.normalize("NFC")
+
 
+def nfc(text: Column) -> Column:
+    """Normal form C; only texts with other characters than ASCII are sent to Python."""
+    return F.coalesce(composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
-def normalized(text: Column) -> Column:
-    """Lower case, punctuation and symbols as blanks, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]", " "), r"\s+", " "))
+
+def normalized(text: Column, lower: bool = True, marks: bool = True) -> Column:
+    """Lower case, punctuation and symbols as blanks, white space collapsed. For composed text, apply nfc() first."""
+    out = F.lower(text) if lower else text
+    out = F.regexp_replace(out, MARKS, " ") if marks else out
+    return F.trim(F.regexp_replace(out, BLANKS, " "))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[ \n\t\r]+", -1), lambda w: w != "")
+    return F.filter(F.split(text, BLANKS, -1), lambda w: w != "")
 
 
 def tokens(tagged: Column) -> Column:
@@ -24,17 +47,56 @@ def tokens(tagged: Column) -> Column:
 
 def tag_name(token: Column) -> Column:
     """The lower-cased name inside a tag; null for a word."""
-    return F.when(token.startswith("["), F.trim(F.lower(F.regexp_replace(token, r"[\[\]]", ""))))
+    return F.when(token.startswith("["), F.lower(F.regexp_replace(token, r"^\[[\s\p{Z}]*|[\s\p{Z}]*\]$", "")))
 
 
 def unbalanced(tagged: Column) -> Column:
     """Does a bracket remain once all tags are gone."""
-    return F.regexp_replace(tagged, r"\[[^\[\]]*\]", " ").rlike(r"[\[\]]")
+    return F.regexp_replace(tagged, BRACKETED, " ").rlike(r"[\[\]]")
+
+
+def parsed(tagged: Column, known: list[str] | None = None, unknown: str = "keep") -> Column:
+    """struct<words, events: array<struct<e, type, gap>>, unknown, error> of a tagged text; gap is the number of words before.
+
+    An event's gap is its place among the tokens less the number of tags before it, so nothing is counted token by token.
+    Tags that known doesn't list (an empty one is never known) are kept as events, dropped, or an error, as unknown says.
+    A text with brackets that don't pair up is an error; errors have neither words nor events.
+    """
+    if unknown not in ("keep", "drop", "error"):
+        raise ValueError(f"no such policy for unknown tags: {unknown}")
+
+    def of(all_):
+        tags = F.filter(F.transform(all_, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].startswith("["))
+        events = F.transform(tags, lambda x, e: F.struct(tag_name(x["t"]).alias("type"), (x["i"] - e).alias("gap")))
+        return bound(events, lambda ev: shaped(F.filter(all_, lambda t: ~t.startswith("[")), ev))
+
+    def is_known(x):
+        return F.lit(True) if known is None else (x["type"] != "") & x["type"].isin(known)
+
+    def shaped(own, events):
+        strange = F.transform(F.filter(events, lambda x: ~is_known(x)), lambda x: x["type"])
+        kept = F.filter(events, is_known) if unknown == "drop" else events
+        error = F.when(unbalanced(tagged), "unbalanced bracket")
+        if unknown == "error":
+            error = error.when(F.size(strange) > 0, F.concat(F.lit("unknown tag: "), F.get(strange, 0)))
+        numbered = F.transform(kept, lambda x, e: F.struct(e.alias("e"), x["type"].alias("type"), x["gap"].alias("gap")))
+        clean = lambda x: F.when(error.isNull(), x)
+        return F.struct(clean(own).alias("words"), clean(numbered).alias("events"), strange.alias("unknown"), error.alias("error"))
+
+    return bound(tokens(tagged), of)
+
+
+def rendered(words: Column, events: Column) -> Column:
+    """The tagged text of words and events: the inverse of parsed, but for white space and capitals in tags."""
+    own = F.transform(words, lambda w, i: F.struct(i.alias("gap"), F.lit(1).alias("k"), F.lit(0).alias("e"), w.alias("s")))
+    tags = F.transform(events, lambda x: F.struct(x["gap"].alias("gap"), F.lit(0).alias("k"), x["e"].alias("e"), F.concat(F.lit("["), x["type"], F.lit("]")).alias("s")))
+    return F.array_join(F.transform(F.array_sort(F.concat(own, tags)), lambda x: x["s"]), " ")
 
 
-def tagged(text: Column) -> Column:
-    """Tagged transcript of a plain text: sentence ends breathe, commas laugh, line ends clear the throat."""
-    plain = F.regexp_replace(text, r"[\[\]]", "")
-    for mark, tag in ((". ", " [breathing] "), (", ", " [laughter] "), ("\n", " [throatclearing] ")):
-        plain = F.replace(plain, F.lit(mark), F.lit(tag))
-    return plain
+#: Punctuation beside which a tag is flagged: ASCII but for brackets, and the common blocks of others.
+BESIDE = r"""[!"#%&'()*,\-./:;?@\\_{}$+<=>^`|~\x{A1}-\x{BF}\x{2010}-\x{2027}]"""
+#: Quality flags of a tagged transcript, as patterns; the ninth, decomposed, is a comparison with nfc().
+FLAGS = {
+    "upper": r"\p{Lu}", "digit": r"\p{Nd}", "punct": MARKS, "white": r"[\s\p{Z}]{2}|^[\s\p{Z}]|[\s\p{Z}]\z", "wide": r"[^\x00-\x7F]", "bracket": r"[\[\]]",
+    "glued": r"[^\s\[]\[[^\[\]]*\]|\[[^\[\]]*\][^\s\]]", "beside_punct": BESIDE + r"\s*\[[^\[\]]*\]|\[[^\[\]]*\]\s*" + BESIDE,
+}

@@ -1,65 +1,166 @@
-"""Word alignment: error counts natively, substitutions, deletions and insertions by an Arrow function."""
+"""Word alignment: least edit paths of whole batches of utterances at once, and word error rates made of them."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from murmura.functions import text as T
 
-SIZE = 40
-
-
-def utterances(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, speaker, k, ref and hyp: whole texts as runs of size words, and a recognition of each with known slips."""
-    spread = docs.select("doc_id", F.col("source").alias("speaker"), F.posexplode(T.words(F.col("text"))).alias("i", "w"))
-    runs = spread.groupBy("doc_id", "speaker", F.floor(F.col("i") / size).alias("k")).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("pairs"))
-    slip = F.col("doc_id") * 31
-    heard = F.flatten(F.transform("pairs", lambda x: F.when((slip + x["i"]) % 17 == 0, F.array().cast("array<string>")).when((slip + x["i"]) % 23 == 0, F.array(F.lit("x"))).when((slip + x["i"]) % 29 == 0, F.array(x["w"], x["w"])).otherwise(F.array(x["w"]))))
-    return runs.select("doc_id", "speaker", "k", F.transform("pairs", lambda x: x["w"]).alias("ref"), heard.alias("hyp"))
-
-
-def errors(ref: Column, hyp: Column, known: Column) -> Column:
-    """Word edit distance as that of strings of one character a word; known lists the distinct words, fewer than 94."""
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.char(33 + F.array_position(known, w))), "")
-    return F.levenshtein(code(ref), code(hyp))
-
-
-def with_errors(spoken: DataFrame) -> DataFrame:
-    known = spoken.withColumn("known", F.array_distinct(F.concat("ref", "hyp")))
-    return known.select("doc_id", "speaker", "k", F.size("ref").alias("ref_words"), F.size("hyp").alias("hyp_words"), errors(F.col("ref"), F.col("hyp"), F.col("known")).alias("errors"))
-
-
-def trace(ref: list, hyp: list) -> list[tuple[int | None, int | None]]:
-    """Pairs of an optimal alignment; going back, a match or substitution comes before a deletion, that before an insertion."""
-    n, m = len(ref), len(hyp)
-    cost = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i and j:
-                cost[i][j] = min(cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-            else:
-                cost[i][j] = i + j
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-            out.append((i, None))
+#: Cells of the cost tables that are in memory at once; a single pair of utterances may have more.
+CELLS = 8_000_000
+
+
+def codes(ref: pa.ListArray, hyp: pa.ListArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The words of both sides as whole numbers, equal for equal words of the batch."""
+    both = pa.concat_arrays([ref.flatten(), hyp.flatten()])
+    numbers = both.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    sizes = np.r_[ref.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), hyp.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)]
+    parts = np.split(numbers, np.cumsum(sizes)[:-1])
+    return parts[: len(ref)], parts[len(ref) :]
+
+
+def padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows), default=0)), fill, np.int64)
+    for i, x in enumerate(rows):
+        out[i, : len(x)] = x
+    return out
+
+
+def cost_tables(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """pairs x (n + 1) x (m + 1) edit distances of prefixes. Row by row for all pairs: a running minimum does for insertions."""
+    (count, n), m = a.shape, b.shape[1]
+    slope = np.arange(m + 1, dtype=np.int32)
+    table = np.empty((count, n + 1, m + 1), np.int32)
+    table[:, 0] = slope
+    for i in range(n):
+        above, row = table[:, i], table[:, i + 1]
+        np.add(above, 1, out=row)
+        np.minimum(row[:, 1:], above[:, :-1] + (a[:, i, None] != b), out=row[:, 1:])
+        row -= slope
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += slope
+    return table
+
+
+def paths(ref: list[np.ndarray], hyp: list[np.ndarray]):
+    """Of each pair, the steps of a least path: (step of the walk, pair, i, j), i or j being -1 where a side has no word.
+
+    The walk goes back from the ends for all pairs at once. Fixed rule for ties: a match or substitution before a
+    deletion, that before an insertion.
+    """
+    a, b = padded(ref, -1), padded(hyp, -2)
+    table = cost_tables(a, b)
+    i, j = np.array([len(x) for x in ref]), np.array([len(x) for x in hyp])
+    own, out = np.arange(len(ref)), []
+    while len(own):
+        left = (i[own] > 0) | (j[own] > 0)
+        own = own[left]
+        if not len(own):
+            break
+        x, y = i[own], j[own]
+        here, up, back = table[own, x, y], np.maximum(x - 1, 0), np.maximum(y - 1, 0)
+        inside = (x > 0) & (y > 0)
+        if a.shape[1] and b.shape[1]:
+            both = inside & (here == table[own, up, back] + (a[own, up] != b[own, back]))
         else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
+            both = np.zeros(len(own), bool)
+        gone = ~both & (x > 0) & (here == table[own, up, y] + 1)
+        out.append((own, np.where(both | gone, up, -1), np.where(gone, -1, back)))
+        i[own] = np.where(both | gone, up, x)
+        j[own] = np.where(gone, y, back)
+    return out
+
+
+def by_size(ref, hyp):
+    """Places of pairs in groups of like size whose tables fit into CELLS together."""
+    n, m = np.array([len(x) for x in ref]), np.array([len(x) for x in hyp])
+    order, group, high = np.lexsort((m, n)), [], [0, 0]
+    for k in order.tolist():
+        high_ = [max(high[0], n[k] + 1), max(high[1], m[k] + 1)]
+        if group and (len(group) + 1) * high_[0] * high_[1] > CELLS:
+            yield group
+            group, high_ = [], [n[k] + 1, m[k] + 1]
+        group.append(k)
+        high = high_
+    if group:
+        yield group
+
 
+def walked(ref: pa.ListArray, hyp: pa.ListArray):
+    """pair, i and j of all steps of all paths, in order of the walk (backwards)."""
+    a, b = codes(ref, hyp)
+    parts = [(np.empty(0, np.int64),) * 3]
+    for group in by_size(a, b):
+        places = np.array(group)
+        parts += [(places[own], i, j) for own, i, j in paths([a[k] for k in group], [b[k] for k in group])]
+    pair, i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pair, i, j, a, b
 
-@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("sub", "del", "ins")]))
+
+def arrays_of(ref: pd.Series, hyp: pd.Series) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.array([None if x is None else list(x) for x in s], pa.list_(pa.string())) for s in (ref, hyp))
+
+
+@F.pandas_udf(StructType([StructField(k, LongType()) for k in ("sub", "del", "ins")]))
 def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(ref, hyp, strict=True):
-        pairs = trace(list(a), list(b))
-        rows.append((sum(i is not None and j is not None and a[i] != b[j] for i, j in pairs), sum(j is None for _, j in pairs), sum(i is None for i, _ in pairs)))
-    return pd.DataFrame(rows, columns=["sub", "del", "ins"])
+    """Substitutions, deletions and insertions of the least path of each pair of arrays of words; null counts as empty."""
+    pair, i, j, a, b = walked(*arrays_of(ref, hyp))
+    starts = [np.r_[0, np.cumsum([len(x) for x in s])[:-1]].astype(np.int64) for s in (a, b)]
+    both = (i >= 0) & (j >= 0)
+    left, right = (np.concatenate([*s, [-1]]) for s in (a, b))
+    other = both.copy()
+    other[both] = left[starts[0][pair[both]] + i[both]] != right[starts[1][pair[both]] + j[both]]
+    count = lambda mask: np.bincount(pair[mask], minlength=len(ref))
+    return pd.DataFrame({"sub": count(other), "del": count(j < 0), "ins": count(i < 0)})
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(k, IntegerType()) for k in "ij"])))
+def aligned(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """The least path of each pair of arrays of words: places in both, null where a side has no word."""
+    pair, i, j, _, _ = walked(*arrays_of(ref, hyp))
+    order = np.argsort(pair, kind="stable")
+    cuts = np.searchsorted(pair[order], np.arange(len(ref) + 1))
+    place = lambda x: None if x < 0 else int(x)
+    out = [[{"i": place(i[k]), "j": place(j[k])} for k in order[cuts[r] : cuts[r + 1]][::-1]] for r in range(len(ref))]
+    return pd.Series(out)
+
+
+def rated(spoken: DataFrame, recognised: DataFrame, keys: list[str]) -> DataFrame:
+    """Errors of every row of spoken (keys, text) against recognised (keys, text, error): no row is lost.
+
+    Both texts are normalised. A row without recognition has the error missing_asr_record, a failed one keeps its error; an empty
+    reference has a null wer, but its errors count.
+    """
+    heard = recognised.select(*keys, F.col("text").alias("_heard"), F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    joined = spoken.join(heard, keys, "left").withColumn("error", F.when(F.col("_there").isNull(), "missing_asr_record").otherwise(F.col("_error")))
+    clean = lambda c: T.words(T.normalized(T.nfc(F.col(c))))
+    sides = joined.withColumn("ref", clean("text")).withColumn("hyp", F.when(F.col("error").isNull(), clean("_heard")))
+    counted = sides.withColumn("_x", edit_counts(F.when(F.col("error").isNull(), F.col("ref")), "hyp"))
+    own = [F.when(F.col("error").isNull(), c) for c in (F.size("ref"), F.size("hyp"), F.col("_x.sub"), F.col("_x.del"), F.col("_x.ins"))]
+    named = [c.cast("long").alias(n) for c, n in zip(own, ("ref_words", "hyp_words", "sub", "del", "ins"), strict=True)]
+    digits = F.when(F.col("error").isNull(), F.col("_heard").rlike(r"\p{Nd}")).alias("hyp_has_digits")
+    out = counted.select(*[c for c in spoken.columns if c != "text"], *named, digits, "error")
+    out = out.withColumn("errors", F.col("sub") + F.col("del") + F.col("ins"))
+    return out.withColumn("wer", F.try_divide(F.col("errors").cast("double"), F.col("ref_words")))
+
+
+def corpus_rate(errors: Column, words: Column) -> Column:
+    return F.try_divide(F.sum(errors).cast("double"), F.sum(words))
+
+
+def summarised(rows: DataFrame, speaker: str = "speaker") -> DataFrame:
+    """One row: corpus, mean and macro error rates, S, D, I, samples, failures and samples with digits."""
+    by = rows.groupBy(speaker).agg(
+        *[F.sum(c).alias(c) for c in ("errors", "ref_words", "sub", "del", "ins", "wer")], F.count("wer").alias("rated"), F.count("*").alias("n"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if("hyp_has_digits").alias("digits"),
+    )
+    macro = F.avg(F.try_divide(F.col("errors").cast("double"), F.col("ref_words")))
+    return by.agg(
+        corpus_rate(F.col("errors"), F.col("ref_words")).alias("corpus"), F.try_divide(F.sum("wer"), F.sum("rated")).alias("mean"), macro.alias("macro"),
+        *[F.sum(c).alias(c) for c in ("sub", "del", "ins")], F.sum("n").alias("n_samples"), F.sum("failed").alias("n_failed"), F.sum("digits").alias("n_hyp_with_digits"),
+    )

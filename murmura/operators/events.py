@@ -1,4 +1,8 @@
-"""Events of tagged transcripts: parsing, detections, band joins and one-to-one matching with reasons for misses."""
+"""Events of tagged transcripts against detections: one-to-one matching, reasons for misses, sweeps and chance baselines.
+
+events: sample_id, speaker, e (number in the sample), type, gap (words before it), n_words. found: sample_id, type, gap, prob, at
+most one row per sample, gap and type. Both may have further key columns, such as a replicate or a point of a grid.
+"""
 
 from __future__ import annotations
 
@@ -6,77 +10,198 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import text as T
+from murmura.operators import stats
 
-
-def parsed(docs: DataFrame) -> DataFrame:
-    """sample_id, speaker, pos, type (null for a word), gap (words so far) and n_words of every token of the tagged texts."""
-    spread = docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("speaker"), F.posexplode(T.tokens(T.tagged(F.col("text")))).alias("pos", "token"))
-    kind = spread.withColumn("type", T.tag_name(F.col("token")))
-    word = F.col("type").isNull().cast("int")
-    sample = Window.partitionBy("sample_id")
-    return kind.select("sample_id", "speaker", "pos", "token", "type", F.sum(word).over(sample.orderBy("pos")).alias("gap"), F.sum(word).over(sample).alias("n_words"))
+#: A threshold over 1 means that a type is disabled.
+DISABLED = 1.01
 
 
-def gold(docs: DataFrame) -> DataFrame:
-    """The events with their number e in the sample."""
-    order = Window.partitionBy("sample_id").orderBy("pos")
-    return parsed(docs).where("type IS NOT NULL").withColumn("e", F.row_number().over(order) - 1)
+def parsed(texts: DataFrame, known: list[str] | None = None, unknown: str = "keep") -> DataFrame:
+    """texts (sample_id, speaker, tagged) with words, events, unknown and error in place of tagged."""
+    own = texts.withColumn("_p", T.parsed(F.col("tagged"), known, unknown))
+    return own.select(*[c for c in texts.columns if c != "tagged"], "_p.words", "_p.events", "_p.unknown", "_p.error")
 
 
-def detected(events: DataFrame) -> DataFrame:
-    """sample_id, speaker, gap, type and prob: at most one detection per gap and type, derived from the events with known slips."""
-    s, e = F.col("sample_id"), F.col("e")
-    shift = F.when((s + e) % 4 == 2, 1).when((s + e) % 4 == 3, -2).otherwise(0)
-    kind = F.when((s + e) % 7 == 0, F.when(F.col("type") == "laughter", "breathing").otherwise("laughter")).otherwise(F.col("type"))
-    prob = 0.3 + ((s * 7 + e * 13) % 70) / F.lit(100.0)
-    found = events.where((s * 3 + e) % 5 != 0).select("sample_id", "speaker", (F.col("gap") + shift).alias("gap"), kind.alias("type"), prob.alias("prob"))
-    return found.where("gap >= 0").groupBy("sample_id", "speaker", "gap", "type").agg(F.max("prob").alias("prob"))
+def listed(rows: DataFrame) -> DataFrame:
+    """A row per event of parsed texts."""
+    return rows.where("error IS NULL").select("sample_id", "speaker", F.size("words").cast("long").alias("n_words"), F.inline("events")).select("sample_id", "speaker", "n_words", "e", "type", F.col("gap").cast("long").alias("gap"))
 
 
 def position(gap: Column, n_words: Column) -> Column:
     return F.when(gap == 0, "start").when(gap >= n_words, "end").otherwise("mid")
 
 
-def threshold(base: float, scale: float) -> float:
-    """A threshold over 1 stays disabled; others scale, up to 1."""
-    return base if base > 1 else min(base * scale, 1.0)
+def position_or_only(gap: Column, n_words: Column) -> Column:
+    """As position, but a text without words has one place only, and a gap past the end none."""
+    return F.when(n_words == 0, "only").when(gap == 0, "start").when(gap == n_words, "end").otherwise("mid")
+
+
+def threshold(base: Column, scale: Column) -> Column:
+    """A disabled type's threshold stays; others scale, up to 1; a type without one is disabled."""
+    own = F.coalesce(base, F.lit(DISABLED))
+    return F.when(own > 1, own).otherwise(F.least(own * scale, F.lit(1.0)))
+
+
+def fired(found: DataFrame, thresholds: DataFrame, scale: Column | float = 1.0) -> DataFrame:
+    """found whose probability reaches its type's threshold (thresholds: type, base, a row a type)."""
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
+    return found.join(F.broadcast(thresholds), "type", "left").where(F.col("prob") >= threshold(F.col("base"), scale)).drop("base")
+
 
+def tolerance(text: str) -> tuple[int, int]:
+    """(before, after) of "2" (both) or "0:1"."""
+    parts = [int(x) for x in text.split(":")]
+    if len(parts) > 2 or min(parts) < 0:
+        raise ValueError(f"no tolerance: {text}")
+    return parts[0], parts[-1]
 
-def reaching(found: DataFrame, before: int, after: int) -> DataFrame:
-    """A row per detection and gap that it can serve, so that a band join is an equi-join."""
-    return found.select("sample_id", F.col("type").alias("as"), F.col("gap").alias("found"), "prob", F.explode(F.sequence(F.col("gap") - after, F.col("gap") + before)).alias("gap"))
+
+def tolerance_label(before: int, after: int) -> str:
+    return str(before) if before == after else f"{before}:{after}"
+
+
+def with_tolerance(found: DataFrame, before: int, after: int) -> DataFrame:
+    return found.withColumn("before", F.lit(before)).withColumn("after", F.lit(after))
+
+
+def reaching(found: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per detection and gap that it can serve, so that a band join is an equi-join. found has before and after."""
+    return found.select(*keys, "sample_id", F.col("type").alias("as"), F.col("gap").alias("found"), "prob", "before", "after", F.explode(F.sequence(F.col("gap") - F.col("after"), F.col("gap") + F.col("before"))).alias("gap"))
 
 
 def banded(events: DataFrame, found: DataFrame, before: int, after: int) -> DataFrame:
     """Pairs of an event and a detection of its type whose gap is at most before earlier or after later."""
-    near = reaching(found, before, after).withColumnRenamed("as", "type")
-    return events.select("sample_id", "type", "e", "gap").join(near, ["sample_id", "type", "gap"])
+    near = reaching(with_tolerance(found, before, after), []).withColumnRenamed("as", "type")
+    return events.select("sample_id", "type", "e", "gap").join(near.drop("before", "after"), ["sample_id", "type", "gap"])
 
 
-def matched(events: DataFrame, found: DataFrame, before: int, after: int) -> DataFrame:
+def matched(events: DataFrame, found: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """One-to-one pairs, taken from the closest on, then the most probable, the earliest event and the earliest gap.
 
-    Pairs of different types or samples never compete, and neither do pairs that are further apart than the band: a fold over
-    each sample and type's ordered pairs takes what is still free.
+    Pairs of different types, samples or keys never compete, nor do pairs of events that lie further apart than both
+    tolerances reach: each run of events between such distances is a group of its own, and a fold over a group's
+    ordered pairs takes what is still free. Both tables have the keys, or events has none of them; found has before and after.
     """
-    pairs = banded(events, found, before, after)
-    ordered = pairs.groupBy("sample_id", "type").agg(F.array_sort(F.collect_list(F.struct(F.abs(F.col("found") - F.col("gap")).alias("far"), (-F.col("prob")).alias("less"), "e", F.col("found").alias("at"), "gap", "prob"))).alias("pairs"))
-    none = F.array().cast("array<struct<e:int,at:bigint,gap:bigint,prob:double>>")
+    own = [k for k in keys if k in events.columns]
+    near = reaching(found, keys).withColumnRenamed("as", "type")
+    pairs = events.select(*own, "sample_id", "type", "e", "gap").join(near, [*own, "sample_id", "type", "gap"])
+    place = [*keys, "sample_id", "type"]
+    order = Window.partitionBy(*place).orderBy("gap", "e", "found")
+    apart = F.col("gap") - F.lag("gap").over(order) > F.col("before") + F.col("after")
+    runs = pairs.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.struct(F.abs(F.col("found") - F.col("gap")).alias("far"), (-F.col("prob")).alias("less"), "e", F.col("found").alias("at"), "gap")
+    ordered = runs.groupBy(*place, "_run").agg(F.array_sort(F.collect_list(rank)).alias("pairs"))
 
     def take(taken, x):
         free = ~F.exists(taken, lambda t: (t["e"] == x["e"]) | (t["at"] == x["at"]))
-        return F.when(free, F.concat(taken, F.array(F.struct(x["e"].alias("e"), x["at"].alias("at"), x["gap"].alias("gap"), x["prob"].alias("prob"))))).otherwise(taken)
+        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
+
+    none = F.filter("pairs", lambda x: F.lit(False))
+    return ordered.select(*place, F.inline(F.aggregate("pairs", none, take))).select(*place, "e", F.col("at").alias("found"), (F.col("at") - F.col("gap")).alias("offset"), (-F.col("less")).alias("prob"))
 
-    folded = ordered.select("sample_id", "type", F.explode(F.aggregate("pairs", none, take)).alias("m"))
-    return folded.select("sample_id", "type", "m.e", F.col("m.at").alias("found"), (F.col("m.at") - F.col("m.gap")).alias("offset"), "m.prob")
 
+def judged(events: DataFrame, found: DataFrame, probs: DataFrame | None = None) -> DataFrame:
+    """Every event with hit, offset, prob and reason.
 
-def judged(events: DataFrame, found: DataFrame, before: int, after: int) -> DataFrame:
-    """Every event with hit, offset and reason: ok, wrong_type, wrong_position or missing, in this order of precedence."""
-    hits = matched(events, found, before, after).select("sample_id", "e", "offset")
-    near = events.join(reaching(found, before, after), ["sample_id", "gap"]).where(F.col("as") != F.col("type")).select("sample_id", "e").distinct().withColumn("near_other", F.lit(True))
-    kinds = found.groupBy("sample_id", "type").agg(F.min("gap").alias("low"), F.max("gap").alias("high"))
-    far = events.join(kinds, ["sample_id", "type"]).where((F.col("low") < F.col("gap") - before) | (F.col("high") > F.col("gap") + after)).select("sample_id", "e").withColumn("far_same", F.lit(True))
-    joined = events.join(hits, ["sample_id", "e"], "left").join(near, ["sample_id", "e"], "left").join(far, ["sample_id", "e"], "left")
-    reason = F.when(F.col("offset").isNotNull(), "ok").when(F.col("near_other"), "wrong_type").when(F.col("far_same"), "wrong_position").otherwise("missing")
-    return joined.select("sample_id", "speaker", "type", "e", "gap", "n_words", F.col("offset").isNotNull().alias("hit"), "offset", reason.alias("reason"))
+    found has before and after. Reasons, first that holds: ok; alignment_unreliable (the event's gap is not valid and no other
+    type was found near: only where events has a column valid); wrong_type; wrong_position; missing. A miss has the
+    probability of its type at its own gap, from probs (as found, before any threshold).
+    """
+    hits = matched(events, found).select("sample_id", "e", "offset", "prob")
+    near = reaching(found, []).groupBy("sample_id", "gap").agg(F.collect_set("as").alias("near"))
+    reach = found.groupBy("sample_id", "type").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.first("before").alias("before"), F.first("after").alias("after"))
+    all_ = (found if probs is None else probs).groupBy("sample_id", "type", "gap").agg(F.max("prob").alias("at_gap"))
+    joined = events.join(hits, ["sample_id", "e"], "left").join(near, ["sample_id", "gap"], "left").join(reach, ["sample_id", "type"], "left").join(all_, ["sample_id", "type", "gap"], "left")
+    hit = F.col("offset").isNotNull()
+    other = F.coalesce(F.size(F.array_except("near", F.array("type"))) > 0, F.lit(False))
+    far = (F.col("low") < F.col("gap") - F.col("before")) | (F.col("high") > F.col("gap") + F.col("after"))
+    reason = F.when(hit, "ok")
+    if "valid" in events.columns:
+        reason = reason.when(~F.col("valid") & ~other, "alignment_unreliable")
+    reason = reason.when(other, "wrong_type").when(far, "wrong_position").otherwise("missing")
+    return joined.select(*events.columns, hit.alias("hit"), "offset", F.coalesce("prob", "at_gap").alias("prob"), reason.alias("reason"))
+
+
+def counted(outcomes: DataFrame, policy: str = "miss") -> DataFrame:
+    """The outcomes that count: policy exclude leaves out events whose alignment is unreliable."""
+    if policy not in ("miss", "exclude"):
+        raise ValueError(f"no such policy for unreliable alignments: {policy}")
+    return outcomes if policy == "miss" else outcomes.where("reason <> 'alignment_unreliable'")
+
+
+def spurious(events: DataFrame, found: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Detections that no event took."""
+    used = matched(events, found, keys).select(*keys, "sample_id", "type", F.col("found").alias("gap"))
+    return found.join(used, [*keys, "sample_id", "type", "gap"], "left_anti")
+
+
+def placed_anew(events: DataFrame, reps: int, seed: int) -> DataFrame:
+    """The events, once a replicate, in gaps drawn uniformly by hash from their sample's; types stay."""
+    many = events.select(*[c for c in events.columns if c != "gap"], F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    return many.withColumn("gap", stats.drawn(seed, F.col("rep"), F.col("sample_id"), F.col("e"), n=F.col("n_words") + 1))
+
+
+def baseline(events: DataFrame, found: DataFrame, reps: int, seed: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Per keys: the accuracy that events placed by chance reach against the same detections, over replicates (mean, std, low, high)."""
+    anew = placed_anew(events, reps, seed)
+    many = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    hits = matched(anew, many, [*keys, "rep"]).groupBy(*keys, "rep").agg(F.count("*").alias("hits"))
+    points = found.select(*keys).distinct() if keys else found.sparkSession.range(1).select()
+    every = points.join(F.broadcast(found.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))))
+    total = events.agg(F.count("*").alias("n"))
+    rate = F.try_divide(F.coalesce("hits", F.lit(0)).cast("double"), F.col("n"))
+    rates = every.join(hits, [*keys, "rep"], "left").join(F.broadcast(total)).withColumn("r", rate)
+    return rates.groupBy(*keys).agg(F.count("r").alias("reps"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("low"), F.max("r").alias("high"))
+
+
+def grid(found: DataFrame, thresholds: DataFrame, scales: list[float], tolerances: list[tuple[int, int]]) -> DataFrame:
+    """found at every scale and tolerance of the grid: a detection once per point at which it fires."""
+    points = [F.struct(F.lit(float(s)).alias("scale"), F.lit(b).alias("before"), F.lit(a).alias("after")) for s in dict.fromkeys(scales) for b, a in dict.fromkeys(tolerances)]
+    many = found.select("*", F.inline(F.array(*points)))
+    return fired(many, thresholds, F.col("scale"))
+
+
+POINT = ["scale", "before", "after"]
+
+
+def sweep(events: DataFrame, found: DataFrame, thresholds: DataFrame, scales: list[float], tolerances: list[tuple[int, int]], reps: int = 2, seed: int = 0) -> DataFrame:
+    """Per point of the grid and type, with a row of type null for all: n, hits, accuracy, spurious; given reps, for all also baseline and lift."""
+    at = grid(found, thresholds, scales, tolerances)
+    hits = matched(events, at, POINT).groupBy(*POINT, "type").agg(F.count("*").alias("hits"))
+    seen = at.groupBy(*POINT, "type").agg(F.count("*").alias("seen"))
+    types = events.groupBy("type").agg(F.count("*").alias("n"))
+    points = events.sparkSession.createDataFrame([(float(s), b, a) for s in dict.fromkeys(scales) for b, a in dict.fromkeys(tolerances)], "scale double, before int, after int")
+    kinds = types.select("type").union(found.select("type")).distinct()
+    every = kinds.join(F.broadcast(points)).join(types, "type", "left").join(hits, [*POINT, "type"], "left").join(seen, [*POINT, "type"], "left").na.fill(0, ["n", "hits", "seen"])
+    rolled = every.groupingSets([[*map(F.col, POINT)], [*map(F.col, POINT), F.col("type")]], *POINT, "type").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "seen")])
+    out = rolled.select(*POINT, "type", "n", "hits", F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("accuracy"), (F.col("seen") - F.col("hits")).alias("spurious"))
+    if not reps:
+        return out
+    chance = baseline(events, at, reps, seed, POINT).select(*POINT, F.col("mean").alias("chance"))
+    joined = out.join(F.broadcast(chance), POINT, "left")  # a row a point
+    own = F.when(F.col("type").isNull(), F.coalesce("chance", F.lit(0.0)))
+    return joined.select(*out.columns, own.alias("baseline"), (F.col("accuracy") - own).alias("lift"))
+
+
+def summarised(outcomes: DataFrame, spurious_rows: DataFrame, words: DataFrame, policy: str = "miss") -> DataFrame:
+    """One row: micro and macro accuracy, detection rate, type accuracy given a detection, spurious detections per 100 words (words: n)."""
+    own = counted(outcomes, policy)
+    wrong = F.count_if(F.col("reason") == "wrong_type").alias("wrong")
+    type_ = own.groupBy("type").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), wrong)
+    speaker = own.groupBy("speaker").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    rate = F.try_divide(F.col("hits").cast("double"), F.col("n"))
+    s = lambda c: F.sum(c).cast("double")
+    all_ = type_.agg(
+        F.sum("n").alias("n"), F.try_divide(s("hits"), F.sum("n")).alias("micro"), F.avg(rate).alias("macro_type"),
+        F.try_divide(s("hits") + s("wrong"), F.sum("n")).alias("detection_rate"), F.try_divide(s("hits"), s("hits") + s("wrong")).alias("type_accuracy"),
+    )
+    left = spurious_rows.agg(F.count("*").alias("spurious"))
+    one = all_.join(F.broadcast(speaker.agg(F.avg(rate).alias("macro_speaker")))).join(F.broadcast(left)).join(F.broadcast(words))  # each of one row
+    return one.withColumn("per_100_words", F.try_divide(100.0 * F.col("spurious"), F.col("n_words"))).drop("n_words")
+
+
+def offsets(events: DataFrame, found: DataFrame, reach: int = 5) -> DataFrame:
+    """Every event with the shift to the closest detection of its type within reach, the earlier of two; null without any."""
+    shift = F.col("found") - F.col("gap")
+    best = banded(events, found, reach, reach).groupBy("sample_id", "e").agg(F.min_by(shift, F.abs(shift) * 2 + (shift > 0).cast("int")).alias("shift"))
+    return events.join(best, ["sample_id", "e"], "left")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("transcripts", "placement", "ratings", "statistics", "corpus")
+MODULES = ("transcripts", "placement", "timings", "ratings", "statistics", "corpus")
 
 
 def load() -> None:

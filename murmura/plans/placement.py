@@ -1,79 +1,79 @@
-"""Events in tagged transcripts: inventories, detections, matching, tolerance and threshold sweeps."""
+"""Events in tagged transcripts: inventories, matching with detections, sweeps, chance baselines."""
 
 from pyspark.sql import functions as F
 
 from murmura.operators import events as E
-from murmura.plans import read
+from murmura.plans import fixtures as X
 from murmura.registry import query
 
-GOLD = r"""
-tok AS (
-  SELECT doc_id AS sample_id, source AS speaker, regexp_extract_all(replace(replace(replace(regexp_replace(text, '[\[\]]', '', 'g'),
-    '. ', ' [breathing] '), ', ', ' [laughter] '), chr(10), ' [throatclearing] '), '\[[^\[\]]*\]|[^\s\[\]]+') AS a FROM documents),
-spread AS (SELECT sample_id, speaker, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS pos FROM tok),
-kind AS (SELECT *, CASE WHEN token[1] = '[' THEN trim(lower(regexp_replace(token, '[\[\]]', '', 'g'))) END AS type FROM spread),
-parsed AS (SELECT *, (sum((type IS NULL)::INT) OVER (PARTITION BY sample_id ORDER BY pos))::BIGINT AS gap, (sum((type IS NULL)::INT) OVER (PARTITION BY sample_id))::BIGINT AS n_words FROM kind),
-gold AS (SELECT sample_id, speaker, type, gap, n_words, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS e FROM parsed WHERE type IS NOT NULL)
-"""
-FOUND = GOLD + r""",
-found AS (
-  SELECT sample_id, speaker, gap, type, max(prob) AS prob FROM (
-    SELECT sample_id, speaker, gap + CASE (sample_id + e) % 4 WHEN 2 THEN 1 WHEN 3 THEN -2 ELSE 0 END AS gap,
-      CASE WHEN (sample_id + e) % 7 = 0 THEN CASE WHEN type = 'laughter' THEN 'breathing' ELSE 'laughter' END ELSE type END AS type,
-      0.3::DOUBLE + ((sample_id * 7 + e * 13) % 70)::DOUBLE / 100::DOUBLE AS prob
-    FROM gold WHERE (sample_id * 3 + e) % 5 <> 0) WHERE gap >= 0 GROUP BY ALL)
-"""
-
-
-def gold(spark, sf_dir):
-    return E.gold(read(spark, sf_dir, "documents"))
+gold = X.gold
 
 
-@query("parse_tags_events", f"WITH {GOLD} SELECT type, count(*) AS n, count(DISTINCT sample_id) AS samples, sum(gap)::BIGINT AS gaps FROM gold GROUP BY type")
+@query("parse_tags_events", f"WITH {X.GOLD} SELECT type, count(*) AS n, count(DISTINCT sample_id) AS samples, sum(gap)::BIGINT AS gaps FROM gold GROUP BY type")
 def parse_tags_events(spark, sf_dir):
     return gold(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("samples"), F.sum("gap").alias("gaps"))
 
 
-@query("tag_inventory", f"""WITH {GOLD}, total AS (SELECT count(*) FILTER (type IS NULL) AS words, count(DISTINCT sample_id) AS samples FROM parsed)
-SELECT type, count(*) AS n, round(100::DOUBLE * count(*) / any_value(words), 9) AS per_100_words, round(100::DOUBLE * count(DISTINCT sample_id) / any_value(samples), 9) AS percent_samples FROM gold, total GROUP BY type""")
-def tag_inventory(spark, sf_dir):
-    every = E.parsed(read(spark, sf_dir, "documents"))
-    total = every.agg(F.count_if(F.col("type").isNull()).alias("words"), F.count_distinct("sample_id").alias("samples"))  # one row
-    by = every.where("type IS NOT NULL").groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("own"))
-    return by.join(F.broadcast(total)).select("type", "n", F.round(100.0 * F.col("n") / F.col("words"), 9).alias("per_100_words"), F.round(100.0 * F.col("own") / F.col("samples"), 9).alias("percent_samples"))
+def sizes(spark, sf_dir):
+    """speaker, n_words and events of every text; a text is parsed once."""
+    return X.parsed(spark, sf_dir).where("error IS NULL").select("sample_id", "speaker", F.size("words").cast("long").alias("n_words"), "events")
 
 
-@query("position_classes", f"WITH {GOLD} SELECT type, CASE WHEN gap = 0 THEN 'start' WHEN gap >= n_words THEN 'end' ELSE 'mid' END AS place, count(*) AS n FROM gold GROUP BY ALL")
+@query("tag_inventory", f"""WITH {X.GOLD}, total AS (SELECT count(*) FILTER (type IS NULL) AS words, count(DISTINCT sample_id) AS samples FROM parsed)
+SELECT type, count(*) AS n, round(100::DOUBLE * count(*) / any_value(words), 9) AS per_100_words, round(100::DOUBLE * count(DISTINCT sample_id) / any_value(samples), 9) AS percent_samples,
+  count(*) FILTER (gap = 0) AS at_start, count(*) FILTER (gap > 0 AND gap < n_words) AS at_mid, count(*) FILTER (gap > 0 AND gap >= n_words) AS at_end FROM gold, total GROUP BY type""")
+def tag_inventory(spark, sf_dir):
+    """Words and samples come along as counts by type, so that texts are read once: every sample has a row of no type."""
+    none = F.array(F.struct(F.lit(0).alias("e"), F.lit(None).cast("string").alias("type"), F.lit(0).alias("gap")))
+    every = sizes(spark, sf_dir).where("n_words > 0 OR size(events) > 0").select("sample_id", "n_words", F.inline(F.concat("events", none)))
+    place = E.position(F.col("gap"), F.col("n_words"))
+    per = every.groupBy("type").agg(
+        F.count("*").alias("n"), F.count_distinct("sample_id").alias("own"), F.sum("n_words").alias("words"), *[F.count_if(place == x).alias(f"at_{x}") for x in ("start", "mid", "end")]
+    )
+    total = per.where("type IS NULL").select("words", F.col("own").alias("samples"))  # one row
+    by = per.where("type IS NOT NULL").drop("words").join(F.broadcast(total))
+    return by.select("type", "n", F.round(F.try_divide(100.0 * F.col("n"), "words"), 9).alias("per_100_words"), F.round(F.try_divide(100.0 * F.col("own"), "samples"), 9).alias("percent_samples"), "at_start", "at_mid", "at_end")
+
+
+@query("position_classes", f"WITH {X.GOLD} SELECT type, CASE WHEN gap = 0 THEN 'start' WHEN gap >= n_words THEN 'end' ELSE 'mid' END AS place, CASE WHEN n_words = 0 THEN 'only' WHEN gap = 0 THEN 'start' WHEN gap = n_words THEN 'end' ELSE 'mid' END AS place_or_only, count(*) AS n FROM gold GROUP BY ALL")
 def position_classes(spark, sf_dir):
-    return gold(spark, sf_dir).groupBy("type", E.position(F.col("gap"), F.col("n_words")).alias("place")).agg(F.count("*").alias("n"))
+    own = [F.col("gap"), F.col("n_words")]
+    return gold(spark, sf_dir).groupBy("type", E.position(*own).alias("place"), E.position_or_only(*own).alias("place_or_only")).agg(F.count("*").alias("n"))
 
 
-@query("position_deciles", f"WITH {GOLD} SELECT least((gap * 10) // n_words, 9)::INT AS decile, count(*) AS n FROM gold WHERE n_words > 0 GROUP BY ALL")
+@query("position_deciles", f"WITH {X.GOLD} SELECT least((gap * 10) // n_words, 9)::INT AS decile, count(*) AS n FROM gold WHERE n_words > 0 GROUP BY ALL")
 def position_deciles(spark, sf_dir):
     return gold(spark, sf_dir).where("n_words > 0").groupBy(F.least(F.floor(F.col("gap") * 10 / F.col("n_words")), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("n"))
 
 
-@query("events_per_gap", f"WITH {GOLD} SELECT events, count(*) AS gaps FROM (SELECT sample_id, gap, count(*) AS events FROM gold GROUP BY ALL) GROUP BY events")
+@query("events_per_gap", f"""WITH {X.GOLD}, each_gap AS (SELECT sample_id, gap, count(*) AS events, count(DISTINCT type) AS types FROM gold GROUP BY ALL), each_text AS (SELECT sample_id, count(*) AS events, count(DISTINCT type) AS types FROM gold GROUP BY ALL)
+SELECT 'gap' AS per, events, types, count(*) AS n FROM each_gap GROUP BY ALL UNION ALL SELECT 'text', least(events, 50), types, count(*) FROM each_text GROUP BY ALL""")
 def events_per_gap(spark, sf_dir):
-    return gold(spark, sf_dir).groupBy("sample_id", "gap").agg(F.count("*").alias("events")).groupBy("events").agg(F.count("*").alias("gaps"))
+    """How many events, and of how many types, a gap and a text have (texts of 50 events and more in one)."""
+    own = gold(spark, sf_dir)
+    per_gap = own.groupBy("sample_id", "gap").agg(F.count("*").alias("events"), F.collect_set("type").alias("kinds"))
+    per_text = per_gap.groupBy("sample_id").agg(F.sum("events").alias("events"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"))
+    shape = lambda df, per, events: df.groupBy(F.lit(per).alias("per"), events.alias("events"), F.size("kinds").cast("long").alias("types")).agg(F.count("*").alias("n"))
+    return shape(per_gap, "gap", F.col("events")).union(shape(per_text, "text", F.least("events", F.lit(50))))
 
 
-@query("threshold_sweep", FOUND.join(["WITH ", """, grid AS (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale)
-SELECT scale, type, count(*) FILTER (prob >= least(0.6::DOUBLE * scale, 1)) AS fired FROM found, grid GROUP BY ALL"""]))
+@query("threshold_sweep", f"""WITH {X.FOUND}, grid AS (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale)
+SELECT scale, type, count(*) FILTER (prob >= least(base * scale, 1)) AS fired FROM found JOIN base USING (type), grid GROUP BY ALL""")
 def threshold_sweep(spark, sf_dir):
-    found = E.detected(gold(spark, sf_dir))
-    scales = (0.5, 0.75, 1.0, 1.25)
-    wide = found.groupBy("type").agg(*[F.count_if(F.col("prob") >= E.threshold(0.6, s)).alias(f"s{i}") for i, s in enumerate(scales)])
-    return wide.select("type", F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"s{i}").alias("fired")) for i, s in enumerate(scales)])).alias("x")).select("x.scale", "type", "x.fired")
+    found = X.detected(gold(spark, sf_dir)).join(F.broadcast(X.thresholds(spark)), "type")
+    points = F.array(*[F.lit(s) for s in (0.5, 0.75, 1.0, 1.25)])
+    many = found.groupBy("type", "base", F.round(F.col("prob"), 6).alias("prob")).count().withColumn("scale", F.explode(points))  # counts by probability, not rows
+    fires = F.col("prob") >= E.threshold(F.col("base"), F.col("scale"))
+    return many.groupBy("scale", "type").agg(F.sum(F.when(fires, F.col("count")).otherwise(0)).alias("fired"))
 
 
-@query("band_join", f"WITH {FOUND} SELECT g.type, f.gap - g.gap AS shift, count(*) AS n FROM gold g JOIN found f ON g.sample_id = f.sample_id AND g.type = f.type AND f.gap - g.gap BETWEEN -1 AND 2 GROUP BY ALL")
+@query("band_join", f"WITH {X.FOUND} SELECT g.type, f.gap - g.gap AS shift, count(*) AS n FROM gold g JOIN found f ON g.sample_id = f.sample_id AND g.type = f.type AND f.gap - g.gap BETWEEN -1 AND 2 GROUP BY ALL")
 def band_join(spark, sf_dir):
     events = gold(spark, sf_dir)
-    return E.banded(events, E.detected(events), 1, 2).groupBy("type", (F.col("found") - F.col("gap")).alias("shift")).agg(F.count("*").alias("n"))
+    return E.banded(events, X.detected(events), 1, 2).groupBy("type", (F.col("found") - F.col("gap")).alias("shift")).agg(F.count("*").alias("n"))
 
 
-NEAREST = FOUND + """, nearest AS (
+NEAREST = X.FOUND + """, nearest AS (
   SELECT g.sample_id, g.e, any_value(g.type) AS type, arg_min(f.gap - g.gap, abs(f.gap - g.gap) * 2 + (f.gap > g.gap)::INT) AS shift
   FROM gold g LEFT JOIN found f ON g.sample_id = f.sample_id AND g.type = f.type AND f.gap - g.gap BETWEEN -5 AND 5 GROUP BY g.sample_id, g.e)
 """
@@ -82,54 +82,112 @@ NEAREST = FOUND + """, nearest AS (
 @query("offset_histogram", f"WITH {NEAREST} SELECT type, shift, count(*) AS n FROM nearest GROUP BY GROUPING SETS ((shift), (type, shift))")
 def offset_histogram(spark, sf_dir):
     events = gold(spark, sf_dir)
-    shift = F.col("found") - F.col("gap")
-    best = E.banded(events, E.detected(events), 5, 5).groupBy("sample_id", "e").agg(F.min_by(shift, F.abs(shift) * 2 + (shift > 0).cast("int")).alias("shift"))
-    nearest = events.join(best, ["sample_id", "e"], "left")
+    nearest = E.offsets(events, X.detected(events))
     return nearest.groupingSets([["shift"], ["type", "shift"]], "type", "shift").agg(F.count("*").alias("n")).select("type", "shift", "n")
 
 
-def outcomes(spark, sf_dir, before=0, after=1):
+#: Tolerance: as early as the event, or one word later.
+BEFORE, AFTER = E.tolerance("0:1")
+
+
+def detections(spark, events):
+    """All detections, and those that fire, with the tolerance."""
+    found = X.detected(events)
+    return found, E.with_tolerance(E.fired(found, X.thresholds(spark)), BEFORE, AFTER)
+
+
+def outcomes(spark, sf_dir):
     events = gold(spark, sf_dir)
-    return E.judged(events, E.detected(events), before, after)
+    found, fired = detections(spark, events)
+    return E.judged(events, fired, found)
+
+
+OUTCOMES = X.FOUND + "," + X.greedy("gold", "fired") + """,
+judged AS (SELECT g.*, h.found - g.gap AS "offset", h.e IS NOT NULL AS hit, CASE WHEN h.e IS NOT NULL THEN 'ok'
+    WHEN EXISTS (SELECT 1 FROM fired f WHERE f.sample_id = g.sample_id AND f.type <> g.type AND f.gap - g.gap BETWEEN 0 AND 1) THEN 'wrong_type'
+    WHEN EXISTS (SELECT 1 FROM fired f WHERE f.sample_id = g.sample_id AND f.type = g.type AND f.gap - g.gap NOT BETWEEN 0 AND 1) THEN 'wrong_position' ELSE 'missing' END AS reason,
+    (SELECT max(prob) FROM fired f WHERE f.sample_id = h.sample_id AND f.type = h.type AND f.gap = h.found) AS own_prob, (SELECT max(prob) FROM found f WHERE f.sample_id = g.sample_id AND f.type = g.type AND f.gap = g.gap) AS at_gap
+  FROM gold g LEFT JOIN hits h ON g.sample_id = h.sample_id AND g.e = h.e),
+left_over AS (SELECT * FROM fired f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.sample_id = f.sample_id AND h.type = f.type AND h.found = f.gap))
+"""
 
 
-@query("placement_reasons")
+@query("placement_reasons", f"WITH {OUTCOMES} SELECT type, reason, \"offset\", count(*) AS n, round(avg(coalesce(own_prob, at_gap)), 9) AS prob FROM judged GROUP BY ALL")
 def placement_reasons(spark, sf_dir):
-    """Reasons by type after one-to-one matching; the fold is held against a brute-force greedy in the tests."""
-    return outcomes(spark, sf_dir).groupBy("type", "reason").agg(F.count("*").alias("n"))
+    """Reasons and offsets of hits by type, with the mean probability of the detection taken, or at the event's own gap."""
+    return outcomes(spark, sf_dir).groupBy("type", "reason", "offset").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 9).alias("prob"))
 
 
-@query("placement_summary")
+@query("placement_summary", f"""WITH {OUTCOMES}, by_type AS (SELECT type, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (reason = 'wrong_type') AS wrong FROM judged GROUP BY type),
+by_speaker AS (SELECT speaker, count(*) AS n, count(*) FILTER (hit) AS hits FROM judged GROUP BY speaker)
+SELECT sum(n)::BIGINT AS n, sum(hits)::DOUBLE / sum(n) AS micro, round(avg(hits::DOUBLE / n), 9) AS macro_type, (sum(hits) + sum(wrong))::DOUBLE / sum(n) AS detection_rate, sum(hits)::DOUBLE / (sum(hits) + sum(wrong)) AS type_accuracy,
+  (SELECT round(avg(hits::DOUBLE / n), 9) FROM by_speaker) AS macro_speaker, (SELECT count(*) FROM left_over) AS spurious,
+  round(100::DOUBLE * (SELECT count(*) FROM left_over) / (SELECT count(*) FILTER (type IS NULL) FROM parsed), 9) AS per_100_words FROM by_type""")
 def placement_summary(spark, sf_dir):
-    """Micro and macro accuracy, detection rate, and type accuracy given a detection."""
-    by = outcomes(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if(F.col("reason") == "wrong_type").alias("wrong"))
-    s = lambda c: F.sum(c).cast("double")
-    return by.agg(
-        F.sum("n").alias("n"), F.try_divide(s("hits"), F.sum("n")).alias("micro"), F.avg(F.col("hits") / F.col("n")).alias("macro_type"),
-        F.try_divide(s("hits") + s("wrong"), F.sum("n")).alias("detection_rate"), F.try_divide(s("hits"), s("hits") + s("wrong")).alias("type_accuracy"),
-    )
+    texts = sizes(spark, sf_dir)
+    events = gold(spark, sf_dir)
+    found, fired = detections(spark, events)
+    one = E.summarised(E.judged(events, fired, found), E.spurious(events, fired), texts.agg(F.sum("n_words").alias("n_words")))
+    return one.withColumns({c: F.round(c, 9) for c in ("macro_type", "macro_speaker", "per_100_words")})
+
 
+@query("placement_by_position", f"WITH {OUTCOMES} SELECT CASE WHEN gap = 0 THEN 'start' WHEN gap >= n_words THEN 'end' ELSE 'mid' END AS place, count(*) AS n, count(*) FILTER (hit)::DOUBLE / count(*) AS accuracy FROM judged GROUP BY ALL")
+def placement_by_position(spark, sf_dir):
+    by = outcomes(spark, sf_dir).groupBy(E.position(F.col("gap"), F.col("n_words")).alias("place"))
+    return by.agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("int")).alias("accuracy"))
 
-@query("placement_spurious")
+
+@query("placement_spurious", f"WITH {OUTCOMES} SELECT type, count(*) AS spurious FROM left_over GROUP BY type")
 def placement_spurious(spark, sf_dir):
-    """Detections that no event took, per 100 words."""
+    """Detections that fired and that no event took."""
     events = gold(spark, sf_dir)
-    found = E.detected(events)
-    used = E.matched(events, found, 0, 1).select("sample_id", "type", F.col("found").alias("gap"))
-    words = E.parsed(read(spark, sf_dir, "documents")).agg(F.count_if(F.col("type").isNull()).alias("words"))
-    left = found.join(used, ["sample_id", "type", "gap"], "left_anti").agg(F.count("*").alias("spurious"))
-    return left.join(F.broadcast(words)).select("spurious", F.try_divide(100.0 * F.col("spurious"), F.col("words")).alias("per_100_words"))
+    return E.spurious(events, detections(spark, events)[1]).groupBy("type").agg(F.count("*").alias("spurious"))
+
+
+SCALES, TOLERANCES = [0.5, 0.75, 1.0, 1.25], [E.tolerance(x) for x in ("0", "1", "2", "3", "0:1")]
+#: Draws of a gap: the same as stats.drawn gives.
+DRAWN = "('0x' || substr(md5('{seed}|' || rep || '|' || sample_id || '|' || e), 1, 8))::BIGINT % (n_words + 1)"
+ANEW = "anew AS (SELECT sample_id, type, e, rep, " + DRAWN.format(seed=0) + " AS gap FROM gold, (SELECT unnest(range({reps})) AS rep))"
+POINTS = "points AS (SELECT scale, b.b AS before, b.a AS after FROM (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale), (SELECT unnest([{'b': 0, 'a': 0}, {'b': 1, 'a': 1}, {'b': 2, 'a': 2}, {'b': 3, 'a': 3}, {'b': 0, 'a': 1}]) AS b))"
+GRID = X.FOUND + "," + POINTS + """,
+grid AS (SELECT scale, before, after, found.* FROM found JOIN base USING (type), points WHERE prob >= least(base * scale, 1)),
+""" + ANEW.format(reps=2)
+
+
+def at_points(events: str, rep: str = "") -> str:
+    """The matching at every point, as greedy gives it."""
+    keys, reach = f"scale, before, after{rep}", "BETWEEN -before AND after"
+    return X.greedy(events, "grid", keys, reach)
 
 
-@query("tolerance_sweep")
+@query("tolerance_sweep", f"""WITH {GRID}, {at_points('gold')},
+scored AS (SELECT scale, before, after, type, count(*) AS hits FROM hits GROUP BY ALL), seen AS (SELECT scale, before, after, type, count(*) AS seen FROM grid GROUP BY ALL), n AS (SELECT type, count(*) AS n FROM gold GROUP BY type),
+kinds AS (SELECT type FROM gold UNION SELECT type FROM found),
+rolled AS (SELECT scale, before, after, type, sum(coalesce(n, 0))::BIGINT AS n, sum(coalesce(hits, 0))::BIGINT AS hits, sum(coalesce(seen, 0) - coalesce(hits, 0))::BIGINT AS spurious
+  FROM points CROSS JOIN kinds LEFT JOIN n USING (type) LEFT JOIN scored USING (scale, before, after, type) LEFT JOIN seen USING (scale, before, after, type) GROUP BY GROUPING SETS ((scale, before, after), (scale, before, after, type)))
+SELECT scale, before, after, type, n, hits, hits::DOUBLE / n AS accuracy, spurious FROM rolled""")
 def tolerance_sweep(spark, sf_dir):
-    """Accuracy at scale and tolerance; one job per point of the grid, over the same events."""
+    """All points of the grid by type and over all types, from one pass over the detections."""
+    events = gold(spark, sf_dir)
+    return E.sweep(events, X.detected(events), X.thresholds(spark), SCALES, TOLERANCES, reps=0)
+
+
+@query("shuffle_baseline", "WITH " + X.FOUND + "," + ANEW.format(reps=20) + "," + X.greedy("anew", "fired", "rep") + """,
+rates AS (SELECT rep, count(e)::DOUBLE / (SELECT count(*) FROM gold) AS r FROM (SELECT unnest(range(20)) AS rep) LEFT JOIN hits USING (rep) GROUP BY rep)
+SELECT count(r) AS reps, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS std, min(r) AS low, max(r) AS high FROM rates""")
+def shuffle_baseline(spark, sf_dir):
+    """Accuracy of events in gaps drawn by chance against the same detections, over twenty replicates."""
+    events = gold(spark, sf_dir)
+    one = E.baseline(events, detections(spark, events)[1], 20, 0)
+    return one.withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+
+
+@query("sweep_lift", "WITH " + GRID + "," + at_points("anew", ", rep") + ", chance AS (SELECT scale, before, after, avg(h) AS h FROM (SELECT scale, before, after, rep, count(e)::DOUBLE AS h FROM points CROSS JOIN (SELECT unnest(range(2)) AS rep) LEFT JOIN hits USING (scale, before, after, rep) GROUP BY ALL) GROUP BY ALL), "
+  + at_points("gold").replace("pairs", "g_pairs").replace("ordered", "g_ordered").replace("taken", "g_taken").replace("hits", "g_hits") + """,
+own AS (SELECT scale, before, after, count(*)::DOUBLE AS hits FROM g_hits GROUP BY ALL)
+SELECT scale, before, after, round(hits / (SELECT count(*) FROM gold), 9) AS accuracy, round(h / (SELECT count(*) FROM gold), 9) AS baseline, round((hits - h) / (SELECT count(*) FROM gold), 9) AS lift FROM own JOIN chance USING (scale, before, after)""")
+def sweep_lift(spark, sf_dir):
+    """Accuracy over all types at every point of the grid, beside what chance reaches there."""
     events = gold(spark, sf_dir)
-    found = E.detected(events)
-    out = None
-    for scale in (0.75, 1.0):
-        fired = found.where(F.col("prob") >= E.threshold(0.6, scale))
-        for tolerance in (0, 1, 2):
-            row = E.matched(events, fired, tolerance, tolerance).agg(F.lit(scale).alias("scale"), F.lit(tolerance).alias("tolerance"), F.count("*").alias("hits"))
-            out = row if out is None else out.union(row)
-    return out
+    every = E.sweep(events, X.detected(events), X.thresholds(spark), SCALES, TOLERANCES, reps=2).where("type IS NULL")
+    return every.select(*E.POINT, *[F.round(c, 9).alias(c) for c in ("accuracy", "baseline", "lift")])

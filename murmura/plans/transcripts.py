@@ -1,73 +1,94 @@
-"""Text normalisation, quality flags and word error rates."""
+"""Text normalisation, quality flags, tags and word error rates."""
 
 from pyspark.sql import functions as F
 
 from murmura.functions import text as T
 from murmura.operators import align
+from murmura.operators import events as E
+from murmura.plans import fixtures as X
 from murmura.plans import read
 from murmura.registry import query
 
-WORDS = r"""
-spread AS (
-  SELECT doc_id, source AS speaker, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i
-  FROM (SELECT doc_id, source, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS w FROM documents)),
-runs AS (
-  SELECT doc_id, speaker, i // 40 AS k, list(w ORDER BY i) AS ref,
-    flatten(list(CASE WHEN (doc_id * 31 + i) % 17 = 0 THEN []::VARCHAR[] WHEN (doc_id * 31 + i) % 23 = 0 THEN ['x'] WHEN (doc_id * 31 + i) % 29 = 0 THEN [w, w] ELSE [w] END ORDER BY i)) AS hyp
-  FROM spread GROUP BY ALL),
-coded AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS known FROM runs),
-rated AS (
-  SELECT doc_id, speaker, k, len(ref) AS ref_words, len(hyp) AS hyp_words,
-    levenshtein(list_aggregate(list_concat([''], list_transform(ref, lambda x: chr((33 + list_position(known, x))::INT))), 'string_agg', ''),
-                list_aggregate(list_concat([''], list_transform(hyp, lambda x: chr((33 + list_position(known, x))::INT))), 'string_agg', '')) AS errors
-  FROM coded)
-"""
-
 
 def rated(spark, sf_dir):
-    return align.with_errors(align.utterances(read(spark, sf_dir, "documents")))
+    return align.rated(*X.spoken(spark, sf_dir), ["sample_id", "k"])
 
 
-@query("wer_errors_by_speaker", f"WITH {WORDS} SELECT speaker, count(*) AS n, sum(ref_words)::BIGINT AS ref_words, sum(hyp_words)::BIGINT AS hyp_words, sum(errors)::BIGINT AS errors, sum(errors)::DOUBLE / sum(ref_words) AS wer FROM rated GROUP BY speaker")
+@query("wer_errors_by_speaker", f"""WITH {X.RATED} SELECT speaker, count(*) AS n, count(error) AS failed, sum(ref_words)::BIGINT AS ref_words, sum(hyp_words)::BIGINT AS hyp_words,
+  sum(errors)::BIGINT AS errors, sum(errors)::DOUBLE / nullif(sum(ref_words), 0) AS wer FROM rated GROUP BY speaker""")
 def wer_errors_by_speaker(spark, sf_dir):
-    return rated(spark, sf_dir).groupBy("speaker").agg(F.count("*").alias("n"), F.sum("ref_words").alias("ref_words"), F.sum("hyp_words").alias("hyp_words"), F.sum("errors").alias("errors"), F.try_divide(F.sum("errors").cast("double"), F.sum("ref_words")).alias("wer"))
+    return rated(spark, sf_dir).groupBy("speaker").agg(
+        F.count("*").alias("n"), F.count("error").alias("failed"), *[F.sum(c).alias(c) for c in ("ref_words", "hyp_words", "errors")],
+        align.corpus_rate(F.col("errors"), F.col("ref_words")).alias("wer"),
+    )
 
 
-@query("wer_corpus_mean_macro", f"""WITH {WORDS}, by_speaker AS (SELECT speaker, sum(errors)::DOUBLE / sum(ref_words) AS w, sum(errors) AS e, sum(ref_words) AS r, sum(errors::DOUBLE / ref_words) AS s, count(*) AS n FROM rated GROUP BY speaker)
-SELECT sum(e)::DOUBLE / sum(r) AS corpus, round(sum(s) / sum(n), 9) AS mean, round(avg(w), 9) AS macro FROM by_speaker""")
+@query("wer_corpus_mean_macro", f"""WITH RECURSIVE {X.PATHS}, by_speaker AS (
+  SELECT speaker, sum(errors) AS e, sum(ref_words) AS r, sum(errors::DOUBLE / nullif(ref_words, 0)) AS s, count(errors::DOUBLE / nullif(ref_words, 0)) AS n, count(*) AS every, count(error) AS failed, count(*) FILTER (digits) AS digits FROM rated GROUP BY speaker)
+SELECT sum(e)::DOUBLE / sum(r) AS corpus, round(sum(s) / sum(n), 9) AS mean, round(avg(e::DOUBLE / nullif(r, 0)), 9) AS macro, (SELECT sum(sub)::BIGINT FROM sdi) AS sub, (SELECT sum(del)::BIGINT FROM sdi) AS del,
+  (SELECT sum(ins)::BIGINT FROM sdi) AS ins, sum(every)::BIGINT AS n_samples, sum(failed)::BIGINT AS n_failed, sum(digits)::BIGINT AS n_hyp_with_digits FROM by_speaker""")
 def wer_corpus_mean_macro(spark, sf_dir):
-    rate = F.col("errors").cast("double") / F.col("ref_words")
-    by = rated(spark, sf_dir).groupBy("speaker").agg(F.sum("errors").alias("e"), F.sum("ref_words").alias("r"), F.sum(rate).alias("s"), F.count("*").alias("n"))
-    return by.agg(F.try_divide(F.sum("e").cast("double"), F.sum("r")).alias("corpus"), F.round(F.try_divide(F.sum("s"), F.sum("n")), 9).alias("mean"), F.round(F.avg(F.try_divide(F.col("e").cast("double"), F.col("r"))), 9).alias("macro"))
+    one = align.summarised(rated(spark, sf_dir))
+    return one.withColumns({c: F.round(c, 9) for c in ("mean", "macro")})
 
 
-@query("wer_worst_samples", f"WITH {WORDS} SELECT doc_id, sum(errors)::DOUBLE / sum(ref_words) AS wer FROM rated GROUP BY doc_id ORDER BY wer DESC, doc_id LIMIT 10")
+@query("wer_worst_samples", f"WITH {X.RATED} SELECT sample_id, sum(errors)::DOUBLE / sum(ref_words) AS wer FROM rated GROUP BY sample_id HAVING sum(ref_words) > 0 ORDER BY wer DESC, sample_id LIMIT 10")
 def wer_worst_samples(spark, sf_dir):
-    return rated(spark, sf_dir).groupBy("doc_id").agg(F.try_divide(F.sum("errors").cast("double"), F.sum("ref_words")).alias("wer")).orderBy(F.desc("wer"), "doc_id").limit(10)
+    by = rated(spark, sf_dir).groupBy("sample_id").agg(align.corpus_rate(F.col("errors"), F.col("ref_words")).alias("wer"))
+    return by.where("wer IS NOT NULL").orderBy(F.desc("wer"), "sample_id").limit(10)
 
 
-@query("wer_sdi")
+@query("wer_sdi", f"WITH RECURSIVE {X.PATHS} SELECT speaker, sum(sub)::BIGINT AS sub, sum(del)::BIGINT AS del, sum(ins)::BIGINT AS ins FROM sdi GROUP BY speaker")
 def wer_sdi(spark, sf_dir):
-    """Substitutions, deletions and insertions by speaker; their sum is held against the native error count in the tests."""
-    counted = align.utterances(read(spark, sf_dir, "documents")).select("speaker", align.edit_counts("ref", "hyp").alias("x"))
-    return counted.groupBy("speaker").agg(*[F.sum(f"x.{k}").alias(k) for k in ("sub", "del", "ins")])
+    return rated(spark, sf_dir).where("error IS NULL").groupBy("speaker").agg(*[F.sum(k).alias(k) for k in ("sub", "del", "ins")])
+
+
+@query("wer_failures", f"WITH {X.RATED} SELECT coalesce(error, 'none') AS error, count(*) AS n FROM rated GROUP BY ALL")
+def wer_failures(spark, sf_dir):
+    return rated(spark, sf_dir).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("normalize_text", r"SELECT doc_id, md5(n) AS digest, len(n) AS size FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM documents)")
+@query("normalize_text", r"SELECT doc_id, md5(n) AS digest, len(n) AS size FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{S}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS n FROM documents)")
 def normalize_text(spark, sf_dir):
-    own = read(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("n"))
+    own = read(spark, sf_dir, "documents").select("doc_id", T.normalized(T.nfc(F.col("text"))).alias("n"))
     return own.select("doc_id", F.md5(F.col("n").cast("binary")).alias("digest"), F.length("n").cast("long").alias("size"))
 
 
-FLAGS = {"upper": r"[A-Z]", "digit": r"[0-9]", "punct": r"[\p{P}\p{S}]", "white": r"[ \t\n\r]{2}", "wide": r"[^\x00-\x7F]", "bracket": r"[\[\]]"}
+@query("quality_flags", f"SELECT speaker, count(*) AS n, " + ", ".join(f"count(*) FILTER (regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')) AS {k}" for k, p in T.FLAGS.items())
+  + f", count(*) FILTER (t <> nfc_normalize(t)) AS decomposed FROM (SELECT source AS speaker, {X.TAGGED} AS t FROM documents) GROUP BY speaker")
+def quality_flags(spark, sf_dir):
+    """Nine flags of the tagged transcripts, by speaker."""
+    own = X.texts(spark, sf_dir).withColumn("nfc", T.nfc(F.col("tagged")))
+    flags = [F.count_if(F.col("tagged").rlike(p)).alias(k) for k, p in T.FLAGS.items()]
+    return own.groupBy("speaker").agg(F.count("*").alias("n"), *flags, F.count_if(F.col("tagged") != F.col("nfc")).alias("decomposed"))
 
 
-@query("quality_flags", "SELECT lang, count(*) AS n, " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {k}" for k, p in FLAGS.items()) + " FROM documents GROUP BY lang")
-def quality_flags(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in FLAGS.items()])
+MALFORMED = f"torn AS (SELECT doc_id, source, {X.TAGGED} || CASE doc_id % 4 WHEN 0 THEN ' [laughter' WHEN 1 THEN ' [Cough]' WHEN 2 THEN ' [[x]]' ELSE '[]' END AS t FROM documents)"
+
+
+def torn(spark, sf_dir):
+    more = F.when(F.col("sample_id") % 4 == 0, " [laughter").when(F.col("sample_id") % 4 == 1, " [Cough]").when(F.col("sample_id") % 4 == 2, " [[x]]").otherwise("[]")
+    return X.texts(spark, sf_dir).withColumn("tagged", F.concat("tagged", more))
+
+
+@query("malformed_policy", "WITH " + MALFORMED + r""", judged AS (SELECT source AS speaker, regexp_matches(regexp_replace(t, '\[[^\[\]]*\]', ' ', 'g'), '[\[\]]') AS bad,
+  len(list_filter(regexp_extract_all(t, '\[[^\[\]]*\]'), lambda x: NOT list_contains(['breathing', 'laughter', 'throatclearing'], trim(lower(x[2:-2]))))) AS strange, len(regexp_extract_all(t, '\[[^\[\]]*\]')) AS tags FROM torn)
+SELECT speaker, count(*) AS n, count(*) FILTER (bad) AS unbalanced, count(*) FILTER (NOT bad AND strange > 0) AS unknown, (sum(tags) FILTER (NOT bad))::BIGINT AS kept, (sum(tags - strange) FILTER (NOT bad))::BIGINT AS dropped FROM judged GROUP BY speaker""")
+def malformed_policy(spark, sf_dir):
+    """Texts with torn or unknown tags under each policy: errors as rows, events kept, and events left once unknown tags are dropped."""
+    known = [t for _, t in X.TAGS]
+    rows = torn(spark, sf_dir)
+    ways = [T.parsed(F.col("tagged"), known, p).alias(p) for p in ("error", "keep", "drop")]
+    return rows.select("speaker", *ways).groupBy("speaker").agg(
+        F.count("*").alias("n"), F.count_if(F.col("keep.error").isNotNull()).alias("unbalanced"), F.count_if(F.col("error.error").startswith("unknown")).alias("unknown"),
+        F.sum(F.size("keep.events")).alias("kept"), F.sum(F.size("drop.events")).alias("dropped"),
+    )
 
 
-@query("malformed_tags", r"SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(regexp_replace(text || CASE doc_id % 3 WHEN 0 THEN ' [laughter' WHEN 1 THEN ' [sniff]' ELSE ' [[x]]' END, '\[[^\[\]]*\]', ' ', 'g'), '[\[\]]')) AS malformed FROM documents GROUP BY source")
-def malformed_tags(spark, sf_dir):
-    more = F.when(F.col("doc_id") % 3 == 0, " [laughter").when(F.col("doc_id") % 3 == 1, " [sniff]").otherwise(" [[x]]")
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.unbalanced(F.concat("text", more))).alias("malformed"))
+@query("tag_roundtrip", f"WITH {X.TOKENS} SELECT sample_id, md5(array_to_string(a, ' ')) AS digest, true AS same FROM tok WHERE a IS NOT NULL")
+def tag_roundtrip(spark, sf_dir):
+    """Texts rendered from their words and events, and whether they parse to the same again."""
+    once = X.parsed(spark, sf_dir).where("error IS NULL").withColumn("text", T.rendered(F.col("words"), F.col("events")))
+    again = once.withColumn("p", T.parsed(F.col("text")))
+    same = (F.col("p.words") == F.col("words")) & (F.col("p.events") == F.col("events"))
+    return again.select("sample_id", F.md5(F.col("text").cast("binary")).alias("digest"), same.alias("same"))
