@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Of 32 bits: from where on a draw of Poisson's distribution with mean 1 is at least 1, 2, ...
+POISSON = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+
+
+def valid(value: Column) -> Column:
+    """value, or null where it is not a finite number."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
-def described(value: Column) -> list[Column]:
-    """n, mean, population deviation, extremes and interpolated percentiles."""
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), *[F.percentile(value, q).alias(f"p{round(100 * q)}") for q in QUANTILES]]
+def cumulated(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, c and cum: how often a value occurs, and how many rows have at most this value. One row per distinct value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    return counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
+
+
+def described(rows: DataFrame, by: list[str], value: str, quantiles: tuple = QUANTILES) -> DataFrame:
+    """n, mean, std (of the population), low, high and interpolated percentiles, from counts by value: no list of a group's values."""
+    counts = cumulated(rows, by, value)
+    sized = counts.withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    x, c = F.col(value).cast("double"), F.col("c")
+    mean = F.sum(x * c) / F.sum("c")
+    cuts = []
+    for q in quantiles:
+        at = (F.col("n") - 1) * q
+        low, high = (F.min(F.when(F.col("cum") > f(at), x)) for f in (F.floor, F.ceil))
+        share = F.first((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+        cuts.append((low + (high - low) * share).alias(f"p{round(100 * q)}"))
+    centre = sized.withColumn("_m", F.sum(x * c).over(Window.partitionBy(*by)) / F.col("n"))
+    spread = F.sqrt(F.sum(c * (x - F.col("_m")) * (x - F.col("_m"))) / F.sum("c"))
+    return centre.groupBy(*by).agg(F.sum("c").alias("n"), mean.alias("mean"), spread.alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), *cuts)
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -18,25 +45,82 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def rank(by: str, within: list[str]) -> Column:
-    """Average rank among ties."""
-    return F.rank().over(Window.partitionBy(*within).orderBy(by)) + (F.count("*").over(Window.partitionBy(*within, by)) - 1) / 2
+def ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by, value and its rank, averaged among ties, from counts by value."""
+    return cumulated(rows, by, value).select(*by, value, (F.col("cum") - (F.col("c") - 1) / 2).alias(name))
 
 
-def drawn(seed: int, *counter: Column, n: Column) -> Column:
-    """A whole number from 0 to n - 1, drawn by hash: the same on every run, in any order."""
+def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """by, n and rho; null for fewer than three rows or a constant side. Only counts of pairs of values meet their ranks."""
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = both.groupBy(*by, a, b).agg(F.count("*").alias("w"))
+    ranked = pairs.join(ranks(both, by, a, "_a"), [*by, a]).join(ranks(both, by, b, "_b"), [*by, b])
+    w, x, y = F.col("w"), F.col("_a"), F.col("_b")
+    sums = ranked.groupBy(*by).agg(F.sum("w").alias("n"), *[F.sum(w * v).alias(k) for k, v in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
+    n = F.col("n")
+    top = n * F.col("sxy") - F.col("sx") * F.col("sy")
+    low = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
+    return sums.select(*by, "n", F.when(n >= 3, F.try_divide(top, low)).alias("rho"))
+
+
+def hashed(seed: int, *counter: Column) -> Column:
+    """32 bits drawn by hash: the same on every run, in any order."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in counter]).cast("binary")), 1, 8)
-    return F.conv(digits, 16, 10).cast("long") % n
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def drawn(seed: int, *counter: Column, n: Column) -> Column:
+    """A whole number from 0 to n - 1."""
+    return hashed(seed, *counter) % n
 
 
-def bootstrap(clusters: DataFrame, reps: int, seed: int) -> DataFrame:
-    """low and high of the 95 % interval of sum(num) / sum(den) over clusters (c, num, den) drawn with replacement.
+def interval(ratios: DataFrame, by: list[str], alpha: float) -> DataFrame:
+    """by, ci_low, ci_high and reps of replicates' ratios (column r; null ones don't count)."""
+    return ratios.groupBy(*by).agg(F.percentile("r", alpha / 2).alias("ci_low"), F.percentile("r", 1 - alpha / 2).alias("ci_high"), F.count("r").alias("reps"))
 
-    Rows are summed per cluster first, so a replicate costs as many draws as there are clusters.
+
+def bootstrap(clusters: DataFrame, reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """The interval of sum(num) / sum(den) over clusters (c, num, den) drawn with replacement; null for fewer than two.
+
+    Rows are summed per cluster first, so a replicate costs as many draws as there are clusters, which are numbered in one task: for
+    thousands of clusters. Beyond that, resampled() needs no numbers.
     """
     numbered = clusters.withColumn("i", F.row_number().over(Window.orderBy(F.col("c").asc_nulls_last())) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))
-    draws = numbered.select("i", "k").join(F.broadcast(clusters.sparkSession.range(reps).select(F.col("id").alias("rep"))))
+    draws = numbered.where("k >= 2").select("i", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     picked = draws.select("rep", drawn(seed, F.col("rep"), F.col("i"), n=F.col("k")).alias("i"))
     sums = picked.join(numbered.select("i", "num", "den"), "i").groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    ratios = sums.select(F.try_divide(F.col("num").cast("double"), F.col("den")).alias("r"))
-    return ratios.agg(F.percentile("r", 0.025).alias("ci_low"), F.percentile("r", 0.975).alias("ci_high"), F.count("r").alias("reps"))
+    return interval(sums.select(F.try_divide(F.col("num").cast("double"), F.col("den")).alias("r")), [], alpha)
+
+
+def resampled(rows: DataFrame, by: list[str], reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """by, value and interval of sum(num) / sum(den) of rows (by, key, num, den), each row drawn on its own.
+
+    In every replicate a row counts as often as a Poisson draw with mean 1 says, by hash of replicate and key: drawing with
+    replacement as it is for many rows, in one pass with partial sums, without numbering rows. A mean has den = 1. Replicates
+    whose denominators sum to zero don't count; fewer than two rows have no interval.
+    """
+    many = rows.select(*by, "key", "num", "den", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    u = hashed(seed, F.col("rep"), F.col("key"))
+    drawn_ = many.withColumn("u", u).withColumn("times", sum(((F.col("u") >= t).cast("int") for t in POISSON[1:]), (F.col("u") >= POISSON[0]).cast("int")))
+    sums = drawn_.groupBy(*by, "rep").agg(F.sum(F.col("num") * F.col("times")).alias("num"), F.sum(F.col("den") * F.col("times")).alias("den"))
+    ratios = sums.select(*by, F.try_divide(F.col("num").cast("double"), F.col("den")).alias("r"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.sum("num").cast("double"), F.sum("den")).alias("value"))
+    if not by:
+        joined = whole.join(F.broadcast(interval(ratios, by, alpha)))  # one row each
+    else:
+        same = [F.col(f"w.{c}").eqNullSafe(F.col(f"i.{c}")) for c in by]
+        joined = whole.alias("w").join(interval(ratios, by, alpha).alias("i"), same, "left").select("w.*", "ci_low", "ci_high", "reps")
+    return joined.select(*by, "n", "value", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("ci_low", "ci_high")], "reps")
+
+
+def grouped(rows: DataFrame, by: str, value: str, key: str, least: int = 10, reps: int = 100, seed: int = 0) -> DataFrame:
+    """Per group: n, n_missing (null or not finite), mean with its interval, and low_n; rows without a group are the group None."""
+    own = rows.select(F.coalesce(F.col(by).cast("string"), F.lit("None")).alias(by), F.col(key).alias("key"), valid(F.col(value).cast("double")).alias("num"), F.lit(1).alias("den"))
+    missing = own.groupBy(by).agg(F.count_if(F.col("num").isNull()).alias("n_missing"))
+    stats = resampled(own.where("num IS NOT NULL"), [by], reps, seed)
+    return missing.join(stats, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"), "n_missing", F.col("value").alias("mean"), "ci_low", "ci_high", (F.coalesce("n", F.lit(0)) < least).alias("low_n"))
+
+
+def macro(groups: DataFrame, mean: str = "mean") -> DataFrame:
+    """The unweighted mean of group means."""
+    return groups.agg(F.avg(mean).alias("macro"))
