@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("transcripts", "placement", "timings", "ratings", "statistics", "corpus")
+MODULES = ("transcripts", "placement", "timings", "ratings", "statistics", "corpus", "summary")
 
 
 def load() -> None:
