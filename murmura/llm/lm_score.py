@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from murmura.llm import shared
 from murmura.llm.registry import query, read
 
-BATCH = 6_000_000
+BATCH = 4_000_000
 #: Bytes of training text that one range of the hashes stands for.
 RANGE = 8_000_000
 FILTER_BYTES = 160_000_000
@@ -297,6 +297,11 @@ def levels_of(requests: DataFrame, model: DataFrame, ranges: int, groups: int) -
     return dealt.mapInArrow(run, ASKED)
 
 
+def in_parts(levels, grams: np.ndarray, size: int = 200_000) -> np.ndarray:
+    """levels(grams), with the probes' arrays for a part of them at once."""
+    return np.concatenate([np.empty(0, np.uint8), *[levels(grams[a : a + size]) for a in range(0, len(grams), size)]])
+
+
 def count_of(level: np.ndarray) -> np.ndarray:
     """The middle of the counts that have a level."""
     return np.where(level > 0, (1.5 * 2.0 ** (level.astype(np.float64) - 1) - 0.5), 0.0)
@@ -319,9 +324,9 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU, fan
         table = model.select("range", "block").toArrow()
         shipped = spark.sparkContext.broadcast(Filter(dict(zip(table.column("range").to_pylist(), table.column("block").to_pylist(), strict=True)), ranges))
     requests = asked(docs, groups)
-    exact = requests.where(F.col("kind") == COUNT).select("batch", "kind", "place").join(known_words(model).withColumnRenamed("gram", "place"), "place", "left")
+    exact = requests.where(F.col("kind") == COUNT).select("batch", "place").join(known_words(model).withColumnRenamed("gram", "place"), "place", "left")
     none = F.lit(None).cast("binary")
-    about = requests.where(F.col("kind") == TEXTS).union(exact.select("batch", "kind", "place", F.coalesce("n", F.lit(0)).alias("n"), none, none))
+    about = requests.where(F.col("kind") == TEXTS).union(exact.select("batch", F.lit(COUNT).cast("long").alias("kind"), "place", F.coalesce("n", F.lit(0)).alias("n"), none, none))
     if groups:
         about = about.union(levels_of(requests, model, ranges, groups))
 
@@ -354,7 +359,7 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU, fan
             own[np.argsort(words)] = np.concatenate([unpacked(x) for x in column(OF_WORDS, "blob")])
         else:
             known = shipped.value
-            level, own, opening = known.levels(grams), known.levels(words), known.levels(np.array([START]))
+            level, own, opening = in_parts(known.levels, grams), in_parts(known.levels, words), known.levels(np.array([START]))
         of_word = count_of(own)[place]
         of_before = np.r_[0.0, of_word[:-1]]
         of_before[first] = count_of(opening)[0]
