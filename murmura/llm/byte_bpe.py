@@ -189,8 +189,9 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """df with token_ids array<int> in place of its text column."""
-    keep = [c for c in df.columns if c != "text"]
+    """df with token_ids array<int> in place of its text column (and of one of that name)."""
+    keep = shared.others(df, "text", "token_ids")
+    df = df.select(*[F.col(f"`{c}`") for c in keep], "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + ["token_ids array<int>"])
 
     def run(batches):
@@ -203,8 +204,9 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """df, which has token_ids, with the bytes that they stand for as decoded."""
-    keep = df.columns
+    """df, which has token_ids, with the bytes that they stand for as decoded (which replaces a column of that name)."""
+    keep = shared.others(df, "decoded")
+    df = df.select(*[F.col(f"`{c}`") for c in keep])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["decoded binary"])
 
     def run(batches):

@@ -221,8 +221,9 @@ def fit(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, whose text is replaced by lang_pred, score and spans."""
-    keep = [c for c in docs.columns if c != "text"]
+    """docs, whose text (and any columns of these names) is replaced by lang_pred, score and spans."""
+    keep = shared.others(docs, "text", "lang_pred", "score", "spans")
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["lang_pred string, score double, spans array<struct<lang: string, start: int, words: int>>"])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))

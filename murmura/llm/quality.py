@@ -74,8 +74,9 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def with_counts(df: DataFrame) -> DataFrame:
-    """df, which has a text column, with the COUNTS in its place."""
-    keep = [c for c in df.columns if c != "text"]
+    """df, which has a text column, with the COUNTS in its place (and in that of columns of their names)."""
+    keep = shared.others(df, "text", *COUNTS)
+    df = df.select(*[F.col(f"`{c}`") for c in keep], "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + [f"{c} long" for c in COUNTS])
 
     def run(batches):

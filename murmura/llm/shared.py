@@ -46,6 +46,11 @@ def columns_of(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(n) for n in names]
 
 
+def others(df: DataFrame, *ours: str) -> list[str]:
+    """The columns of df but for those that an operator is about to add."""
+    return [c for c in df.columns if c not in ours]
+
+
 def parts(batches, rows: int = 500):
     """The batches in slices of a few rows, so that only so many texts are Python objects at once."""
     for batch in batches:

@@ -13,6 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests_llm_helpers import spans_of
+
 from murmura.llm import byte_bpe, embeddings, language, lm_score, mixing, quality, secrets, shared, simhash, suffix, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, fp string, stratum string"
@@ -144,25 +146,6 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def spans_of(text):
-    t = text or ""
-    out = [(m.start(), 0, m.end()) for m in re.finditer(secrets.BASE["assign"][0], t) if len(m[2]) >= 12]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
-    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
-    for m in re.finditer(secrets.CANDIDATE, t):
-        if re.fullmatch(r"[A-Z]?[a-z]+([/_=+-]+[A-Z]?[a-z]+)*[/_=+-]*", m[0]):
-            continue
-        own = m[0]
-        for p in secrets.ALLOW:
-            own = re.sub(p, lambda x: "-" * len(x[0]), own)
-        bits = next(b for p, b in secrets.CLASSES.values() if re.search(p, own))
-        w = secrets.WINDOW
-        entropy = [-sum(c / w * math.log2(c / w) for c in collections.Counter(own[i : i + w]).values()) for i in range(len(own) - w + 1)]
-        if ok := [i for i, e in enumerate(entropy) if e >= bits - 1e-12]:
-            out.append((m.start() + ok[0], 3, m.start() + ok[-1] + w))
-    return sorted(out)
-
-
 def test_secrets(docs, empty, spark):
     got = secrets.scan(docs).collect()
     assert sorted((str(r.doc_id), [tuple(s) for s in r._spans]) for r in got) == sorted((str(r[0]), spans_of(r[1])) for r in hostile())
