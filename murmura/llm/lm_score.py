@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from murmura.llm import shared
 from murmura.llm.registry import query, read
 
-BATCH = 4_000_000
+#: Bytes of text that are counted, and scored, at once.
+COUNTED_BATCH = 8_000_000
+BATCH = 5_000_000
 #: Bytes of training text that one range of the hashes stands for.
 RANGE = 8_000_000
 FILTER_BYTES = 160_000_000
@@ -192,7 +194,7 @@ def train(docs: DataFrame, ranges: int, batches: int = 1, fan: int = FAN) -> Dat
 
     def count(rows):
         task = TaskContext.get().partitionId() << 32
-        for k, held in enumerate(batched(rows)):
+        for k, held in enumerate(batched(rows, COUNTED_BATCH)):
             ids = np.concatenate([t for _, _, t in held])
             out = [x for kind, grams in ((WORD, ids), (PAIR, pairs(ids, starts(held))[1])) for x in sliced(kind, *np.unique(grams, return_counts=True), task + k, units[-1])]
             # One start mark a text, a word of the model but no token.
@@ -312,7 +314,7 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, mu: float = MU, fan
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, size // RANGE)
-    model = train(docs, ranges, -(-size // BATCH), fan)
+    model = train(docs, ranges, -(-size // COUNTED_BATCH), fan)
     n_tokens, n_words, filter_size = (x or 0 for x in model.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.length("block"))).first())
     groups = max(2, filter_size // group_bytes) if filter_size > filter_bytes else 0
     shipped = start = None
