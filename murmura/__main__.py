@@ -19,6 +19,7 @@ from murmura.operators import events as E
 from murmura.operators import manifest as M
 from murmura.operators import ratings as R
 from murmura.sources import corpus, manifest, sheets
+from murmura.storage import kept
 
 
 def shown(table, limit=50):
@@ -63,7 +64,7 @@ def run(spark, args, own):
     wer = align.rated(clean, asr.select("sample_id", "text", "error"), ["sample_id"])
     wer.write.mode("overwrite").parquet(f"{args.out}/wer")
     before, after = E.tolerance(own["nvpa"]["tolerance"])
-    ready = nvpa.prepared(tagged(rows), asr)
+    ready = kept(nvpa.prepared(tagged(rows), asr))
     judged, left = nvpa.outcomes(ready, spark.read.parquet(args.probs), limits, before, after, own["nvpa"]["threshold_scale"])
     judged.write.mode("overwrite").parquet(f"{args.out}/nvpa")
     left.write.mode("overwrite").parquet(f"{args.out}/spurious")
@@ -87,7 +88,7 @@ def summary(spark, args, own):
 
 def sweep(spark, args, own):
     _, rows = samples_of(spark, args)
-    ready = nvpa.prepared(tagged(rows), spark.read.parquet(args.asr)).where("error IS NULL")
+    ready = kept(nvpa.prepared(tagged(rows), spark.read.parquet(args.asr)).where("error IS NULL"))
     events = ready.select("sample_id", "speaker", F.col("n_ref").cast("long").alias("n_words"), F.inline("events")).withColumn("gap", F.col("gap").cast("long"))
     points = E.sweep(events, spark.read.parquet(args.probs), thresholds_of(spark, args.thresholds), args.scales, [E.tolerance(t) for t in args.tolerances], args.reps, own["bootstrap"]["seed"])
     shown(points.where("type IS NULL").orderBy("scale", "before", "after").drop("type"))
@@ -98,7 +99,7 @@ def train(spark, args, own):
     header, rows = samples_of(spark, args)
     if header["split"] == "dev" and not args.allow_dev:
         raise SystemExit("detectors aren't trained on the dev split")
-    ready = nvpa.prepared(tagged(rows), spark.read.parquet(args.asr))
+    ready = kept(nvpa.prepared(tagged(rows), spark.read.parquet(args.asr)))
     windows, counts = detector.training_set(ready, spark.read.parquet(args.features), args.types)
     windows.write.mode("overwrite").parquet(f"{args.out}/windows")
     found = detector.trained(spark.read.parquet(f"{args.out}/windows"), args.types, args.folds, own["bootstrap"]["seed"], maxIter=args.iterations)

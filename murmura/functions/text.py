@@ -60,30 +60,36 @@ def parsed(tagged: Column, known: list[str] | None = None, unknown: str = "keep"
 
     An event's gap is its place among the tokens less the number of tags before it, so nothing is counted token by token.
     Tags that known doesn't list (an empty one is never known) are kept as events, dropped, or an error, as unknown says.
-    A text with brackets that don't pair up is an error; errors have neither words nor events.
+    A text with brackets that don't pair up is an error; errors have neither words nor events. To use several fields, take
+    them by inline(array(parsed(...))): a field of a struct evaluates it once each.
     """
     if unknown not in ("keep", "drop", "error"):
         raise ValueError(f"no such policy for unknown tags: {unknown}")
 
-    def of(all_):
+    def of(tagged, all_):
         tags = F.filter(F.transform(all_, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].startswith("["))
         events = F.transform(tags, lambda x, e: F.struct(tag_name(x["t"]).alias("type"), (x["i"] - e).alias("gap")))
-        return bound(events, lambda ev: shaped(F.filter(all_, lambda t: ~t.startswith("[")), ev))
+        return bound(events, lambda ev: shaped(tagged, F.filter(all_, lambda t: ~t.startswith("[")), ev))
 
     def is_known(x):
         return F.lit(True) if known is None else (x["type"] != "") & x["type"].isin(known)
 
-    def shaped(own, events):
+    def shaped(tagged, own, events):
         strange = F.transform(F.filter(events, lambda x: ~is_known(x)), lambda x: x["type"])
         kept = F.filter(events, is_known) if unknown == "drop" else events
         error = F.when(unbalanced(tagged), "unbalanced bracket")
         if unknown == "error":
             error = error.when(F.size(strange) > 0, F.concat(F.lit("unknown tag: "), F.get(strange, 0)))
+        error = error.otherwise(F.lit(None).cast("string"))
         numbered = F.transform(kept, lambda x, e: F.struct(e.alias("e"), x["type"].alias("type"), x["gap"].alias("gap")))
-        clean = lambda x: F.when(error.isNull(), x)
-        return F.struct(clean(own).alias("words"), clean(numbered).alias("events"), strange.alias("unknown"), error.alias("error"))
 
-    return bound(tokens(tagged), of)
+        def row(error):
+            clean = lambda x: F.when(error.isNull(), x)
+            return F.struct(clean(own).alias("words"), clean(numbered).alias("events"), strange.alias("unknown"), error.alias("error"))
+
+        return bound(error, row)
+
+    return bound(tagged, lambda t: bound(tokens(t), lambda all_: of(t, all_)))
 
 
 def rendered(words: Column, events: Column) -> Column:

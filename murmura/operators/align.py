@@ -133,18 +133,26 @@ def aligned(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 def rated(spoken: DataFrame, recognised: DataFrame, keys: list[str]) -> DataFrame:
     """Errors of every row of spoken (keys, text) against recognised (keys, text, error): no row is lost.
 
-    Both texts are normalised. A row without recognition has the error missing_asr_record, a failed one keeps its error; an empty
-    reference has a null wer, but its errors count.
+    A row without recognition has the error missing_asr_record, a failed one keeps its error.
     """
-    heard = recognised.select(*keys, F.col("text").alias("_heard"), F.col("error").alias("_error"), F.lit(True).alias("_there"))
-    joined = spoken.join(heard, keys, "left").withColumn("error", F.when(F.col("_there").isNull(), "missing_asr_record").otherwise(F.col("_error")))
-    clean = lambda c: T.words(T.normalized(T.nfc(F.col(c))))
-    sides = joined.withColumn("ref", clean("text")).withColumn("hyp", F.when(F.col("error").isNull(), clean("_heard")))
-    counted = sides.withColumn("_x", edit_counts(F.when(F.col("error").isNull(), F.col("ref")), "hyp"))
-    own = [F.when(F.col("error").isNull(), c) for c in (F.size("ref"), F.size("hyp"), F.col("_x.sub"), F.col("_x.del"), F.col("_x.ins"))]
+    heard = recognised.select(*keys, F.col("text").alias("heard"), F.col("error"), F.lit(True).alias("_there"))
+    joined = spoken.join(heard, keys, "left")
+    return rated_pairs(joined.withColumn("error", F.when(F.col("_there").isNull(), "missing_asr_record").otherwise(F.col("error"))).drop("_there"))
+
+
+def rated_pairs(rows: DataFrame) -> DataFrame:
+    """rows (text, heard, error and others) with their errors in place of both texts, which are normalised first.
+
+    A row with an error has no numbers. An empty reference has a null wer, but its errors count.
+    """
+    good = F.col("error").isNull()
+    clean = lambda c: T.words(T.normalized(T.nfc(F.when(good, F.coalesce(F.col(c), F.lit(""))))))
+    sides = F.inline(F.array(F.struct(clean("text").alias("_ref"), clean("heard").alias("_hyp"))))  # so that nothing is worked out twice
+    counted = rows.select("*", sides).withColumn("_x", edit_counts("_ref", "_hyp"))
+    own = [F.when(good, c) for c in (F.size("_ref"), F.size("_hyp"), F.col("_x.sub"), F.col("_x.del"), F.col("_x.ins"))]
     named = [c.cast("long").alias(n) for c, n in zip(own, ("ref_words", "hyp_words", "sub", "del", "ins"), strict=True)]
-    digits = F.when(F.col("error").isNull(), F.col("_heard").rlike(r"\p{Nd}")).alias("hyp_has_digits")
-    out = counted.select(*[c for c in spoken.columns if c != "text"], *named, digits, "error")
+    digits = F.when(good, F.coalesce(F.col("heard"), F.lit("")).rlike(r"\p{Nd}")).alias("hyp_has_digits")
+    out = counted.select(*[c for c in rows.columns if c not in ("text", "heard", "error")], *named, digits, "error")
     out = out.withColumn("errors", F.col("sub") + F.col("del") + F.col("ins"))
     return out.withColumn("wer", F.try_divide(F.col("errors").cast("double"), F.col("ref_words")))
 

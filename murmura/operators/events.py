@@ -18,8 +18,7 @@ DISABLED = 1.01
 
 def parsed(texts: DataFrame, known: list[str] | None = None, unknown: str = "keep") -> DataFrame:
     """texts (sample_id, speaker, tagged) with words, events, unknown and error in place of tagged."""
-    own = texts.withColumn("_p", T.parsed(F.col("tagged"), known, unknown))
-    return own.select(*[c for c in texts.columns if c != "tagged"], "_p.words", "_p.events", "_p.unknown", "_p.error")
+    return texts.select(*[c for c in texts.columns if c != "tagged"], F.inline(F.array(T.parsed(F.col("tagged"), known, unknown))))
 
 
 def listed(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import text as T
+from murmura.functions.arrays import bound
 from murmura.operators import align, timing
 from murmura.operators import events as E
+from murmura.storage import kept
 
 
 def prepared(samples: DataFrame, asr: DataFrame, known: list[str] | None = None, unknown: str = "keep") -> DataFrame:
@@ -20,24 +22,28 @@ def prepared(samples: DataFrame, asr: DataFrame, known: list[str] | None = None,
     heard = asr.select("sample_id", "tokens", "times", "duration", F.col("error").alias("_failed"), F.lit(True).alias("_there"))
     joined = own.join(heard, "sample_id", "left")
     error = F.coalesce("_bad", F.when(F.col("_there").isNull(), "no ASR record"), F.concat(F.lit("ASR failed: "), "_failed"))
-    sides = joined.select("sample_id", "speaker", "duration", error.alias("error"), "events", timing.gap_map(F.col("words")).alias("_map"), T.words(T.normalized(F.array_join("words", " "))).alias("ref"), timing.token_words(F.col("tokens"), F.col("times")).alias("heard"))
-    moved = F.transform("events", lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), F.get("_map", x["gap"]).alias("gap")))
-    shaped = sides.select("sample_id", "speaker", "duration", "error", moved.alias("events"), "ref", F.size("ref").alias("n_ref"), "heard")
+    moved = lambda gaps: F.transform("events", lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), F.get(gaps, x["gap"]).alias("gap")))
+    row = F.struct(
+        bound(timing.gap_map(F.col("words")), moved).alias("events"), T.words(T.normalized(F.array_join("words", " "))).alias("ref"), timing.token_words(F.col("tokens"), F.col("times")).alias("heard"),
+    )
+    sides = joined.select("sample_id", "speaker", "duration", error.alias("error"), F.inline(F.array(row)))  # a row each, so that nothing is worked out twice
+    shaped = sides.select("sample_id", "speaker", "duration", "error", "events", "ref", F.size("ref").alias("n_ref"), "heard")
     return shaped.withColumn("no_timing", F.col("heard").isNull()).withColumn("pairs", align.aligned("ref", F.transform("heard", lambda w: w["text"])))
 
 
 def outcomes(ready: DataFrame, probs: DataFrame, thresholds: DataFrame, before: int = 1, after: int = 1, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Every event of the samples without error, judged, with the offset in seconds of hits; and the detections that none took.
 
-    probs: sample_id, gap, type, prob. Only gaps with a valid window have detections.
+    probs: sample_id, gap, type, prob. Only gaps with a valid window have detections. ready should be stored (see storage.kept), as
+    it is read several times; windows, detections and events are stored here.
     """
     good = ready.where("error IS NULL")
     windows = timing.gap_windows(good.where("NOT no_timing").select("sample_id", "n_ref", "pairs", "heard", "duration")).where("valid")
-    centres = windows.select("sample_id", F.col("gap").cast("long").alias("gap"), timing.centre(F.col("t0"), F.col("t1")).alias("centre"))
-    there = probs.join(centres.select("sample_id", "gap"), ["sample_id", "gap"], "left_semi")
+    centres = kept(windows.select("sample_id", F.col("gap").cast("long").alias("gap"), timing.centre(F.col("t0"), F.col("t1")).alias("centre")))
+    there = kept(probs.join(centres.select("sample_id", "gap"), ["sample_id", "gap"], "left_semi"))
     found = E.with_tolerance(E.fired(there, thresholds, scale), before, after)
     events = good.select("sample_id", "speaker", F.col("n_ref").cast("long").alias("n_words"), F.inline("events")).withColumn("gap", F.col("gap").cast("long"))
-    events = events.join(centres.withColumn("valid", F.lit(True)), ["sample_id", "gap"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    events = kept(events.join(centres.withColumn("valid", F.lit(True)), ["sample_id", "gap"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))))
     judged = E.judged(events, found, there)
     at = centres.select("sample_id", F.col("gap").alias("_at"), F.col("centre").alias("_centre"))
     placed = judged.withColumn("_at", F.col("gap") + F.col("offset")).join(at, ["sample_id", "_at"], "left")

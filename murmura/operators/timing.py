@@ -50,9 +50,14 @@ def gap_windows(rows: DataFrame, least: float = LEAST, most: float = MOST) -> Da
     if one of them is not its neighbour, and grown to the least length, to the right and then to the left. It is not
     valid (and has no times) without any aligned word, or beyond the longest length.
     """
-    place = F.transform(F.sequence(F.lit(0), F.col("n_ref")), lambda g: F.struct(g.alias("gap"), F.try_element_at("at", g).alias("j")))
-    spread = rows.withColumn("at", heard_at(F.col("pairs"))).select("sample_id", "n_ref", "duration", "heard", F.inline(place))
-    own = spread.select("sample_id", "n_ref", "duration", "gap", F.when(F.col("j").isNotNull(), F.struct(F.col("gap").alias("i"), F.get("heard", F.col("j"))["start"].alias("start"), F.get("heard", F.col("j"))["last_start"].alias("last"))).alias("w"))
+    def word(heard, g, j):
+        return F.when(j.isNotNull(), F.struct(g.alias("i"), F.get(heard, j)["start"].alias("start"), F.get(heard, j)["last_start"].alias("last")))
+
+    def places(heard, at):
+        return F.transform(F.sequence(F.lit(0), F.col("n_ref")), lambda g: F.struct(g.alias("gap"), word(heard, g, F.try_element_at(at, g)).alias("w")))
+
+    spread = F.inline(bound(F.col("heard"), lambda heard: bound(heard_at(F.col("pairs")), lambda at: places(heard, at))))
+    own = rows.select("sample_id", "n_ref", "duration", spread)
     order = Window.partitionBy("sample_id").orderBy("gap")
     seen = own.withColumn("prev", F.last("w", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first("w", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     t0, t1 = F.coalesce(F.col("prev.last"), F.lit(0.0)), F.coalesce(F.col("next.start"), F.col("duration"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from murmura.functions import text as T
 from murmura.functions.arrays import chunks
 from murmura.operators import events as E
-from murmura.plans import read
+from murmura.plans import read, spread
+from murmura.storage import kept
 
 #: Tags that sentence ends, commas and line ends become.
 TAGS = ((". ", "breathing"), (", ", "laughter"), ("\n", "throatclearing"))
@@ -25,7 +26,8 @@ def tagged(text: Column) -> Column:
 
 
 def texts(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("speaker"), tagged(F.col("text")).alias("tagged"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("speaker"), tagged(F.col("text")).alias("tagged"))
 
 
 def parsed(spark, sf_dir) -> DataFrame:
@@ -36,6 +38,11 @@ def gold(spark, sf_dir) -> DataFrame:
     return E.listed(parsed(spark, sf_dir))
 
 
+def gold_stored(spark, sf_dir) -> DataFrame:
+    """The events, parsed once for queries that read them several times."""
+    return kept(gold(spark, sf_dir))
+
+
 def detected(events: DataFrame) -> DataFrame:
     """At most one detection per sample, gap and type, with known slips."""
     s, e = F.col("sample_id"), F.col("e")
@@ -52,7 +59,7 @@ def thresholds(spark) -> DataFrame:
 
 def utterances(spark, sf_dir) -> DataFrame:
     """sample_id (text), k, speaker and raw: whole texts in runs of SIZE words, cut where they are read."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", chunks(T.words(F.col("text")), SIZE).alias("runs"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", chunks(T.words(F.col("text")), SIZE).alias("runs"))
     return docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("speaker"), F.posexplode("runs").alias("k", "raw"))
 
 
@@ -66,14 +73,18 @@ def slips(sample: Column, k: Column, raw: Column) -> Column:
     return F.flatten(F.transform(raw, heard))
 
 
-def spoken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The utterances' texts, and their recognitions: some are missing, some have failed."""
-    own = utterances(spark, sf_dir)
-    ref = own.select("sample_id", "k", "speaker", F.array_join("raw", " ").alias("text"))
+def heard(spark, sf_dir) -> DataFrame:
+    """Utterances with text, what is heard of it, and error: some have no recognition, some a failed one."""
     n = F.col("sample_id") + F.col("k")
-    failed = n % 50 == 8
-    heard = own.where(n % 50 != 7).select("sample_id", "k", F.when(~failed, F.array_join(slips(F.col("sample_id"), F.col("k"), F.col("raw")), " ")).alias("text"), F.when(failed, "decoder failed").alias("error"))
-    return ref, heard
+    error = F.when(n % 50 == 7, "missing_asr_record").when(n % 50 == 8, "decoder failed")
+    return utterances(spark, sf_dir).select("sample_id", "k", "speaker", F.array_join("raw", " ").alias("text"), F.array_join(slips(F.col("sample_id"), F.col("k"), F.col("raw")), " ").alias("heard"), error.alias("error"))
+
+
+def spoken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same as two tables: the texts, and the recognitions that there are."""
+    own = heard(spark, sf_dir)
+    there = own.where("NOT error <=> 'missing_asr_record'").select("sample_id", "k", F.when(F.col("error").isNull(), F.col("heard")).alias("text"), "error")
+    return own.select("sample_id", "k", "speaker", "text"), there
 
 
 #: The same in SQL.

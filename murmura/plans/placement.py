@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from murmura.operators import events as E
 from murmura.plans import fixtures as X
 from murmura.registry import query
+from murmura.storage import kept
 
 gold = X.gold
 
@@ -69,7 +70,7 @@ def threshold_sweep(spark, sf_dir):
 
 @query("band_join", f"WITH {X.FOUND} SELECT g.type, f.gap - g.gap AS shift, count(*) AS n FROM gold g JOIN found f ON g.sample_id = f.sample_id AND g.type = f.type AND f.gap - g.gap BETWEEN -1 AND 2 GROUP BY ALL")
 def band_join(spark, sf_dir):
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     return E.banded(events, X.detected(events), 1, 2).groupBy("type", (F.col("found") - F.col("gap")).alias("shift")).agg(F.count("*").alias("n"))
 
 
@@ -81,7 +82,7 @@ NEAREST = X.FOUND + """, nearest AS (
 
 @query("offset_histogram", f"WITH {NEAREST} SELECT type, shift, count(*) AS n FROM nearest GROUP BY GROUPING SETS ((shift), (type, shift))")
 def offset_histogram(spark, sf_dir):
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     nearest = E.offsets(events, X.detected(events))
     return nearest.groupingSets([["shift"], ["type", "shift"]], "type", "shift").agg(F.count("*").alias("n")).select("type", "shift", "n")
 
@@ -92,12 +93,12 @@ BEFORE, AFTER = E.tolerance("0:1")
 
 def detections(spark, events):
     """All detections, and those that fire, with the tolerance."""
-    found = X.detected(events)
+    found = kept(X.detected(events))
     return found, E.with_tolerance(E.fired(found, X.thresholds(spark)), BEFORE, AFTER)
 
 
 def outcomes(spark, sf_dir):
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     found, fired = detections(spark, events)
     return E.judged(events, fired, found)
 
@@ -125,7 +126,7 @@ SELECT sum(n)::BIGINT AS n, sum(hits)::DOUBLE / sum(n) AS micro, round(avg(hits:
   round(100::DOUBLE * (SELECT count(*) FROM left_over) / (SELECT count(*) FILTER (type IS NULL) FROM parsed), 9) AS per_100_words FROM by_type""")
 def placement_summary(spark, sf_dir):
     texts = sizes(spark, sf_dir)
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     found, fired = detections(spark, events)
     one = E.summarised(E.judged(events, fired, found), E.spurious(events, fired), texts.agg(F.sum("n_words").alias("n_words")))
     return one.withColumns({c: F.round(c, 9) for c in ("macro_type", "macro_speaker", "per_100_words")})
@@ -140,7 +141,7 @@ def placement_by_position(spark, sf_dir):
 @query("placement_spurious", f"WITH {OUTCOMES} SELECT type, count(*) AS spurious FROM left_over GROUP BY type")
 def placement_spurious(spark, sf_dir):
     """Detections that fired and that no event took."""
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     return E.spurious(events, detections(spark, events)[1]).groupBy("type").agg(F.count("*").alias("spurious"))
 
 
@@ -168,7 +169,7 @@ rolled AS (SELECT scale, before, after, type, sum(coalesce(n, 0))::BIGINT AS n,
 SELECT scale, before, after, type, n, hits, hits::DOUBLE / n AS accuracy, spurious FROM rolled""")
 def tolerance_sweep(spark, sf_dir):
     """All points of the grid by type and over all types, from one pass over the detections."""
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     return E.sweep(events, X.detected(events), X.thresholds(spark), SCALES, TOLERANCES, reps=0)
 
 
@@ -177,7 +178,7 @@ rates AS (SELECT rep, count(e)::DOUBLE / (SELECT count(*) FROM gold) AS r FROM (
 SELECT count(r) AS reps, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS std, min(r) AS low, max(r) AS high FROM rates""")
 def shuffle_baseline(spark, sf_dir):
     """Accuracy of events in gaps drawn by chance against the same detections, over twenty replicates."""
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     one = E.baseline(events, detections(spark, events)[1], 20, 0)
     return one.withColumns({c: F.round(c, 9) for c in ("mean", "std")})
 
@@ -188,6 +189,6 @@ own AS (SELECT scale, before, after, count(*)::DOUBLE AS hits FROM g_hits GROUP
 SELECT scale, before, after, round(hits / (SELECT count(*) FROM gold), 9) AS accuracy, round(h / (SELECT count(*) FROM gold), 9) AS baseline, round((hits - h) / (SELECT count(*) FROM gold), 9) AS lift FROM own JOIN chance USING (scale, before, after)""")
 def sweep_lift(spark, sf_dir):
     """Accuracy over all types at every point of the grid, beside what chance reaches there."""
-    events = gold(spark, sf_dir)
+    events = X.gold_stored(spark, sf_dir)
     every = E.sweep(events, X.detected(events), X.thresholds(spark), SCALES, TOLERANCES, reps=2).where("type IS NULL")
     return every.select(*E.POINT, *[F.round(c, 9).alias(c) for c in ("accuracy", "baseline", "lift")])

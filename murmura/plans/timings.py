@@ -6,6 +6,7 @@ from murmura.operators import events as E
 from murmura.operators import nvpa, timing
 from murmura.plans import fixtures as X
 from murmura.registry import query
+from murmura.storage import kept
 
 NORMAL = r"list_filter(string_split_regex(regexp_replace(lower(w), '[\p{P}\p{S}]', ' ', 'g'), '[\s\p{Z}]+'), lambda x: x <> '')"
 
@@ -57,7 +58,7 @@ def gap_windows(spark, sf_dir):
 def in_speech(spark, sf_dir):
     """Prepared utterances, outcomes and spurious detections, the latter derived from the events in gaps of normalised words."""
     samples, asr = X.tagged_utterances(spark, sf_dir)
-    ready = nvpa.prepared(samples, asr)
+    ready = kept(nvpa.prepared(samples, asr))
     events = ready.where("error IS NULL").select("sample_id", F.inline("events")).withColumn("gap", F.col("gap").cast("long"))
     return ready, *nvpa.outcomes(ready, X.detected(events), X.thresholds(spark), 0, 1, 0.75)
 

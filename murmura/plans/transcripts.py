@@ -11,7 +11,8 @@ from murmura.registry import query
 
 
 def rated(spark, sf_dir):
-    return align.rated(*X.spoken(spark, sf_dir), ["sample_id", "k"])
+    """Recognitions stand beside their texts here, so nothing is shuffled before the aggregates."""
+    return align.rated_pairs(X.heard(spark, sf_dir))
 
 
 @query("wer_errors_by_speaker", f"""WITH {X.RATED} SELECT speaker, count(*) AS n, count(error) AS failed, sum(ref_words)::BIGINT AS ref_words, sum(hyp_words)::BIGINT AS hyp_words,
@@ -45,7 +46,8 @@ def wer_sdi(spark, sf_dir):
 
 @query("wer_failures", f"WITH {X.RATED} SELECT coalesce(error, 'none') AS error, count(*) AS n FROM rated GROUP BY ALL")
 def wer_failures(spark, sf_dir):
-    return rated(spark, sf_dir).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
+    """Recognitions as a table of their own, joined to the texts."""
+    return align.rated(*X.spoken(spark, sf_dir), ["sample_id", "k"]).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
 
 
 @query("normalize_text", r"SELECT doc_id, md5(n) AS digest, len(n) AS size FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{S}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS n FROM documents)")
