@@ -4,7 +4,7 @@ import importlib
 
 from murmura.llm import registry
 
-MODULES = ("byte_bpe", "embeddings", "language", "lm_score", "mixing", "quality", "ranked_search", "secrets", "simhash", "suffix", "token_alignment", "token_counts")
+MODULES = ("byte_bpe", "embeddings", "language", "lm_score", "mil_quality", "mixing", "quality", "ranked_search", "secrets", "simhash", "suffix", "token_alignment", "token_counts")
 
 
 def _load() -> None:
