@@ -128,8 +128,8 @@ class Model:
         """Adam over bags in batches, with weights shrunk a little at each step."""
         self.start(np.concatenate(bags), seed)
         rng = np.random.default_rng(seed + 1)
-        m, v, step = ({k: np.zeros_like(w) for k, w in self.weights.items()} for _ in range(2)), None, 0
-        m, v = m
+        m, v = ({k: np.zeros_like(w) for k, w in self.weights.items()} for _ in range(2))
+        step = 0
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
             order = rng.permutation(len(bags))
