@@ -189,9 +189,34 @@ def rare_types(spark, sf_dir):
     return S.type_shares(conversations(spark, sf_dir)).select(F.col("type").alias("role"), "n", F.round("share", 9).alias("share"), (F.col("share") <= 0.05).alias("rare"))
 
 
-@query("subset_select")
+SELECTED = """WITH RECURSIVE conv AS (SELECT conv_id AS id, list(role) AS types, sum(length(text))::DOUBLE AS n FROM conversations GROUP BY conv_id),
+samples AS (SELECT id, (id % 13)::VARCHAR AS speaker, types, CASE WHEN id % 3 <> 0 THEN n / 15 END AS seconds, floor(n / 6) AS n_words FROM conv),
+kinds AS (SELECT role, row_number() OVER (ORDER BY n, role) AS k FROM (SELECT role, count(*) AS n, sum(count(*)) OVER () AS every FROM conversations GROUP BY role) WHERE n::DOUBLE / every <= 0.05),
+rare AS (SELECT id, types, row_number() OVER (ORDER BY n DESC, md5('0|' || id), id) AS place FROM samples JOIN (SELECT conv_id AS id, count(*) AS n FROM conversations WHERE role IN (SELECT role FROM kinds) GROUP BY conv_id) USING (id)),
+offers AS (SELECT k, list(place ORDER BY place) AS places FROM kinds JOIN rare ON list_contains(types, role) GROUP BY k),
+picks AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT picks.k + 1, CASE WHEN len(taken) >= 20 THEN taken ELSE list_concat(taken, list_filter(places, lambda x: NOT list_contains(taken, x))[1:1]) END FROM picks JOIN offers ON offers.k = picks.k + 1),
+covered AS (SELECT taken FROM picks ORDER BY k DESC LIMIT 1),
+filled AS (SELECT id FROM (SELECT id, place, list_contains(taken, place) AS first, row_number() OVER (ORDER BY NOT list_contains(taken, place), place) AS turn FROM rare, covered) WHERE turn <= 20),
+many AS (SELECT speaker, count(*) AS n FROM samples GROUP BY speaker),
+pool AS (SELECT id, speaker, CASE WHEN m.n >= 20 THEN 'head' ELSE 'tail' END || '_' || CASE WHEN coalesce(seconds >= 15, n_words >= 50) THEN 'long' ELSE 'short' END AS part FROM samples JOIN many m USING (speaker) WHERE id NOT IN (SELECT id FROM filled)),
+sizes AS (SELECT part, count(*) AS size FROM pool GROUP BY part),
+rounds AS (
+  SELECT 0 AS r, 40 - (SELECT count(*) FROM filled) AS total, list({'part': part, 'size': size, 'given': 0::BIGINT, 'share': 0::DOUBLE} ORDER BY part) AS s FROM sizes
+  UNION ALL
+  SELECT r + 1, total, CASE WHEN whole > 0 THEN list_transform(s, lambda x: {'part': x.part, 'size': x.size, 'given': x.given + least(floor(x.share)::BIGINT, x.size - x.given), 'share': 0::DOUBLE})
+    ELSE list_transform(s, lambda x: {'part': x.part, 'size': x.size, 'given': x.given + list_contains(first, x.part)::BIGINT, 'share': 0::DOUBLE}) END
+  FROM (SELECT *, list_sum(list_transform(s, lambda x: least(floor(x.share)::BIGINT, x.size - x.given))) AS whole, list_transform(list_sort(list_transform(list_filter(s, lambda x: x.share > 0), lambda x: {'a': -x.share, 'b': x.part})), lambda x: x.b)[1:greatest(to_give, 0)] AS first
+    FROM (SELECT r, total, to_give, list_transform(s, lambda x: {'part': x.part, 'size': x.size, 'given': x.given, 'share': CASE WHEN roots > 0 THEN to_give * sqrt((x.size - x.given)::DOUBLE) / roots ELSE 0 END}) AS s
+      FROM (SELECT *, (least(total, list_sum(list_transform(s, lambda x: x.size))) - list_sum(list_transform(s, lambda x: x.given)))::BIGINT AS to_give, list_sum(list_transform(s, lambda x: sqrt((x.size - x.given)::DOUBLE))) AS roots FROM rounds WHERE r < 10)))),
+given AS (SELECT unnest(s) AS x FROM (SELECT s FROM rounds ORDER BY r DESC LIMIT 1)),
+turns AS (SELECT *, row_number() OVER (PARTITION BY part, speaker ORDER BY md5('0|' || id)) AS k FROM pool),
+placed AS (SELECT id, speaker, part, row_number() OVER (PARTITION BY part ORDER BY k, md5('0|' || speaker), id) AS place FROM turns)
+SELECT id AS sample_id, speaker, 'rare' AS part FROM samples WHERE id IN (SELECT id FROM filled) UNION ALL SELECT id, speaker, part FROM placed JOIN given ON x.part = placed.part WHERE place <= x.given"""
+
+
+@query("subset_select", SELECTED)
 def subset_select(spark, sf_dir):
-    """Forty conversations, rare roles first; quotas by rounds have no SQL, tests hold it against plain Python."""
+    """Forty conversations, rare roles first, the rest by quotas of strata."""
     return S.selected(conversations(spark, sf_dir), 40, 0)
 
 

@@ -161,8 +161,8 @@ walk AS (
   FROM walk WHERE d < n + m),
 sdi AS (SELECT sample_id, k, speaker, l1[1] // 1000000 % 1000 AS sub, l1[1] // 1000 % 1000 AS del, l1[1] % 1000 AS ins FROM walk WHERE d = n + m)
 """
-#: A key of an utterance: the text's and the utterance's number.
-UID = "sample_id * 100000 + k"
+#: A key of an utterance: the text's and the utterance's number; no text has so many utterances.
+UID = "sample_id * 100000000 + k"
 
 
 def pieces(words: Column) -> Column:
@@ -179,16 +179,22 @@ def pieces(words: Column) -> Column:
 
 def timed(spark, sf_dir) -> DataFrame:
     """Utterances with raw, what is heard, its tokens and times."""
-    own = utterances(spark, sf_dir).withColumn("heard", slips(F.col("sample_id"), F.col("k"), F.col("raw")))
-    return own.withColumn("p", pieces(F.col("heard"))).select(F.expr(UID).alias("uid"), "sample_id", "k", "speaker", "raw", "heard", F.transform("p", lambda x: x["t"]).alias("tokens"), F.transform("p", lambda x: x["at"]).alias("times"))
+    own = utterances(spark, sf_dir).select(F.expr(UID).alias("uid"), "sample_id", "k", "speaker", "raw", once(slips(F.col("sample_id"), F.col("k"), F.col("raw")), "heard"))
+    cut = own.select("*", once(pieces(F.col("heard")), "p"))
+    return cut.select("uid", "sample_id", "k", "speaker", "raw", "heard", F.inline(F.array(F.struct(F.transform("p", lambda x: x["t"]).alias("tokens"), F.transform("p", lambda x: x["at"]).alias("times")))))
+
+
+def once(value: Column, name: str) -> Column:
+    """value as a generated column, so that no filter or projection above it repeats the expression."""
+    return F.inline(F.array(F.struct(value.alias(name))))
 
 
 def tagged_utterances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Tagged texts in runs of fifty tokens, and their recognitions: some missing, failed or without times."""
     runs = texts(spark, sf_dir).select("sample_id", "speaker", F.posexplode(chunks(T.tokens(F.col("tagged")), 50)).alias("k", "run"))
     n = F.col("sample_id") + F.col("k")
-    own = runs.select(F.expr(UID).alias("uid"), "speaker", F.array_join("run", " ").alias("tagged"), n.alias("n"), slips(F.col("sample_id"), F.col("k"), F.filter("run", lambda t: ~t.startswith("["))).alias("heard")).withColumnRenamed("uid", "sample_id")
-    there = own.where("n % 50 <> 7").withColumn("p", pieces(F.col("heard")))
+    own = runs.select(F.expr(UID).alias("uid"), "speaker", F.array_join("run", " ").alias("tagged"), n.alias("n"), once(slips(F.col("sample_id"), F.col("k"), F.filter("run", lambda t: ~t.startswith("["))), "heard")).withColumnRenamed("uid", "sample_id")
+    there = own.where("n % 50 <> 7").select("*", once(pieces(F.col("heard")), "p"))
     times = F.when(F.col("n") % 50 != 9, F.transform("p", lambda x: x["at"]))
     asr = there.select("sample_id", F.transform("p", lambda x: x["t"]).alias("tokens"), times.alias("times"), (F.lit(4.5) + 0.25 * F.size("heard")).alias("duration"), F.when(F.col("n") % 50 == 8, "decoder failed").alias("error"))
     return own.select("sample_id", "speaker", "tagged"), asr
@@ -196,7 +202,7 @@ def tagged_utterances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 #: Words as they are heard: i in the utterance, h what is heard of it, j the first place of that.
 HEARD = SPOKEN + r""",
-placed AS (SELECT sample_id * 100000 + k AS uid, n - k * 40 AS i, w, h, coalesce(sum(len(h)) OVER (PARTITION BY sample_id, k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS j FROM slipped),
+placed AS (SELECT sample_id * 100000000 + k AS uid, n - k * 40 AS i, w, h, coalesce(sum(len(h)) OVER (PARTITION BY sample_id, k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS j FROM slipped),
 heard AS (SELECT uid, j + u AS j, x AS w, 0.25::DOUBLE * (j + u) + CASE WHEN j + u >= 20 THEN 4 ELSE 0 END AS start FROM (SELECT uid, j, unnest(h) AS x, generate_subscripts(h, 1) - 1 AS u FROM placed)),
 times AS (SELECT *, start + CASE WHEN len(w) > 5 THEN 0.1::DOUBLE ELSE 0 END AS last_start FROM heard)
 """

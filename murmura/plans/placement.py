@@ -48,14 +48,14 @@ def position_deciles(spark, sf_dir):
 
 
 @query("events_per_gap", f"""WITH {X.GOLD}, each_gap AS (SELECT sample_id, gap, count(*) AS events, count(DISTINCT type) AS types FROM gold GROUP BY ALL), each_text AS (SELECT sample_id, count(*) AS events, count(DISTINCT type) AS types FROM gold GROUP BY ALL)
-SELECT 'gap' AS per, events, types, count(*) AS n FROM each_gap GROUP BY ALL UNION ALL SELECT 'text', least(events, 50), types, count(*) FROM each_text GROUP BY ALL""")
+SELECT 'gap' AS per, events, types, count(*) AS n FROM each_gap GROUP BY ALL UNION ALL SELECT 'text', events, types, count(*) FROM each_text GROUP BY ALL""")
 def events_per_gap(spark, sf_dir):
-    """How many events, and of how many types, a gap and a text have (texts of 50 events and more in one)."""
+    """How many events, and of how many types, a gap and a text have, without a bound."""
     own = gold(spark, sf_dir)
     per_gap = own.groupBy("sample_id", "gap").agg(F.count("*").alias("events"), F.collect_set("type").alias("kinds"))
     per_text = per_gap.groupBy("sample_id").agg(F.sum("events").alias("events"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"))
     shape = lambda df, per, events: df.groupBy(F.lit(per).alias("per"), events.alias("events"), F.size("kinds").cast("long").alias("types")).agg(F.count("*").alias("n"))
-    return shape(per_gap, "gap", F.col("events")).union(shape(per_text, "text", F.least("events", F.lit(50))))
+    return shape(per_gap, "gap", F.col("events")).union(shape(per_text, "text", F.col("events")))
 
 
 @query("threshold_sweep", f"""WITH {X.FOUND}, grid AS (SELECT unnest([0.5, 0.75, 1.0, 1.25])::DOUBLE AS scale)

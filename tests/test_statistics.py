@@ -104,14 +104,36 @@ def test_ratings(spark):
     assert {r.field for r in R.summarised(R.sample_means(rated)).collect()} == {"sn", "q", "placement"}
 
 
-def test_quotas():
-    assert S.quotas({"a": 100, "b": 100}, 20) == {"a": 10, "b": 10}
-    assert S.quotas({"a": 2, "b": 50}, 100) == {"a": 2, "b": 50}
-    for sizes, total in (({"a": 400, "b": 100, "c": 1}, 31), ({"a": 7, "b": 7, "c": 7}, 5), ({}, 4)):
-        got = S.quotas(sizes, total)
-        assert sum(got.values()) == min(total, sum(sizes.values())) and all(got[k] <= sizes[k] for k in sizes)
-    uneven = S.quotas({"a": 400, "b": 100}, 30)
-    assert uneven == {"a": 20, "b": 10}
+def given(spark, sizes, total):
+    return {r.stratum: r.given for r in S.quotas(spark.createDataFrame(list(sizes.items()), "stratum string, size long"), total).collect()}
+
+
+def rounds(sizes, total):
+    """The rule as exact fractions of each round, by sorting strata on what a round gives them."""
+    out = {k: 0 for k in sizes}
+    for _ in range(1000):
+        left = min(total, sum(sizes.values())) - sum(out.values())
+        if left == 0:
+            return out
+        weight = {k: (sizes[k] - out[k]) ** 0.5 for k in sorted(sizes)}
+        share = {k: left * w / sum(weight.values()) for k, w in weight.items()}
+        step = {k: min(int(share[k]), sizes[k] - out[k]) for k in share}
+        if sum(step.values()) == 0:
+            winners = sorted((k for k in share if share[k] > 0), key=lambda k: (-share[k], k))[:left]
+            step = {k: int(k in winners) for k in share}
+        out = {k: out[k] + step[k] for k in out}
+    raise AssertionError
+
+
+def test_quotas(spark):
+    assert given(spark, {"a": 100, "b": 100}, 20) == {"a": 10, "b": 10}
+    assert given(spark, {"a": 2, "b": 50}, 100) == {"a": 2, "b": 50}
+    assert given(spark, {"a": 400, "b": 100}, 30) == {"a": 20, "b": 10}
+    assert given(spark, {}, 4) == {} and given(spark, {"a": 5}, 0) == {"a": 0}
+    rng = random.Random(4)
+    for sizes, total in (({"a": 400, "b": 100, "c": 1}, 31), ({"a": 7, "b": 7, "c": 7}, 5), *[({str(k): rng.randrange(1, 10 ** rng.randrange(1, 5)) for k in range(rng.randrange(1, 9))}, rng.randrange(1, 3000)) for _ in range(25)]):
+        got = given(spark, sizes, total)
+        assert sum(got.values()) == min(total, sum(sizes.values())) and got == rounds(sizes, total)
 
 
 def test_subset(spark):
@@ -131,7 +153,7 @@ def test_subset(spark):
         if r not in want:
             long_ = r[3] >= 15 if r[3] is not None else r[4] >= 50
             strata.setdefault(f"{'head' if many[r[1]] >= 20 else 'tail'}_{'long' if long_ else 'short'}", []).append(r)
-    quotas = S.quotas({k: len(v) for k, v in strata.items()}, 50 - len(want))
+    quotas = rounds({k: len(v) for k, v in strata.items()}, 50 - len(want))
     for name, pool in strata.items():
         turn = {}
         ordered = []
