@@ -1,7 +1,8 @@
 """Commands: python -m murmura COMMAND ... Tables are Parquet folders; see each command's help.
 
-What needs audio decoders or models (recognition, predicted quality, embeddings, window features) comes as tables:
-asr (sample_id, tokens, times, duration, text, error), probs (sample_id, gap, type, prob), pmos and ss (sample_id, value), features (sample_id, gap, features).
+What needs models (recognition, predicted quality, embeddings) comes as tables: asr (sample_id, tokens, times, duration, text,
+error), probs (sample_id, gap, type, prob), pmos and ss (sample_id, value). Audio is WAV files named by sample_id; features of windows are
+made of it, or come as a table too (sample_id, gap, features).
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from murmura import config
-from murmura.operators import align, detector, nvpa, report, subset
+from murmura.operators import acoustics, align, detector, nvpa, report, subset
 from murmura.operators import events as E
 from murmura.operators import manifest as M
 from murmura.operators import ratings as R
-from murmura.sources import corpus, manifest, sheets
+from murmura.sources import audio, corpus, manifest, sheets
 from murmura.storage import kept
 
 
@@ -100,7 +101,13 @@ def train(spark, args, own):
     if header["split"] == "dev" and not args.allow_dev:
         raise SystemExit("detectors aren't trained on the dev split")
     ready = kept(nvpa.prepared(tagged(rows), spark.read.parquet(args.asr)))
-    windows, counts = detector.training_set(ready, spark.read.parquet(args.features), args.types)
+    if args.audio:
+        windows = detector.timed_windows(ready).where("valid")
+        features = kept(acoustics.of_samples(windows, audio.of_samples(spark, args.audio)))
+        features.write.mode("overwrite").parquet(f"{args.out}/features")
+    else:
+        features = spark.read.parquet(args.features)
+    windows, counts = detector.training_set(ready, features, args.types)
     windows.write.mode("overwrite").parquet(f"{args.out}/windows")
     found = detector.trained(spark.read.parquet(f"{args.out}/windows"), args.types, args.folds, own["bootstrap"]["seed"], maxIter=args.iterations)
     detector.save(found, args.out, spark)
@@ -119,6 +126,13 @@ def choose(spark, args, own):
     sheets.write_package(subset.package(pool, spark.read.parquet(f"{args.out}/subset"), h["n_gt_anchors"], h["n_degraded_anchors"], h["seed"]), f"{args.out}/package")
 
 
+def export(spark, args, own):
+    _, rows = samples_of(spark, args)
+    h = own["human"]
+    generated, truth = (audio.of_samples(spark, x) for x in (args.audio, args.truth))
+    shown(sheets.export(rows.select("sample_id", "speaker", "text"), spark.read.parquet(args.subset), generated, truth, args.out, h["n_gt_anchors"], h["n_degraded_anchors"], h["degrade_snr_db"], h["seed"]))
+
+
 def ratings(spark, args, own):
     h, typed, key = own["human"], sheets.read(spark, args.sheets), sheets.read_key(spark, args.package)
     rows = R.cleaned(typed)
@@ -147,8 +161,9 @@ def main(argv=None, spark=None):
     add("run", run, "manifest", "asr", "probs", "thresholds", "out", pmos={}, ss={}, human={}, **n)
     add("summary", summary, "manifest", "out", pmos={}, ss={}, human={}, **n)
     add("nvpa-sweep", sweep, "manifest", "asr", "probs", "thresholds", "out", scales={"type": float, "nargs": "+", "default": [0.5, 0.75, 1.0, 1.25]}, tolerances={"nargs": "+", "default": ["0", "1", "2", "3"]}, reps={"type": int, "default": 20})
-    add("train-detector", train, "manifest", "asr", "features", "out", types={"nargs": "+", "required": True}, folds={"type": int, "default": 5}, iterations={"type": int, "default": 200}, allow_dev={"action": "store_true"})
+    add("train-detector", train, "manifest", "asr", "out", features={}, audio={}, types={"nargs": "+", "required": True}, folds={"type": int, "default": 5}, iterations={"type": int, "default": 200}, allow_dev={"action": "store_true"})
     add("human-subset", choose, "manifest", "out", **n)
+    add("human-export", export, "manifest", "subset", "audio", "truth", "out", **n)
     add("human-import", ratings, "sheets", "package", "out")
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("murmura").getOrCreate()

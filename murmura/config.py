@@ -11,7 +11,7 @@ DEFAULTS = {
     "wer": {"aggregation": "corpus"},
     "nvpa": {"tolerance": "1", "threshold_scale": 1.0, "min_window": 0.2, "max_window": 3.0, "unreliable_policy": "miss", "shuffle_reps": 50},
     "bootstrap": {"n_boot": 2000, "alpha": 0.05, "seed": 0, "min_n": 10},
-    "human": {"subset_size": 100, "seed": 0, "rare_type_share": 0.05, "max_rare_fraction": 0.5, "n_gt_anchors": 5, "n_degraded_anchors": 5, "anchor_gt_min": 3.0, "anchor_gap_min": 0.5, "exclude_flagged": True, "auto_on_subset": True},
+    "human": {"subset_size": 100, "seed": 0, "rare_type_share": 0.05, "max_rare_fraction": 0.5, "n_gt_anchors": 5, "n_degraded_anchors": 5, "degrade_snr_db": 5.0, "anchor_gt_min": 3.0, "anchor_gap_min": 0.5, "exclude_flagged": True, "auto_on_subset": True},
     "ss": {"ref_mode": "centroid", "max_reference_clips": None},
 }
 #: The preset under which placement counts an event at its gap or one word later, with lower thresholds.

@@ -1,12 +1,16 @@
 """Detectors of event types in gaps: windows with labels, one boosted-tree model a type, thresholds from predictions out of fold.
 
-features: sample_id, gap, features (array of numbers), as any extractor gives them for the valid windows.
+features: sample_id, gap, features (array of numbers) of the valid windows, as operators.acoustics makes them or any other extractor.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -14,19 +18,25 @@ from pyspark.sql import functions as F
 
 from murmura.operators import timing
 from murmura.operators.events import DISABLED
+from murmura.storage import kept
 
 MOST_WEIGHT, FEWEST = 20.0, 5
 #: Fixed values of the trees.
 TREES = {"maxDepth": 4, "stepSize": 0.08, "maxIter": 200}
 
 
+def timed_windows(ready: DataFrame) -> DataFrame:
+    """The windows of the gaps of samples with usable times; ready as nvpa.prepared gives it."""
+    return timing.gap_windows(ready.where("error IS NULL AND NOT no_timing").select("sample_id", "n_ref", "pairs", "heard", "duration"))
+
+
 def training_set(ready: DataFrame, features: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
     """Windows (sample_id, speaker, gap, features and a 0/1 column per type), and one row of counts: samples used and skipped, windows, positives.
 
     ready: samples as nvpa.prepared gives them.
     """
     good = ready.where("error IS NULL AND NOT no_timing")
-    windows = timing.gap_windows(good.select("sample_id", "n_ref", "pairs", "heard", "duration"))
+    windows = timed_windows(ready)
     gold = good.select("sample_id", F.inline("events")).groupBy("sample_id", F.col("gap").cast("int").alias("gap")).agg(F.collect_set("type").alias("there"))
     labelled = windows.where("valid").select("sample_id", "gap").join(gold, ["sample_id", "gap"], "left").join(good.select("sample_id", "speaker"), "sample_id").join(features, ["sample_id", "gap"])
     rows = labelled.select("sample_id", "speaker", "gap", "features", *[F.coalesce(F.array_contains("there", t), F.lit(False)).cast("int").alias(t) for t in types])
@@ -66,39 +76,75 @@ def threshold_of(rows: DataFrame, label: str) -> dict:
     return {"threshold": b["p"], "precision": b["tp"] / max(b["fired"], 1), "recall": b["tp"] / max(b["pos"], 1), "auc": best["auc"]}
 
 
-def trained(rows: DataFrame, types: list[str], folds: int = 5, seed: int = 0, **trees) -> dict[str, dict]:
+def group_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
+    """group, n (its rows) and fold: the largest group first, each to the fold with fewest rows so far (the first of equal ones).
+
+    Rows are counted per group first. The deal itself is a sequence by nature: one task streams a row a group, in order of size and
+    then of name, and holds a number a fold. Folds differ by the largest group at most.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+
+    def deal(batches):
+        loads = [(0, k) for k in range(folds)]
+        for batch in batches:
+            out = []
+            for n in batch["n"].tolist():
+                load, k = heapq.heappop(loads)
+                heapq.heappush(loads, (load + n, k))
+                out.append(k)
+            yield batch.assign(fold=pd.Series(out, dtype="int32", index=batch.index))
+
+    ordered = sizes.repartition(1).sortWithinPartitions(F.desc("n"), F.col(group).asc_nulls_last())
+    return ordered.mapInPandas(deal, f"`{group}` {sizes.schema[group].dataType.simpleString()}, n long, fold int")
+
+
+def together(jobs: list, at_once: int) -> list:
+    """Results of jobs (functions without arguments), at_once of which are submitted to Spark side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+
+
+def trained(rows: DataFrame, types: list[str], folds: int = 5, seed: int = 0, at_once: int = 4, **trees) -> dict[str, dict]:
     """Per type: model (None where positives are fewer than FEWEST or all), threshold and facts.
 
-    A fold is all rows of some speakers, by hash, so predictions out of fold are of unseen ones. Rows should be stored: each fit reads them.
+    A fold is all rows of some speakers, so predictions out of fold are of unseen ones; there are as many folds as speakers at most. All
+    fits, folds + 1 a type, are submitted together, at_once at a time. Rows should be stored: each fit reads them.
     """
-    split = rows.withColumn("_fold", F.pmod(F.xxhash64("speaker"), F.lit(folds)))
+    dealt = group_folds(rows, "speaker", folds)
+    same = rows["speaker"].eqNullSafe(dealt["speaker"])
+    split = kept(rows.join(dealt, same).select(rows["*"], dealt["fold"].alias("_fold")))
+    n = split.agg(F.count("*").alias("all"), F.count_distinct("_fold").alias("folds"), *[F.coalesce(F.sum(t), F.lit(0)).alias(f"_{k}") for k, t in enumerate(types)]).first()
+    there = {(r["_fold"], t): r[f"_{k}"] for r in split.groupBy("_fold").agg(*[F.sum(t).alias(f"_{k}") for k, t in enumerate(types)]).collect() for k, t in enumerate(types)}
+    facts = {t: {"n_pos": n[f"_{k}"], "n_neg": n["all"] - n[f"_{k}"]} for k, t in enumerate(types)}
+    enabled = [t for t in types if facts[t]["n_pos"] >= FEWEST and facts[t]["n_neg"]]
+
+    def out_of_fold(t, k):
+        rest, own = split.where(F.col("_fold") != k), split.where(F.col("_fold") == k)
+        if facts[t]["n_pos"] == there[k, t]:  # none left to learn from
+            return own.select(F.lit(0.0).alias("p"), t)
+        return scored(fitted(rest, t, seed, **trees), own).select("p", t)
+
+    parts = [(t, k) for t in enabled for k in range(n["folds"])] if n["folds"] > 1 else []
+    jobs = [lambda t=t, k=k: out_of_fold(t, k) for t, k in parts] + [lambda t=t: fitted(split, t, seed, **trees) for t in enabled]
+    done = together(jobs, at_once)
+    models = dict(zip(enabled, done[len(parts) :], strict=True))
     out = {}
     for t in types:
-        n = split.agg(F.sum(t).alias("pos"), F.count("*").alias("all")).first()
-        facts = {"n_pos": n["pos"] or 0, "n_neg": n["all"] - (n["pos"] or 0)}
-        if facts["n_pos"] < FEWEST or not facts["n_neg"]:
-            out[t] = {"model": None, "threshold": DISABLED, **facts}
-            continue
-        parts = []
-        for k in range(folds):
-            rest, own = split.where(F.col("_fold") != k), split.where(F.col("_fold") == k)
-            if own.isEmpty():
-                continue
-            there = rest.agg(F.sum(t)).first()[0]
-            parts.append(scored(fitted(rest, t, seed, **trees), own).select("p", t) if there else own.select(F.lit(0.0).alias("p"), t))
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.union(part)
-        out[t] = {"model": fitted(split, t, seed, **trees), **facts, **(threshold_of(every, t) if len(parts) > 1 else {"threshold": 0.5})}
+        own = [p for p, (kind, _) in zip(done, parts, strict=False) if kind == t]
+        every = own[0] if own else None
+        for p in own[1:]:
+            every = every.union(p)
+        limit = {"threshold": DISABLED} if t not in models else threshold_of(every, t) if own else {"threshold": 0.5}
+        out[t] = {"model": models.get(t), **facts[t], **limit, "threshold": round(limit["threshold"], 6)}
     return out
 
 
 def predicted(detectors: dict[str, dict], features: DataFrame) -> DataFrame:
-    """sample_id, gap, type and prob of every window; a disabled type has probability 0."""
+    """sample_id, gap, type and prob (to four places) of every window; a disabled type has probability 0."""
     out = None
     for t, d in detectors.items():
         own = features.withColumn("p", F.lit(0.0)) if d["model"] is None else scored(d["model"], features)
-        rows = own.select("sample_id", F.col("gap").cast("long").alias("gap"), F.lit(t).alias("type"), F.col("p").alias("prob"))
+        rows = own.select("sample_id", F.col("gap").cast("long").alias("gap"), F.lit(t).alias("type"), F.round("p", 4).alias("prob"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

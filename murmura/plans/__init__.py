@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("transcripts", "placement", "timings", "ratings", "statistics", "corpus", "summary")
+MODULES = ("transcripts", "placement", "timings", "ratings", "statistics", "corpus", "summary", "sounds")
 
 
 def load() -> None:

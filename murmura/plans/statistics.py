@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from murmura.functions import vectors as V
-from murmura.operators import stats, vectors
+from murmura.operators import detector, stats, vectors
 from murmura.plans import read
 from murmura.plans.ratings import resampled_sql
 from murmura.registry import query
@@ -85,6 +85,15 @@ def f1_threshold(spark, sf_dir):
     return run.agg(F.max_by("p", f1 + F.col("p") / 1000000).alias("threshold"), F.round(F.max(f1), 9).alias("f1"))
 
 
+@query("group_folds", """WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS LAST) AS i FROM documents GROUP BY source),
+dealt AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS source, 0::BIGINT AS n, 0::BIGINT AS fold
+  UNION ALL SELECT g.i, list_transform(loads, lambda x, k: x + CASE WHEN k = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END), g.source, g.n, list_position(loads, list_min(loads)) - 1 FROM dealt JOIN g ON g.i = dealt.i + 1)
+SELECT source, n, fold::INT AS fold FROM dealt WHERE i > 0""")
+def group_folds(spark, sf_dir):
+    """Sources dealt to five folds of like size."""
+    return detector.group_folds(read(spark, sf_dir, "documents").select("source"), "source", 5)
+
+
 UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
 flat AS (SELECT label, i, avg(u[i]) AS m FROM (SELECT label, u, unnest(range(1, len(u) + 1)) AS i FROM u WHERE vec_id % 2 = 1) GROUP BY ALL),
 centroid AS (SELECT label, list(m ORDER BY i) AS c FROM flat GROUP BY label)"""

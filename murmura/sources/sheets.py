@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.operators import acoustics, subset
 from murmura.operators.ratings import FIELDS
+from murmura.sources import audio, sink
+from murmura.storage import kept
 
 COLUMNS = {"item_id": "item", "SN": "sn", "Q": "q", "NV_naturalness": "naturalness", "NV_placement": "placement"}
 
@@ -20,13 +23,41 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return named.select("rater", *fields)
 
 
-def write_package(items: DataFrame, path: str) -> None:
-    """sheet: one CSV for listeners, with empty fields; key: what each item is, as JSON lines. Items are few hundred."""
-    blank = items.orderBy("item").select(F.col("item").alias("item_id"), *[F.lit(None).cast("string").alias(k) for k in list(COLUMNS)[1:]])
+def write_package(items: DataFrame, path: str, texts: DataFrame | None = None) -> None:
+    """sheet: one CSV for listeners, with empty fields (and the file and text of each item, if texts are given); key: what each item is, as JSON lines. Items are few hundred."""
+    shown = [F.col("item").alias("item_id")]
+    if texts is not None:
+        items_with = items.join(texts.select("sample_id", F.col("text").alias("transcript")), "sample_id", "left")
+        shown += [F.concat(F.lit("audio/"), F.col("item"), F.lit(".wav")).alias("audio_file"), F.coalesce("transcript", F.lit("")).alias("transcript")]
+    else:
+        items_with = items
+    blank = items_with.orderBy("item").select(*shown, *[F.lit(None).cast("string").alias(k) for k in list(COLUMNS)[1:]])
     blank.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(f"{path}/sheet")
     items.coalesce(1).write.mode("overwrite").json(f"{path}/key")
 
 
+def export(samples: DataFrame, chosen: DataFrame, generated: DataFrame, truth: DataFrame, path: str, n_gt: int = 5, n_degraded: int = 5, ratio_db: float = 5.0, seed: int = 0) -> DataFrame:
+    """A package with its sounds: path/audio/<item>.wav, the sheet and the key. One row comes back: items, and chosen samples skipped for want of a usable file.
+
+    samples: sample_id, speaker, text; chosen: sample_id, speaker; generated and truth: files (sample_id, content). Chosen samples are heard as
+    generated, anchors as recorded; degraded anchors get noise. Files that can't be read count as missing.
+    """
+    usable = lambda found: kept(audio.decoded(found.withColumnRenamed("sample_id", "clip"), block=None).where("x IS NOT NULL").select(F.col("clip").alias("sample_id"), "rate", "x"))
+    asked = chosen.select("sample_id", "speaker")
+    made, real = usable(generated.join(asked, "sample_id", "left_semi")), audio.probed(truth.withColumnRenamed("sample_id", "clip")).where("error IS NULL").select(F.col("clip").alias("sample_id"))
+    there = asked.join(made, "sample_id", "left_semi")
+    pool = subset.anchor_pool(samples.join(real, "sample_id", "left_semi"), asked)
+    items = kept(subset.package(pool, there, n_gt, n_degraded, seed))
+    anchors = items.where("kind <> 'model'")
+    recorded = usable(truth.join(anchors, "sample_id", "left_semi"))
+    heard = items.where("kind = 'model'").join(made, "sample_id").unionByName(anchors.join(recorded, "sample_id"))
+    clips = acoustics.degraded(heard.select(F.concat(F.lit("audio/"), F.col("item"), F.lit(".wav")).alias("name"), "rate", "x", "kind"), ratio_db, seed, F.col("kind") == "anchor_degraded")
+    sink.write(audio.encoded(clips), path, overwrite=True)
+    write_package(items, path, samples)
+    skipped = asked.join(there, "sample_id", "left_anti").agg(F.count("*").alias("skipped"))
+    return items.agg(F.count("*").alias("items")).join(F.broadcast(skipped))  # one row each
+
+
 def read_key(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("item string, kind string, sample_id string, speaker string").json(f"{path}/key")
 

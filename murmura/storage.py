@@ -1,19 +1,24 @@
-"""Rows that several steps read, written once."""
+"""Rows that several steps read, written once, and the folder for them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """The same rows, computed once: written to spark.checkpoint.dir (in local mode to a folder of our own, if none is set)."""
-    spark = rows.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The same rows, computed once."""
+    folder(rows.sparkSession)
     return rows.checkpoint()
