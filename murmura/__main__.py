@@ -19,7 +19,7 @@ from murmura.operators import acoustics, align, detector, nvpa, report, subset
 from murmura.operators import events as E
 from murmura.operators import manifest as M
 from murmura.operators import ratings as R
-from murmura.sources import audio, corpus, manifest, sheets
+from murmura.sources import audio, backends, corpus, manifest, sheets
 from murmura.storage import kept
 
 
@@ -57,10 +57,20 @@ def validate(spark, args, _):
     return int(not problems.isEmpty())
 
 
+def recognised(spark, args, rows):
+    """The table of recognitions, or what a backend hears in the samples' files."""
+    if args.asr:
+        return spark.read.parquet(args.asr)
+    if not (args.backend and args.audio):
+        raise SystemExit("--asr, or --backend and --audio")
+    backend = backends.create("asr", args.backend, **json.loads(args.settings))
+    return backends.run(backend, audio.of_samples(spark, args.audio).join(rows.select("sample_id"), "sample_id", "left_semi"), f"{args.out}/asr")
+
+
 def run(spark, args, own):
     """Word errors, placement and the summary of a manifest against the tables of its recognition and detections."""
     header, rows = samples_of(spark, args)
-    asr, limits = spark.read.parquet(args.asr), thresholds_of(spark, args.thresholds)
+    asr, limits = recognised(spark, args, rows), thresholds_of(spark, args.thresholds)
     clean = rows.select("sample_id", "speaker", F.array_join("words", " ").alias("text"))
     wer = align.rated(clean, asr.select("sample_id", "text", "error"), ["sample_id"])
     wer.write.mode("overwrite").parquet(f"{args.out}/wer")
@@ -158,7 +168,7 @@ def main(argv=None, spark=None):
     n = {"limit": {"type": int}}
     add("manifest", build, "root", "split", "out", track={"default": "A"}, references={}, files={})
     add("validate", validate, "manifest", **n)
-    add("run", run, "manifest", "asr", "probs", "thresholds", "out", pmos={}, ss={}, human={}, **n)
+    add("run", run, "manifest", "probs", "thresholds", "out", asr={}, backend={}, audio={}, settings={"default": "{}"}, pmos={}, ss={}, human={}, **n)
     add("summary", summary, "manifest", "out", pmos={}, ss={}, human={}, **n)
     add("nvpa-sweep", sweep, "manifest", "asr", "probs", "thresholds", "out", scales={"type": float, "nargs": "+", "default": [0.5, 0.75, 1.0, 1.25]}, tolerances={"nargs": "+", "default": ["0", "1", "2", "3"]}, reps={"type": int, "default": 20})
     add("train-detector", train, "manifest", "asr", "out", features={}, audio={}, types={"nargs": "+", "required": True}, folds={"type": int, "default": 5}, iterations={"type": int, "default": 200}, allow_dev={"action": "store_true"})
