@@ -6,8 +6,12 @@ least BLOCKS - LINK of BLOCKS bit blocks, and each is put into one cell per choi
 STRANGERS unrelated members, and there the pivot tables do the work: each member's Hamming distances to the PIVOTS reference
 fingerprints are computed once as a row of small integers, pairs whose rows differ by more than LINK in any coordinate are
 discarded (the triangle inequality), and only what survives is verified on the fingerprints themselves.
-A cell never emits its pairs: it returns a spanning forest of its verified links. Cells of more than CELL members are
-cut into blocks, and each pair of blocks is a group of its own, so no group is unbounded and no pair is lost.
+A cell never emits its pairs: it returns a spanning forest of its verified links.
+
+A cell of more than CELL members is dealt to finer cells, by one of LINK + 1 blocks of the bits that it leaves free, where that
+at least halves the pairs to look at, up to FINER times. Members that stay together however they are dealt (fingerprints around one
+another) are cut into at most PARTS parts, and each pair of parts is a group of its own. A member thus has at most (LINK + 1)^FINER
+times PARTS rows in a cell, whatever the cell's size, and no pair is lost.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and link like any other; rows with
 one doc_id are one document with several fingerprints' links; a null doc_id is no component's name unless all are
@@ -16,6 +20,7 @@ null; an empty table gives no row.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,6 +36,8 @@ SHINGLE = 4
 LINK = 4
 SEED = 42
 CELL = 2048
+#: How often a full cell is dealt to finer ones, and the parts that one is cut into where that doesn't help.
+FINER, PARTS = 2, 32
 #: Unrelated fingerprints that a cell may hold: what the pivot tables are there to discard.
 STRANGERS = 256
 #: Reference fingerprints: as far apart as random ones are. Of random pairs one pivot leaves 57 %, eight leave 1.5 %.
@@ -125,20 +132,58 @@ def forest_of(link: int):
     return handle
 
 
+def finer(members: DataFrame, link: int) -> DataFrame:
+    """members (m, v, n, fp: a cell's mask, its bits under it, its size and a member) with fm and fv, the finer cells that each member goes to.
+
+    The bits that a cell leaves free are cut into link + 1 blocks: two linked members agree on at least one of them.
+    """
+
+    def cut_of(mask: int) -> np.ndarray:
+        free = [b for b in range(64) if not mask >> b & 1]
+        return np.array([signed(mask % 2**64 | sum(1 << int(b) for b in part)) for part in np.array_split(free, link + 1)], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            mask, fp = batch.column("m").to_numpy(), batch.column("fp").to_numpy()
+            own, place = np.unique(mask, return_inverse=True)
+            cuts = np.stack([cut_of(int(m) % 2**64) for m in own]) if len(own) else np.zeros((0, link + 1), np.int64)
+            fm = cuts[place].ravel()
+            again = pa.array(np.repeat(np.arange(len(fp)), link + 1))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(again) for c in ("m", "v", "n", "fp")], pa.array(fm), pa.array(np.repeat(fp, link + 1) & fm)], names=["m", "v", "n", "fp", "fm", "fv"])
+
+    return members.mapInArrow(run, "m long, v long, n long, fp long, fm long, fv long")
+
+
 def links(fps: DataFrame, link: int = LINK, cell: int = CELL) -> DataFrame:
     """a, b: edges that connect the fingerprints (distinct, column fp) as their links do."""
     blocks = blocks_for(fps.count(), link)
     keys = masks(blocks, blocks - link)
-    spread = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in keys]))).select("fp", F.col("pos").cast("long").alias("t"), F.col("col").alias("v"))
-    cells = shared.stored(spread.groupBy("t", "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    pairs = cells.where("n = 2").where(near(F.col("a"), F.col("b"), link)).select("a", "b")
-    full = spread.join(cells.where("n > 2").select("t", "v", "n"), ["t", "v"])
-    parts = F.ceil(F.col("n") / F.lit(cell))
-    full = full.select("t", "v", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).alias("p"))
-    full = full.select("t", "v", "fp", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
-    full = full.select("t", "v", "fp", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    found = shared.by_group(full, ["t", "v", "p", "q"], forest_of(link), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    return pairs.union(found)
+    level = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in keys])).alias("m")).select("m", F.col("fp").bitwiseAND(F.col("m")).alias("v"), "fp")
+    edge, out = pa.schema([("a", pa.int64()), ("b", pa.int64())]), []
+    for depth in range(FINER + 1):
+        cells = shared.stored(level.groupBy("m", "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+        out.append(cells.where("n = 2").where(near(F.col("a"), F.col("b"), link)).select("a", "b"))
+        one = F.lit(0).cast("long")
+        groups = level.join(cells.where((F.col("n") > 2) & (F.col("n") <= cell)).select("m", "v"), ["m", "v"]).select("m", "v", "fp", one.alias("p"), one.alias("q"))
+        full = cells.where(F.col("n") > cell).select("m", "v", "n")
+        more = not full.isEmpty()
+        if more:
+            members = shared.stored(level.join(full, ["m", "v"]).select("m", "v", "n", "fp"))
+            left = members
+            if depth < FINER:
+                dealt = shared.stored(finer(members, link))
+                work = dealt.groupBy("m", "v", "n", "fm", "fv").agg(F.count("*").alias("c")).groupBy("m", "v", "n").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
+                helped = shared.stored(work.where(2 * F.col("pairs") <= F.col("n").cast("double") * F.col("n")).select("m", "v"))
+                left = members.join(helped, ["m", "v"], "left_anti")
+                level = dealt.join(helped, ["m", "v"]).select(F.col("fm").alias("m"), F.col("fv").alias("v"), "fp")
+            parts = F.least(F.ceil(F.col("n") / F.lit(cell)), F.lit(PARTS))
+            left = left.select("m", "v", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).alias("p"))
+            left = left.select("m", "v", "fp", "p", F.explode(F.sequence(one, F.col("parts") - 1)).alias("q"))
+            groups = groups.unionByName(left.select("m", "v", "fp", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
+        out.append(shared.by_group(groups, ["m", "v", "p", "q"], forest_of(link), edge))
+        if not more:
+            break
+    return reduce(DataFrame.union, out)
 
 
 def rooted(fps: DataFrame, link: int = LINK) -> DataFrame:

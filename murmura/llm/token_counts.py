@@ -12,11 +12,16 @@ the same unless one of them makes a pair of no higher rank; such a sequence appl
 Counts of pre-tokens are kept per Python worker in a memo of at most MEMO entries. Nothing is shuffled; the vocabulary is
 read on each worker from its (parameter) path, as fixed by the installed package, and has a fixed size.
 
-Defined results: null or empty text has 0 bytes and 0 tokens; strings that look like special tokens are ordinary text.
+A pre-token of more than LONG characters (a text without spaces is one, however long) is merged over linked symbols with their
+places kept by rank: a round touches the pairs of one rank only, so a word costs time in proportion to its merges.
+
+Defined results: null or empty text has 0 bytes and 0 tokens; strings that look like special tokens are ordinary text. Rows are
+counted one by one, so repeated rows and doc_ids stay apart; an empty table gives no rows; other columns, of whatever names, are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -31,6 +36,8 @@ LIMIT = 4096
 MEMO = 400_000
 #: Pre-tokens merged in one go have at most so many characters together, unless a single one is longer.
 CHUNK = 1_000_000
+#: Longer pre-tokens are merged with their places kept by rank, as a round over all their symbols would be repeated too often.
+LONG = 128
 SPACE = "▁"
 PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 NONE = np.iinfo(np.int64).max
@@ -110,13 +117,98 @@ class Merger:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
-    def count(self, pretokens: list[str]) -> np.ndarray:
-        """Tokens of each pre-token."""
+    def symbols_of(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all pre-tokens, the pre-token of each, and the tokens that characters without a piece add to each pre-token."""
         points = np.frombuffer("".join(pretokens).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(pretokens)), [len(p) for p in pretokens])
         symbols = self.table[points].astype(np.int64)
         width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        out = np.bincount(owner, np.where(symbols == self.n - 1, width - 1, 0), len(pretokens)).astype(np.int64)
+        return symbols, owner, np.bincount(owner, np.where(symbols == self.n - 1, width - 1, 0), len(pretokens)).astype(np.int64)
+
+    def count_long(self, pretokens: list[str]) -> np.ndarray:
+        """Tokens of each pre-token, for long ones: places are kept by rank, so that a round touches its own pairs and their neighbours only.
+
+        Symbols are linked to their neighbours within a pre-token. Each round takes the lowest rank that any pair has and applies
+        its pairs in all pre-tokens, from the left; in a pre-token where one of them makes a pair of no higher rank, those behind it
+        wait for the next round.
+        """
+        symbols, owner, out = self.symbols_of(pretokens)
+        n = len(symbols)
+        if not n:
+            return out
+        right = np.arange(1, n + 1)
+        right[np.r_[owner[1:] != owner[:-1], True]] = n
+        left = np.full(n + 1, -1)
+        left[right[right < n]] = np.flatnonzero(right < n)
+        symbols = np.r_[symbols, 0]
+        rank = np.full(n + 1, NONE)
+        first = np.flatnonzero(right < n)
+        rank[first] = self.look(symbols[first], symbols[first + 1])[0]
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            """Puts places where their ranks are found."""
+            places = places[rank[places] != NONE]
+            own = rank[places]
+            order = np.argsort(own, kind="stable")
+            places, own = places[order], own[order]
+            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+            for r, part in zip(own[edge].tolist() if len(own) else [], np.split(places, edge[1:]) if len(own) else [], strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(part)
+
+        wait(first)
+        while queue:
+            r = heapq.heappop(queue)
+            parts = waiting.pop(r)
+            at = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # Of pairs that overlap, every second one counts, from the left.
+            run = np.flatnonzero(np.r_[True, right[at[:-1]] != at[1:]])
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+            take = at[place % 2 == 0]
+            gone = right[take]
+            new = self.look(symbols[take], symbols[gone])[1]
+            after, before = right[gone], left[take]
+            # A pair with the left neighbour, which has just been merged itself where it was taken too.
+            joined = np.r_[False, gone[:-1] == before[1:]]
+            prior = np.where(joined, np.r_[0, new[:-1]], symbols[before])
+            up = np.where(after < n, self.look(new, symbols[after])[0], NONE)
+            down = np.where(before >= 0, self.look(prior, new)[0], NONE)
+            low = np.minimum(up, down) <= r
+            if low.any():
+                own = owner[take]
+                stop = np.full(len(pretokens), n)
+                np.minimum.at(stop, own[low], take[low])
+                keep = take <= stop[own]
+                take, gone, new, after = take[keep], gone[keep], new[keep], after[keep]
+                late = at[at > stop[owner[at]]]
+                if len(late):
+                    waiting.setdefault(r, []).append(late)
+                    heapq.heappush(queue, r)
+            symbols[take] = new
+            right[take] = after
+            inner = after < n
+            left[after[inner]] = take[inner]
+            rank[gone] = NONE
+            out -= np.bincount(owner[take], minlength=len(out))
+            # Ranks of the pairs that merged symbols are now in, as left and as right one.
+            touched = np.unique(np.concatenate([take, left[take][left[take] >= 0]]))
+            there = right[touched] < n
+            rank[touched] = NONE
+            touched = touched[there]
+            rank[touched] = self.look(symbols[touched], symbols[right[touched]])[0]
+            wait(touched)
+        return out + np.bincount(owner, minlength=len(out))
+
+    def count(self, pretokens: list[str]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        symbols, owner, out = self.symbols_of(pretokens)
         while len(symbols) > 1:
             rank, made = self.look(symbols[:-1], symbols[1:])
             rank[owner[:-1] != owner[1:]] = NONE
@@ -173,16 +265,21 @@ def counted(texts: list[str], path: str) -> list[int]:
     if len(memo) > MEMO:
         memo.clear()
     cut = [PRETOKEN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    fresh = list({p for own in cut for p in own if p not in memo})
-    at = 0
-    while at < len(fresh):
-        to, chars = at, 0
-        while to < len(fresh) and (to == at or chars + len(fresh[to]) <= CHUNK):
-            chars += len(fresh[to])
-            to += 1
-        memo.update(zip(fresh[at:to], model.count(fresh[at:to]).tolist(), strict=True))
-        at = to
-    return [sum(map(memo.__getitem__, own)) for own in cut]
+    every = {p for own in cut for p in own if p not in memo}
+    for fresh, count in (([p for p in every if len(p) <= LONG], model.count), ([p for p in every if len(p) > LONG], model.count_long)):
+        at = 0
+        while at < len(fresh):
+            to, chars = at, 0
+            while to < len(fresh) and (to == at or chars + len(fresh[to]) <= CHUNK):
+                chars += len(fresh[to])
+                to += 1
+            memo.update(zip(fresh[at:to], count(fresh[at:to]).tolist(), strict=True))
+            at = to
+    found = [sum(map(memo.__getitem__, own)) for own in cut]
+    for p in every:  # long ones would fill the memo
+        if len(p) > LONG:
+            del memo[p]
+    return found
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
