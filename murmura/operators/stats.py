@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.functions.arrays import bound
+from murmura.storage import kept
+
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-#: Of 32 bits: from where on a draw of Poisson's distribution with mean 1 is at least 1, 2, ...
-POISSON = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+#: Rows that a replicate draws from together.
+BLOCK = 1024
 
 
 def valid(value: Column) -> Column:
@@ -17,27 +18,49 @@ def valid(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def beside(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """a with the other columns of b, where both agree in columns, null with null."""
+    on = F.lit(True)
+    for c in columns:
+        on &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return a.alias("l").join(b.alias("r"), on, how).select("l.*", *[F.col(f"r.{c}") for c in b.columns if c not in columns])
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], weight: Column) -> DataFrame:
+    """rows with cum (the weights of a group's rows up to this one, in order, nulls last) and total (of all of them).
+
+    Rows are dealt by ranges of (by, order), so that a group of any size is spread over tasks: a task sums its own rows of a group, the
+    sums of tasks before it are added, and only these sums, one for each task that a group is spread over, meet in one place.
+    """
+    sorted_ = [F.col(c).asc_nulls_last() for c in order]
+    dealt = kept(rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in by], *sorted_).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight))
+    parts = dealt.groupBy(*by, "_part").agg(F.sum("_w").alias("_sum"))
+    group = Window.partitionBy(*by)
+    before = parts.select(*by, "_part", (F.sum("_sum").over(group.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(group).alias("total"))
+    own = Window.partitionBy(*by, "_part").orderBy(*sorted_).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("_cum", F.sum("_w").over(own))
+    return beside(summed, before, [*by, "_part"]).select(*rows.columns, (F.col("_before") + F.col("_cum")).alias("cum"), "total")
+
+
 def cumulated(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, c and cum: how often a value occurs, and how many rows have at most this value. One row per distinct value."""
+    """by, value, c, cum and total: how often a value occurs, how many rows have at most this value, and how many there are. One row per distinct value."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    return counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
+    return running(counts, by, [value], F.col("c"))
 
 
 def described(rows: DataFrame, by: list[str], value: str, quantiles: tuple = QUANTILES) -> DataFrame:
-    """n, mean, std (of the population), low, high and interpolated percentiles, from counts by value: no list of a group's values."""
-    counts = cumulated(rows, by, value)
-    sized = counts.withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    x, c = F.col(value).cast("double"), F.col("c")
-    mean = F.sum(x * c) / F.sum("c")
+    """n, mean, std (of the population), low, high and interpolated percentiles, from counts by value: no list of a group's values, and no group in one task."""
+    counts = kept(cumulated(rows, by, value))
+    x, c, n = F.col(value).cast("double"), F.col("c"), F.col("total")
     cuts = []
     for q in quantiles:
-        at = (F.col("n") - 1) * q
+        at = (n - 1) * q
         low, high = (F.min(F.when(F.col("cum") > f(at), x)) for f in (F.floor, F.ceil))
-        share = F.first((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+        share = F.first((n - 1) * q - F.floor((n - 1) * q))
         cuts.append((low + (high - low) * share).alias(f"p{round(100 * q)}"))
-    centre = sized.withColumn("_m", F.sum(x * c).over(Window.partitionBy(*by)) / F.col("n"))
-    spread = F.sqrt(F.sum(c * (x - F.col("_m")) * (x - F.col("_m"))) / F.sum("c"))
-    return centre.groupBy(*by).agg(F.sum("c").alias("n"), mean.alias("mean"), spread.alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), *cuts)
+    first = counts.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(x * c) / F.sum("c")).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *cuts)
+    spread = beside(counts.select(*by, value, "c"), first.select(*by, F.col("mean").alias("_m")), by).groupBy(*by).agg(F.sqrt(F.sum(c * (x - F.col("_m")) * (x - F.col("_m"))) / F.sum("c")).alias("std"))
+    return beside(first, spread, by).select(*by, "n", "mean", "std", "low", "high", *[f"p{round(100 * q)}" for q in quantiles])
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -63,15 +86,15 @@ def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return sums.select(*by, "n", F.when(n >= 3, F.try_divide(top, low)).alias("rho"))
 
 
-def hashed(seed: int, *counter: Column) -> Column:
-    """32 bits drawn by hash: the same on every run, in any order."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in counter]).cast("binary")), 1, 8)
-    return F.conv(digits, 16, 10).cast("long")
+def hashed(seed: int, *counter: Column, digits: int = 8) -> Column:
+    """32 bits (or four times digits) drawn by hash: the same on every run, in any order."""
+    own = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in counter]).cast("binary")), 1, digits)
+    return F.conv(own, 16, 10).cast("long")
 
 
-def drawn(seed: int, *counter: Column, n: Column) -> Column:
+def drawn(seed: int, *counter: Column, n: Column, digits: int = 8) -> Column:
     """A whole number from 0 to n - 1."""
-    return hashed(seed, *counter) % n
+    return hashed(seed, *counter, digits=digits) % n
 
 
 def interval(ratios: DataFrame, by: list[str], alpha: float) -> DataFrame:
@@ -82,35 +105,62 @@ def interval(ratios: DataFrame, by: list[str], alpha: float) -> DataFrame:
 def bootstrap(clusters: DataFrame, reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """The interval of sum(num) / sum(den) over clusters (c, num, den) drawn with replacement; null for fewer than two.
 
-    Rows are summed per cluster first, so a replicate costs as many draws as there are clusters, which are numbered in one task: for
-    thousands of clusters. Beyond that, resampled() needs no numbers.
+    Each draw names a cluster, which it meets by a join: for clusters of a few thousand. resampled() takes any number, as rows.
     """
-    numbered = clusters.withColumn("i", F.row_number().over(Window.orderBy(F.col("c").asc_nulls_last())) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))
+    numbered = kept(running(clusters, [], ["c"], F.lit(1)).select("num", "den", (F.col("cum") - 1).alias("i"), F.col("total").alias("k")))
     draws = numbered.where("k >= 2").select("i", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     picked = draws.select("rep", drawn(seed, F.col("rep"), F.col("i"), n=F.col("k")).alias("i"))
     sums = picked.join(numbered.select("i", "num", "den"), "i").groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     return interval(sums.select(F.try_divide(F.col("num").cast("double"), F.col("den")).alias("r")), [], alpha)
 
 
+def replicates(rows: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
+    """by, rep, n, num and den: sums of exactly as many draws with replacement as a group of rows (by, key, num, den) has.
+
+    A group's rows are numbered by key and cut into blocks of BLOCK. A replicate's n draws fall on blocks by hash, counted where they
+    are drawn; within a block as many rows are then drawn, by hash, from the block's own array. So n draws cost no shuffle of n rows:
+    what moves is a number for each replicate and block.
+    """
+    placed = running(rows.select(*by, "key", "num", "den"), by, ["key", "num", "den"], F.lit(1)).withColumnRenamed("total", "n")
+    placed = kept(placed.withColumn("i", F.col("cum") - 1).withColumn("b", F.floor(F.col("i") / BLOCK)))
+    blocks = placed.groupBy(*by, "b").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den")))), lambda x: F.struct(x["num"].alias("num"), x["den"].alias("den"))).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    one = placed.where(f"n <= {BLOCK} AND i = 0").select(*by, "b", "n", every).withColumn("m", F.col("n"))
+    many = placed.where(f"n > {BLOCK}").select(*by, "i", "n", every)
+    many = many.select(*by, F.floor(drawn(seed, F.col("rep"), F.col("i"), n=F.col("n"), digits=15) / BLOCK).alias("b"), "n", "rep").groupBy(*by, "b", "n", "rep").agg(F.count("*").alias("m"))
+    draws = one.unionByName(many)
+    zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
+
+    def add(s, k):
+        return bound(F.get("own", drawn(seed, F.col("rep"), F.col("b"), k, n=F.size("own"), digits=15).cast("int")), lambda x: F.struct((s["num"] + x["num"]).alias("num"), (s["den"] + x["den"]).alias("den")))
+
+    sums = beside(draws, blocks.drop("n"), [*by, "b"]).select(*by, "rep", "n", "m", F.inline(F.array(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), zero, add))))
+    return sums.groupBy(*by, "rep").agg(F.first("n").alias("n"), F.sum("m").alias("drawn"), F.sum("num").alias("num"), F.sum("den").alias("den"))
+
+
 def resampled(rows: DataFrame, by: list[str], reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """by, value and interval of sum(num) / sum(den) of rows (by, key, num, den), each row drawn on its own.
+    """by, n, value and interval of sum(num) / sum(den) of rows (by, key, num, den), by replicates of as many draws as there are rows.
 
-    In every replicate a row counts as often as a Poisson draw with mean 1 says, by hash of replicate and key: drawing with
-    replacement as it is for many rows, in one pass with partial sums, without numbering rows. A mean has den = 1. Replicates
-    whose denominators sum to zero don't count; fewer than two rows have no interval.
+    A mean has den = 1. Replicates whose denominators sum to zero don't count; fewer than two rows have no interval.
     """
-    many = rows.select(*by, "key", "num", "den", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = hashed(seed, F.col("rep"), F.col("key"))
-    drawn_ = many.withColumn("u", u).withColumn("times", sum(((F.col("u") >= t).cast("int") for t in POISSON[1:]), (F.col("u") >= POISSON[0]).cast("int")))
-    sums = drawn_.groupBy(*by, "rep").agg(F.sum(F.col("num") * F.col("times")).alias("num"), F.sum(F.col("den") * F.col("times")).alias("den"))
-    ratios = sums.select(*by, F.try_divide(F.col("num").cast("double"), F.col("den")).alias("r"))
-    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.sum("num").cast("double"), F.sum("den")).alias("value"))
-    if not by:
-        joined = whole.join(F.broadcast(interval(ratios, by, alpha)))  # one row each
-    else:
-        same = [F.col(f"w.{c}").eqNullSafe(F.col(f"i.{c}")) for c in by]
-        joined = whole.alias("w").join(interval(ratios, by, alpha).alias("i"), same, "left").select("w.*", "ci_low", "ci_high", "reps")
-    return joined.select(*by, "n", "value", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("ci_low", "ci_high")], "reps")
+    own = rows.select(*by, "key", "num", "den")
+    sums = replicates(own, by, reps, seed)
+    ratios = interval(sums.select(*by, F.try_divide(F.col("num"), F.col("den")).alias("r")), by, alpha)
+    whole = own.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.sum("num").cast("double"), F.sum("den")).alias("value"))
+    return beside(whole, ratios, by, "left").select(*by, "n", "value", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("ci_low", "ci_high")], "reps")
+
+
+def clustered(rows: DataFrame, by: list[str], cluster: str, reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """by, clusters, cluster_low and cluster_high: the interval with whole clusters drawn, each summed first. Rows without a cluster are one."""
+    sums = rows.groupBy(*by, F.col(cluster).alias("key")).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    return resampled(sums, by, reps, seed, alpha).select(*by, F.col("n").alias("clusters"), F.col("ci_low").alias("cluster_low"), F.col("ci_high").alias("cluster_high"))
+
+
+def intervals(rows: DataFrame, by: list[str], cluster: str = "speaker", reps: int = 100, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """resampled() and clustered() of rows (by, key, num, den, cluster) side by side."""
+    rows = kept(rows.select(*by, "key", "num", "den", cluster))
+    single, whole = resampled(rows, by, reps, seed, alpha), clustered(rows, by, cluster, reps, seed, alpha)
+    return beside(single, whole, by)
 
 
 def grouped(rows: DataFrame, by: str, value: str, key: str, least: int = 10, reps: int = 100, seed: int = 0) -> DataFrame:

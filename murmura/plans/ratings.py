@@ -71,15 +71,14 @@ def rating_sample_means(spark, sf_dir):
     return means.select("sample_id", *[x for f in R.FIELDS for x in (F.round(f, 9).alias(f), F.col(f"n_{f}"))], "both")
 
 
-#: How often a row counts in a replicate, from 32 bits u.
-TIMES = " + ".join(f"(u >= {t})::INT" for t in stats.POISSON)
-
-
-def resampled_sql(rows: str, by: str, seed: int = 0, reps: int = 100) -> str:
-    """CTEs many, sums and ci over rows (by, key, num, den)."""
-    return f"""many AS (SELECT {by}, num, den, rep, ('0x' || substr(md5('{seed}|' || rep || '|' || key), 1, 8))::BIGINT AS u FROM {rows}, (SELECT unnest(range({reps})) AS rep)),
-sums AS (SELECT {by}, rep, sum(num * ({TIMES}))::DOUBLE / nullif(sum(den * ({TIMES})), 0) AS r FROM many GROUP BY ALL),
-ci AS (SELECT {by}, quantile_cont(r, 0.025) AS ci_low, quantile_cont(r, 0.975) AS ci_high, count(r) AS reps FROM sums GROUP BY ALL)"""
+def resampled_sql(rows: str, by: str, seed: int = 0, reps: int = 100, name: str = "ci") -> str:
+    """CTEs up to one of that name (ci_low, ci_high, reps) over rows (by, key, num, den): n draws on blocks, then within them."""
+    bits = lambda *parts: f"('0x' || substr(md5('{seed}|' || " + " || '|' || ".join(parts) + "), 1, 15))::BIGINT"
+    return f"""{name}_placed AS (SELECT {by}, num, den, row_number() OVER (PARTITION BY {by} ORDER BY key, num, den) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {rows}),
+{name}_dealt AS (SELECT {by}, n, rep, ({bits("rep", "i")} % n) // {stats.BLOCK} AS b, count(*) AS m FROM {name}_placed, (SELECT unnest(range({reps})) AS rep) GROUP BY ALL),
+{name}_picked AS (SELECT {by}, rep, b * {stats.BLOCK} + {bits("rep", "b", "k")} % least({stats.BLOCK}, n - b * {stats.BLOCK}) AS i FROM (SELECT *, unnest(range(m)) AS k FROM {name}_dealt)),
+{name}_sums AS (SELECT p.{by}, rep, sum(num)::DOUBLE / nullif(sum(den), 0) AS r FROM {name}_picked p JOIN {name}_placed q ON p.{by} IS NOT DISTINCT FROM q.{by} AND p.i = q.i GROUP BY ALL),
+{name} AS (SELECT {by}, quantile_cont(r, 0.025) AS ci_low, quantile_cont(r, 0.975) AS ci_high, count(r) AS reps FROM {name}_sums GROUP BY ALL)"""
 
 
 @query("rating_summary", f"WITH {RATERS}, long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, sample_id AS key, {f} AS num, 1 AS den FROM samples WHERE {f} IS NOT NULL" for f in R.FIELDS) + "), " + resampled_sql("long", "field") + " SELECT field, n, round(mean, 9) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (SELECT field, count(*) AS n, avg(num) AS mean FROM long GROUP BY field) JOIN ci USING (field)")

@@ -1,7 +1,6 @@
 """Statistics, ratings and subsets on random cases, worked out by hand."""
 
 import hashlib
-import math
 import random
 import statistics
 
@@ -37,24 +36,58 @@ def test_spearman(spark):
 
 
 def draw(seed, *counter):
-    return int(hashlib.md5("|".join(map(str, (seed, *counter))).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5("|".join(map(str, (seed, *counter))).encode()).hexdigest()[:15], 16)
+
+
+def test_running_sums_of_a_group_in_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([None, *range(300)]), k) for g, n in (("hot", 3000), ("a", 5), (None, 40)) for k in range(n)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g string, x int, k int")
+        got = stats.running(df, ["g"], ["x", "k"], F.col("k") % 3)
+        assert "_part" not in got.columns
+        found = {(r.g, r.x, r.k): (r.cum, r.total) for r in got.collect()}
+        tasks = df.repartitionByRange("g", "x", "k").withColumn("p", F.spark_partition_id()).where("g = 'hot'").select("p").distinct().count()
+        deep = stats.described(df, ["g"], "x").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+    for g in ("hot", "a", None):
+        own, cum = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2])), 0
+        for r in own:
+            cum += r[2] % 3
+            assert found[r] == (cum, sum(x[2] % 3 for x in own))
+        values = [r[1] for r in own if r[1] is not None]
+        one = next(r for r in deep if r.g == g)
+        assert (one.n, one.low, one.high) == (len(values), min(values), max(values)) and one.p75 == pytest.approx(np.percentile(values, 75)) and one.std == pytest.approx(statistics.pstdev(values))
 
 
 def test_resampled(spark):
+    """Every replicate has exactly as many draws as its group has rows, those of the hashes."""
     rng = random.Random(3)
-    rows = [(g, k, rng.random(), rng.randrange(3)) for g, n in (("a", 60), ("b", 1), (None, 30)) for k in range(n)]
-    got = {r.g: r for r in stats.resampled(spark.createDataFrame(rows, "g string, key int, num double, den int"), ["g"], 50, 5).collect()}
-    times = lambda u: sum(u >= 2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(13))
-    for g in ("a", None):
-        own = [(k, x, d) for h, k, x, d in rows if h == g]
-        ratios = []
-        for rep in range(50):
-            w = [times(draw(5, rep, k)) for k, _, _ in own]
-            den = sum(a * d for a, (_, _, d) in zip(w, own, strict=True))
-            ratios += [sum(a * x for a, (_, x, _) in zip(w, own, strict=True)) / den] if den else []
-        assert got[g].value == pytest.approx(sum(x for _, x, _ in own) / sum(d for _, _, d in own))
+    rows = [(g, k, rng.random(), rng.randrange(3)) for g, n in (("a", 60), ("b", 1), (None, 30), ("two", 2), ("big", 2500)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, key int, num double, den int")
+    sums = {(r.g, r.rep): r for r in stats.replicates(df, ["g"], 20, 5).collect()}
+    assert len(sums) == 100 and all(r.drawn == r.n == sum(x[0] == g for x in rows) for (g, _), r in sums.items())
+    got = {r.g: r for r in stats.resampled(df, ["g"], 20, 5).collect()}
+    for g in ("a", None, "two", "big"):
+        own = [r[2:] for r in rows if r[0] == g]
+        n, ratios = len(own), []
+        for rep in range(20):
+            blocks = [0] * (n // 1024 + 1)
+            for i in range(n):
+                blocks[draw(5, rep, i) % n // 1024] += 1
+            picks = [b * 1024 + draw(5, rep, b, k) % min(1024, n - b * 1024) for b, m in enumerate(blocks) for k in range(m)]
+            num, den = sum(own[i][0] for i in picks), sum(own[i][1] for i in picks)
+            assert (sums[g, rep].num, sums[g, rep].den) == (pytest.approx(num), den)
+            ratios += [num / den] if den else []
+        assert got[g].value == pytest.approx(sum(x for x, _ in own) / sum(d for _, d in own)) and got[g].reps == len(ratios)
         assert (got[g].ci_low, got[g].ci_high) == pytest.approx((np.percentile(ratios, 2.5), np.percentile(ratios, 97.5)))
     assert got["b"].ci_low is None and got["b"].n == 1
+    with_clusters = {r.g: r for r in stats.intervals(df.withColumn("speaker", F.col("key") % 7), ["g"], reps=20, seed=5).collect()}
+    assert (with_clusters["a"].clusters, with_clusters["two"].clusters, with_clusters["b"].cluster_low) == (7, 2, None) and with_clusters["a"].ci_low == got["a"].ci_low
+    assert stats.replicates(df.limit(0), [], 3, 1).collect() == []
 
 
 def test_intervals_hold_the_mean_and_widen_with_clusters(spark):
