@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import text as T
-from murmura.operators import stats
+from murmura.operators import pairing, stats
+from murmura.storage import kept
 
 #: A threshold over 1 means that a type is disabled.
 DISABLED = 1.01
@@ -74,51 +75,15 @@ def banded(events: DataFrame, found: DataFrame, before: int, after: int) -> Data
     return events.select("sample_id", "type", "e", "gap").join(near.drop("before", "after"), ["sample_id", "type", "gap"])
 
 
-def matched(events: DataFrame, found: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """One-to-one pairs, taken from the closest on, then the most probable, the earliest event and the earliest gap.
-
-    Pairs of different types, samples or keys never compete, nor do pairs of events that lie further apart than both
-    tolerances reach: each run of events between such distances is a group of its own, and a fold over a group's
-    ordered pairs takes what is still free. Both tables have the keys, or events has none of them; found has before and after.
-    """
-    own = [k for k in keys if k in events.columns]
-    near = reaching(found, keys).withColumnRenamed("as", "type")
-    pairs = events.select(*own, "sample_id", "type", "e", "gap").join(near, [*own, "sample_id", "type", "gap"])
-    place = [*keys, "sample_id", "type"]
-    order = Window.partitionBy(*place).orderBy("gap", "e", "found")
-    apart = F.col("gap") - F.lag("gap").over(order) > F.col("before") + F.col("after")
-    runs = pairs.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.struct(F.abs(F.col("found") - F.col("gap")).alias("far"), (-F.col("prob")).alias("less"), "e", F.col("found").alias("at"), "gap")
-    ordered = runs.groupBy(*place, "_run").agg(F.array_sort(F.collect_list(rank)).alias("pairs"))
-
-    def take(taken, x):
-        free = ~F.exists(taken, lambda t: (t["e"] == x["e"]) | (t["at"] == x["at"]))
-        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
-
-    none = F.filter("pairs", lambda x: F.lit(False))
-    return ordered.select(*place, F.inline(F.aggregate("pairs", none, take))).select(*place, "e", F.col("at").alias("found"), (F.col("at") - F.col("gap")).alias("offset"), (-F.col("less")).alias("prob"))
-
-
 def judged(events: DataFrame, found: DataFrame, probs: DataFrame | None = None) -> DataFrame:
     """Every event with hit, offset, prob and reason.
 
-    found has before and after. Reasons, first that holds: ok; alignment_unreliable (the event's gap is not valid and no other
+    Pairs are one to one, taken from the closest on, then the most probable, the earliest event and the earliest gap. found has
+    before and after. Reasons, first that holds: ok; alignment_unreliable (the event's gap is not valid and no other
     type was found near: only where events has a column valid); wrong_type; wrong_position; missing. A miss has the
     probability of its type at its own gap, from probs (as found, before any threshold).
     """
-    hits = matched(events, found).select("sample_id", "e", "offset", "prob")
-    near = reaching(found, []).groupBy("sample_id", "gap").agg(F.collect_set("as").alias("near"))
-    reach = found.groupBy("sample_id", "type").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.first("before").alias("before"), F.first("after").alias("after"))
-    all_ = (found if probs is None else probs).groupBy("sample_id", "type", "gap").agg(F.max("prob").alias("at_gap"))
-    joined = events.join(hits, ["sample_id", "e"], "left").join(near, ["sample_id", "gap"], "left").join(reach, ["sample_id", "type"], "left").join(all_, ["sample_id", "type", "gap"], "left")
-    hit = F.col("offset").isNotNull()
-    other = F.coalesce(F.size(F.array_except("near", F.array("type"))) > 0, F.lit(False))
-    far = (F.col("low") < F.col("gap") - F.col("before")) | (F.col("high") > F.col("gap") + F.col("after"))
-    reason = F.when(hit, "ok")
-    if "valid" in events.columns:
-        reason = reason.when(~F.col("valid") & ~other, "alignment_unreliable")
-    reason = reason.when(other, "wrong_type").when(far, "wrong_position").otherwise("missing")
-    return joined.select(*events.columns, hit.alias("hit"), "offset", F.coalesce("prob", "at_gap").alias("prob"), reason.alias("reason"))
+    return pairing.outcomes(pairing.compared(events, found, probs), events.columns)
 
 
 def counted(outcomes: DataFrame, policy: str = "miss") -> DataFrame:
@@ -128,58 +93,59 @@ def counted(outcomes: DataFrame, policy: str = "miss") -> DataFrame:
     return outcomes if policy == "miss" else outcomes.where("reason <> 'alignment_unreliable'")
 
 
-def spurious(events: DataFrame, found: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def spurious(events: DataFrame, found: DataFrame) -> DataFrame:
     """Detections that no event took."""
-    used = matched(events, found, keys).select(*keys, "sample_id", "type", F.col("found").alias("gap"))
-    return found.join(used, [*keys, "sample_id", "type", "gap"], "left_anti")
+    return pairing.left_over(pairing.compared(events, found)).select(found.columns)
 
 
-def placed_anew(events: DataFrame, reps: int, seed: int) -> DataFrame:
-    """The events, once a replicate, in gaps drawn uniformly by hash from their sample's; types stay."""
-    many = events.select(*[c for c in events.columns if c != "gap"], F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    return many.withColumn("gap", stats.drawn(seed, F.col("rep"), F.col("sample_id"), F.col("e"), n=F.col("n_words") + 1))
+def drawn_gaps(reps: int, seed: int) -> Column:
+    """Gaps of an event (sample_id, e, n_words) in each of reps replicates, drawn uniformly by hash from its sample's; its type stays."""
+    return F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: stats.drawn(seed, r, F.col("sample_id"), F.col("e"), n=F.col("n_words") + 1))
 
 
-def baseline(events: DataFrame, found: DataFrame, reps: int, seed: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Per keys: the accuracy that events placed by chance reach against the same detections, over replicates (mean, std, low, high)."""
-    anew = placed_anew(events, reps, seed)
-    many = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    hits = matched(anew, many, [*keys, "rep"]).groupBy(*keys, "rep").agg(F.count("*").alias("hits"))
-    points = found.select(*keys).distinct() if keys else found.sparkSession.range(1).select()
-    every = points.join(F.broadcast(found.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))))
-    total = events.agg(F.count("*").alias("n"))
-    rate = F.try_divide(F.coalesce("hits", F.lit(0)).cast("double"), F.col("n"))
-    rates = every.join(hits, [*keys, "rep"], "left").join(F.broadcast(total)).withColumn("r", rate)
-    return rates.groupBy(*keys).agg(F.count("r").alias("reps"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("low"), F.max("r").alias("high"))
+def chances(counts: DataFrame) -> DataFrame:
+    """Per point: reps, mean, std, low and high of the accuracy that events placed by chance reach, from what gridded() counts."""
+    own = counts.groupBy("point").agg(F.sum("n").alias("n"), F.collect_list("chance").alias("c"))  # a row a type
+    rates = own.select("point", "n", F.posexplode(F.aggregate("c", F.array_repeat(F.lit(0).cast("long"), F.size(F.get("c", F.lit(0)))), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))).alias("rep", "hits"))
+    r = F.try_divide(F.col("hits").cast("double"), F.col("n"))
+    return rates.select("point", r.alias("r")).groupBy("point").agg(F.count("r").alias("reps"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("low"), F.max("r").alias("high"))
 
 
-def grid(found: DataFrame, thresholds: DataFrame, scales: list[float], tolerances: list[tuple[int, int]]) -> DataFrame:
-    """found at every scale and tolerance of the grid: a detection once per point at which it fires."""
-    points = [F.struct(F.lit(float(s)).alias("scale"), F.lit(b).alias("before"), F.lit(a).alias("after")) for s in dict.fromkeys(scales) for b, a in dict.fromkeys(tolerances)]
-    many = found.select("*", F.inline(F.array(*points)))
-    return fired(many, thresholds, F.col("scale"))
+def baseline(events: DataFrame, found: DataFrame, before: int, after: int, reps: int, seed: int) -> DataFrame:
+    """One row: the accuracy that events placed by chance reach against the same detections, over replicates (reps, mean, std, low, high)."""
+    counts = pairing.gridded(events, found.withColumn("base", F.lit(0.0)), [(1.0, before, after)], draws=drawn_gaps(reps, seed), reps=reps)
+    return chances(counts).drop("point")
 
 
 POINT = ["scale", "before", "after"]
 
 
-def sweep(events: DataFrame, found: DataFrame, thresholds: DataFrame, scales: list[float], tolerances: list[tuple[int, int]], reps: int = 2, seed: int = 0) -> DataFrame:
-    """Per point of the grid and type, with a row of type null for all: n, hits, accuracy, spurious; given reps, for all also baseline and lift."""
-    at = grid(found, thresholds, scales, tolerances)
-    hits = matched(events, at, POINT).groupBy(*POINT, "type").agg(F.count("*").alias("hits"))
-    seen = at.groupBy(*POINT, "type").agg(F.count("*").alias("seen"))
-    types = events.groupBy("type").agg(F.count("*").alias("n"))
-    points = events.sparkSession.createDataFrame([(float(s), b, a) for s in dict.fromkeys(scales) for b, a in dict.fromkeys(tolerances)], "scale double, before int, after int")
-    kinds = types.select("type").union(found.select("type")).distinct()
-    every = kinds.join(F.broadcast(points)).join(types, "type", "left").join(hits, [*POINT, "type"], "left").join(seen, [*POINT, "type"], "left").na.fill(0, ["n", "hits", "seen"])
-    rolled = every.groupingSets([[*map(F.col, POINT)], [*map(F.col, POINT), F.col("type")]], *POINT, "type").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "seen")])
-    out = rolled.select(*POINT, "type", "n", "hits", F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("accuracy"), (F.col("seen") - F.col("hits")).alias("spurious"))
+def sweep(events: DataFrame, found: DataFrame, thresholds: DataFrame, scales: list[float], tolerances: list[tuple[int, int]], reps: int = 2, seed: int = 0, policy: str = "miss") -> DataFrame:
+    """Per point of the grid and type, with a row of type null for all: n, hits, accuracy, spurious; given reps, for all also baseline and lift.
+
+    One pass over each sample's events and detections serves all points and replicates. policy exclude leaves out of n, at each point, the events
+    whose alignment is unreliable there (events has valid); the baseline counts against the same n.
+    """
+    if policy not in ("miss", "exclude"):
+        raise ValueError(f"no such policy for unreliable alignments: {policy}")
+    points = [(float(s), b, a) for s in dict.fromkeys(scales) for b, a in dict.fromkeys(tolerances)]
+    with_base = found.join(F.broadcast(thresholds), "type", "left").withColumn("base", F.coalesce("base", F.lit(DISABLED)))
+    counts = kept(pairing.gridded(events, with_base, points, policy, drawn_gaps(reps, seed) if reps else None, reps))
+    named = F.broadcast(events.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(points)], "point int, scale double, before int, after int"))
+    rolled = counts.groupingSets([[F.col("point")], [F.col("point"), F.col("type")]], "point", "type").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "seen")])
+    out = rolled.join(named, "point").select("point", *POINT, "type", "n", "hits", F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("accuracy"), (F.col("seen") - F.col("hits")).alias("spurious"))
     if not reps:
-        return out
-    chance = baseline(events, at, reps, seed, POINT).select(*POINT, F.col("mean").alias("chance"))
-    joined = out.join(F.broadcast(chance), POINT, "left")  # a row a point
+        return out.drop("point")
+    joined = out.join(F.broadcast(chances(counts).select("point", F.col("mean").alias("chance"))), "point", "left")  # a row a point
     own = F.when(F.col("type").isNull(), F.coalesce("chance", F.lit(0.0)))
-    return joined.select(*out.columns, own.alias("baseline"), (F.col("accuracy") - own).alias("lift"))
+    return joined.select(*[c for c in out.columns if c != "point"], own.alias("baseline"), (F.col("accuracy") - own).alias("lift"))
+
+
+def tolerance_check(events: DataFrame, found: DataFrame, thresholds: DataFrame, scale: float, before: int, after: int, reps: int = 20, seed: int = 0, policy: str = "miss") -> DataFrame:
+    """The chosen tolerance beside none and two words on either side, over all types: what a summary shows of how much the tolerance gives away."""
+    tolerances = list(dict.fromkeys([(0, 0), (before, after), (2, 2)]))
+    every = sweep(events, found, thresholds, [scale], tolerances, min(reps, 20), seed, policy).where("type IS NULL").drop("type", "scale")
+    return every.withColumn("chosen", (F.col("before") == before) & (F.col("after") == after))
 
 
 def summarised(outcomes: DataFrame, spurious_rows: DataFrame, words: DataFrame, policy: str = "miss") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import text as T
 from murmura.functions.arrays import bound
-from murmura.operators import align, timing
+from murmura.operators import align, pairing, timing
 from murmura.operators import events as E
 from murmura.storage import kept
 
@@ -44,7 +44,8 @@ def outcomes(ready: DataFrame, probs: DataFrame, thresholds: DataFrame, before:
     found = E.with_tolerance(E.fired(there, thresholds, scale), before, after)
     events = good.select("sample_id", "speaker", F.col("n_ref").cast("long").alias("n_words"), F.inline("events")).withColumn("gap", F.col("gap").cast("long"))
     events = kept(events.join(centres.withColumn("valid", F.lit(True)), ["sample_id", "gap"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))))
-    judged = E.judged(events, found, there)
+    both = kept(pairing.compared(events, found, there))
+    judged = pairing.outcomes(both, events.columns)
     at = centres.select("sample_id", F.col("gap").alias("_at"), F.col("centre").alias("_centre"))
     placed = judged.withColumn("_at", F.col("gap") + F.col("offset")).join(at, ["sample_id", "_at"], "left")
-    return placed.withColumn("sec_offset", F.col("_centre") - F.col("centre")).drop("_at", "_centre", "centre"), E.spurious(events, found)
+    return placed.withColumn("sec_offset", F.col("_centre") - F.col("centre")).drop("_at", "_centre", "centre"), pairing.left_over(both).select(found.columns)

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from murmura.operators import events as E
+from murmura.operators import pairing, stats
 from murmura.plans import fixtures as X
+from murmura.plans.ratings import resampled_sql
 from murmura.registry import query
 from murmura.storage import kept
 
@@ -128,7 +130,8 @@ def placement_summary(spark, sf_dir):
     texts = sizes(spark, sf_dir)
     events = X.gold_stored(spark, sf_dir)
     found, fired = detections(spark, events)
-    one = E.summarised(E.judged(events, fired, found), E.spurious(events, fired), texts.agg(F.sum("n_words").alias("n_words")))
+    both = kept(pairing.compared(events, fired, found))
+    one = E.summarised(pairing.outcomes(both, events.columns), pairing.left_over(both), texts.agg(F.sum("n_words").alias("n_words")))
     return one.withColumns({c: F.round(c, 9) for c in ("macro_type", "macro_speaker", "per_100_words")})
 
 
@@ -138,6 +141,18 @@ def placement_by_position(spark, sf_dir):
     return by.agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("int")).alias("accuracy"))
 
 
+@query("placement_intervals", f"WITH {OUTCOMES}, x AS (SELECT type, {{'a': sample_id, 'b': e}} AS key, hit::INT AS num, 1 AS den, speaker FROM judged), y AS (SELECT type, speaker AS key, sum(num) AS num, sum(den) AS den FROM x GROUP BY ALL), {resampled_sql('x', 'type', 6, 50)}, {resampled_sql('y', 'type', 6, 50, 'cl')} SELECT x.type, count(*) AS n, round(avg(num), 9) AS value, round(any_value(ci.ci_low), 6) AS ci_low, round(any_value(ci.ci_high), 6) AS ci_high, any_value(k.clusters) AS clusters, round(any_value(cl.ci_low), 6) AS cluster_low, round(any_value(cl.ci_high), 6) AS cluster_high FROM x JOIN ci USING (type) JOIN cl USING (type) JOIN (SELECT type, count(*) AS clusters FROM y GROUP BY type) k USING (type) GROUP BY x.type")
+def placement_intervals(spark, sf_dir):
+    """Accuracy by type with intervals over events and over speakers."""
+    rows = outcomes(spark, sf_dir).select("type", F.struct(F.col("sample_id").alias("a"), F.col("e").alias("b")).alias("key"), F.col("hit").cast("int").alias("num"), F.lit(1).alias("den"), "speaker")
+    return shown(stats.intervals(rows, ["type"], reps=50, seed=6))
+
+
+def shown(table):
+    """Intervals, rounded."""
+    return table.drop("reps").withColumns({"value": F.round("value", 9), **{c: F.round(c, 6) for c in ("ci_low", "ci_high", "cluster_low", "cluster_high")}})
+
+
 @query("placement_spurious", f"WITH {OUTCOMES} SELECT type, count(*) AS spurious FROM left_over GROUP BY type")
 def placement_spurious(spark, sf_dir):
     """Detections that fired and that no event took."""
@@ -179,10 +194,22 @@ SELECT count(r) AS reps, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS st
 def shuffle_baseline(spark, sf_dir):
     """Accuracy of events in gaps drawn by chance against the same detections, over twenty replicates."""
     events = X.gold_stored(spark, sf_dir)
-    one = E.baseline(events, detections(spark, events)[1], 20, 0)
+    one = E.baseline(events, detections(spark, events)[1], BEFORE, AFTER, 20, 0)
     return one.withColumns({c: F.round(c, 9) for c in ("mean", "std")})
 
 
+@query("tolerance_check", "WITH " + X.FOUND + ", points AS (SELECT 0.75::DOUBLE AS scale, b.b AS before, b.a AS after FROM (SELECT unnest([{'b': 0, 'a': 0}, {'b': 0, 'a': 1}, {'b': 2, 'a': 2}]) AS b)), grid AS (SELECT scale, before, after, found.* FROM found JOIN base USING (type), points WHERE prob >= least(base * scale, 1)), "
+  + at_points("gold") + """, lost AS (SELECT before, after, count(*) AS lost FROM points CROSS JOIN gold g WHERE (g.sample_id + g.e) % 6 = 0 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.before = points.before AND h.after = points.after AND h.sample_id = g.sample_id AND h.e = g.e)
+  AND NOT EXISTS (SELECT 1 FROM grid f WHERE f.before = points.before AND f.after = points.after AND f.sample_id = g.sample_id AND f.type <> g.type AND f.gap - g.gap BETWEEN -points.before AND points.after) GROUP BY ALL),
+scored AS (SELECT before, after, count(*) AS hits FROM hits GROUP BY ALL), seen AS (SELECT before, after, count(*) AS seen FROM grid GROUP BY ALL)
+SELECT before, after, (SELECT count(*) FROM gold) - lost AS n, hits, round(hits::DOUBLE / ((SELECT count(*) FROM gold) - lost), 9) AS accuracy, seen - hits AS spurious, before = 0 AND after = 1 AS chosen FROM scored JOIN seen USING (before, after) JOIN lost USING (before, after)""")
+def tolerance_check(spark, sf_dir):
+    """The chosen tolerance beside none and two, without the events whose gap (of every sixth) is unusable and that nothing else explains."""
+    events = X.gold_stored(spark, sf_dir).withColumn("valid", (F.col("sample_id") + F.col("e")) % 6 != 0)
+    every = E.tolerance_check(events, X.detected(events), X.thresholds(spark), 0.75, BEFORE, AFTER, 2, 0, "exclude")
+    return every.select("before", "after", "n", "hits", F.round("accuracy", 9).alias("accuracy"), "spurious", "chosen")
+
+
 @query("sweep_lift", "WITH " + GRID + "," + at_points("anew", ", rep") + ", chance AS (SELECT scale, before, after, avg(h) AS h FROM (SELECT scale, before, after, rep, count(e)::DOUBLE AS h FROM points CROSS JOIN (SELECT unnest(range(2)) AS rep) LEFT JOIN hits USING (scale, before, after, rep) GROUP BY ALL) GROUP BY ALL), "
   + at_points("gold").replace("pairs", "g_pairs").replace("ordered", "g_ordered").replace("taken", "g_taken").replace("hits", "g_hits") + """,
 own AS (SELECT scale, before, after, count(*)::DOUBLE AS hits FROM g_hits GROUP BY ALL)
