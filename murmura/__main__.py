@@ -79,6 +79,9 @@ def run(spark, args, own):
     judged, left = nvpa.outcomes(ready, spark.read.parquet(args.probs), limits, before, after, own["nvpa"]["threshold_scale"])
     judged.write.mode("overwrite").parquet(f"{args.out}/nvpa")
     left.write.mode("overwrite").parquet(f"{args.out}/spurious")
+    events = spark.read.parquet(f"{args.out}/nvpa").select("sample_id", "e", "type", "gap", "n_words", "valid")
+    check = E.tolerance_check(events, spark.read.parquet(args.probs), limits, own["nvpa"]["threshold_scale"], before, after, own["nvpa"]["shuffle_reps"], own["bootstrap"]["seed"], own["nvpa"]["unreliable_policy"])
+    sheets.write_json(check.orderBy("before", "after"), f"{args.out}/tolerance_check")
     return summary(spark, args, own)
 
 
@@ -95,13 +98,18 @@ def summary(spark, args, own):
     one = report.summary(parts, human, own["track"], own["human"]["auto_on_subset"])
     sheets.write_json(one, f"{args.out}/summary")
     print(report.lines(one.first().asDict()))
+    spread = kept(report.intervals(parts, own["bootstrap"]["n_boot"], own["bootstrap"]["seed"]))
+    sheets.write_json(spread.orderBy("metric"), f"{args.out}/intervals")
+    shown(spread.orderBy("metric"))
 
 
 def sweep(spark, args, own):
     _, rows = samples_of(spark, args)
     ready = kept(nvpa.prepared(tagged(rows), spark.read.parquet(args.asr)).where("error IS NULL"))
     events = ready.select("sample_id", "speaker", F.col("n_ref").cast("long").alias("n_words"), F.inline("events")).withColumn("gap", F.col("gap").cast("long"))
-    points = E.sweep(events, spark.read.parquet(args.probs), thresholds_of(spark, args.thresholds), args.scales, [E.tolerance(t) for t in args.tolerances], args.reps, own["bootstrap"]["seed"])
+    if args.nvpa:  # the judged events know which gaps are usable
+        events = spark.read.parquet(args.nvpa).select("sample_id", "speaker", "n_words", "e", "type", "gap", "valid")
+    points = E.sweep(events, spark.read.parquet(args.probs), thresholds_of(spark, args.thresholds), args.scales, [E.tolerance(t) for t in args.tolerances], args.reps, own["bootstrap"]["seed"], own["nvpa"]["unreliable_policy"] if args.nvpa else "miss")
     shown(points.where("type IS NULL").orderBy("scale", "before", "after").drop("type"))
     sheets.write_json(points, args.out)
 
@@ -170,7 +178,7 @@ def main(argv=None, spark=None):
     add("validate", validate, "manifest", **n)
     add("run", run, "manifest", "probs", "thresholds", "out", asr={}, backend={}, audio={}, settings={"default": "{}"}, pmos={}, ss={}, human={}, **n)
     add("summary", summary, "manifest", "out", pmos={}, ss={}, human={}, **n)
-    add("nvpa-sweep", sweep, "manifest", "asr", "probs", "thresholds", "out", scales={"type": float, "nargs": "+", "default": [0.5, 0.75, 1.0, 1.25]}, tolerances={"nargs": "+", "default": ["0", "1", "2", "3"]}, reps={"type": int, "default": 20})
+    add("nvpa-sweep", sweep, "manifest", "asr", "probs", "thresholds", "out", nvpa={}, scales={"type": float, "nargs": "+", "default": [0.5, 0.75, 1.0, 1.25]}, tolerances={"nargs": "+", "default": ["0", "1", "2", "3"]}, reps={"type": int, "default": 20})
     add("train-detector", train, "manifest", "asr", "out", features={}, audio={}, types={"nargs": "+", "required": True}, folds={"type": int, "default": 5}, iterations={"type": int, "default": 200}, allow_dev={"action": "store_true"})
     add("human-subset", choose, "manifest", "out", **n)
     add("human-export", export, "manifest", "subset", "audio", "truth", "out", **n)

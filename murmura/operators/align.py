@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from murmura.functions import text as T
+from murmura.operators import stats
 
-#: Cells of the cost tables that are in memory at once; a single pair of utterances may have more.
+#: Cells of the cost tables that are in memory at once; a pair with more is aligned in pieces.
 CELLS = 8_000_000
 
 
@@ -91,15 +92,70 @@ def by_size(ref, hyp):
         yield group
 
 
-def walked(ref: pa.ListArray, hyp: pa.ListArray):
-    """pair, i and j of all steps of all paths, in order of the walk (backwards)."""
+def crossing(a: np.ndarray, b: np.ndarray) -> int:
+    """Where the path that paths() gives for a and b enters the middle row of a, in memory of one row.
+
+    Costs go row by row. From the middle row on, each cell also keeps where its own path, by the rule for ties, has left that row.
+    """
+    m, middle = len(b), len(a) // 2
+    slope = np.arange(m + 1, dtype=np.int32)
+    above, left_at = slope.copy(), slope.copy()
+    for i in range(len(a)):
+        both = above[:-1] + (b != a[i])
+        row = above + 1
+        np.minimum(row[1:], both, out=row[1:])
+        row -= slope
+        np.minimum.accumulate(row, out=row)
+        row += slope
+        if i >= middle:
+            diagonal = row[1:] == both
+            own = left_at.copy()
+            own[1:][diagonal] = left_at[:-1][diagonal]
+            kept = np.r_[True, diagonal | (row[1:] == above[1:] + 1)]  # the others come from their left neighbour
+            left_at = own[np.maximum.accumulate(np.where(kept, slope, 0))]
+        above = row
+    return int(left_at[m])
+
+
+def pieces(a: np.ndarray, b: np.ndarray, cells: int) -> list[tuple[int, int, int, int]]:
+    """a and b as stretches (from and to in a, from and to in b), in order, whose own paths make up the path of the whole, each of at most cells.
+
+    The part of a path above its crossing of the middle row is the path of what lies above, and so below it: the rule for ties looks
+    at differences of costs only, and along the path these are the same in the whole and in its parts.
+    """
+    todo, out = [(0, len(a), 0, len(b))], []
+    while todo:
+        i, n, j, m = todo.pop()
+        if (n - i + 1) * (m - j + 1) <= cells or n - i < 2:
+            out.append((i, n, j, m))
+            continue
+        middle, at = i + (n - i) // 2, j + crossing(a[i:n], b[j:m])
+        todo += [(middle, n, at, m), (i, middle, j, at)]
+    return out
+
+
+def walked(ref: pa.ListArray, hyp: pa.ListArray, cells: int = CELLS):
+    """pair, i and j of all steps of all paths, and an order that puts them by pair, each from its end to its start.
+
+    A pair whose table has more than cells cells is cut into pieces, so memory grows with its length, not with the table.
+    """
     a, b = codes(ref, hyp)
-    parts = [(np.empty(0, np.int64),) * 3]
-    for group in by_size(a, b):
+    own, cut = [], []
+    for k in range(len(a)):
+        parts = pieces(a[k], b[k], cells) if (len(a[k]) + 1) * (len(b[k]) + 1) > cells else [(0, len(a[k]), 0, len(b[k]))]
+        own += [k] * len(parts)
+        cut += parts
+    left, right = [a[k][i:n] for k, (i, n, _, _) in zip(own, cut, strict=True)], [b[k][j:m] for k, (_, _, j, m) in zip(own, cut, strict=True)]
+    owner = np.array(own, np.int64)
+    start_i, start_j = (np.array([c[x] for c in cut], np.int64) for x in (0, 2))
+    steps = [(np.empty(0, np.int64),) * 3]
+    for group in by_size(left, right):
         places = np.array(group)
-        parts += [(places[own], i, j) for own, i, j in paths([a[k] for k in group], [b[k] for k in group])]
-    pair, i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pair, i, j, a, b
+        steps += [(places[part], i, j) for part, i, j in paths([left[k] for k in group], [right[k] for k in group])]
+    part, i, j = (np.concatenate(x) for x in zip(*steps, strict=True))
+    i, j = np.where(i >= 0, i + start_i[part], -1), np.where(j >= 0, j + start_j[part], -1)
+    pair = owner[part]
+    return pair, i, j, a, b, np.lexsort((np.arange(len(part)), -part, pair))
 
 
 def arrays_of(ref: pd.Series, hyp: pd.Series) -> tuple[pa.Array, pa.Array]:
@@ -109,7 +165,7 @@ def arrays_of(ref: pd.Series, hyp: pd.Series) -> tuple[pa.Array, pa.Array]:
 @F.pandas_udf(StructType([StructField(k, LongType()) for k in ("sub", "del", "ins")]))
 def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Substitutions, deletions and insertions of the least path of each pair of arrays of words; null counts as empty."""
-    pair, i, j, a, b = walked(*arrays_of(ref, hyp))
+    pair, i, j, a, b, _ = walked(*arrays_of(ref, hyp))
     starts = [np.r_[0, np.cumsum([len(x) for x in s])[:-1]].astype(np.int64) for s in (a, b)]
     both = (i >= 0) & (j >= 0)
     left, right = (np.concatenate([*s, [-1]]) for s in (a, b))
@@ -122,8 +178,7 @@ def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(ArrayType(StructType([StructField(k, IntegerType()) for k in "ij"])))
 def aligned(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """The least path of each pair of arrays of words: places in both, null where a side has no word."""
-    pair, i, j, _, _ = walked(*arrays_of(ref, hyp))
-    order = np.argsort(pair, kind="stable")
+    pair, i, j, _, _, order = walked(*arrays_of(ref, hyp))
     cuts = np.searchsorted(pair[order], np.arange(len(ref) + 1))
     place = lambda x: None if x < 0 else int(x)
     out = [[{"i": place(i[k]), "j": place(j[k])} for k in order[cuts[r] : cuts[r + 1]][::-1]] for r in range(len(ref))]
@@ -161,6 +216,12 @@ def corpus_rate(errors: Column, words: Column) -> Column:
     return F.try_divide(F.sum(errors).cast("double"), F.sum(words))
 
 
+def intervals(rows: DataFrame, by: list[str] = [], speaker: str = "speaker", reps: int = 500, seed: int = 0) -> DataFrame:  # noqa: B006
+    """The corpus error rate of rated rows (with key, which tells them apart), by groups if wanted, with intervals over rows and over speakers."""
+    good = rows.where("error IS NULL").select(*by, "key", F.col("errors").alias("num"), F.col("ref_words").alias("den"), speaker)
+    return stats.intervals(good, by, speaker, reps, seed)
+
+
 def summarised(rows: DataFrame, speaker: str = "speaker") -> DataFrame:
     """One row: corpus, mean and macro error rates, S, D, I, samples, failures and samples with digits."""
     by = rows.groupBy(speaker).agg(

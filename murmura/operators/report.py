@@ -29,6 +29,14 @@ def components(parts: DataFrame) -> DataFrame:
     return parts.agg(rate("hits", "events").alias("nvpa"), rate("errors", "ref_words").alias("wer"), F.avg(stats.valid(F.col("pmos"))).alias("pmos"), F.avg(stats.valid(F.col("cosine"))).alias("ss"))
 
 
+def intervals(parts: DataFrame, reps: int = 500, seed: int = 0) -> DataFrame:
+    """A row a component (metric): n, value, and the intervals over samples and over speakers, of all samples that have it."""
+    pairs = {"nvpa": ("hits", "events"), "wer": ("errors", "ref_words"), "pmos": ("pmos", None), "ss": ("cosine", None)}
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), stats.valid(F.col(a).cast("double")).alias("num"), (F.col(b).cast("double") if b else F.lit(1.0)).alias("den")) for k, (a, b) in pairs.items()])
+    long = parts.select(F.col("sample_id").alias("key"), "speaker", F.inline(rows)).where("num IS NOT NULL AND den IS NOT NULL")
+    return stats.intervals(long, ["metric"], "speaker", reps, seed)
+
+
 def missing(columns: list[str]):
     """Names of the columns that are null."""
     return F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])), ",")

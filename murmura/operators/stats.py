@@ -163,6 +163,11 @@ def intervals(rows: DataFrame, by: list[str], cluster: str = "speaker", reps: in
     return beside(single, whole, by)
 
 
+def rounded(table: DataFrame) -> DataFrame:
+    """What intervals() gives, without the number of replicates and rounded to be compared."""
+    return table.drop("reps").withColumns({"value": F.round("value", 9), **{c: F.round(c, 6) for c in ("ci_low", "ci_high", "cluster_low", "cluster_high")}})
+
+
 def grouped(rows: DataFrame, by: str, value: str, key: str, least: int = 10, reps: int = 100, seed: int = 0) -> DataFrame:
     """Per group: n, n_missing (null or not finite), mean with its interval, and low_n; rows without a group are the group None."""
     own = rows.select(F.coalesce(F.col(by).cast("string"), F.lit("None")).alias(by), F.col(key).alias("key"), valid(F.col(value).cast("double")).alias("num"), F.lit(1).alias("den"))

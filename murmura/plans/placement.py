@@ -145,12 +145,7 @@ def placement_by_position(spark, sf_dir):
 def placement_intervals(spark, sf_dir):
     """Accuracy by type with intervals over events and over speakers."""
     rows = outcomes(spark, sf_dir).select("type", F.struct(F.col("sample_id").alias("a"), F.col("e").alias("b")).alias("key"), F.col("hit").cast("int").alias("num"), F.lit(1).alias("den"), "speaker")
-    return shown(stats.intervals(rows, ["type"], reps=50, seed=6))
-
-
-def shown(table):
-    """Intervals, rounded."""
-    return table.drop("reps").withColumns({"value": F.round("value", 9), **{c: F.round(c, 6) for c in ("ci_low", "ci_high", "cluster_low", "cluster_high")}})
+    return stats.rounded(stats.intervals(rows, ["type"], reps=50, seed=6))
 
 
 @query("placement_spurious", f"WITH {OUTCOMES} SELECT type, count(*) AS spurious FROM left_over GROUP BY type")

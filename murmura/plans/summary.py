@@ -48,6 +48,15 @@ def score_summary(spark, sf_dir):
     return one.select(*[F.round(c, 9).alias(c) for c in (*scoring.AUTOMATIC, "auto", "final")], "n_rated", "n_subset", "n_common", F.round("rho", 6).alias("rho"), "missing_auto", "missing_final")
 
 
+LONG = "x AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, sample_id AS key, ({a})::DOUBLE AS num, ({b})::DOUBLE AS den, speaker FROM parts WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for k, a, b in (("nvpa", "hits", "events"), ("wer", "errors", "ref_words"), ("pmos", "pmos", "1"), ("ss", "cosine", "1"))) + "), y AS (SELECT metric, speaker AS key, sum(num) AS num, sum(den) AS den FROM x GROUP BY ALL)"
+
+
+@query("score_intervals", f"WITH {PARTS}, {LONG}, {resampled_sql('x', 'metric', 8, 40)}, {resampled_sql('y', 'metric', 8, 40, 'cl')} SELECT x.metric, count(*) AS n, round(sum(num) / sum(den), 9) AS value, round(any_value(ci.ci_low), 6) AS ci_low, round(any_value(ci.ci_high), 6) AS ci_high, any_value(k.clusters) AS clusters, round(any_value(cl.ci_low), 6) AS cluster_low, round(any_value(cl.ci_high), 6) AS cluster_high FROM x JOIN ci USING (metric) JOIN cl USING (metric) JOIN (SELECT metric, count(*) AS clusters FROM y GROUP BY metric) k USING (metric) GROUP BY x.metric")
+def score_intervals(spark, sf_dir):
+    """The summary's components with intervals over samples and over speakers."""
+    return stats.rounded(report.intervals(parts(spark, sf_dir), 40, 8))
+
+
 FIELD = """f AS (SELECT doc_id, source, CASE WHEN doc_id % 7 <> 0 THEN 1 + 4 * (n_chars % 401 / 400::DOUBLE) END AS pmos FROM documents), x AS (SELECT 0 AS g, doc_id AS key, pmos AS num, 1 AS den FROM f WHERE pmos IS NOT NULL),
 """
 

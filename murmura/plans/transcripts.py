@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from murmura.functions import text as T
 from murmura.operators import align
 from murmura.operators import events as E
+from murmura.operators import stats
 from murmura.plans import fixtures as X
-from murmura.plans import read
+from murmura.plans import read, spread
+from murmura.plans.ratings import resampled_sql
 from murmura.registry import query
 
 
@@ -44,6 +46,21 @@ def wer_sdi(spark, sf_dir):
     return rated(spark, sf_dir).where("error IS NULL").groupBy("speaker").agg(*[F.sum(k).alias(k) for k in ("sub", "del", "ins")])
 
 
+@query("wer_whole_texts")
+def wer_whole_texts(spark, sf_dir):
+    """Errors of whole texts, each aligned as one, in memory that grows with its length. Its tables are too large for SQL; tests hold it against the full table."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    words = docs.select("doc_id", F.col("source").alias("speaker"), X.once(T.words(F.coalesce("text", F.lit(""))), "raw"))
+    own = words.select("speaker", F.array_join("raw", " ").alias("text"), F.array_join(X.slips(F.col("doc_id"), F.lit(0), F.col("raw")), " ").alias("heard"), F.lit(None).cast("string").alias("error"))
+    return align.rated_pairs(own).groupBy("speaker").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("ref_words", "hyp_words", "sub", "del", "ins")])
+
+
+@query("wer_intervals", f"WITH {X.RATED}, x AS (SELECT 0 AS g, {{'a': sample_id, 'b': k}} AS key, errors AS num, ref_words AS den, speaker FROM rated WHERE error IS NULL), y AS (SELECT g, speaker AS key, sum(num) AS num, sum(den) AS den FROM x GROUP BY ALL), {resampled_sql('x', 'g', 7, 20)}, {resampled_sql('y', 'g', 7, 20, 'cl')} SELECT count(*) AS n, round(sum(num)::DOUBLE / sum(den), 9) AS value, round((SELECT ci_low FROM ci), 6) AS ci_low, round((SELECT ci_high FROM ci), 6) AS ci_high, (SELECT count(*) FROM y) AS clusters, round((SELECT ci_low FROM cl), 6) AS cluster_low, round((SELECT ci_high FROM cl), 6) AS cluster_high FROM x")
+def wer_intervals(spark, sf_dir):
+    """The corpus error rate with intervals over utterances and over speakers."""
+    return stats.rounded(align.intervals(rated(spark, sf_dir).withColumn("key", F.struct(F.col("sample_id").alias("a"), F.col("k").alias("b"))), reps=20, seed=7))
+
+
 @query("wer_failures", f"WITH {X.RATED} SELECT coalesce(error, 'none') AS error, count(*) AS n FROM rated GROUP BY ALL")
 def wer_failures(spark, sf_dir):
     """Recognitions as a table of their own, joined to the texts."""
