@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from murmura import config
 from murmura.operators import acoustics, align, detector, nvpa, report, subset
+from murmura.operators import description as D
 from murmura.operators import events as E
 from murmura.operators import manifest as M
 from murmura.operators import ratings as R
@@ -48,6 +49,7 @@ def build(spark, args, _):
     made = M.built(rows, args.track, files, references=refs)
     manifest.save(made, args.out, args.track, args.root, args.split)
     shown(M.report(made, files))
+    shown(M.languages(made).orderBy(F.desc("n"), "lang"))
 
 
 def validate(spark, args, _):
@@ -160,6 +162,29 @@ def ratings(spark, args, own):
     shown(R.problems(typed).select("rater", "item", "field", "typed").unionByName(R.unknown(rows, key).select("rater", "item", F.lit("item").alias("field"), F.col("item").alias("typed"))), 20)
 
 
+def describe(spark, args, _):
+    """The corpus as tables: utterances.csv, speakers.csv and the summary as JSON; the rest is printed."""
+    found = [corpus.scan(spark, args.root, s) for s in args.splits]
+    rows, problems = found[0]
+    for more, bad in found[1:]:
+        rows, problems = rows.unionByName(more), problems.unionByName(bad)
+    infos = None
+    if not args.no_audio:
+        name = args.root.rstrip("/").rsplit("/", 1)[-1]
+        files = audio.files(spark, [f"{args.root}/{s}" for s in args.splits])
+        infos = kept(audio.probed(files.withColumn("clip", F.regexp_extract("clip", f".*?/{name}/(.*)$", 1))))
+    own = kept(D.analysed(rows, infos, args.letters))
+    tags = D.tags(own, args.tags)
+    for title, table in (("overview", D.overview(own)), ("tags", tags), ("measures", D.measures(own)), ("quality", D.quality(own)), ("counters", D.counters(own)), ("repeated", D.repeated(own)), ("formats", D.formats(infos) if infos is not None else None), ("problems", problems.limit(20))):
+        if table is not None:
+            print(f"\n{title}")
+            shown(table)
+    sheets.write_csv(D.listed(own), f"{args.out}/utterances")
+    sheets.write_csv(D.speakers(own, args.splits, args.tags).orderBy("speaker"), f"{args.out}/speakers")
+    sheets.write_json(D.overview(own), f"{args.out}/summary")
+    sheets.write_json(D.measures(own), f"{args.out}/measures")
+
+
 def main(argv=None, spark=None):
     parser = argparse.ArgumentParser(prog="murmura", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("--config")
@@ -182,6 +207,7 @@ def main(argv=None, spark=None):
     add("train-detector", train, "manifest", "asr", "out", features={}, audio={}, types={"nargs": "+", "required": True}, folds={"type": int, "default": 5}, iterations={"type": int, "default": 200}, allow_dev={"action": "store_true"})
     add("human-subset", choose, "manifest", "out", **n)
     add("human-export", export, "manifest", "subset", "audio", "truth", "out", **n)
+    add("corpus-report", describe, "root", "out", splits={"nargs": "+", "default": ["train", "dev"]}, tags={"nargs": "+", "default": ["laughter", "breathing", "sniff", "throatclearing"]}, letters={"default": "vi"}, no_audio={"action": "store_true"})
     add("human-import", ratings, "sheets", "package", "out")
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("murmura").getOrCreate()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import tomllib
 
 #: The defaults.
 DEFAULTS = {
@@ -49,5 +50,19 @@ def settings(more: dict | None = None, preset: str | None = None) -> dict:
 def load(path: str | None) -> dict:
     if path is None:
         return settings()
-    with open(path, encoding="utf-8") as f:
-        return settings(json.load(f))
+    with open(path, "rb") as f:
+        return settings(decoded(f.read(), path))
+
+
+def decoded(raw: bytes, path: str) -> dict:
+    """What a file says, by its ending: TOML, YAML (where a library for it is installed) or JSON."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "toml":
+        return tomllib.loads(raw.decode())
+    if kind in ("yaml", "yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("no library for YAML is installed: use JSON or TOML") from e
+        return yaml.safe_load(raw) or {}
+    return json.loads(raw)

@@ -24,3 +24,8 @@ def chunks(items: Column, size: int) -> Column:
         return F.transform(places, lambda at: F.slice(x, at + 1, size))
 
     return bound(items, runs)
+
+
+def once(value: Column, name: str) -> Column:
+    """value as a generated column of that name, so that no filter or projection above it repeats the expression."""
+    return F.inline(F.array(F.struct(value.alias(name))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +57,49 @@ def unbalanced(tagged: Column) -> Column:
     return F.regexp_replace(tagged, BRACKETED, " ").rlike(r"[\[\]]")
 
 
+def tolerant(tagged: Column) -> Column:
+    """struct<words, events: array<struct<e, type, gap>>> of a tagged text that may be torn: what is no whole tag stays a word, brackets included."""
+    tags = F.regexp_extract_all(tagged, F.lit(BRACKETED), F.lit(0))
+
+    def of(between):
+        sizes = F.transform(between, F.size)
+        before = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+        events = bound(before, lambda b: F.transform(tags, lambda t, e: F.struct(e.alias("e"), tag_name(t).alias("type"), F.get(b, e + 1).alias("gap"))))
+        return F.struct(F.flatten(between).alias("words"), events.alias("events"))
+
+    return bound(F.transform(F.split(tagged, BRACKETED, -1), words), of)
+
+
+#: Letters of some languages beside a to z.
+LETTERS = {
+    "en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü",
+    "vi": "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ",
+}
+
+
+def alphabet(language: str) -> str:
+    """The letters of one of LETTERS' languages, or, of any other text, the letters that it holds."""
+    return "abcdefghijklmnopqrstuvwxyz" + LETTERS.get(language, language)
+
+
+def foreign(text: Column, language: str, most: int = 10) -> Column:
+    """The first letters, in order, that aren't the language's."""
+    letters = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}"), F.lit(0)))
+    return F.slice(F.array_sort(F.array_except(letters, F.array(*map(F.lit, alphabet(language))))), 1, most)
+
+
+@lru_cache(1)
+def digit() -> str:
+    """A pattern of digits: the decimal ones, and those of Unicode's other numbers that are single digits (raised, lowered, circled).
+
+    As ranges, since engines know different versions of Unicode.
+    """
+    own = [i for i in range(0x110000) if chr(i).isdigit()]
+    there = set(own)
+    runs = zip([x for x in own if x - 1 not in there], [x for x in own if x + 1 not in there], strict=True)
+    return "[" + "".join(rf"\x{{{i:X}}}-\x{{{j:X}}}" for i, j in runs) + "]"
+
+
 def parsed(tagged: Column, known: list[str] | None = None, unknown: str = "keep") -> Column:
     """struct<words, events: array<struct<e, type, gap>>, unknown, error> of a tagged text; gap is the number of words before.
 

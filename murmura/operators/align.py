@@ -206,7 +206,7 @@ def rated_pairs(rows: DataFrame) -> DataFrame:
     counted = rows.select("*", sides).withColumn("_x", edit_counts("_ref", "_hyp"))
     own = [F.when(good, c) for c in (F.size("_ref"), F.size("_hyp"), F.col("_x.sub"), F.col("_x.del"), F.col("_x.ins"))]
     named = [c.cast("long").alias(n) for c, n in zip(own, ("ref_words", "hyp_words", "sub", "del", "ins"), strict=True)]
-    digits = F.when(good, F.coalesce(F.col("heard"), F.lit("")).rlike(r"\p{Nd}")).alias("hyp_has_digits")
+    digits = F.when(good, F.coalesce(F.col("heard"), F.lit("")).rlike(T.digit())).alias("hyp_has_digits")
     out = counted.select(*[c for c in rows.columns if c not in ("text", "heard", "error")], *named, digits, "error")
     out = out.withColumn("errors", F.col("sub") + F.col("del") + F.col("ins"))
     return out.withColumn("wer", F.try_divide(F.col("errors").cast("double"), F.col("ref_words")))

@@ -73,6 +73,11 @@ def report(samples: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def languages(samples: DataFrame) -> DataFrame:
+    """lang and n: samples by language; one without is null."""
+    return samples.groupBy("lang").agg(F.count("*").alias("n"))
+
+
 def missing_inputs(samples: DataFrame, files: DataFrame, generated: bool = True, references: bool = True, ground_truth: bool = False) -> DataFrame:
     """sample_id and missing: the first need that isn't met (generated, then references, which must all exist, then ground truth), or null."""
     there = files.select("path").distinct().withColumn("_there", F.lit(1))

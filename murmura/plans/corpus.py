@@ -3,11 +3,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from murmura.operators import events as E
+from murmura.functions import text as T
+from murmura.operators import description as D
 from murmura.operators import manifest as M
 from murmura.operators import subset as S
 from murmura.plans import fixtures as X
-from murmura.plans import read
+from murmura.plans import read, spread
 from murmura.registry import query
 
 #: Three documents of four are for training; a split's texts are those of the test tables, their audio is made up.
@@ -18,46 +19,63 @@ def documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").withColumn("split", F.expr(SPLIT))
 
 
-OVERVIEW = X.GOLD + f""", texts AS (SELECT doc_id AS sample_id, {SPLIT} AS split, source, n_chars FROM documents),
-per_text AS (SELECT t.*, coalesce(w.words, 0) AS words, coalesce(g.events, 0) AS events, coalesce(g.types, 0) AS types FROM texts t
+#: Every ninth text is torn at its end: the bracket that is left stays a word.
+TORN = "(CASE WHEN doc_id % 9 = 0 AND text IS NOT NULL THEN 1 ELSE 0 END)"
+OVERVIEW = X.GOLD + f""", texts AS (SELECT doc_id AS sample_id, {SPLIT} AS split, source, lang, n_chars / 15::DOUBLE AS seconds, {TORN} AS torn FROM documents),
+per_text AS (SELECT t.*, coalesce(w.words, 0) + torn AS words, coalesce(g.events, 0) AS events, coalesce(g.types, 0) AS types FROM texts t
   LEFT JOIN (SELECT sample_id, count(*) FILTER (type IS NULL) AS words FROM parsed GROUP BY sample_id) w USING (sample_id)
   LEFT JOIN (SELECT sample_id, count(*) AS events, count(DISTINCT type) AS types FROM gold GROUP BY sample_id) g USING (sample_id))
 """
 
 
-def per_text(spark, sf_dir):
-    own = X.parsed(spark, sf_dir).select("sample_id", F.coalesce(F.size("words"), F.lit(0)).alias("words"), F.coalesce("events", F.array().cast("array<struct<e:int,type:string,gap:int>>")).alias("events"))
-    sizes = documents(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), "split", "source", "n_chars")
-    return sizes.join(own, "sample_id")
+def described(spark, sf_dir, language=None):
+    """The documents as a corpus, described: fifteen characters last a second, some have further keys."""
+    docs = spread(documents(spark, sf_dir))
+    torn = F.concat(X.tagged(F.col("text")), F.when(F.col("doc_id") % 9 == 0, " [").otherwise(""))
+    more = F.concat_ws("|", F.when(F.col("doc_id") % 5 == 0, "note"), F.when(F.col("doc_id") % 7 == 0, "take"))
+    name = F.col("doc_id").cast("string")
+    rows = docs.select("split", F.col("source").alias("speaker"), name.alias("audio"), torn.alias("tagged"), "lang", more.alias("more"), "n_chars")
+    return D.analysed(rows, None, language).withColumn("seconds", F.col("n_chars") / 15.0)
 
 
-@query("corpus_overview", f"WITH {OVERVIEW} SELECT split, count(DISTINCT source) AS speakers, count(*) AS utterances, sum(words)::BIGINT AS words, sum(events)::BIGINT AS events, count(*) FILTER (events = 0) AS without_events, round(sum(n_chars / 15::DOUBLE) / 3600, 6) AS hours FROM per_text GROUP BY split")
+@query("corpus_overview", f"WITH {OVERVIEW} SELECT split, count(DISTINCT source) AS speakers, count(*) AS utterances, sum(words)::BIGINT AS words, sum(events)::BIGINT AS events, count(*) FILTER (events = 0) AS without_events, round(sum(seconds) / 3600, 6) AS hours FROM per_text GROUP BY split")
 def corpus_overview(spark, sf_dir):
-    """By split; fifteen characters last a second."""
-    return per_text(spark, sf_dir).groupBy("split").agg(
-        F.count_distinct("source").alias("speakers"), F.count("*").alias("utterances"), F.sum("words").alias("words"), F.sum(F.size("events")).alias("events"),
-        F.count_if(F.size("events") == 0).alias("without_events"), F.round(F.sum(F.col("n_chars") / 15.0) / 3600, 6).alias("hours"),
-    )
+    return D.overview(described(spark, sf_dir)).withColumn("hours", F.round("hours", 6))
 
 
-@query("speaker_pivot", f"WITH d AS (SELECT source, {SPLIT} AS split, n_chars FROM documents) SELECT source, count(*) FILTER (split = 'train') AS train_n, coalesce(round(sum(n_chars) FILTER (split = 'train') / 900::DOUBLE, 6), 0) AS train_minutes, count(*) FILTER (split = 'dev') AS dev_n, coalesce(round(sum(n_chars) FILTER (split = 'dev') / 900::DOUBLE, 6), 0) AS dev_minutes FROM d GROUP BY source")
+@query("speaker_pivot", f"WITH {OVERVIEW}, kinds AS (SELECT source AS speaker, " + ", ".join(f"count(*) FILTER (type = '{t}') AS train_{t}" for t in X.THRESHOLDS) + " FROM gold JOIN texts USING (sample_id) WHERE split = 'train' GROUP BY source) SELECT source AS speaker, count(*) FILTER (split = 'train') AS train_n, coalesce(round(sum(seconds) FILTER (split = 'train') / 60, 6), 0) AS train_minutes, count(*) FILTER (split = 'dev') AS dev_n, coalesce(round(sum(seconds) FILTER (split = 'dev') / 60, 6), 0) AS dev_minutes, "
+  + ", ".join(f"coalesce(any_value(train_{t}), 0) AS train_{t}" for t in X.THRESHOLDS) + " FROM texts LEFT JOIN kinds ON kinds.speaker = source GROUP BY source")
 def speaker_pivot(spark, sf_dir):
-    by = documents(spark, sf_dir).groupBy("source").pivot("split", ["train", "dev"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("n_chars") / 900.0, 6).alias("minutes"))
-    return by.na.fill(0)
+    own = D.speakers(described(spark, sf_dir), ["train", "dev"], list(X.THRESHOLDS))
+    return own.withColumns({c: F.round(c, 6) for c in ("train_minutes", "dev_minutes")})
 
 
-@query("tag_pivot", f"WITH {OVERVIEW}, each_event AS (SELECT g.type, t.split, g.sample_id, g.gap, g.n_words FROM gold g JOIN texts t USING (sample_id)), total AS (SELECT split, count(*) AS texts, sum(words) AS words FROM per_text GROUP BY split) " + """
-SELECT type, split, count(*) AS n, count(DISTINCT sample_id) AS texts, round(100::DOUBLE * count(DISTINCT sample_id) / any_value(total.texts), 6) AS percent, round(100::DOUBLE * count(*) / any_value(words), 6) AS per_100_words,
+@query("tag_pivot", f"WITH {OVERVIEW}, each_event AS (SELECT g.type, t.split, g.sample_id, g.gap, g.n_words + torn AS n_words FROM gold g JOIN texts t USING (sample_id)), total AS (SELECT split, count(*) AS texts, sum(words) AS words, sum(seconds) / 60 AS minutes FROM per_text GROUP BY split) " + """
+SELECT type, split, count(*) AS n, count(DISTINCT sample_id) AS texts, round(100::DOUBLE * count(DISTINCT sample_id) / any_value(total.texts), 6) AS percent, round(100::DOUBLE * count(*) / any_value(words), 6) AS per_100_words, round(count(*) / any_value(minutes), 6) AS per_minute,
   count(*) FILTER (gap = 0) AS at_start, count(*) FILTER (gap > 0 AND gap < n_words) AS at_mid, count(*) FILTER (gap > 0 AND gap >= n_words) AS at_end, NOT list_contains(['breathing', 'laughter'], type) AS unlisted FROM each_event JOIN total USING (split) GROUP BY type, split""")
 def tag_pivot(spark, sf_dir):
     """Tags by split, the listed ones first."""
-    own = per_text(spark, sf_dir)
-    total = own.groupBy("split").agg(F.count("*").alias("all_texts"), F.sum("words").alias("all_words"))  # a row a split
-    place = E.position(F.col("gap"), F.col("words"))
-    by = own.select("split", "sample_id", "words", F.inline("events")).groupBy("type", "split").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("texts"), *[F.count_if(place == x).alias(f"at_{x}") for x in ("start", "mid", "end")])
-    share = lambda a, b: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 6)
-    joined = by.join(F.broadcast(total), "split").withColumn("unlisted", ~F.col("type").isin("breathing", "laughter"))
-    return joined.select("type", "split", "n", "texts", share("texts", "all_texts").alias("percent"), share("n", "all_words").alias("per_100_words"), "at_start", "at_mid", "at_end", "unlisted").orderBy("unlisted", "type", "split")
+    return D.tags(described(spark, sf_dir), ["breathing", "laughter"]).withColumns({c: F.round(c, 6) for c in ("percent", "per_100_words", "per_minute")})
+
+
+@query("length_rates", f"WITH {OVERVIEW}, long AS (SELECT split, unnest(['words', 'seconds', 'words_per_second', 'events_per_second']) AS measure, unnest([words::DOUBLE, seconds, words / nullif(seconds, 0), events / nullif(seconds, 0)]) AS x FROM per_text) SELECT split, measure, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high, " + ", ".join(f"round(quantile_cont(x, {q}), 6) AS p{round(100 * q)}" for q in (0.05, 0.5, 0.95)) + " FROM long WHERE x IS NOT NULL GROUP BY ALL")
+def length_rates(spark, sf_dir):
+    """Lengths and speaking rates by split."""
+    table = D.measures(described(spark, sf_dir), (0.05, 0.5, 0.95))
+    return table.withColumns({c: F.round(c, 6) for c in ("mean", "std", "low", "high", "p5", "p50", "p95")})
+
+
+@query("quality_by_split", f"WITH {OVERVIEW}, t AS (SELECT doc_id AS sample_id, {SPLIT} AS split, coalesce({X.TAGGED} || CASE WHEN doc_id % 9 = 0 THEN ' [' ELSE '' END, '') AS t FROM documents) SELECT split, count(*) AS n, " + ", ".join(f"count(*) FILTER (regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')) AS {k}" for k, p in T.FLAGS.items() if k != "wide")
+  + f", count(*) FILTER (t <> nfc_normalize(t)) AS decomposed, count(*) FILTER (len(list_filter(regexp_extract_all(lower(regexp_replace(t, '\\[[^\\[\\]]*\\]', ' ', 'g')), '\\p{{L}}'), lambda c: NOT contains('{T.alphabet('de')}', c))) > 0) AS foreign, count(*) FILTER ((SELECT words FROM per_text p WHERE p.sample_id = t.sample_id LIMIT 1) = 0) AS empty FROM t GROUP BY split")
+def quality_by_split(spark, sf_dir):
+    """Flags by split, letters that aren't German ones, and texts without words."""
+    return D.quality(described(spark, sf_dir, "de"))
+
+
+@query("metadata_counters", f"WITH d AS (SELECT {SPLIT} AS split, lang, doc_id FROM documents) SELECT split, 'language' AS what, lang AS value, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT split, 'key', 'note', count(*) FROM d WHERE doc_id % 5 = 0 GROUP BY ALL UNION ALL SELECT split, 'key', 'take', count(*) FROM d WHERE doc_id % 7 = 0 GROUP BY ALL")
+def metadata_counters(spark, sf_dir):
+    """Languages and further keys of the metadata by split."""
+    return D.counters(described(spark, sf_dir))
 
 
 @query("speaker_sets", f"WITH d AS (SELECT DISTINCT source || coalesce(lang, '') || doc_id % 7 AS speaker, {SPLIT} AS split FROM documents) SELECT 'train' AS side, count(*) AS n FROM (SELECT speaker FROM d WHERE split = 'train' EXCEPT SELECT speaker FROM d WHERE split = 'dev') UNION ALL SELECT 'dev', count(*) FROM (SELECT speaker FROM d WHERE split = 'dev' EXCEPT SELECT speaker FROM d WHERE split = 'train')")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import text as T
-from murmura.functions.arrays import chunks
+from murmura.functions.arrays import chunks, once
 from murmura.operators import events as E
 from murmura.plans import read, spread
 from murmura.storage import kept
@@ -141,11 +141,11 @@ clean AS (SELECT sample_id, k, speaker, error, raw, heard, {CLEAN.format("raw")}
 coded AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS known FROM clean),
 rated AS (
   SELECT sample_id, k, speaker, error, CASE WHEN error IS NULL THEN len(ref) END AS ref_words, len(hyp) AS hyp_words,
-    CASE WHEN error IS NULL THEN regexp_matches(array_to_string(heard, ' '), '\\p{{Nd}}') END AS digits,
+    CASE WHEN error IS NULL THEN regexp_matches(array_to_string(heard, ' '), '{T.digit()}') END AS digits,
     CASE WHEN error IS NULL THEN levenshtein(list_aggregate(list_concat([''], list_transform(ref, lambda x: chr((33 + list_position(known, x))::INT))), 'string_agg', ''),
       list_aggregate(list_concat([''], list_transform(hyp, lambda x: chr((33 + list_position(known, x))::INT))), 'string_agg', '')) END AS errors
   FROM coded)
-""".replace("\\\\p", "\\p")
+"""
 #: Least edit paths by anti-diagonals: each cell is cost, substitutions, deletions and insertions of the path that the fixed rule for ties takes.
 PATHS = RATED + r""",
 walk AS (
@@ -184,11 +184,6 @@ def timed(spark, sf_dir) -> DataFrame:
     return cut.select("uid", "sample_id", "k", "speaker", "raw", "heard", F.inline(F.array(F.struct(F.transform("p", lambda x: x["t"]).alias("tokens"), F.transform("p", lambda x: x["at"]).alias("times")))))
 
 
-def once(value: Column, name: str) -> Column:
-    """value as a generated column, so that no filter or projection above it repeats the expression."""
-    return F.inline(F.array(F.struct(value.alias(name))))
-
-
 def tagged_utterances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Tagged texts in runs of fifty tokens, and their recognitions: some missing, failed or without times."""
     runs = texts(spark, sf_dir).select("sample_id", "speaker", F.posexplode(chunks(T.tokens(F.col("tagged")), 50)).alias("k", "run"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from murmura.functions.arrays import once
 from murmura.operators import events as E
 from murmura.operators import nvpa, timing
 from murmura.plans import fixtures as X
@@ -14,7 +15,7 @@ NORMAL = r"list_filter(string_split_regex(regexp_replace(lower(w), '[\p{P}\p{S}]
 @query("token_words", f"""WITH {X.HEARD}, each_text AS (SELECT uid, j, start, last_start, unnest(t) AS t, generate_subscripts(t, 1) AS u FROM (SELECT *, {NORMAL} AS t FROM times))
 SELECT uid, count(*) AS n, md5(string_agg(t, ' ' ORDER BY j, u)) AS digest, round(sum(start), 6) AS starts, round(sum(last_start), 6) AS lasts FROM each_text GROUP BY uid""")
 def token_words(spark, sf_dir):
-    own = X.timed(spark, sf_dir).select("uid", X.once(timing.token_words(F.col("tokens"), F.col("times")), "w")).where("size(w) > 0")
+    own = X.timed(spark, sf_dir).select("uid", once(timing.token_words(F.col("tokens"), F.col("times")), "w")).where("size(w) > 0")
     total = lambda c: F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x[c]), 6)
     return own.select("uid", F.size("w").cast("long").alias("n"), F.md5(F.array_join(F.transform("w", lambda x: x["text"]), " ").cast("binary")).alias("digest"), total("start").alias("starts"), total("last_start").alias("lasts"))
 

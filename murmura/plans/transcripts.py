@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import text as T
 from murmura.operators import align
+from murmura.functions.arrays import once
 from murmura.operators import events as E
 from murmura.operators import stats
 from murmura.plans import fixtures as X
@@ -50,7 +51,7 @@ def wer_sdi(spark, sf_dir):
 def wer_whole_texts(spark, sf_dir):
     """Errors of whole texts, each aligned as one, in memory that grows with its length. Its tables are too large for SQL; tests hold it against the full table."""
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    words = docs.select("doc_id", F.col("source").alias("speaker"), X.once(T.words(F.coalesce("text", F.lit(""))), "raw"))
+    words = docs.select("doc_id", F.col("source").alias("speaker"), once(T.words(F.coalesce("text", F.lit(""))), "raw"))
     own = words.select("speaker", F.array_join("raw", " ").alias("text"), F.array_join(X.slips(F.col("doc_id"), F.lit(0), F.col("raw")), " ").alias("heard"), F.lit(None).cast("string").alias("error"))
     return align.rated_pairs(own).groupBy("speaker").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("ref_words", "hyp_words", "sub", "del", "ins")])
 
