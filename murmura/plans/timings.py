@@ -64,18 +64,77 @@ def in_speech(spark, sf_dir):
     return ready, *nvpa.outcomes(ready, X.detected(events), X.thresholds(spark), 0, 1, 0.75)
 
 
-@query("speech_reasons")
+#: Tagged utterances in SQL: reference and recognised words, normalised; their alignment as a table of costs by diagonals and a walk back through it.
+SPEECH = X.TOKENS + rf""",
+cut AS (SELECT sample_id, speaker, a, unnest(range((len(a) + 49) // 50)) AS k FROM tok),
+utt AS (SELECT {X.UID} AS uid, sample_id AS doc, k, speaker, a[k * 50 + 1:k * 50 + 50] AS run FROM cut),
+pieces AS (SELECT uid, doc, k, unnest(run) AS token, generate_subscripts(run, 1) - 1 AS pos FROM utt),
+typed AS (SELECT *, CASE WHEN token[1] = '[' THEN trim(lower(regexp_replace(token, '[\[\]]', '', 'g'))) END AS type FROM pieces),
+numbered AS (SELECT *, (sum((type IS NULL)::INT) OVER (PARTITION BY uid ORDER BY pos))::BIGINT AS before FROM typed),
+own AS (SELECT uid, doc, k, w, before - 1 AS i, {NORMAL} AS t FROM (SELECT *, token AS w FROM numbered WHERE type IS NULL)),
+sums AS (SELECT uid, i + 1 AS raw, (sum(len(t)) OVER (PARTITION BY uid ORDER BY i))::BIGINT AS gap FROM own),
+refs AS (SELECT uid, flatten(list(t ORDER BY i)) AS ref FROM own GROUP BY uid),
+events AS (SELECT n.uid, n.type, row_number() OVER (PARTITION BY n.uid ORDER BY pos) - 1 AS e, coalesce(s.gap, 0) AS gap FROM numbered n LEFT JOIN sums s ON s.uid = n.uid AND s.raw = n.before WHERE n.type IS NOT NULL),
+slipped AS (SELECT uid, i, CASE WHEN (doc * 31 + k * 40 + i) % 17 = 0 THEN []::VARCHAR[] WHEN (doc * 31 + k * 40 + i) % 23 = 0 THEN ['x'] WHEN (doc * 31 + k * 40 + i) % 29 = 0 THEN [w, w] ELSE [w] END AS h FROM own),
+placed AS (SELECT uid, h, coalesce(sum(len(h)) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS j FROM slipped),
+spoken AS (SELECT uid, j + u AS j, w, 0.25::DOUBLE * (j + u) + CASE WHEN j + u >= 20 THEN 4 ELSE 0 END AS start FROM (SELECT uid, j, unnest(h) AS w, generate_subscripts(h, 1) - 1 AS u FROM placed)),
+times AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY j, u) - 1 AS j, t, start, last_start FROM (SELECT uid, j, start, start + CASE WHEN len(w) > 5 THEN 0.1::DOUBLE ELSE 0 END AS last_start, unnest({NORMAL}) AS t, generate_subscripts({NORMAL}, 1) AS u FROM spoken)),
+sizes AS (SELECT uid, count(*) AS heard FROM spoken GROUP BY uid),
+ready AS (SELECT u.uid, speaker, (doc + k) % 50 AS kind, coalesce(ref, []) AS ref, coalesce(h.hyp, []) AS hyp, coalesce(heard, 0) AS heard, 4.5::DOUBLE + 0.25::DOUBLE * coalesce(heard, 0) AS duration
+  FROM utt u LEFT JOIN refs USING (uid) LEFT JOIN sizes USING (uid) LEFT JOIN (SELECT uid, list(t ORDER BY j) AS hyp FROM times GROUP BY uid) h USING (uid)),
+good AS (SELECT *, kind = 9 OR heard = 0 AS no_timing FROM ready WHERE kind NOT IN (7, 8)),
+walk AS (
+  SELECT uid, 0::BIGINT AS d, len(ref)::BIGINT AS n, len(hyp)::BIGINT AS m, ref, hyp, [0::BIGINT] AS l1, []::BIGINT[] AS l2 FROM good WHERE NOT no_timing
+  UNION ALL
+  SELECT uid, d + 1, n, m, ref, hyp, list_transform(range(greatest(0, d + 1 - m), least(n, d + 1) + 1), lambda i: CASE WHEN i = 0 THEN l1[1] + 1 WHEN i = d + 1 THEN l1[d + 1 - greatest(0, d - m)] + 1
+      ELSE least(l2[i - greatest(0, d - 1 - m)] + (ref[i] <> hyp[d + 1 - i])::BIGINT, l1[i - greatest(0, d - m)] + 1, l1[i - greatest(0, d - m) + 1] + 1) END), l1
+  FROM walk WHERE d < n + m),
+costs AS (SELECT uid, any_value(n) AS n, any_value(m) AS m, any_value(ref) AS ref, any_value(hyp) AS hyp, list(l1 ORDER BY d) AS c FROM walk GROUP BY uid),
+back AS (SELECT uid, list_reduce(list_concat([{{'i': n, 'j': m, 'p': []::BIGINT[]}}], list_transform(range(n + m), lambda x: {{'i': 0::BIGINT, 'j': 0::BIGINT, 'p': []::BIGINT[]}})), lambda s, x: CASE
+    WHEN s.i = 0 AND s.j = 0 THEN s
+    WHEN s.i > 0 AND s.j > 0 AND c[s.i + s.j + 1][s.i - greatest(0, s.i + s.j - m) + 1] = c[s.i + s.j - 1][s.i - greatest(0, s.i + s.j - 2 - m)] + (ref[s.i] <> hyp[s.j])::BIGINT THEN {{'i': s.i - 1, 'j': s.j - 1, 'p': list_concat(s.p, [(s.i - 1) * 1000 + s.j - 1])}}
+    WHEN s.i > 0 AND c[s.i + s.j + 1][s.i - greatest(0, s.i + s.j - m) + 1] = c[s.i + s.j][s.i - greatest(0, s.i + s.j - 1 - m)] + 1 THEN {{'i': s.i - 1, 'j': s.j, 'p': s.p}}
+    ELSE {{'i': s.i, 'j': s.j - 1, 'p': s.p}} END).p AS p FROM costs),
+pairs_of AS (SELECT uid, q // 1000 AS i, q % 1000 AS j FROM (SELECT uid, unnest(p) AS q FROM back)),
+aligned AS (SELECT p.uid, p.i, start, last_start FROM pairs_of p JOIN times t ON t.uid = p.uid AND t.j = p.j),
+every_gap AS (SELECT uid, len(ref) AS n, duration, unnest(range(len(ref) + 1)) AS gap FROM good WHERE NOT no_timing),
+both_sides AS (SELECT g.uid, g.gap, any_value(n) AS n, any_value(duration) AS duration, arg_max(i, i) FILTER (i < gap) AS prev, arg_max(last_start, i) FILTER (i < gap) AS t0, arg_min(i, i) FILTER (i >= gap) AS next, arg_min(start, i) FILTER (i >= gap) AS t1
+  FROM every_gap g LEFT JOIN aligned a ON g.uid = a.uid GROUP BY g.uid, g.gap),
+first AS (SELECT *, coalesce(t0, 0) AS a, greatest(coalesce(t0, 0), coalesce(t1, duration)) AS b FROM both_sides WHERE prev IS NOT NULL OR next IS NOT NULL),
+grown AS (SELECT *, CASE WHEN b - a < 0.2::DOUBLE THEN least(duration, a + 0.2::DOUBLE) ELSE b END AS c FROM first),
+windows AS (SELECT uid AS sample_id, gap, (z + c) / 2 AS centre FROM (SELECT *, CASE WHEN c - a < 0.2::DOUBLE THEN greatest(0, c - 0.2::DOUBLE) ELSE a END AS z FROM grown) WHERE c - z <= 3.0),
+gold AS (SELECT e.uid AS sample_id, g.speaker, e.type, e.e, e.gap, w.centre, w.gap IS NOT NULL AS valid FROM events e JOIN good g USING (uid) LEFT JOIN windows w ON w.sample_id = e.uid AND w.gap = e.gap),
+probs AS (SELECT sample_id, gap, type, max(prob) AS prob FROM (
+    SELECT sample_id, gap + CASE (sample_id + e) % 4 WHEN 2 THEN 1 WHEN 3 THEN -2 ELSE 0 END AS gap, CASE WHEN (sample_id + e) % 7 = 0 THEN CASE WHEN type = 'laughter' THEN 'breathing' ELSE 'laughter' END ELSE type END AS type,
+      0.3::DOUBLE + ((sample_id * 7 + e * 13) % 70)::DOUBLE / 100::DOUBLE AS prob FROM gold WHERE (sample_id * 3 + e) % 5 <> 0) WHERE gap >= 0 GROUP BY ALL),
+base AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in X.THRESHOLDS.items())}) AS t(type, base)),
+fired AS (SELECT p.*, w.centre FROM probs p JOIN windows w ON w.sample_id = p.sample_id AND w.gap = p.gap JOIN base USING (type) WHERE prob >= least(base * 0.75::DOUBLE, 1)),
+""" + X.greedy("gold", "fired") + """,
+judged AS (SELECT g.*, h.e IS NOT NULL AS hit, w.centre - g.centre AS sec_offset, CASE WHEN h.e IS NOT NULL THEN 'ok'
+    WHEN NOT g.valid AND NOT EXISTS (SELECT 1 FROM fired f WHERE f.sample_id = g.sample_id AND f.type <> g.type AND f.gap - g.gap BETWEEN 0 AND 1) THEN 'alignment_unreliable'
+    WHEN EXISTS (SELECT 1 FROM fired f WHERE f.sample_id = g.sample_id AND f.type <> g.type AND f.gap - g.gap BETWEEN 0 AND 1) THEN 'wrong_type'
+    WHEN EXISTS (SELECT 1 FROM fired f WHERE f.sample_id = g.sample_id AND f.type = g.type AND f.gap - g.gap NOT BETWEEN 0 AND 1) THEN 'wrong_position' ELSE 'missing' END AS reason
+  FROM gold g LEFT JOIN hits h ON g.sample_id = h.sample_id AND g.e = h.e LEFT JOIN windows w ON w.sample_id = h.sample_id AND w.gap = h.found),
+left_over AS (SELECT count(*) AS spurious FROM fired f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.sample_id = f.sample_id AND h.type = f.type AND h.found = f.gap))
+"""
+
+
+@query("speech_reasons", f"WITH RECURSIVE {SPEECH} SELECT type, reason, count(*) AS n, round(avg(abs(sec_offset)), 6) AS seconds FROM judged GROUP BY ALL")
 def speech_reasons(spark, sf_dir):
-    """Reasons by type, events without a valid window among them; alignments have no SQL here, tests hold them against brute force."""
+    """Reasons by type, events without a valid window among them."""
     _, judged, _ = in_speech(spark, sf_dir)
     return judged.groupBy("type", "reason").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("sec_offset")), 6).alias("seconds"))
 
 
-@query("speech_summary")
+@query("speech_summary", f"""WITH RECURSIVE {SPEECH}, policies AS (SELECT unnest(['miss', 'exclude']) AS policy), counted AS (SELECT policy, judged.* FROM policies, judged WHERE policy = 'miss' OR reason <> 'alignment_unreliable'),
+by_type AS (SELECT policy, type, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (reason = 'wrong_type') AS wrong FROM counted GROUP BY ALL), by_speaker AS (SELECT policy, avg(r) AS macro_speaker FROM (SELECT policy, speaker, count(*) FILTER (hit)::DOUBLE / count(*) AS r FROM counted GROUP BY ALL) GROUP BY policy)
+SELECT sum(n)::BIGINT AS n, round(sum(hits)::DOUBLE / sum(n), 9) AS micro, round(avg(hits::DOUBLE / n), 9) AS macro_type, round((sum(hits) + sum(wrong))::DOUBLE / sum(n), 9) AS detection_rate, round(sum(hits)::DOUBLE / (sum(hits) + sum(wrong)), 9) AS type_accuracy, round(any_value(macro_speaker), 9) AS macro_speaker, (SELECT spurious FROM left_over) AS spurious,
+  round(100::DOUBLE * (SELECT spurious FROM left_over) / (SELECT sum(len(ref)) FROM good), 9) AS per_100_words, policy, (SELECT count(*) FROM ready) AS samples, (SELECT count(*) FROM ready WHERE kind IN (7, 8)) AS failed, (SELECT count(*) FROM good WHERE no_timing) AS no_timing FROM by_type JOIN by_speaker USING (policy) GROUP BY policy""")
 def speech_summary(spark, sf_dir):
     """The summary under both policies for unreliable alignments, with samples, failures and samples without times."""
     ready, judged, left = in_speech(spark, sf_dir)
     words = ready.where("error IS NULL").agg(F.sum("n_ref").alias("n_words"))
     counts = ready.agg(F.count("*").alias("samples"), F.count("error").alias("failed"), F.count_if(F.col("no_timing") & F.col("error").isNull()).alias("no_timing"))
     both = [E.summarised(judged, left, words, p).withColumn("policy", F.lit(p)) for p in ("miss", "exclude")]
-    return both[0].union(both[1]).join(F.broadcast(counts))  # one row
+    every = both[0].union(both[1]).join(F.broadcast(counts))  # one row
+    return every.withColumns({c: F.round(c, 9) for c in ("micro", "macro_type", "detection_rate", "type_accuracy", "macro_speaker", "per_100_words")})
