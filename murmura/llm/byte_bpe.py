@@ -11,7 +11,8 @@ are kept per Python worker in memos of at most MEMO entries each. Nothing is shu
 each worker from its (parameter) path and has a fixed size.
 
 Defined results: null or empty text has no ids and decodes to no bytes; strings that look like special tokens are
-ordinary text; null ids stand for no bytes; ids out of the vocabulary make decode() fail.
+ordinary text; null ids stand for no bytes; ids out of the vocabulary make decode() fail. Rows are encoded one by one, so repeated
+rows agree; an empty table gives no rows; a long text costs memory in proportion to its length.
 """
 
 from __future__ import annotations

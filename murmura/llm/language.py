@@ -14,7 +14,8 @@ than stretches, so its first and last stretch together must not gain the penalty
 lang_pred is the language with most letters among the spans; score is their share. The text is all that a prediction sees.
 
 Defined results: null, empty and letterless texts get und and 0.0; rows without a language don't train; without any
-training row everything is und; ties go to the language that is first by code point.
+training row everything is und; ties go to the language that is first by code point. Repeated rows train as often as they occur and
+are predicted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations

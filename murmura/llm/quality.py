@@ -12,7 +12,8 @@ Counts per stratum, rule, step and label are summed with map-side combine; what
 histogram (rules x steps x 2 rows). Texts never move: features are computed where a text is read.
 
 Defined results: null text counts as empty (it fails the base rules); null language is a stratum of its own; several labels of one
-document count as one, good if any is; labels of unknown documents and null labels are ignored; without labels every rule is off.
+document count as one, good if any is; labels of unknown documents and null labels are ignored; without labels every rule is off. Repeated rows are judged one by one; an
+empty table gives no rows; a very long text is measured whole, in memory in proportion to its length.
 """
 
 from __future__ import annotations
