@@ -126,7 +126,9 @@ def replicates(rows: DataFrame, by: list[str], reps: int, seed: int) -> DataFram
     blocks = placed.groupBy(*by, "b").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den")))), lambda x: F.struct(x["num"].alias("num"), x["den"].alias("den"))).alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
     one = placed.where(f"n <= {BLOCK} AND i = 0").select(*by, "b", "n", every).withColumn("m", F.col("n"))
-    many = placed.where(f"n > {BLOCK}").select(*by, "i", "n", every)
+    # Small rows, each with much to draw: dealt by a given number, or few tasks would have them all.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = placed.where(f"n > {BLOCK}").select(*by, "i", "n").repartition(tasks).select(*by, "i", "n", every)
     many = many.select(*by, F.floor(drawn(seed, F.col("rep"), F.col("i"), n=F.col("n"), digits=15) / BLOCK).alias("b"), "n", "rep").groupBy(*by, "b", "n", "rep").agg(F.count("*").alias("m"))
     draws = one.unionByName(many)
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
@@ -134,7 +136,8 @@ def replicates(rows: DataFrame, by: list[str], reps: int, seed: int) -> DataFram
     def add(s, k):
         return bound(F.get("own", drawn(seed, F.col("rep"), F.col("b"), k, n=F.size("own"), digits=15).cast("int")), lambda x: F.struct((s["num"] + x["num"]).alias("num"), (s["den"] + x["den"]).alias("den")))
 
-    sums = beside(draws, blocks.drop("n"), [*by, "b"]).select(*by, "rep", "n", "m", F.inline(F.array(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), zero, add))))
+    spread = lambda df: df.repartition(tasks, *by, "b")
+    sums = beside(spread(draws), spread(blocks.drop("n")), [*by, "b"]).select(*by, "rep", "n", "m", F.inline(F.array(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), zero, add))))
     return sums.groupBy(*by, "rep").agg(F.first("n").alias("n"), F.sum("m").alias("drawn"), F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
