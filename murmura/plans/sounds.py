@@ -56,7 +56,11 @@ def vector_clips(spark, sf_dir, rate):
 SAMPLES = """s AS (SELECT vec_id // 64 AS clip, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id, i) - 1 AS i, greatest(-32767, least(32767, round(c * 8000))) / 32768::DOUBLE AS x
   FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) AS i FROM embeddings)),
 sized AS (SELECT clip, count(*) AS total FROM s GROUP BY clip)"""
-NUMBER = F.regexp_extract("clip", r"v(\d+)", 1).cast("long").alias("clip")
+
+
+def number():
+    """The clip's number, from its name."""
+    return F.regexp_extract("clip", r"v(\d+)", 1).cast("long").alias("clip")
 
 
 @query("resampled_clips", f"""WITH {SAMPLES},
@@ -69,7 +73,7 @@ SELECT clip, count(*) AS n, round(sum(y), 3) AS total, round(sum(y * y), 3) AS p
 def resampled_clips(spark, sf_dir):
     """Clips of 24 kHz at 16 kHz, in blocks of a thousand samples."""
     own = A.resampled(audio.decoded(written(vector_clips(spark, sf_dir, 24_000)), 16_000, 1000), 16_000)
-    each = own.select(NUMBER, F.explode("x").alias("y")).groupBy("clip")
+    each = own.select(number(), F.explode("x").alias("y")).groupBy("clip")
     y = F.col("y").cast("double")
     return each.agg(F.count("*").alias("n"), F.round(F.sum(y), 3).alias("total"), F.round(F.sum(y * y), 3).alias("power"), F.round(F.max(y), 4).alias("high"))
 
@@ -89,7 +93,7 @@ SELECT clip, frame, round(e, 4) AS e, round(zcr, 9) AS zcr, round(low - e, 4) AS
 def frame_spectra(spark, sf_dir):
     """Energy, sign changes and the two lowest bands of every frame."""
     own = A.frames(A.blocks_for_frames(written(vector_clips(spark, sf_dir, A.RATE))))
-    return own.select(NUMBER, "frame", F.round("e", 4).alias("e"), F.round("zcr", 9).alias("zcr"), *[F.round(F.get("band", F.lit(i)), 4).alias(f"band{i}") for i in (0, 1)])
+    return own.select(number(), "frame", F.round("e", 4).alias("e"), F.round("zcr", 9).alias("zcr"), *[F.round(F.get("band", F.lit(i)), 4).alias(f"band{i}") for i in (0, 1)])
 
 
 @query("frame_features", f"""WITH {FRAMED},
@@ -106,4 +110,4 @@ def frame_features(spark, sf_dir):
     t0 = F.col("gap") * F.lit(0.021)
     made = windows.select("clip", "gap", t0.alias("t0"), (t0 + F.lit(0.004) + (F.col("gap") % 4) * F.lit(0.03)).alias("t1"))
     pick = lambda c, d: F.round(F.get("features", F.lit(A.NAMES.index(c))).cast("double"), d).alias(c)
-    return A.window_features(made, own).select(NUMBER, "gap", pick("dur", 4), *[pick(c, 3) for c in ("e_mean", "e_std", "e_p10", "e_rel_mean", "e_rel_max")], pick("zcr_mean", 4), pick("silence_frac", 4))
+    return A.window_features(made, own).select(number(), "gap", pick("dur", 4), *[pick(c, 3) for c in ("e_mean", "e_std", "e_p10", "e_rel_mean", "e_rel_max")], pick("zcr_mean", 4), pick("silence_frac", 4))
