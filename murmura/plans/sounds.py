@@ -101,7 +101,7 @@ level AS (SELECT clip, count(*) AS n_frames, quantile_cont(e, 0.5) AS p50, quant
 w AS (SELECT clip, gap, gap * 0.021::DOUBLE AS t0, gap * 0.021::DOUBLE + 0.004::DOUBLE + (gap % 4) * 0.03::DOUBLE AS t1 FROM sized, (SELECT unnest(range(9)) AS gap)),
 edges AS (SELECT *, greatest(ceil((t0 * 16000 - 200) / 160), 0)::BIGINT AS lo, least(floor((t1 * 16000 - 200) / 160) + 1, n_frames)::BIGINT AS hi, greatest(0, least(round_even(((t0 + t1) / 2 * 16000 - 200) / 160, 0)::BIGINT, n_frames - 1)) AS near FROM w JOIN level USING (clip)),
 met AS (SELECT d.clip, gap, t0, t1, p50, p90, e.e, zcr FROM edges d JOIN e ON e.clip = d.clip AND e.frame >= CASE WHEN hi > lo THEN lo ELSE near END AND e.frame < CASE WHEN hi > lo THEN hi ELSE near + 1 END JOIN crossed c ON c.clip = e.clip AND c.frame = e.frame)
-SELECT clip, gap, round(any_value(t1 - t0), 4) AS dur, round(avg(e), 3) AS e_mean, round(stddev_pop(e), 3) AS e_std, round(quantile_cont(e, 0.1), 3) AS e_p10, round(avg(e) - any_value(p50), 3) AS e_rel_mean, round(max(e) - any_value(p90), 3) AS e_rel_max,
+SELECT clip, gap, round(any_value(t1 - t0), 4) AS dur, round(avg(e), 3) AS e_mean, round(stddev_pop(e), 3) AS e_std, round(quantile_cont(e, 0.1), 3) AS e_p10, round(avg(e) - any_value(p50), 3) + 0.0 AS e_rel_mean, round(max(e) - any_value(p90), 3) + 0.0 AS e_rel_max,
   round(avg(zcr), 4) AS zcr_mean, round(avg((e < p50 - 25)::INT), 4) AS silence_frac FROM met GROUP BY clip, gap""")
 def frame_features(spark, sf_dir):
     """Features of windows over the frames: short windows take the nearest frame."""
@@ -109,5 +109,5 @@ def frame_features(spark, sf_dir):
     windows = own.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<long>")).alias("gap"))
     t0 = F.col("gap") * F.lit(0.021)
     made = windows.select("clip", "gap", t0.alias("t0"), (t0 + F.lit(0.004) + (F.col("gap") % 4) * F.lit(0.03)).alias("t1"))
-    pick = lambda c, d: F.round(F.get("features", F.lit(A.NAMES.index(c))).cast("double"), d).alias(c)
+    pick = lambda c, d: (F.round(F.get("features", F.lit(A.NAMES.index(c))).cast("double"), d) + F.lit(0.0)).alias(c)  # noqa: E731 - no negative zero
     return A.window_features(made, own).select(number(), "gap", pick("dur", 4), *[pick(c, 3) for c in ("e_mean", "e_std", "e_p10", "e_rel_mean", "e_rel_max")], pick("zcr_mean", 4), pick("silence_frac", 4))
