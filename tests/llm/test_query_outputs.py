@@ -61,6 +61,7 @@ def sf(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
