@@ -118,10 +118,11 @@ def baseline(events: DataFrame, found: DataFrame, before: int, after: int, reps:
 
 
 POINT = ["scale", "before", "after"]
+MISSES = ["lost", "wrong_type", "wrong_position", "missing"]
 
 
 def sweep(events: DataFrame, found: DataFrame, thresholds: DataFrame, scales: list[float], tolerances: list[tuple[int, int]], reps: int = 2, seed: int = 0, policy: str = "miss") -> DataFrame:
-    """Per point of the grid and type, with a row of type null for all: n, hits, accuracy, spurious; given reps, for all also baseline and lift.
+    """Per point of the grid and type, with a row of type null for all: n, hits, accuracy, spurious and the misses by reason (lost: alignment unreliable); given reps, for all also baseline and lift.
 
     One pass over each sample's events and detections serves all points and replicates. policy exclude leaves out of n, at each point, the events
     whose alignment is unreliable there (events has valid); the baseline counts against the same n.
@@ -132,8 +133,8 @@ def sweep(events: DataFrame, found: DataFrame, thresholds: DataFrame, scales: li
     with_base = found.join(F.broadcast(thresholds), "type", "left").withColumn("base", F.coalesce("base", F.lit(DISABLED)))
     counts = kept(pairing.gridded(events, with_base, points, policy, drawn_gaps(reps, seed) if reps else None, reps))
     named = F.broadcast(events.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(points)], "point int, scale double, before int, after int"))
-    rolled = counts.groupingSets([[F.col("point")], [F.col("point"), F.col("type")]], "point", "type").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "seen")])
-    out = rolled.join(named, "point").select("point", *POINT, "type", "n", "hits", F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("accuracy"), (F.col("seen") - F.col("hits")).alias("spurious"))
+    rolled = counts.groupingSets([[F.col("point")], [F.col("point"), F.col("type")]], "point", "type").agg(*[F.sum(c).alias(c) for c in pairing.COUNTS])
+    out = rolled.join(named, "point").select("point", *POINT, "type", "n", "hits", F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("accuracy"), (F.col("seen") - F.col("hits")).alias("spurious"), *MISSES)
     if not reps:
         return out.drop("point")
     joined = out.join(F.broadcast(chances(counts).select("point", F.col("mean").alias("chance"))), "point", "left")  # a row a point

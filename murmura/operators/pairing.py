@@ -130,6 +130,8 @@ class Match:
 
 #: Reasons, the first that holds.
 REASONS = ("ok", "alignment_unreliable", "wrong_type", "wrong_position", "missing")
+#: What gridded() counts: events, those with each reason (hits first), and detections that fire.
+COUNTS = ("n", "hits", "lost", "wrong_type", "wrong_position", "missing", "seen")
 
 
 def reasons(m: Match, valid: np.ndarray | None) -> np.ndarray:
@@ -188,7 +190,7 @@ def left_over(both: DataFrame) -> DataFrame:
 
 
 def gridded(events: DataFrame, found: DataFrame, points: list[tuple[float, int, int]], policy: str = "miss", draws: Column | None = None, reps: int = 0) -> DataFrame:
-    """point (its number), type, n, hits, lost (unreliable events), seen, and chance (hits of events placed anew, a number a replicate), summed over samples.
+    """point (its number), type, n, hits, lost (unreliable events), wrong_type, wrong_position, missing, seen, and chance (hits of events placed anew, a number a replicate), summed over samples.
 
     events may have valid (is the event's gap usable); found: sample_id, type, gap, prob, base (its type's threshold). Each sample's events and
     detections are looked at once for all points: a detection fires where its probability reaches the threshold at the point's
@@ -210,14 +212,14 @@ def gridded(events: DataFrame, found: DataFrame, points: list[tuple[float, int,
             for k, (scale, before, after) in enumerate(points):
                 fires = prob >= np.where(base > 1, base, np.minimum(base * scale, 1.0))
                 m = Match(ev.row, e_type, e_gap, e, dt.row, d_type, d_gap, prob, before, after, n_types, fires)
-                lost = reasons(m, valid) == 1 if with_valid else np.zeros(len(ev), bool)
-                counts = [np.bincount(t, minlength=len(names)) for t in (e_type, e_type[m.event], e_type[lost], d_type[fires])]
+                why = reasons(m, valid)
+                counts = [np.bincount(t, minlength=len(names)) for t in (e_type, *[e_type[why == k] for k in range(len(REASONS))], d_type[fires])]
                 chance = [np.bincount(e_type[Match(ev.row, e_type, anew[:, r], e, dt.row, d_type, d_gap, prob, before, after, n_types, fires).event], minlength=len(names)) for r in range(reps)]
                 rows += [(k, t, *(int(c[i]) for c in counts), [int(c[i]) for c in chance]) for i, t in enumerate(names)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["point", "type", "n", "hits", "lost", "seen", "chance"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(COUNTS) + 3)
+            kinds = [pa.int32(), pa.string(), *[pa.int64()] * len(COUNTS), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["point", "type", *COUNTS, "chance"])
 
-    parts = paired.mapInArrow(run, "point int, type string, n long, hits long, lost long, seen long, chance array<long>")
-    sums = parts.groupBy("point", "type").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "lost", "seen")], F.array(*[F.sum(F.get("chance", F.lit(r))) for r in range(reps)]).alias("chance") if reps else F.array().cast("array<long>").alias("chance"))
+    parts = paired.mapInArrow(run, "point int, type string, " + ", ".join(f"{c} long" for c in COUNTS) + ", chance array<long>")
+    sums = parts.groupBy("point", "type").agg(*[F.sum(c).alias(c) for c in COUNTS], F.array(*[F.sum(F.get("chance", F.lit(r))) for r in range(reps)]).alias("chance") if reps else F.array().cast("array<long>").alias("chance"))
     return sums.withColumn("n", F.col("n") - F.col("lost")) if policy == "exclude" else sums

@@ -180,7 +180,20 @@ SELECT scale, before, after, type, n, hits, hits::DOUBLE / n AS accuracy, spurio
 def tolerance_sweep(spark, sf_dir):
     """All points of the grid by type and over all types, from one pass over the detections."""
     events = X.gold_stored(spark, sf_dir)
-    return E.sweep(events, X.detected(events), X.thresholds(spark), SCALES, TOLERANCES, reps=0)
+    return E.sweep(events, X.detected(events), X.thresholds(spark), SCALES, TOLERANCES, reps=0).drop(*E.MISSES)
+
+
+@query("sweep_reasons", f"""WITH {GRID}, {at_points('gold')},
+judged_at AS (SELECT p.scale, p.before, p.after, g.type, CASE WHEN h.e IS NOT NULL THEN 'ok'
+    WHEN EXISTS (SELECT 1 FROM grid f WHERE f.scale = p.scale AND f.before = p.before AND f.after = p.after AND f.sample_id = g.sample_id AND f.type <> g.type AND f.gap - g.gap BETWEEN -p.before AND p.after) THEN 'wrong_type'
+    WHEN EXISTS (SELECT 1 FROM grid f WHERE f.scale = p.scale AND f.before = p.before AND f.after = p.after AND f.sample_id = g.sample_id AND f.type = g.type AND f.gap - g.gap NOT BETWEEN -p.before AND p.after) THEN 'wrong_position' ELSE 'missing' END AS reason
+  FROM points p CROSS JOIN gold g LEFT JOIN hits h ON h.scale = p.scale AND h.before = p.before AND h.after = p.after AND h.sample_id = g.sample_id AND h.e = g.e WHERE p.scale = 0.75)
+SELECT scale, before, after, type, count(*) FILTER (reason = 'ok') AS hits, count(*) FILTER (reason = 'wrong_type') AS wrong_type, count(*) FILTER (reason = 'wrong_position') AS wrong_position, count(*) FILTER (reason = 'missing') AS missing FROM judged_at GROUP BY ALL""")
+def sweep_reasons(spark, sf_dir):
+    """Why events are missed at every tolerance, by type, at one scale."""
+    events = X.gold_stored(spark, sf_dir)
+    every = E.sweep(events, X.detected(events), X.thresholds(spark), [0.75], TOLERANCES, reps=0).where("type IS NOT NULL AND n > 0")
+    return every.select(*E.POINT, "type", "hits", "wrong_type", "wrong_position", "missing")
 
 
 @query("shuffle_baseline", "WITH " + X.FOUND + "," + ANEW.format(reps=20) + "," + X.greedy("anew", "fired", "rep") + """,

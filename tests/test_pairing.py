@@ -51,6 +51,7 @@ def test_each_point_of_a_grid_is_a_judgement_of_its_own(spark, corpus, policy):
                 r = got[s, b, a, t]
                 of = [x for x in own if t in (None, x.type)]
                 assert (r.n, r.hits, r.spurious) == (len(of), sum(x.hit for x in of), sum(t in (None, x.type) for x in left))
+                assert [r[k] for k in ("wrong_type", "wrong_position", "missing")] == [sum(x.reason == k for x in of) for k in ("wrong_type", "wrong_position", "missing")] and (policy == "exclude" or r.lost == sum(x.reason == "alignment_unreliable" for x in of))
             chance = [got[s, b, a, None].baseline]
             for rep in range(2):
                 placed = gold.withColumn("gap", E.stats.drawn(3, F.lit(rep), F.col("sample_id"), F.col("e"), n=F.col("n_words") + 1))
