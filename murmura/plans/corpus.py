@@ -148,6 +148,12 @@ def build_report(spark, sf_dir):
     return M.report(built(spark, sf_dir), files(spark, sf_dir))
 
 
+@query("build_languages", f"WITH {REFS} SELECT lang, count(*) AS n FROM made GROUP BY lang")
+def build_languages(spark, sf_dir):
+    """Samples of the manifest by language."""
+    return M.languages(built(spark, sf_dir))
+
+
 @query("missing_inputs", f"WITH {REFS}, one AS (SELECT sample_id, any_value(generated) AS generated, any_value(audio) AS audio, flatten(list(refs)) AS refs FROM made GROUP BY sample_id), " + """
 bad AS (SELECT DISTINCT sample_id FROM (SELECT sample_id, unnest(refs) AS r FROM one) WHERE NOT EXISTS (SELECT 1 FROM files WHERE path = r)),
 judged AS (SELECT sample_id, CASE WHEN generated IS NULL OR NOT EXISTS (SELECT 1 FROM files WHERE path = generated) THEN 'missing_generated_audio' WHEN len(refs) = 0 OR EXISTS (SELECT 1 FROM bad WHERE bad.sample_id = one.sample_id) THEN 'missing_reference_audio'
