@@ -31,21 +31,32 @@ def prepared(samples: DataFrame, asr: DataFrame, known: list[str] | None = None,
     return shaped.withColumn("no_timing", F.col("heard").isNull()).withColumn("pairs", align.aligned("ref", F.transform("heard", lambda w: w["text"])))
 
 
+def centred(ready: DataFrame) -> DataFrame:
+    """ready with centres, the middle of each gap's window (null where it is not valid; none without timing), in place of words and alignment."""
+    w = F.when(F.col("error").isNull() & ~F.col("no_timing"), timing.windows())
+    middle = F.transform("_w", lambda x: F.when(x["valid"], timing.centre(x["t0"], x["t1"])))
+    return ready.withColumn("_w", w).withColumn("centres", middle).drop("_w", "pairs", "heard", "ref")
+
+
 def outcomes(ready: DataFrame, probs: DataFrame, thresholds: DataFrame, before: int = 1, after: int = 1, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Every event of the samples without error, judged, with the offset in seconds of hits; and the detections that none took.
 
-    probs: sample_id, gap, type, prob. Only gaps with a valid window have detections. ready should be stored (see storage.kept), as
-    it is read several times; windows, detections and events are stored here.
+    probs: sample_id, gap, type, prob. Only gaps with a valid window have detections. ready, as prepared() or centred() gives it, should be stored (see
+    storage.kept), as it is read several times. A sample stays one row, with its events, windows and detections side by side; only detections are moved.
     """
-    good = ready.where("error IS NULL")
-    windows = timing.gap_windows(good.where("NOT no_timing").select("sample_id", "n_ref", "pairs", "heard", "duration")).where("valid")
-    centres = kept(windows.select("sample_id", F.col("gap").cast("long").alias("gap"), timing.centre(F.col("t0"), F.col("t1")).alias("centre")))
-    there = kept(probs.join(centres.select("sample_id", "gap"), ["sample_id", "gap"], "left_semi"))
-    found = E.with_tolerance(E.fired(there, thresholds, scale), before, after)
-    events = good.select("sample_id", "speaker", F.col("n_ref").cast("long").alias("n_words"), F.inline("events")).withColumn("gap", F.col("gap").cast("long"))
-    events = kept(events.join(centres.withColumn("valid", F.lit(True)), ["sample_id", "gap"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))))
-    both = kept(pairing.compared(events, found, there))
-    judged = pairing.outcomes(both, events.columns)
-    at = centres.select("sample_id", F.col("gap").alias("_at"), F.col("centre").alias("_centre"))
-    placed = judged.withColumn("_at", F.col("gap") + F.col("offset")).join(at, ["sample_id", "_at"], "left")
-    return placed.withColumn("sec_offset", F.col("_centre") - F.col("centre")).drop("_at", "_centre", "centre"), pairing.left_over(both).select(found.columns)
+    rows = ready if "centres" in ready.columns else centred(ready)
+    good = rows.where("error IS NULL").select("sample_id", "speaker", F.col("n_ref").cast("long").alias("n_words"), "events", "centres")
+    dealt = probs.select("sample_id", F.struct("type", F.col("gap").cast("long").alias("gap"), F.col("prob").cast("double").alias("prob")).alias("p")).groupBy("sample_id").agg(F.collect_list("p").alias("pr"))
+    met = good.join(dealt, "sample_id", "left")
+    at = lambda gap: F.when(gap >= 0, F.get("centres", gap.cast("int")))
+    limits = F.create_map(*[F.lit(x) for r in thresholds.collect() for x in (r["type"], float(r["base"]))]).cast("map<string,double>")  # a row a type
+    reached = lambda p: p["prob"] >= E.threshold(F.try_element_at(limits, p["type"]), F.lit(float(scale)))
+    ev = F.transform("events", lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), x["gap"].cast("long").alias("gap"), F.col("speaker"), F.col("n_words"), at(x["gap"]).isNotNull().alias("valid")))
+    there = F.filter(F.coalesce("pr", F.array().cast("array<struct<type:string,gap:bigint,prob:double>>")), lambda p: at(p["gap"]).isNotNull())
+    sides = met.select("sample_id", "centres", ev.alias("ev"), there.alias("pr"))
+    dt = F.transform(F.filter("pr", reached), lambda p: F.struct(p["type"].alias("type"), p["gap"].alias("gap"), p["prob"].alias("prob"), F.lit(before).alias("before"), F.lit(after).alias("after")))
+    both = kept(pairing.side_by_side(sides.select("sample_id", "centres", "ev", dt.alias("dt"), "pr"), ["centres"]))
+    judged = both.select("sample_id", "centres", F.inline(F.arrays_zip("ev", "out"))).select("sample_id", "centres", "ev.*", "out.*")
+    placed = judged.withColumn("sec_offset", at(F.col("gap") + F.col("offset")) - at(F.col("gap"))).drop("centres")
+    columns = ["sample_id", "gap", "speaker", "n_words", "e", "type", "valid", "hit", "offset", "prob", "reason", "sec_offset"]
+    return placed.select(columns), pairing.left_over(both).select("sample_id", "type", "gap", "prob", "before", "after")
