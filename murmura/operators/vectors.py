@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from murmura.functions import vectors as V
+from murmura.operators import stats
 
 
 def centroids(refs: DataFrame, key: str) -> DataFrame:
@@ -33,6 +35,26 @@ def centroids(refs: DataFrame, key: str) -> DataFrame:
     return whole.select(key, V.unit(F.transform("s", lambda z: z["x"])).alias("centroid"), "n_refs")
 
 
+def summed(each: DataFrame) -> DataFrame:
+    """refs, s (the sum of ref over a list's rows; null without any), n (rows with ref), asked (all) and ref_seconds of rows (refs, ref, seconds).
+
+    Only lists' vectors are gathered; a list is a row's array already, so its vectors are one row's as well.
+    """
+    by = each.groupBy("refs").agg(F.collect_list("ref").alias("v"), F.count("ref").alias("n"), F.count("*").alias("asked"), F.sum("seconds").alias("ref_seconds"))
+    return by.select("refs", total("v").alias("s"), "n", "asked", "ref_seconds")
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def total(vectors: pa.Array) -> pa.Array:
+    """The sum of each list of vectors."""
+    out = [pa.array([], pa.list_(pa.float64()))]
+    for k in range(len(vectors)):
+        own = vectors[k].values
+        n = len(own) if own is not None else 0
+        out.append(pa.array([own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1).sum(axis=0)] if n else [None], pa.list_(pa.float64())))
+    return pa.concat_arrays(out)
+
+
 def similarity(samples: DataFrame, refs: DataFrame, mode: str = "centroid", most: int | None = None) -> DataFrame:
     """sample_id, cosine, n_ref_clips, ref_seconds and error of samples (sample_id, u, refs: array of clip ids).
 
@@ -41,14 +63,12 @@ def similarity(samples: DataFrame, refs: DataFrame, mode: str = "centroid", most
     """
     if mode not in ("centroid", "mean_cosine"):
         raise ValueError(f"no such mode: {mode}")
-    wanted = samples.withColumn("refs", F.slice("refs", 1, most) if most else F.col("refs"))
-    each = wanted.select("sample_id", F.col("u").alias("own"), F.explode_outer("refs").alias("clip")).join(refs.select("clip", F.col("u").alias("ref"), "seconds"), "clip", "left")
-    if mode == "mean_cosine":
-        scored = each.groupBy("sample_id").agg(F.avg(V.dot(F.col("own"), F.col("ref"))).alias("cosine"), F.count("ref").alias("n"), F.count("*").alias("asked"), F.sum("seconds").alias("ref_seconds"), F.max(F.col("own").isNotNull()).alias("there"))
-    else:
-        flat = each.select("sample_id", "clip", "own", "seconds", "ref", F.posexplode_outer("ref").alias("i", "x")).groupBy("sample_id", "i").agg(F.sum("x").alias("x"), F.first("own").alias("own"), F.count("ref").alias("n"), F.count("*").alias("asked"), F.sum("seconds").alias("seconds"))
-        whole = flat.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "x")))).alias("s"), F.first("own", True).alias("own"), F.max("n").alias("n"), F.max("seconds").alias("ref_seconds"), F.sum(F.when(F.col("i").isNull(), F.col("asked")).otherwise(0)).alias("gone"))
-        scored = whole.select("sample_id", V.dot(F.col("own"), V.unit(F.transform("s", lambda z: z["x"]))).alias("cosine"), "n", (F.col("n") + F.col("gone")).alias("asked"), "ref_seconds", F.col("own").isNotNull().alias("there"))
+    wanted = samples.select("sample_id", F.col("u").alias("own"), (F.slice("refs", 1, most) if most else F.col("refs")).alias("refs"))
+    # Samples of one speaker mostly share their references: each list is looked up and summed once, and samples meet one sum.
+    each = wanted.select("refs").distinct().select("refs", F.explode_outer("refs").alias("clip")).join(refs.select("clip", F.col("u").alias("ref"), "seconds"), "clip", "left")
+    sums = summed(each).withColumn("c", V.unit(F.col("s")) if mode == "centroid" else F.transform("s", lambda x: x / F.col("n")))
+    met = stats.beside(wanted, sums.drop("s"), ["refs"], "left")
+    scored = met.select("sample_id", F.when(F.col("n") > 0, V.dot(F.col("own"), F.col("c"))).alias("cosine"), "n", "asked", "ref_seconds", F.col("own").isNotNull().alias("there"))
     error = F.when(~F.col("there"), "no embedding").when((F.col("n") < F.col("asked")) | (F.col("n") == 0), "missing reference")
     out = scored.withColumn("error", error)
     ok = F.col("error").isNull()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from murmura.functions import draws as D
 from murmura.functions import text as T
-from murmura.operators import align, nvpa, timing
+from murmura.operators import align, nvpa, timing, vectors
+from murmura.operators import events as E
 from murmura.plans import fixtures as X
 from murmura.storage import kept
 
@@ -68,3 +69,18 @@ def test_gap_map_and_words_of_odd_pieces(spark):
     tokens = [(["▁a-", "b", " C", "▁"], [0.0, 0.5, 1.0, 2.0]), ([], []), (None, None), (["x"], [1.0, 2.0]), (["▁...", "▁Σ", "Σ"], [0.0, 1.0, 2.0])]
     got = [r[0] and [tuple(x) for x in r[0]] for r in spark.createDataFrame(tokens, "t array<string>, at array<double>").select(timing.token_words(F.col("t"), F.col("at"))).collect()]
     assert got == [[("a", 0.0, 0.5), ("b", 0.0, 0.5), ("c", 1.0, 1.0)], None, None, None, [("σς", 1.0, 2.0)]]
+
+
+def test_references_are_summed_once_a_list(spark):
+    """Samples that share their references make no rows of their own for each reference or component."""
+    clips = spark.range(4).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("clip"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("u"), F.lit(2.0).alias("seconds"))
+    samples = spark.range(1000).select(F.col("id").alias("sample_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("u"), F.when(F.col("id") < 998, F.array(F.lit("c0"), F.lit("c3"))).when(F.col("id") == 998, F.array(F.lit("c0"), F.lit("none"))).alias("refs"))
+    rows = {r.sample_id: r for r in vectors.similarity(samples, clips).collect()}
+    assert len(rows) == 1000 and rows[0].n_ref_clips == 2 and rows[0].ref_seconds == 4.0 and abs(rows[0].cosine - 2 / 13**0.5) < 1e-12
+    assert rows[998].error == rows[999].error == "missing reference" and rows[999].cosine is None
+
+
+def test_nearest_detection(spark):
+    events = spark.createDataFrame([(1, "a", 0, 5), (1, "a", 1, 20), (1, "b", 2, 5), (2, "a", 0, 5), (1, None, 3, 5)], "sample_id long, type string, e int, gap long")
+    found = spark.createDataFrame([(1, "a", 3, 0.5), (1, "a", 7, 0.5), (1, "a", 26, 0.5), (1, "b", 10, 0.5), (3, "a", 5, 0.5)], "sample_id long, type string, gap long, prob double")
+    assert {(r.sample_id, r.e): r.shift for r in E.offsets(events, found).collect()} == {(1, 0): -2, (1, 1): None, (1, 2): 5, (2, 0): None, (1, 3): None}
