@@ -8,6 +8,7 @@ clip), at and n (the block's first sample and its number of samples), lead (how
 from __future__ import annotations
 
 import struct
+from itertools import islice
 from math import gcd
 
 import numpy as np
@@ -97,14 +98,19 @@ def probed(found: DataFrame) -> DataFrame:
     """clip, rate, channels, bits, frames, seconds and error of files (clip, content); no sample is decoded."""
     schema = pa.schema([("clip", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("frames", pa.int64()), ("seconds", pa.float64()), ("error", pa.string())])
 
-    def run(batches):
+    def rows(batches):
         for clip, raw in each(batches):
             try:
                 h = Header(raw)
                 row = [clip, h.rate, h.channels, h.bits, h.frames, h.frames / h.rate, None]
             except (ValueError, struct.error) as e:
                 row = [clip, None, None, None, None, None, str(e)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            yield row
+
+    def run(batches):
+        own = rows(batches)
+        for some in iter(lambda: list(islice(own, 1000)), []):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
     return found.select("clip", "content").mapInArrow(run, "clip string, rate int, channels int, bits int, frames long, seconds double, error string")
 
@@ -127,13 +133,13 @@ def decoded(found: DataFrame, wanted: int | None = None, block: int | None = BLO
     one too, where there is one. Without block a clip is one row. x begins lead input samples before the one that at falls on.
     """
 
-    def run(batches):
+    def rows(batches):
         for clip, raw in each(batches):
             try:
                 h = Header(raw)
                 x = h.samples(raw)
             except (ValueError, struct.error) as e:
-                yield row(clip, None, None, None, None, None, None, str(e))
+                yield clip, None, None, None, None, None, None, str(e)
                 continue
             up, down = steps(h.rate, wanted or h.rate)
             total, half = -(-h.frames * up // down), reach(up, down)
@@ -141,13 +147,27 @@ def decoded(found: DataFrame, wanted: int | None = None, block: int | None = BLO
                 n = min((block or total) + tail, total - at)
                 first = max(0, -((half - at * down) // up))
                 last = min(h.frames, ((at + n - 1) * down + half) // up + 1)
-                yield row(clip, h.rate, total, at, n, at * down // up - first, x[first:last], None)
+                yield clip, h.rate, total, at, n, at * down // up - first, x[first:last], None
 
-    def row(*values):
+    def run(batches):
+        some, held = [], 0
+        for row in rows(batches):
+            some.append(row)
+            held += 0 if row[6] is None else len(row[6])
+            if len(some) == 1000 or held > 1 << 18:
+                yield batch_of(some)
+                some, held = [], 0
+        if some:
+            yield batch_of(some)
+
+    def batch_of(some):
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), None, pa.string()]
         names = ["clip", "rate", "total", "at", "n", "lead", "x", "error"]
-        arrays = [pa.array([v], k) if k is not None else pa.array([v], pa.list_(pa.float32())) if v is None else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v, k in zip(values, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        columns = list(zip(*some, strict=True))
+        x = [np.zeros(0, np.float32) if v is None else v for v in columns[6]]
+        cuts = pa.array(np.r_[0, np.cumsum([len(v) for v in x])].astype(np.int32))
+        lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x)), mask=pa.array([v is None for v in columns[6]]))
+        return pa.RecordBatch.from_arrays([lists if k is None else pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
     return found.select("clip", "content").mapInArrow(run, BLOCKS)
 

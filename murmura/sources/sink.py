@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "murmura_files"
+#: Moves of a commit that go on at once.
+MOVERS = 32
 
 
 @dataclass
@@ -85,9 +89,10 @@ class Writer(DataSourceArrowWriter):
                     (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
         for folder in {posixpath.dirname(n) for n in names}:
             system.create_dir(f"{root}/{folder}".rstrip("/"), recursive=True)
-        for message in messages:
-            for name in message.names if message is not None else ():
-                system.move(f"{message.folder}/{name}", f"{root}/{name}")
+        moves = ((f"{m.folder}/{n}", f"{root}/{n}") for m in messages if m is not None for n in m.names)
+        with ThreadPoolExecutor(MOVERS) as pool:  # a move waits for the store most of its time
+            for part in iter(lambda: list(islice(moves, 10_000)), []):
+                list(pool.map(lambda move: system.move(*move), part, chunksize=100))
         self.abort(messages)
 
     def abort(self, messages) -> None:
