@@ -72,7 +72,9 @@ def by_group(df: DataFrame, keys: list[str], handle, schema: pa.Schema) -> DataF
     """Applies handle(table) -> list of columns or None to the rows of each value of keys (longs, never null).
 
     The rows are dealt by the keys, sorted and streamed, so that many small groups share a batch; callers split groups
-    to a bounded size beforehand.
+    to a bounded size beforehand. They are dealt by a hash of the keys: where df comes from a join by the same keys, Spark
+    leaves out a second shuffle by them, and adaptive execution may then broadcast that join and read the first one locally,
+    by which groups are torn, for mapInArrow asks for no distribution.
     """
     ddl = ", ".join(f"{f.name} {'long' if pa.types.is_int64(f.type) else f.type}" for f in schema)
 
@@ -101,7 +103,7 @@ def by_group(df: DataFrame, keys: list[str], handle, schema: pa.Schema) -> DataF
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
