@@ -189,17 +189,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """df with token_ids array<int> in place of its text column (and of one of that name)."""
-    keep = shared.others(df, "text", "token_ids")
+def encode(df: DataFrame, path: str, pattern: str, with_bytes: bool = False) -> DataFrame:
+    """df with token_ids array<int> in place of its text column (and of one of that name); with_bytes also what decode() makes of them, by the same workers."""
+    keep = shared.others(df, "text", "token_ids", *(["decoded"] if with_bytes else []))
     df = df.select(*[F.col(f"`{c}`") for c in keep], "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + ["token_ids array<int>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + ["token_ids array<int>", *(["decoded binary"] if with_bytes else [])])
 
     def run(batches):
         own = codec(path, pattern)
         for part in shared.parts(batches):
             ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*shared.columns_of(part, keep), ids], names=[*keep, "token_ids"])
+            made = {"token_ids": ids, **({"decoded": own.decode(ids)} if with_bytes else {})}
+            yield pa.RecordBatch.from_arrays([*shared.columns_of(part, keep), *made.values()], names=[*keep, *made])
 
     return df.mapInArrow(run, schema)
 
@@ -232,7 +233,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark, sf_dir):
-    known = vocabulary()
-    both = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), *known), *known)
+    """Texts are encoded and decoded in one pass: a second one would have workers, and tables, of its own beside the first."""
+    both = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary(), with_bytes=True)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
