@@ -53,8 +53,16 @@ def resampled_block(x: np.ndarray, lead: int, at: int, n: int, up: int, down: in
     return (np.where(there, x[np.clip(heard - first, 0, len(x) - 1)], 0) * h[np.minimum(tap, 2 * half)]).sum(axis=1)
 
 
+SAMPLES = "clip string, rate int, total long, at long, x array<float>, error string"
+
+
 def resampled(blocks: DataFrame, wanted: int) -> DataFrame:
     """blocks, decoded for the wanted rate, with x of that rate: clip, rate, total, at, x and error."""
+    return blocks.mapInArrow(resampling(wanted), SAMPLES)
+
+
+def resampling(wanted: int):
+    """What resampled() does to batches."""
 
     def run(batches):
         for batch in batches:
@@ -68,7 +76,7 @@ def resampled(blocks: DataFrame, wanted: int) -> DataFrame:
                 values = [pa.array([row["clip"]], pa.string()), pa.array([None if x is None else wanted], pa.int32()), pa.array([row["total"]], pa.int64()), pa.array([row["at"]], pa.int64()), pa.array([None if x is None else x.tolist()], pa.list_(pa.float32())), pa.array([row["error"]], pa.string())]
                 yield pa.RecordBatch.from_arrays(values, names=["clip", "rate", "total", "at", "x", "error"])
 
-    return blocks.mapInArrow(run, "clip string, rate int, total long, at long, x array<float>, error string")
+    return run
 
 
 def pieces(row: dict, wanted: int, most: int = 16_384):
@@ -107,16 +115,30 @@ def frame_values(x: np.ndarray, count: int) -> dict[str, np.ndarray]:
 
 def blocks_for_frames(found: DataFrame) -> DataFrame:
     """Files (clip, content) as blocks of RATE that hold all samples of the frames that begin in them."""
-    return resampled(audio.decoded(found, RATE, audio.BLOCK, FRAME - HOP), RATE)
+    decode, resample = audio.decoding(RATE, audio.BLOCK, FRAME - HOP), resampling(RATE)
+    return found.select("clip", "content").mapInArrow(lambda batches: resample(decode(batches)), SAMPLES)
+
+
+def frames_of_files(found: DataFrame) -> DataFrame:
+    """frames() of blocks_for_frames() of files, in one pass: each pass of a stage has a worker a core of its own."""
+    decode, resample, frame = audio.decoding(RATE, audio.BLOCK, FRAME - HOP), resampling(RATE), framing(audio.BLOCK)
+    return found.select("clip", "content").mapInArrow(lambda batches: frame(resample(decode(batches))), FRAMES)
 
 
 def frames(blocks: DataFrame, block: int = audio.BLOCK) -> DataFrame:
     """FRAMES of blocks (clip, total, at, x) of RATE and block samples, as blocks_for_frames gives them: a frame of 25 ms every 10 ms. A clip shorter than one frame is one, with silence added."""
+    return blocks.where("x IS NOT NULL").select("clip", "total", "at", "x").mapInArrow(framing(block), FRAMES)
+
+
+def framing(block: int):
+    """What frames() does to batches; rows without samples have no frames."""
     assert block % HOP == 0
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
+                if not batch.column("x")[k].is_valid:
+                    continue
                 total, at = batch.column("total")[k].as_py(), batch.column("at")[k].as_py()
                 x = batch.column("x")[k].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 last = max(0, total - FRAME) // HOP  # the clip's last frame
@@ -129,7 +151,7 @@ def frames(blocks: DataFrame, block: int = audio.BLOCK) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * (len(BANDS) - 1), pa.int32()), pa.array(band.ravel()))
                 yield pa.RecordBatch.from_arrays([clip, pa.array(at // HOP + np.arange(count)), pa.array(own.pop("e")), bands, *map(pa.array, own.values())], names=["clip", "frame", "e", "band", *own])
 
-    return blocks.where("x IS NOT NULL").select("clip", "total", "at", "x").mapInArrow(run, FRAMES)
+    return run
 
 
 def levels(own: DataFrame) -> DataFrame:
@@ -197,7 +219,7 @@ def window_features(windows: DataFrame, own: DataFrame) -> DataFrame:
 
 def of_samples(windows: DataFrame, found: DataFrame) -> DataFrame:
     """sample_id, gap and features of windows (sample_id, gap, t0, t1) from the samples' files (sample_id, content), resampled where their rate isn't RATE."""
-    own = kept(frames(blocks_for_frames(found.select(F.col("sample_id").alias("clip"), "content"))))
+    own = kept(frames_of_files(found.select(F.col("sample_id").alias("clip"), "content")))
     asked = windows.select(F.col("sample_id").alias("clip"), F.col("gap").cast("long").alias("gap"), "t0", "t1")
     return window_features(asked, own).select(F.col("clip").alias("sample_id"), F.col("gap").cast("int").alias("gap"), "features")
 

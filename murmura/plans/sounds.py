@@ -92,7 +92,7 @@ bands AS (SELECT clip, frame, 10 * log10(sum(p) FILTER (k < 8) + 1e-10) AS low,
 SELECT clip, frame, round(e, 4) AS e, round(zcr, 9) AS zcr, round(low - e, 4) AS band0, round(next - e, 4) AS band1 FROM e JOIN crossed USING (clip, frame) JOIN bands USING (clip, frame)""")
 def frame_spectra(spark, sf_dir):
     """Energy, sign changes and the two lowest bands of every frame."""
-    own = A.frames(A.blocks_for_frames(written(vector_clips(spark, sf_dir, A.RATE))))
+    own = A.frames_of_files(written(vector_clips(spark, sf_dir, A.RATE)))
     return own.select(number(), "frame", F.round("e", 4).alias("e"), F.round("zcr", 9).alias("zcr"), *[F.round(F.get("band", F.lit(i)), 4).alias(f"band{i}") for i in (0, 1)])
 
 
@@ -105,7 +105,7 @@ SELECT clip, gap, round(any_value(t1 - t0), 4) AS dur, round(avg(e), 3) AS e_mea
   round(avg(zcr), 4) AS zcr_mean, round(avg((e < p50 - 25)::INT), 4) AS silence_frac FROM met GROUP BY clip, gap""")
 def frame_features(spark, sf_dir):
     """Features of windows over the frames: short windows take the nearest frame."""
-    own = kept(A.frames(A.blocks_for_frames(written(vector_clips(spark, sf_dir, A.RATE)))))
+    own = kept(A.frames_of_files(written(vector_clips(spark, sf_dir, A.RATE))))
     windows = own.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<long>")).alias("gap"))
     t0 = F.col("gap") * F.lit(0.021)
     made = windows.select("clip", "gap", t0.alias("t0"), (t0 + F.lit(0.004) + (F.col("gap") % 4) * F.lit(0.03)).alias("t1"))

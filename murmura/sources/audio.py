@@ -132,6 +132,11 @@ def decoded(found: DataFrame, wanted: int | None = None, block: int | None = BLO
     at, n and total count samples of the wanted rate (the file's own, if none is wanted); a block holds tail samples of the next
     one too, where there is one. Without block a clip is one row. x begins lead input samples before the one that at falls on.
     """
+    return found.select("clip", "content").mapInArrow(decoding(wanted, block, tail), BLOCKS)
+
+
+def decoding(wanted: int | None = None, block: int | None = BLOCK, tail: int = 0):
+    """What decoded() does to batches of files, for steps that go on with the blocks in the same pass."""
 
     def rows(batches):
         for clip, raw in each(batches):
@@ -169,7 +174,7 @@ def decoded(found: DataFrame, wanted: int | None = None, block: int | None = BLO
         lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x)), mask=pa.array([v is None for v in columns[6]]))
         return pa.RecordBatch.from_arrays([lists if k is None else pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
-    return found.select("clip", "content").mapInArrow(run, BLOCKS)
+    return run
 
 
 def wav(x: np.ndarray, rate: int) -> bytes:
