@@ -84,3 +84,11 @@ def test_nearest_detection(spark):
     events = spark.createDataFrame([(1, "a", 0, 5), (1, "a", 1, 20), (1, "b", 2, 5), (2, "a", 0, 5), (1, None, 3, 5)], "sample_id long, type string, e int, gap long")
     found = spark.createDataFrame([(1, "a", 3, 0.5), (1, "a", 7, 0.5), (1, "a", 26, 0.5), (1, "b", 10, 0.5), (3, "a", 5, 0.5)], "sample_id long, type string, gap long, prob double")
     assert {(r.sample_id, r.e): r.shift for r in E.offsets(events, found).collect()} == {(1, 0): -2, (1, 1): None, (1, 2): 5, (2, 0): None, (1, 3): None}
+
+
+def test_placement_summary_parses_texts_once(spark, monkeypatch):
+    from murmura.plans import placement
+
+    calls, parsed = [], X.parsed
+    monkeypatch.setattr(X, "parsed", lambda *a: calls.append(a) or parsed(*a))
+    assert placement.placement_summary(spark, DATA).count() == 1 and len(calls) == 1
