@@ -16,10 +16,9 @@ FULL = 32767.0
 
 
 def written(clips):
-    """Files of clips (name, rate, x) in a new folder of the shared one, read back as clip (the name) and content."""
+    """Files of clips (name, rate, x) in a new folder of the shared one, read back as clip (the name) and content; the driver lists none of them."""
     path = f"{folder(clips.sparkSession)}/sounds-{uuid.uuid4().hex}"
-    sink.write(audio.encoded(clips), path)
-    return audio.files(clips.sparkSession, path).withColumn("clip", F.element_at(F.split("clip", "/"), -1))
+    return sink.read(sink.write(audio.encoded(clips), path), path).withColumnRenamed("name", "clip")
 
 
 def word_clips(spark, sf_dir):

@@ -1,9 +1,10 @@
-"""A sink that writes one file for each row: staged by the tasks, put in place by the driver once all have finished.
+"""A sink that writes one file for each row: staged by the tasks, put in place by tasks once all have finished.
 
 Rows are name (a relative path) and content (bytes). A task writes below a folder of its attempt inside <path>/_staged-<job>, and
-returns what it wrote; a task that fails or runs twice leaves nothing in place. The commit refuses names that occur twice, moves
-the files and removes the staging folder; an abort only removes it. Only the driver makes the staging folder, so a task that
-outlives its job can't bring it back. Paths are anything that pyarrow opens (local or shared
+its rows say what it wrote; a task that fails or runs twice leaves nothing in place. Names that occur twice are refused before any
+file is moved; then tasks move the files, and the staging folder is removed. A failed job only removes it. Only the driver makes the
+staging folder, so a task that outlives its job can't bring it back. Names stay in tables that tasks write and read, so the driver knows
+none of them, however many files there are. Paths are anything that pyarrow opens (local or shared
 folders, HDFS, object stores), the same for driver and executors.
 """
 
@@ -12,21 +13,17 @@ from __future__ import annotations
 import posixpath
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql import functions as F
 
-FORMAT = "murmura_files"
-#: Moves of a commit that go on at once.
-MOVERS = 32
+from murmura.storage import kept
 
-
-@dataclass
-class Written(WriterCommitMessage):
-    folder: str
-    names: list[str] = field(default_factory=list)
+#: Files that a task moves at once.
+MOVERS = 8
+#: Bytes of files that are in memory together when they are read, or one file.
+HELD = 1 << 24
 
 
 def opened(path: str):
@@ -43,76 +40,99 @@ def relative(name: str | None) -> str:
     return clean
 
 
-class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
-        system, root = opened(path)
-        system.create_dir(f"{root}/{self.stage}", recursive=True)
-
-    @property
-    def stage(self) -> str:
-        return f"_staged-{self.job}"
+def staged(path: str, stage: str):
+    """Writes files of batches (name, content) below a folder of the task's own, and says where: names and the folder."""
 
-    def write(self, batches) -> Written:
-        system, root = opened(self.path)
-        out = Written(f"{root}/{self.stage}/{uuid.uuid4().hex}")
-        made = set()
+    def run(batches):
+        system, root = opened(path)
+        own, made = f"{root}/{stage}/{uuid.uuid4().hex}", set()
 
         def below(folder: str) -> None:
             if folder not in made:
-                if folder != out.folder:
+                if folder != own:
                     below(posixpath.dirname(folder))
                 system.create_dir(folder, recursive=False)
                 made.add(folder)
 
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
-                own = relative(name)
-                below(posixpath.dirname(f"{out.folder}/{own}"))
-                with system.open_output_stream(f"{out.folder}/{own}") as f:
+            names = [relative(name) for name in batch.column("name").to_pylist()]
+            for name, content in zip(names, batch.column("content"), strict=True):
+                below(posixpath.dirname(f"{own}/{name}"))
+                with system.open_output_stream(f"{own}/{name}") as f:
                     if content.is_valid:
                         f.write(content.as_buffer())
-                out.names.append(own)
-        return out
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([own] * len(names), pa.string())], names=["name", "folder"])
+
+    return run
 
-    def commit(self, messages: list[Written | None]) -> None:
+
+def moved(path: str):
+    """Puts staged files (name, folder) in their place; what a task that failed has moved already stays there."""
+
+    def run(batches):
         from pyarrow import fs
 
-        system, root = opened(self.path)
-        names = [n for m in messages if m is not None for n in m.names]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError(f"names that occur twice: {sorted(n for n in set(names) if names.count(n) > 1)[:20]}")
-        if self.overwrite:
-            for old in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if old.base_name != self.stage:
-                    (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
-        for folder in {posixpath.dirname(n) for n in names}:
-            system.create_dir(f"{root}/{folder}".rstrip("/"), recursive=True)
-        moves = ((f"{m.folder}/{n}", f"{root}/{n}") for m in messages if m is not None for n in m.names)
+        system, root = opened(path)
+        made = set()
+
+        def move(row) -> None:
+            name, folder = row
+            if system.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:
+                system.move(f"{folder}/{name}", f"{root}/{name}")
+
         with ThreadPoolExecutor(MOVERS) as pool:  # a move waits for the store most of its time
-            for part in iter(lambda: list(islice(moves, 10_000)), []):
-                list(pool.map(lambda move: system.move(*move), part, chunksize=100))
-        self.abort(messages)
+            for batch in batches:
+                names = batch.column("name").to_pylist()
+                for folder in {posixpath.dirname(n) for n in names} - made:
+                    system.create_dir(f"{root}/{folder}".rstrip("/"), recursive=True)
+                    made.add(folder)
+                list(pool.map(move, zip(names, batch.column("folder").to_pylist(), strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array([len(names)])], names=["n"])
 
-    def abort(self, messages) -> None:
-        from pyarrow import fs
+    return run
 
-        system, root = opened(self.path)
-        if system.get_file_info(f"{root}/{self.stage}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{self.stage}")
 
+def write(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Writes rows (name, content) as files under path, and returns their names, as rows."""
+    from pyarrow import fs
+
+    system, root = opened(path)
+    stage = f"_staged-{uuid.uuid4().hex}"
+    system.create_dir(f"{root}/{stage}", recursive=True)
+    try:
+        names = kept(rows.select("name", "content").mapInArrow(staged(path, stage), "name string, folder string"))
+        twice = [r["name"] for r in names.groupBy("name").count().where("count > 1").orderBy("name").limit(20).collect()]
+        if twice:
+            raise ValueError(f"names that occur twice: {twice}")
+        if overwrite:
+            for old in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if old.base_name != stage:
+                    (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
+        names.mapInArrow(moved(path), "n long").agg(F.sum("n")).collect()
+    finally:
+        system.delete_dir(f"{root}/{stage}")
+    return names.select("name")
 
-class Files(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
 
-    def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], overwrite)
+def read(names: DataFrame, path: str) -> DataFrame:
+    """name and content of the files under path that names (name) tells; tasks open them, so no folder is listed."""
 
+    def run(batches):
+        system, root = opened(path)
 
-def write(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Writes rows (name, content) as files under path."""
-    rows.sparkSession.dataSource.register(Files)
-    rows.select("name", "content").write.format(FORMAT).mode("overwrite" if overwrite else "append").option("path", path).save()
+        def batch_of(some):
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.string()), pa.array([c for _, c in some], pa.binary())], names=["name", "content"])
+
+        some, held = [], 0
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with system.open_input_file(f"{root}/{name}") as f:
+                    some.append((name, f.read()))
+                held += len(some[-1][1])
+                if held > HELD or len(some) == 1000:
+                    yield batch_of(some)
+                    some, held = [], 0
+        if some:
+            yield batch_of(some)
+
+    return names.select("name").mapInArrow(run, "name string, content binary")
